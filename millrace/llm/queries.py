@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from millrace.llm import decontamination, fertility, licenses, packing, quality, toxicity, url_filter
+from millrace.llm import decontamination, fertility, jaccard, licenses, packing, quality, toxicity, url_filter
 from millrace.llm.folds import held_out
 from millrace.sources.tables import table
 
@@ -46,11 +46,15 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontamination.digest(found)
 
 
+def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.assess(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), keep=["doc_id"])
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_best_fit_packing, op3_toxicity, op5_quality_classifier, op6_license_scans, op7_benchmark_decontamination, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_best_fit_packing, op3_toxicity, op5_quality_classifier, op6_license_scans, op7_benchmark_decontamination, op8_ngram_jaccard_join, op10_quality_rules)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
@@ -69,4 +73,16 @@ named AS (SELECT doc_id, list_sort(list(DISTINCT item)) AS ids FROM hit GROUP BY
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(c.n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(len(n.ids), 0) AS BIGINT) AS n_items,
 sha256(coalesce(array_to_string(n.ids, ','), '')) AS items_sha256, coalesce(c.n_hit, 0) > 0 AS contaminated
 FROM docs d LEFT JOIN covered c USING (doc_id) LEFT JOIN named n USING (doc_id)""",
+    "op8_ngram_jaccard_join": f"""WITH RECURSIVE words AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+grams AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM words WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+met AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+links AS (SELECT m.a, m.b FROM met m JOIN sizes x ON m.a = x.doc_id JOIN sizes y ON m.b = y.doc_id WHERE 5 * m.n >= 4 * (x.n + y.n - m.n)),
+reach AS (SELECT a, a AS b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+named AS (SELECT a AS doc_id, min(b) AS class_id FROM reach GROUP BY a),
+counted AS (SELECT a AS doc_id, count(*) AS n_links FROM links GROUP BY a),
+keyed AS (SELECT doc_id, md5(string_agg(g, '|' ORDER BY g)) AS k FROM grams GROUP BY doc_id),
+copied AS (SELECT doc_id, count(*) OVER (PARTITION BY k) AS copies FROM keyed)
+SELECT d.doc_id, coalesce(n.class_id, d.doc_id) AS class_id, CAST(coalesce(c.n_links, 0) AS BIGINT) AS n_links, CAST(coalesce(k.copies, 1) AS BIGINT) AS copies
+FROM documents d LEFT JOIN named n USING (doc_id) LEFT JOIN counted c USING (doc_id) LEFT JOIN copied k USING (doc_id)""",
 }
