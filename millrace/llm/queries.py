@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from millrace.llm import decontamination, fertility, jaccard, licenses, packing, quality, toxicity, url_filter
+from millrace.llm import decontamination, fertility, jaccard, licenses, line_dedup, packing, quality, toxicity, url_filter
 from millrace.llm.folds import held_out
 from millrace.sources.tables import table
 
@@ -50,11 +50,15 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.remove_repeats(table(spark, sf_dir, "documents"), keep=["doc_id", "text"])
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.assess(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), keep=["doc_id"])
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_best_fit_packing, op3_toxicity, op5_quality_classifier, op6_license_scans, op7_benchmark_decontamination, op8_ngram_jaccard_join, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_best_fit_packing, op3_toxicity, op5_quality_classifier, op6_license_scans, op7_benchmark_decontamination, op8_ngram_jaccard_join, op9_line_dedup, op10_quality_rules)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
