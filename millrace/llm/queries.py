@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from millrace.llm import decontamination, fertility, jaccard, licenses, line_dedup, packing, quality, toxicity, url_filter
+from millrace.llm import decontamination, fertility, jaccard, licenses, line_dedup, packing, pii, quality, toxicity, url_filter
 from millrace.llm.folds import held_out
 from millrace.sources.tables import table
 
@@ -31,6 +31,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, lexicon, keep=["doc_id"]).select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "score", "predicted", "n_matches")
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(table(spark, sf_dir, "documents"), keep=["doc_id"]))
+
+
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     ensemble = quality.fit(docs, table(spark, sf_dir, "labels"))
@@ -58,7 +62,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.assess(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), keep=["doc_id"])
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_best_fit_packing, op3_toxicity, op5_quality_classifier, op6_license_scans, op7_benchmark_decontamination, op8_ngram_jaccard_join, op9_line_dedup, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_best_fit_packing, op3_toxicity, op4_pii, op5_quality_classifier, op6_license_scans, op7_benchmark_decontamination, op8_ngram_jaccard_join, op9_line_dedup, op10_quality_rules)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
