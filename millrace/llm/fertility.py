@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType, StructField
 
@@ -55,7 +56,12 @@ def piece_word_tokens(path: str) -> tuple[WordTokens, np.ndarray]:
 
     model = SentencePieceProcessor(model_file=path)
     bytes_ = np.array([model.is_byte(i) for i in range(model.get_piece_size())])
-    return WordTokens(lambda words: model.encode(words, num_threads=1)), bytes_
+
+    def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = model.encode(words, num_threads=1)
+        return np.array([i for x in ids for i in x], np.int32), np.array(list(map(len, ids)), np.int64)
+
+    return WordTokens(encode), bytes_
 
 
 def script_of(text: str) -> str:
@@ -130,12 +136,11 @@ def assess(docs: DataFrame, vocabulary: str, text: str = "text", keep: list[str]
     def make() -> Callable[[list], dict]:
         tokens, is_byte = piece_word_tokens(vocabulary)
 
-        def run(texts: list) -> dict:
+        def run(texts: pa.Array) -> dict:
             out: dict[str, list] = {f.name: [] for f in FIELDS}
-            plain = [t.decode() if t else "" for t in texts]
-            ids, ends = tokens(plain)
+            ids, ends = tokens(texts)
             at, names = 0, Slots()
-            for raw, whole, end in zip(texts, plain, ends.tolist(), strict=True):
+            for raw, end in zip(texts.cast(pa.large_binary()).to_pylist(), ends.tolist(), strict=True):
                 raw, own, at = raw or b"", ids[at:end], end
                 words = raw.split()
                 n = len(words)
@@ -146,7 +151,7 @@ def assess(docs: DataFrame, vocabulary: str, text: str = "text", keep: list[str]
                 failed = n < 20 or 100 * repeated > 30 * n
                 script = reason = per = fallback = entropy = None
                 if len(own) and n:
-                    script, per, fallback = script_of(whole), chars / len(own), float(is_byte[own].mean())
+                    script, per, fallback = script_of(raw.decode()), chars / len(own), float(is_byte[own].mean())
                     share = np.bincount(own)
                     share = share[share > 0] / len(own)
                     entropy = float(-(share * np.log2(share)).sum())
@@ -159,4 +164,4 @@ def assess(docs: DataFrame, vocabulary: str, text: str = "text", keep: list[str]
 
         return run
 
-    return map_texts(docs, FIELDS, make, text, keep)
+    return map_texts(docs, FIELDS, make, text, keep, form="arrow")

@@ -38,7 +38,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         tokens = json_word_tokens(tokenizer)
 
-        def cut(texts: list) -> dict:
+        def cut(texts: pa.Array) -> dict:
             ids, ends = tokens(texts)
             out: dict[str, list] = {f.name: [] for f in fields} | {"row": []}
             at = 0
@@ -55,7 +55,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id:
 
         return cut
 
-    return map_texts(docs, fields, make, text, keep, binary=False, explode=True)
+    return map_texts(docs, fields, make, text, keep, form="arrow", explode=True, slice_bytes=8 << 20)
 
 
 def lower_bound(counts: np.ndarray, capacity: int) -> int:

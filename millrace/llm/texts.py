@@ -43,11 +43,11 @@ def plain(name: str):
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def map_texts(docs: DataFrame, fields: list[StructField], make: Callable[[], Callable[[list], dict]], text: str = "text", keep: list[str] | None = None, binary: bool = True, explode: bool = False) -> DataFrame:
+def map_texts(docs: DataFrame, fields: list[StructField], make: Callable[[], Callable[[list], dict]], text: str = "text", keep: list[str] | None = None, form: str = "bytes", explode: bool = False, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """The kept columns (all by default) and `fields`, which make()() computes from a list of whole texts.
 
-    make runs once in each task. The function it returns gets texts (bytes, or str unless `binary`; None for null)
-    and gives a list for each field. With `explode` it also gives "row", the place in its list that each output row
+    make runs once in each task. The function it returns gets texts (form: a list of "bytes" or "str", None for null,
+    or an "arrow" array) and gives a list for each field. With `explode` it also gives "row", the place in its list that each output row
     belongs to, so that a text has any number of rows. An input column with the name of a field gives way to it.
     """
     names = {f.name.lower() for f in fields}
@@ -59,9 +59,9 @@ def map_texts(docs: DataFrame, fields: list[StructField], make: Callable[[], Cal
         score, schema, n = make(), to_arrow_schema(out), len(kept)
         for batch in batches:
             texts = batch.column(n)
-            for at, rows in cuts(texts):
+            for at, rows in cuts(texts, slice_bytes):
                 part = texts.slice(at, rows)
-                got = score((part.cast(pa.large_binary()) if binary else part).to_pylist())
+                got = score(part if form == "arrow" else (part.cast(pa.large_binary()) if form == "bytes" else part).to_pylist())
                 own = [batch.column(i).slice(at, rows) for i in range(n)]
                 if explode:
                     own = [c.take(pa.array(got["row"], pa.int64())) for c in own]
@@ -89,40 +89,63 @@ class Slots(dict):
 class WordTokens:
     """Token ids of texts, taken word by word from a tokenizer that no token of leaves a word.
 
-    Words are what single spaces and newlines separate. Their ids are remembered; beyond `limit` words the memory
-    starts anew, which changes the time and not the result.
+    Words are what single spaces and newlines separate. `encode` gives the ids of new words in a row and how many each
+    has. They are remembered; beyond `limit` words the memory starts anew, which changes the time and not the result.
+    With `lower`, words of Latin letters that differ in case, or in one full stop or comma at their end, are encoded
+    once: it is for tokenizers that lower-case and part letters from signs.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], limit: int = 1_000_000) -> None:
-        self.encode, self.limit = encode, limit
-        self.clear()
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], lower: bool = False, limit: int = 1_000_000) -> None:
+        self.encode, self.lower, self.limit = encode, lower, limit
+        self.ends = {sign: int(encode([sign])[0][0]) for sign in ".,"} if lower else {}
+        self.cores = Slots()
+        self._forget(0)
 
-    def clear(self) -> None:
-        self.slots, self.flat = Slots(), np.zeros(0, np.int32)
-        self.starts, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    def _forget(self, limit: int) -> None:
+        """Cores are what costs time to encode; they stay while they are few enough."""
+        self.slots, self.core_of, self.end_of = Slots(), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        if len(self.cores) >= limit:
+            self.cores, self.flat = Slots(), np.zeros(0, np.int32)
+            self.starts, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _learn(self) -> None:
-        if fresh := self.slots.fresh:
-            ids = self.encode(fresh)
-            n = np.fromiter(map(len, ids), np.int64, len(ids))
+        if not (fresh := self.slots.fresh):
+            return
+        self.slots.fresh, cores, ends = [], [], []
+        for w in fresh:
+            core, end = (w[:-1], self.ends[w[-1]]) if w[-1:] in self.ends and w[-2:-1].isalpha() else (w, -1)
+            cores.append(core.lower() if self.lower and core.isalpha() and max(core) < "\u0100" else core)
+            ends.append(end)
+        self.core_of = np.concatenate([self.core_of, self.cores.numbers(cores)])
+        self.end_of = np.concatenate([self.end_of, np.array(ends, np.int32)])
+        if self.cores.fresh:
+            ids, n = self.encode(self.cores.fresh)
+            self.cores.fresh = []
             self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(n) - n])
             self.counts = np.concatenate([self.counts, n])
-            self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), np.int32, int(n.sum()))])
-            self.slots.fresh = []
+            self.flat = np.concatenate([self.flat, ids.astype(np.int32)])
 
-    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and where each text's ids end."""
         if len(self.slots) > self.limit:
-            self.clear()
-        split = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
-        slots = self.slots.numbers([w for ws in split for w in ws])
+            self._forget(self.limit)
+        split = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        words = pc.list_flatten(split).dictionary_encode()
+        sizes = pc.fill_null(pc.list_value_length(split), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        slots = self.slots.numbers(words.dictionary.to_pylist())[words.indices.to_numpy(zero_copy_only=False)] if len(words) else np.zeros(0, np.int64)
         self._learn()
-        n = self.counts[slots]
-        ends = np.cumsum(n)
+        core, end = self.core_of[slots], self.end_of[slots]
+        has = end >= 0
+        n = self.counts[core]
+        full = n + has
+        ends = np.cumsum(full)
         total = int(ends[-1]) if len(ends) else 0
-        at = np.repeat(self.starts[slots] - (ends - n), n) + np.arange(total)
-        words = np.cumsum(np.fromiter(map(len, split), np.int64, len(split)))
-        return self.flat[at], np.concatenate([[0], ends])[words] if len(split) else words
+        # Each id's place in flat; that of an end is one past its core's and is written over.
+        at = np.repeat(self.starts[core] - (ends - full), full)
+        at += np.arange(total)
+        out = self.flat[np.minimum(at, len(self.flat) - 1, out=at)] if total else np.zeros(0, np.int32)
+        out[ends[has] - 1] = end[has]
+        return out, np.concatenate([[0], ends])[np.cumsum(sizes)]
 
 
 @lru_cache(maxsize=2)
@@ -134,13 +157,30 @@ def json_tokenizer(path: str):
 
 @lru_cache(maxsize=2)
 def json_word_tokens(path: str) -> WordTokens:
-    """For a tokenizer file whose pre-tokenizer drops white space; the memory lasts as long as the Python worker."""
+    """For a tokenizer file that drops white space and lower-cases; the memory lasts as long as the Python worker."""
     made = json_tokenizer(path)
 
-    def encode(words: list[str]) -> list[list[int]]:
-        out: list[list[int]] = []
-        for a in range(0, len(words), 4096):
-            out += [e.ids for e in made.encode_batch_fast(words[a : a + 4096], add_special_tokens=False)]
-        return out
-
-    return WordTokens(encode)
+    def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Words of Latin letters alone are one pre-token each, so that many of them go in one text."""
+        lone = np.fromiter((w.isalpha() and max(w) < "\u0100" for w in words), bool, len(words))
+        n, parts = np.zeros(len(words), np.int64), []
+        for flag in (True, False):
+            at = np.flatnonzero(lone == flag)
+            for a in range(0, len(at), 4096):
+                own = at[a : a + 4096]
+                some = [words[i] for i in own.tolist()]
+                if flag:
+                    whole = made.encode(" ".join(some), add_special_tokens=False)
+                    n[own] = np.bincount(np.array(whole.word_ids, np.int64), minlength=len(own))
+                    parts.append((own, np.array(whole.ids, np.int32)))
+                else:
+                    each = [e.ids for e in made.encode_batch_fast(some, add_special_tokens=False)]
+                    n[own] = list(map(len, each))
+                    parts.append((own, np.array([i for x in each for i in x], np.int32)))
+        ids, starts = np.empty(int(n.sum()), np.int32), np.cumsum(n) - n
+        for own, got in parts:
+            k = n[own]
+            ids[np.repeat(starts[own] - (np.cumsum(k) - k), k) + np.arange(len(got))] = got
+        return ids, n
+
+    return WordTokens(encode, lower=True)
