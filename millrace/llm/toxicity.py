@@ -111,28 +111,33 @@ def entries_of(word: str) -> list[str]:
     return [f"^{word}$", *(f"^{word[:n]}" for n in range(3, min(len(word), 12) + 1))]
 
 
-def learn(samples: list[tuple[list[str], int, int]], most: int = 500) -> Lexicon:
-    """A lexicon from (distinct words, number of words, label) of each sample. Without both labels it is empty.
+def learn(samples: list[tuple[str, int, int]], most: int = 500) -> Lexicon:
+    """A lexicon from (distinct words between spaces, number of words, label) of each sample. Without both labels it is empty.
 
     Entries are taken greedily: the one that adds most toxic documents less four times the clean ones, of equals the
     longest, then the last in order; until none adds three. Whole words that six toxic documents have, and at most a
     twentieth as many clean ones, follow even where other entries cover their documents.
     """
-    toxic = [set(e for w in ws for e in entries_of(w)) for ws, _, y in samples if y]
+    entries = lambda ws: {e for w in ws.split() for e in entries_of(w)}
+    toxic = [ws for ws, _, y in samples if y]
     clean_n = len(samples) - len(toxic)
     if not toxic or not clean_n:
         return Lexicon((), 0.0, -3.0 if not toxic else 0.0)
-    counts = Counter(e for es in toxic for e in es)
+    counts: Counter = Counter()
+    for ws in toxic:
+        counts.update(entries(ws))
     held: dict[str, set[int]] = {e: set() for e, n in counts.items() if n >= 3}
+    del counts
     against: dict[str, int] = defaultdict(int)
-    for i, es in enumerate(toxic):
-        for e in es:
+    for i, ws in enumerate(toxic):
+        for e in entries(ws):
             if e in held:
                 held[e].add(i)
     for ws, _, y in samples:
         if not y:
-            for e in {e for w in ws for e in entries_of(w) if e in held}:
-                against[e] += 1
+            for e in entries(ws):
+                if e in held:
+                    against[e] += 1
     gain = {e: len(ids) - 4 * against[e] for e, ids in held.items()}
     live, covered, chosen = {e for e, g in gain.items() if g >= 3}, set(), []
     while live and len(chosen) < most:
@@ -145,7 +150,7 @@ def learn(samples: list[tuple[list[str], int, int]], most: int = 500) -> Lexicon
     chosen += [e for e in held if e.endswith("$") and e not in chosen and len(held[e]) >= 6 and 20 * against[e] <= len(held[e])]
     weights = tuple((e, min(8.0, math.log((len(held[e]) + 0.5) / len(toxic)) - math.log((against[e] + 0.5) / clean_n))) for e in sorted(chosen))
     matcher = Matcher(weights, ())
-    x = np.array([normalised(sum(w for _, w, _ in matcher.hits(f" {' '.join(ws)} ")), n) for ws, n, _ in samples])
+    x = np.array([normalised(sum(w for _, w, _ in matcher.hits(f" {ws} ")), n) for ws, n, _ in samples])
     slope, offset = logistic(x, np.array([y for *_, y in samples], float))
     return Lexicon(weights, slope, offset)
 
@@ -167,16 +172,16 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 40)
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, text: str = "text") -> Lexicon:
     """Learns from at most `rows` labelled documents whose crc32 remainder by 4 isn't 2."""
     sample = fit_sample(docs, labels, "toxic", 4, 2, rows, text)
-    fields = [StructField("words", ArrayType(StringType())), StructField("n", LongType())]
+    fields = [StructField("words", StringType()), StructField("n", LongType())]
 
     def make() -> Callable[[list], dict]:
         def run(texts: list) -> dict:
             split = [folded(t).split() for t in texts]
-            return {"words": [sorted(set(ws)) for ws in split], "n": [len(ws) for ws in split]}
+            return {"words": [" ".join(sorted(set(ws))) for ws in split], "n": [len(ws) for ws in split]}
 
         return run
 
-    seen = map_texts(sample, fields, make, text, ["label"], binary=False).collect()
+    seen = map_texts(sample, fields, make, text, ["label"], form="str").collect()
     return learn([(r.words, r.n, int(r.label == 1)) for r in seen])
 
 
@@ -205,4 +210,4 @@ def score(docs: DataFrame, lexicon: Lexicon, text: str = "text", keep: list[str]
 
         return run
 
-    return map_texts(docs, FIELDS, make, text, keep, binary=False)
+    return map_texts(docs, FIELDS, make, text, keep, form="str")
