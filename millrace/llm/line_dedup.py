@@ -14,20 +14,28 @@ from millrace.sources.tables import written
 
 #: Words in a run of repeated lines from which on it is removed.
 LEAST_WORDS = 50
-#: A line of so many words is a chunk by itself.
-LONG_LINE = 16
+#: A line of so many bytes, some 16 words, is a chunk by itself.
+LONG_LINE = 96
 #: One in so many pairs of lines is followed by a new chunk.
 MEAN_LINES = 2
+#: Hashes of repeated chunks that are broadcast at most, 16 MB of them; more are joined by a shuffle.
+MOST_BROADCAST = 2_000_000
 
-#: Put before lines that begin a chunk. \\x01 in a text is written as \\x01\\x03 meanwhile, so that no text has the mark.
-_MARK, _ESCAPED = "\x01\x02", "\x01\x03"
+#: Put between chunks. In a text itself \x01 is written as \x02\x03, and \x02 as \x02\x04, meanwhile.
+_MARK = "\x01"
+_ESCAPES = (("\x02", "\x02\x04"), ("\x01", "\x02\x03"))
 _KEY = ["id", "hash"]
 
 
 def words_in(line: Column) -> Column:
-    """Words between single spaces; 0 for a blank line."""
-    bare = F.trim(line)
-    return F.when(bare == "", 0).otherwise(F.length(bare) - F.length(F.translate(bare, " ", "")) + 1)
+    """Words between single spaces; 0 for an empty line."""
+    return F.when(line == "", 0).otherwise(F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "))) + 1)
+
+
+def _escaped(text: Column, back: bool = False) -> Column:
+    for plain_, escape in reversed(_ESCAPES) if back else _ESCAPES:
+        text = F.replace(text, F.lit(escape if back else plain_), F.lit(plain_ if back else escape))
+    return text
 
 
 def _before(values: Column, filler: Column) -> Column:
@@ -41,26 +49,33 @@ def _after(values: Column, filler: Column) -> Column:
 
 def with_chunks(docs: DataFrame, text: str) -> DataFrame:
     """Adds `chunks`: texts of whole lines that give the text when joined by newlines. Null for null."""
-    facts = lambda x: F.struct(F.xxhash64(x).alias("h"), (words_in(x) >= LONG_LINE).alias("long"))
+    facts = lambda x: F.struct(F.xxhash64(x).alias("h"), (F.octet_length(x) >= LONG_LINE).alias("long"))
     none = F.struct(F.lit(None).cast("long").alias("h"), F.lit(False).alias("long"))
-    step = docs.withColumn("__lines", F.split(F.replace(plain(text), F.lit("\x01"), F.lit(_ESCAPED)), "\n", -1))
+    step = docs.withColumn("__lines", F.split(_escaped(plain(text)), "\n", -1))
     step = step.withColumn("__facts", F.transform("__lines", facts))
     step = step.withColumn("__before", _before(F.col("__facts"), none))
     rolled = F.zip_with(_before(F.col("__before"), none), "__before", lambda a, b: F.struct(b["h"].isNotNull().alias("any"), b["long"].alias("long"), (F.pmod(F.xxhash64(a["h"], b["h"]), F.lit(MEAN_LINES)) == 0).alias("cut")))
-    begins = F.zip_with("__facts", rolled, lambda x, r: r["any"] & (x["long"] | r["long"] | r["cut"]))
-    marked = F.zip_with("__lines", begins, lambda x, b: F.when(b, F.concat(F.lit(_MARK), x)).otherwise(x))
-    chunks = F.transform(F.split(F.array_join(marked, "\n"), "\n" + _MARK, -1), lambda c: F.replace(c, F.lit(_ESCAPED), F.lit("\x01")))
-    return step.withColumn("chunks", chunks).drop("__lines", "__facts", "__before")
+    parted = F.zip_with("__facts", rolled, lambda x, r: F.when(~r["any"], "").when(x["long"] | r["long"] | r["cut"], _MARK).otherwise("\n"))
+    whole = F.array_join(F.zip_with("__lines", parted, lambda x, p: F.concat(p, x)), "")
+    return step.withColumn("chunks", F.transform(F.split(whole, _MARK, -1), lambda c: _escaped(c, back=True))).drop("__lines", "__facts", "__before")
 
 
-def _chunk_rows(docs: DataFrame) -> DataFrame:
-    """A row for each chunk with a word: its place, hash, text and words, and the line facts of the chunks beside it."""
+def _chunk_facts(docs: DataFrame) -> DataFrame:
+    """A row for each chunk with a word: its place, hash and words, and the lines (h, w) of the chunks beside it."""
     step = with_chunks(docs, "text").drop("text")
     step = step.withColumn("lines", F.transform("chunks", lambda c: F.transform(F.split(c, "\n", -1), lambda x: F.struct(F.xxhash64(x).alias("h"), words_in(x).alias("w")))))
     none = F.array().cast("array<struct<h:bigint,w:int>>")
-    step = step.select(*_KEY, F.posexplode(F.arrays_zip("chunks", "lines", _before(F.col("lines"), none).alias("before"), _after(F.col("lines"), none).alias("after"))).alias("k", "c"))
-    words = F.aggregate("c.lines", F.lit(0), lambda a, x: a + x["w"])
-    return step.select(*_KEY, "k", F.xxhash64("c.chunks").alias("h"), F.col("c.chunks").alias("chunk"), words.alias("words"), F.col("c.before").alias("before"), F.col("c.after").alias("after")).filter("words > 0")
+    step = step.withColumn("own", F.transform("chunks", lambda c: F.xxhash64(c))).drop("chunks")
+    step = step.select(*_KEY, F.posexplode(F.arrays_zip("own", "lines", _before(F.col("lines"), none).alias("before"), _after(F.col("lines"), none).alias("after"))).alias("k", "c"))
+    return step.select(*_KEY, "k", F.col("c.own").alias("h"), _words(F.col("c.lines")).alias("words"), F.col("c.before").alias("before"), F.col("c.after").alias("after")).filter("words > 0")
+
+
+def _verified(docs: DataFrame, repeated: DataFrame) -> DataFrame:
+    """The hashes whose chunks are the same bytes everywhere: their least and their greatest text are equal."""
+    hashes = repeated.select("h")
+    hashes = F.broadcast(hashes) if hashes.count() <= MOST_BROADCAST else hashes
+    texts = with_chunks(docs, "text").select(F.explode("chunks").alias("chunk")).withColumn("h", F.xxhash64("chunk"))
+    return texts.join(hashes, "h", "left_semi").groupBy("h").agg(F.min("chunk").alias("low"), F.max("chunk").alias("high")).filter("low = high").select("h")
 
 
 def _common(a: Column, b: Column) -> Column:
@@ -77,11 +92,12 @@ def _words(lines: Column) -> Column:
 def repeated_runs(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """For each document (id, hash) with something to remove: removed, a map from a chunk's place to how many lines
     before and after it go too, and the number of words."""
-    rows = _chunk_rows(docs)
-    place = F.struct(*_KEY, "k", "before", "after")
-    # Equal least and greatest texts are the byte comparison; a hash that stands for two texts is left alone.
-    first = written(rows.groupBy("h").agg(F.count("*").alias("n"), F.min(place).alias("first"), F.min("chunk").alias("low"), F.max("chunk").alias("high")).filter("n > 1 and low = high").select("h", "first"), "repeated")
-    met = rows.select(*_KEY, "k", "h", "words", "before", "after").join(first, "h")
+    rows = written(_chunk_facts(docs), "chunks")
+    first = rows.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct(*_KEY, "k", "before", "after")).alias("first"))
+    repeated = written(first.filter("n > 1").select("h", "first"), "repeated")
+    # A hash that stands for two texts is left alone.
+    same = written(repeated.join(_verified(docs, repeated), "h"), "verified")
+    met = rows.join(same, "h")
     met = met.filter(~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("hash") == F.col("first.hash")) & (F.col("k") == F.col("first.k"))))
     met = met.withColumn("back", _common(F.reverse("before"), F.reverse("first.before"))).withColumn("ahead", _common(F.col("after"), F.col("first.after")))
     met = met.select(*_KEY, "k", "words", "back", "ahead", _words(F.slice(F.reverse("before"), 1, F.col("back"))).alias("back_words"), _words(F.slice("after", 1, F.col("ahead"))).alias("ahead_words"))
