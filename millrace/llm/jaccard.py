@@ -15,7 +15,7 @@ from fractions import Fraction
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField
 
 from millrace.llm.components import components
@@ -183,7 +183,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, rec
     spread = classes.select("cid", F.explode("bands").alias("bucket"))
     buckets = written(spread.groupBy("bucket").agg(F.min("cid").alias("least"), F.count("*").alias("held")).filter("held > 1"), "buckets")
     members = written(spread.join(buckets, "bucket"), "members")
-    groups = components(members.filter("cid <> least").select(F.col("cid").alias("a"), F.col("least").alias("b")).distinct())
+    # Each class hooks to the least class it meets, and the others that it meets hook to that one as well: the same
+    # components from far fewer edges, as the classes of a large group meet the same few.
+    hooked = members.withColumn("hook", F.min("least").over(Window.partitionBy("cid")))
+    edges = hooked.select(F.col("cid").alias("a"), F.col("hook").alias("b")).union(hooked.select(F.col("least"), F.col("hook")))
+    groups = components(edges.filter("a <> b").distinct())
     sizes = groups.groupBy("root").agg(F.count("*").alias("size"))
     grouped = written(groups.join(written(sizes, "sizes"), "root").select(F.col("node").alias("cid"), "root", "size"), "grouped")
 
