@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from millrace.plans import changes, experiments, graphs, ordered, retrieval, streams  # noqa: F401
+from millrace.plans.base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
