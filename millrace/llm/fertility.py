@@ -50,12 +50,17 @@ _CONTINUATION = bytes(range(0x80, 0xC0))
 
 
 @lru_cache(maxsize=2)
-def piece_word_tokens(path: str) -> tuple[WordTokens, np.ndarray]:
-    """The vocabulary's ids for single words, and which ids are fallback bytes."""
+def piece_model(path: str):
+    """The vocabulary, and which of its ids are fallback bytes."""
     from sentencepiece import SentencePieceProcessor
 
     model = SentencePieceProcessor(model_file=path)
-    bytes_ = np.array([model.is_byte(i) for i in range(model.get_piece_size())])
+    return model, np.array([model.is_byte(i) for i in range(model.get_piece_size())])
+
+
+def piece_word_tokens(path: str) -> tuple[WordTokens, np.ndarray]:
+    """The ids of single words and which ids are fallback bytes. What is remembered goes with the task."""
+    model, bytes_ = piece_model(path)
 
     def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ids = model.encode(words, num_threads=1)

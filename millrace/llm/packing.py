@@ -55,7 +55,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id:
 
         return cut
 
-    return map_texts(docs, fields, make, text, keep, form="arrow", explode=True, slice_bytes=8 << 20)
+    return map_texts(docs, fields, make, text, keep, form="arrow", explode=True)
 
 
 def lower_bound(counts: np.ndarray, capacity: int) -> int:

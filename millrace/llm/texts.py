@@ -155,9 +155,8 @@ def json_tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-@lru_cache(maxsize=2)
 def json_word_tokens(path: str) -> WordTokens:
-    """For a tokenizer file that drops white space and lower-cases; the memory lasts as long as the Python worker."""
+    """For a tokenizer file that drops white space and lower-cases. What it remembers goes with the task."""
     made = json_tokenizer(path)
 
     def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
