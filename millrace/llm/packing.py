@@ -18,14 +18,14 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-from millrace.llm.texts import json_word_tokens, map_texts
+from millrace.llm.texts import json_word_tokens, lasting_word_tokens, map_texts
 from millrace.sources.tables import written
 
 #: Pieces that a partition packs at once, about; a piece is a row of some 60 bytes here.
 PIECES_PER_PARTITION = 4096
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, text: str = "text", keep: list[str] | None = None, with_ids: bool = False) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, text: str = "text", keep: list[str] | None = None, with_ids: bool = False, lasting: bool = False) -> DataFrame:
     """A row for each piece of at most `capacity` ids of a whole text and `end_id`.
 
     Null and empty texts have the one id `end_id`. Repeated rows are packed as often as they come. Adds piece, start,
@@ -36,7 +36,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id:
 
     def make():
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        tokens = json_word_tokens(tokenizer)
+        tokens = (lasting_word_tokens if lasting else json_word_tokens)(tokenizer)
 
         def cut(texts: pa.Array) -> dict:
             ids, ends = tokens(texts)

@@ -183,3 +183,9 @@ def json_word_tokens(path: str) -> WordTokens:
         return ids, n
 
     return WordTokens(encode, lower=True)
+
+
+@lru_cache(maxsize=1)
+def lasting_word_tokens(path: str) -> WordTokens:
+    """The same with a memory that lasts as long as the Python worker: for jobs that do nothing else there."""
+    return json_word_tokens(path)
