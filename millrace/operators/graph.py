@@ -38,6 +38,19 @@ def follow(links: DataFrame, group: str, name: str, to: str, hops: int) -> DataF
     return at
 
 
+def closure(needs: DataFrame, group: str, name: str, to: str, broken: str, hops: int) -> DataFrame:
+    """(group, name, dependencies, broken): all that a name needs, directly or not, and whether any of that or itself is
+    broken. A pair met twice goes on once, so that a cycle ends."""
+    step = needs.select(group, F.col(name).alias("at"), F.col(to).alias("further"), F.col(broken).alias("bad"))
+    front = needs.select(group, name, F.col(name).alias("at"))
+    every = front
+    for _ in range(hops):
+        front = front.join(step, [group, "at"]).filter("further is not null").select(group, name, F.col("further").alias("at")).distinct()
+        every = every.union(front)
+    met = every.distinct().join(step.select(group, "at", "bad").distinct(), [group, "at"])
+    return met.groupBy(group, name).agg((F.count_distinct("at") - 1).alias("dependencies"), F.max(F.coalesce("bad", F.lit(False))).alias("broken"))
+
+
 def personalised_pagerank(seeds: DataFrame, edges: DataFrame, iterations: int = 16, restart: float = 0.25) -> DataFrame:
     """(node, score) with restarts at the seeds, which also get the mass of nodes without edges. The scores are written
     after every fourth iteration, so that neither plans nor lineage grow."""
