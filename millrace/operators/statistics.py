@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from millrace.operators.packets import prefix_sums
 
 
 def rate(rows: DataFrame, by: list[str], hit: Column) -> DataFrame:
@@ -33,12 +35,9 @@ def hoeffding(pairs: DataFrame, level: float) -> DataFrame:
 
 
 def numbered(rows: DataFrame, key: str) -> DataFrame:
-    """Adds i, the place by key from 0. Ranges of the key are counted first, so that no task numbers all rows."""
-    ranges = rows.repartitionByRange(F.col(key)).withColumn("__part", F.spark_partition_id())
-    sizes = ranges.groupBy("__part").agg(F.count("*").alias("n"))
-    before = sizes.alias("x").join(sizes.alias("y"), F.col("y.__part") < F.col("x.__part"), "left").groupBy("x.__part").agg(F.coalesce(F.sum("y.n"), F.lit(0)).alias("before"))
-    place = F.row_number().over(Window.partitionBy("__part").orderBy(key)) - 1
-    return ranges.withColumn("i", place).join(before, "__part").withColumn("i", F.col("i") + F.col("before")).drop("__part", "before")
+    """Adds i, the place by key (no ties) from 0. Ranges of the key are counted first, so that no task numbers all rows."""
+    one = rows.withColumn("__one", F.lit(1)).withColumn("__all", F.lit(0))
+    return prefix_sums(one, "__all", key, "__one").withColumn("i", F.col("used") - 1).drop("used", "__one", "__all")
 
 
 def bootstrap(pairs: DataFrame, rounds: int) -> DataFrame:
@@ -51,9 +50,29 @@ def bootstrap(pairs: DataFrame, rounds: int) -> DataFrame:
     return draws.select("round_no", pick.alias("i")).join(ids.select("i", "d"), "i").groupBy(F.col("round_no").cast("long").alias("round_no")).agg(F.avg("d").alias("mean"))
 
 
+def _places(rows: DataFrame, group: str, value: str) -> DataFrame:
+    """(group, value, c, upto, n): known values with how often they occur, the places they end at, and the group's size.
+
+    Equal values are counted first, and the running counts of a large group are shared among tasks.
+    """
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("c"))
+    total = counts.groupBy(F.col(group).alias("__h")).agg(F.sum("c").alias("n"))
+    upto = prefix_sums(counts, group, value, "c").withColumnRenamed("used", "upto")
+    return upto.join(total, F.col(group).eqNullSafe(F.col("__h"))).drop("__h")
+
+
 def nearest_rank(rows: DataFrame, group: str, value: str, p: float) -> DataFrame:
-    """The value at place ceil(p n) of each group, from 1. Equal values are counted, so that groups stay small."""
-    counts = rows.groupBy(group, value).agg(F.count("*").alias("c"))
-    upto = F.sum("c").over(Window.partitionBy(group).orderBy(value))
-    total = counts.groupBy(group).agg(F.greatest(F.lit(1), F.ceil(F.lit(p) * F.sum("c"))).alias("place"))
-    return counts.withColumn("upto", upto).join(total, group).filter("upto >= place and upto - c < place").select(group, F.col(value).alias("at"))
+    """The value at place ceil(p n) of each group, from 1."""
+    place = F.greatest(F.lit(1), F.ceil(F.lit(p) * F.col("n")))
+    return _places(rows, group, value).withColumn("place", place).filter("upto >= place and upto - c < place").select(group, F.col(value).alias("at"))
+
+
+def median(rows: DataFrame, group: str, value: str) -> DataFrame:
+    """(group, median): the middle value, or the mean of the middle two. Groups without known values have no row."""
+    middle = _places(rows, group, value).filter("upto >= floor((n + 1) / 2) and upto - c < ceil((n + 1) / 2)")
+    return middle.groupBy(group).agg(F.avg(value).alias("median"))
+
+
+def upper_median(rows: DataFrame, group: str, value: str) -> DataFrame:
+    """(group, upper_median): the middle value, or the upper of the middle two."""
+    return _places(rows, group, value).filter("upto > floor(n / 2) and upto - c <= floor(n / 2)").select(group, F.col(value).alias("upper_median"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from millrace.operators import budgets
+from millrace.operators import budgets, packets
 from millrace.plans.base import query
 from millrace.sources.tables import table
 
@@ -17,8 +17,8 @@ def topk_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT source, doc_id, CAST(used AS BIGINT) AS used FROM (SELECT source, doc_id, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS used FROM documents) WHERE used <= 20000")
 def running_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    order = Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    return table(spark, sf_dir, "documents").select("source", "doc_id", F.sum("n_chars").over(order).alias("used")).filter("used <= 20000")
+    d = table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars")
+    return packets.prefix_sums(d, "source", "doc_id", "n_chars").filter("used <= 20000").select("source", "doc_id", "used")
 
 
 @query("SELECT user_id, event_id, CAST((row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) // 5 AS BIGINT) AS block FROM events")

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from millrace.operators import statistics as st
 from millrace.plans.base import query
 from millrace.sources.tables import table
 
@@ -43,7 +44,8 @@ def ratio_of_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Costs of both arms over families that have both, and the median difference."""
     arm = lambda p: F.sum(F.when(F.col("o_orderkey") % 2 == p, F.col("o_totalprice")))
     x = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(arm(0).alias("a"), arm(1).alias("b")).dropna(subset=["a", "b"])
-    return x.agg(F.count("*").alias("families"), F.round(F.sum("a") / F.sum("b"), 6).alias("ratio"), F.round(F.percentile(F.col("b") - F.col("a"), F.lit(0.5)), 4).alias("median_difference"))
+    middle = st.median(x.select(F.lit(0).alias("g"), (F.col("b") - F.col("a")).alias("d")), "g", "d").select(F.round("median", 4).alias("median_difference"))
+    return x.agg(F.count("*").alias("families"), F.round(F.sum("a") / F.sum("b"), 6).alias("ratio")).join(middle, F.lit(True), "left")
 
 
 @query("WITH f AS (SELECT conv_id, min(turn) FILTER (role = 'assistant') AS first FROM conversations GROUP BY conv_id) SELECT conv_id, count(*) FILTER (role = 'user') AS user_before, count(*) FILTER (role = 'system') AS system_before FROM conversations JOIN f USING (conv_id) WHERE first IS NULL OR turn < first GROUP BY conv_id")
@@ -60,9 +62,7 @@ def arm_label_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By arm and label, and a label for all. The median is the upper of the middle two, found by counts of equal values."""
     o = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("arm"), F.explode(F.array(F.lit("all"), "o_orderstatus")).alias("label"), F.col("o_totalprice").alias("v"))
     got = o.groupBy("arm", "label").agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
-    counts = o.groupBy("arm", "label", "v").agg(F.count("*").alias("c"))
-    upto = counts.withColumn("upto", F.sum("c").over(Window.partitionBy("arm", "label").orderBy("v")))
-    middle = upto.join(got.select("arm", "label", "n"), ["arm", "label"]).filter("upto - c <= floor(n / 2) and floor(n / 2) < upto").select("arm", "label", F.col("v").alias("upper_median"))
+    middle = st.upper_median(o.select(F.struct("arm", "label").alias("g"), "v"), "g", "v").select("g.arm", "g.label", "upper_median")
     return got.join(middle, ["arm", "label"])
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from millrace.sources.tables import shared_dir
 
@@ -39,3 +39,24 @@ def drained(stream: DataFrame, mode: str) -> DataFrame:
     stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").foreachBatch(put).trigger(availableNow=True).start().awaitTermination()
     out = spark.read.parquet(f"{base}/out")
     return out.drop("batch") if mode != "complete" else out
+
+
+def sessions(events: DataFrame, gap: str, late: str) -> DataFrame:
+    """Counts of each user's sessions, which end after `gap` without an event."""
+    per = events.withWatermark("ts", late).groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n"))
+    return per.select("user_id", F.col("w.start").alias("start"), "n")
+
+
+def reviewed(events: DataFrame, cursor: DataFrame, key: str) -> DataFrame:
+    """Events past the cursor (one row, at): what a review that keeps its place still has to read."""
+    return events.join(F.broadcast(cursor), F.lit(True)).filter(F.col(key) > F.col("at")).drop("at")
+
+
+def working_memory(events: DataFrame, group: str, order: str, kind: str, window: int) -> DataFrame:
+    """(group, kind, recent, compacted): the last `window` events of a group stay as they are, older ones become counts
+    by kind. How many came after an event is needed only up to the window, so each task keeps the last few first."""
+    last = Window.partitionBy(group).orderBy(F.desc(order))
+    held = events.select(group, order).withColumn("n", F.row_number().over(last)).filter(F.col("n") <= window)
+    floor = held.groupBy(group).agg(F.min(order).alias("floor"))
+    is_recent = F.col(order) >= F.col("floor")
+    return events.join(floor, group).groupBy(group, kind).agg(F.count(F.when(is_recent, 1)).alias("recent"), F.count(F.when(~is_recent, 1)).alias("compacted"))
