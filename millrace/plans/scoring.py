@@ -68,7 +68,7 @@ def score_multi_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.multi_field(asked, texts, "conv_id")
 
 
-@query(f"WITH {_ASKED}, {_STRONG}, t AS (SELECT conv_id, term, count(*) AS tf FROM (SELECT conv_id, unnest({_TERMS}) AS term FROM conversations) GROUP BY ALL), qn AS (SELECT query_id, sqrt(sum(w * w)) AS qn FROM q GROUP BY ALL), en AS (SELECT conv_id, sqrt(sum(tf * tf)::DOUBLE) AS en FROM t GROUP BY ALL), sim AS (SELECT query_id, conv_id, round(sum(w * tf) / (any_value(qn) * any_value(en)), 9) AS similarity FROM q JOIN t USING (term) JOIN qn USING (query_id) JOIN en USING (conv_id) GROUP BY ALL), e AS (SELECT conv_id, 'f' || (conv_id % 20) AS path, conv_id % 3 = 0 AS changed, CASE WHEN count(*) % 2 = 0 THEN 1.0::DOUBLE WHEN count(*) > 3 THEN 0.5 ELSE 0 END AS weight, (SELECT max(conv_id) FROM conversations) - conv_id AS age FROM conversations GROUP BY conv_id), v AS (SELECT query_id, path, count(*) AS support, sum(similarity * weight * pow(0.5::DOUBLE, age / 90.0::DOUBLE) * CASE WHEN changed THEN 0.5 ELSE 1 END) AS score FROM sim JOIN e USING (conv_id) WHERE similarity >= 0.05 AND weight > 0 GROUP BY ALL) SELECT query_id, path, support, round(score, 6) AS score FROM v WHERE support >= 2")
+@query(f"WITH {_ASKED}, {_STRONG}, t AS (SELECT conv_id, term, count(*) AS tf FROM (SELECT conv_id, unnest({_TERMS}) AS term FROM conversations) GROUP BY ALL), qn AS (SELECT query_id, sqrt(sum(w * w)) AS qn FROM q GROUP BY ALL), en AS (SELECT conv_id, sqrt(sum(tf * tf)::DOUBLE) AS en FROM t GROUP BY ALL), sim AS (SELECT query_id, conv_id, round(sum(w * tf) / (any_value(qn) * any_value(en)), 9) AS similarity FROM q JOIN t USING (term) JOIN qn USING (query_id) JOIN en USING (conv_id) GROUP BY ALL), e AS (SELECT conv_id, 'f' || (conv_id % 20) AS path, conv_id % 3 = 0 AS changed, CASE WHEN count(*) % 2 = 0 THEN 1.0::DOUBLE WHEN count(*) > 3 THEN 0.5 ELSE 0 END AS weight, (SELECT max(conv_id) FROM conversations) - conv_id AS age FROM conversations GROUP BY conv_id), v AS (SELECT query_id, path, count(*) AS support, sum(similarity * weight * pow(0.5::DOUBLE, age / 90.0::DOUBLE) * CASE WHEN changed THEN 0.5 ELSE 1 END) AS score FROM sim JOIN e USING (conv_id) WHERE similarity >= 0.01 AND weight > 0 GROUP BY ALL) SELECT query_id, path, support, round(score, 6) AS score FROM v WHERE support >= 2")
 def score_cosine_experience(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A conversation stands for a past task, a day older than the next; its number of turns for the outcome."""
     c = table(spark, sf_dir, "conversations")
@@ -78,7 +78,7 @@ def score_cosine_experience(spark: SparkSession, sf_dir: str) -> DataFrame:
     outcome = F.when(F.col("turns") % 2 == 0, 1.0).when(F.col("turns") > 3, 0.5).otherwise(0.0)
     per = c.groupBy("conv_id").agg(F.count("*").alias("turns")).join(F.broadcast(last), F.lit(True))
     events = per.select(F.col("conv_id").alias("event_id"), F.concat(F.lit("f"), F.col("conv_id") % 20).alias("path"), (F.col("conv_id") % 3 == 0).alias("changed"), outcome.alias("outcome_weight"), (F.col("last") - F.col("conv_id")).alias("age_days"))
-    votes = evidence.experience_votes(evidence.similar_tasks(asked, terms, 0.05), events, 2, 90.0, 0.5)
+    votes = evidence.experience_votes(evidence.similar_tasks(asked, terms, 0.01), events, 2, 90.0, 0.5)
     return votes.withColumn("score", F.round("score", 6))
 
 

@@ -55,13 +55,14 @@ def log_state_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 _RECORDED = "r AS (SELECT DISTINCT l_orderkey AS event_id, l_partkey AS path FROM lineitem)"
 
 
-@query(f"WITH {_RECORDED}, c AS (SELECT l_orderkey AS event_id, l_partkey + l_linenumber % 2 AS path, max_by(CASE WHEN l_returnflag = 'R' THEN 'irrelevant' ELSE 'relevant' END, l_linenumber) AS verdict FROM lineitem WHERE l_linenumber % 3 = 0 GROUP BY 1, 2) SELECT event_id, path FROM r ANTI JOIN (SELECT * FROM c WHERE verdict = 'irrelevant') i USING (event_id, path) UNION SELECT event_id, path FROM c WHERE verdict = 'relevant'")
+@query(f"WITH {_RECORDED}, c AS (SELECT l_orderkey AS event_id, l_partkey + l_linenumber % 2 AS path, max_by(CASE WHEN l_returnflag = 'R' THEN 'irrelevant' ELSE 'relevant' END, l_linenumber * 2 + CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS verdict FROM lineitem WHERE l_linenumber % 3 = 0 GROUP BY 1, 2) SELECT event_id, path FROM r ANTI JOIN (SELECT * FROM c WHERE verdict = 'irrelevant') i USING (event_id, path) UNION SELECT event_id, path FROM c WHERE verdict = 'relevant'")
 def experience_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts of an order as its files; every third line corrects its own part or the next."""
+    """Parts of an order as its files; every third line corrects its own part or the next, and of one line
+    number the taking away counts."""
     line = table(spark, sf_dir, "lineitem")
     rows = line.select(F.col("l_orderkey").alias("event_id"), F.col("l_partkey").alias("path")).distinct()
     said = F.when(F.col("l_returnflag") == "R", "irrelevant").otherwise("relevant")
-    fixes = line.filter("l_linenumber % 3 = 0").select(F.col("l_orderkey").alias("event_id"), (F.col("l_partkey") + F.col("l_linenumber") % 2).alias("path"), said.alias("verdict"), F.col("l_linenumber").alias("id"))
+    fixes = line.filter("l_linenumber % 3 = 0").select(F.col("l_orderkey").alias("event_id"), (F.col("l_partkey") + F.col("l_linenumber") % 2).alias("path"), said.alias("verdict"), (F.col("l_linenumber") * 2 + (F.col("l_returnflag") == "R").cast("int")).alias("id"))
     return state.corrected(rows, fixes)
 
 
