@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from millrace.operators import evidence, metrics, packets, resolve, state, statistics
+from millrace.operators import budgets, evidence, metrics, packets, resolve, state, statistics
 
 
 def test_packet_choice_against_a_loop(spark):
@@ -49,6 +49,20 @@ def test_running_sums_and_medians_against_a_loop(spark):
     assert places == {i: i for i in range(500)}
 
 
+def test_tie_bands_against_a_loop(spark):
+    rng = random.Random(11)
+    rows = [(g, k, rng.choice([100.0, 97.0, 95.0, 94.0, 90.0, 50.0, 0.0])) for g in range(20) for k in range(rng.randint(1, 15))]
+    got = budgets.tie_bands(spark.createDataFrame(rows, "g int, k int, s double"), "g", "k", "s", 0.05)
+    want = {}
+    for g in range(20):
+        leader, band = None, 0
+        for _, k, s in sorted((r for r in rows if r[0] == g), key=lambda r: (-r[2], r[1])):
+            if leader is None or s < leader * 0.95:
+                leader, band = s, band + 1
+            want[g, k] = band
+    assert {(r.g, r.k): r.band for r in got.collect()} == want
+
+
 def test_spans_against_pairs(spark):
     rng = random.Random(3)
     spans = [(rng.randint(0, 9), lo := rng.randint(0, 20), lo + rng.randint(0, 8)) for _ in range(200)]
