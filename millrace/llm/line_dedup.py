@@ -1,8 +1,8 @@
-"""Removal of passages that repeat across documents, by content-defined chunks of lines, in DataFrame functions alone.
+"""Removal of passages that repeat across documents, by windows of whole lines, in DataFrame functions alone.
 
-A rolling hash over line hashes begins chunks, so that the same lines give the same chunks wherever they stand; a long
-line is a chunk of its own. Chunks that occur again are compared byte by byte, extended line by line into the chunks
-beside them, and runs of them that are long enough go from every place but the first.
+Every least run of whole lines with enough words is a window: each line begins one and ends one. Any longer run is a
+union of such windows, so a passage that stands elsewhere too is found wherever it begins. Lines without words are
+passed over when windows are compared. Windows that occur again go from every place but the first.
 """
 
 from __future__ import annotations
@@ -14,122 +14,66 @@ from millrace.sources.tables import written
 
 #: Words in a run of repeated lines from which on it is removed.
 LEAST_WORDS = 50
-#: A line of so many bytes, some 16 words, is a chunk by itself.
-LONG_LINE = 96
-#: One in so many pairs of lines is followed by a new chunk.
-MEAN_LINES = 2
-#: Hashes of repeated chunks that are broadcast at most, 16 MB of them; more are joined by a shuffle.
-MOST_BROADCAST = 2_000_000
-
-#: Put between chunks. In a text itself \x01 is written as \x02\x03, and \x02 as \x02\x04, meanwhile.
-_MARK = "\x01"
-_ESCAPES = (("\x02", "\x02\x04"), ("\x01", "\x02\x03"))
+
 _KEY = ["id", "hash"]
 
 
 def words_in(line: Column) -> Column:
-    """Words between single spaces; 0 for an empty line."""
-    return F.when(line == "", 0).otherwise(F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "))) + 1)
-
-
-def _escaped(text: Column, back: bool = False) -> Column:
-    for plain_, escape in reversed(_ESCAPES) if back else _ESCAPES:
-        text = F.replace(text, F.lit(escape if back else plain_), F.lit(plain_ if back else escape))
-    return text
-
-
-def _before(values: Column, filler: Column) -> Column:
-    """Each place's earlier neighbour."""
-    return F.concat(F.array(filler), F.slice(values, 1, F.greatest(F.size(values) - 1, F.lit(0))))
-
-
-def _after(values: Column, filler: Column) -> Column:
-    return F.concat(F.slice(values, 2, F.greatest(F.size(values) - 1, F.lit(0))), F.array(filler))
-
-
-def with_chunks(docs: DataFrame, text: str) -> DataFrame:
-    """Adds `chunks`: texts of whole lines that give the text when joined by newlines. Null for null."""
-    facts = lambda x: F.struct(F.xxhash64(x).alias("h"), (F.octet_length(x) >= LONG_LINE).alias("long"))
-    none = F.struct(F.lit(None).cast("long").alias("h"), F.lit(False).alias("long"))
-    step = docs.withColumn("__lines", F.split(_escaped(plain(text)), "\n", -1))
-    step = step.withColumn("__facts", F.transform("__lines", facts))
-    step = step.withColumn("__before", _before(F.col("__facts"), none))
-    rolled = F.zip_with(_before(F.col("__before"), none), "__before", lambda a, b: F.struct(b["h"].isNotNull().alias("any"), b["long"].alias("long"), (F.pmod(F.xxhash64(a["h"], b["h"]), F.lit(MEAN_LINES)) == 0).alias("cut")))
-    parted = F.zip_with("__facts", rolled, lambda x, r: F.when(~r["any"], "").when(x["long"] | r["long"] | r["cut"], _MARK).otherwise("\n"))
-    whole = F.array_join(F.zip_with("__lines", parted, lambda x, p: F.concat(p, x)), "")
-    return step.withColumn("chunks", F.transform(F.split(whole, _MARK, -1), lambda c: _escaped(c, back=True))).drop("__lines", "__facts", "__before")
-
-
-def _chunk_facts(docs: DataFrame) -> DataFrame:
-    """A row for each chunk with a word: its place, hash and words, and the lines (h, w) of the chunks beside it."""
-    step = with_chunks(docs, "text").drop("text")
-    step = step.withColumn("lines", F.transform("chunks", lambda c: F.transform(F.split(c, "\n", -1), lambda x: F.struct(F.xxhash64(x).alias("h"), words_in(x).alias("w")))))
-    none = F.array().cast("array<struct<h:bigint,w:int>>")
-    step = step.withColumn("own", F.transform("chunks", lambda c: F.xxhash64(c))).drop("chunks")
-    step = step.select(*_KEY, F.posexplode(F.arrays_zip("own", "lines", _before(F.col("lines"), none).alias("before"), _after(F.col("lines"), none).alias("after"))).alias("k", "c"))
-    return step.select(*_KEY, "k", F.col("c.own").alias("h"), _words(F.col("c.lines")).alias("words"), F.col("c.before").alias("before"), F.col("c.after").alias("after")).filter("words > 0")
-
-
-def _verified(docs: DataFrame, repeated: DataFrame) -> DataFrame:
-    """The hashes whose chunks are the same bytes everywhere: their least and their greatest text are equal."""
-    hashes = repeated.select("h")
-    hashes = F.broadcast(hashes) if hashes.count() <= MOST_BROADCAST else hashes
-    texts = with_chunks(docs, "text").select(F.explode("chunks").alias("chunk")).withColumn("h", F.xxhash64("chunk"))
-    return texts.join(hashes, "h", "left_semi").groupBy("h").agg(F.min("chunk").alias("low"), F.max("chunk").alias("high")).filter("low = high").select("h")
+    """Words between single spaces; 0 for a blank line."""
+    return F.when(F.trim(line, F.lit(" \t\r")) == "", 0).otherwise(F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "))) + 1)
 
 
-def _common(a: Column, b: Column) -> Column:
-    """How many leading elements are equal."""
-    same = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))
-    at = F.array_position(same, False)
-    return F.when(at > 0, at - 1).otherwise(F.size(same)).cast("int")
+def _windows(docs: DataFrame, least_words: int) -> DataFrame:
+    """A row for each window of lines: the places of its first and last line, a and e, and its 128-bit hash (h, g)."""
+    n = max(1, least_words)
+    line = lambda x: F.struct(F.least(words_in(x), F.lit(n)).alias("w"), F.xxhash64(x).alias("h"), F.xxhash64(F.lit(1), x).alias("g"))
+    step = docs.select(*_KEY, F.transform(F.split("text", "\n", -1), line).alias("facts"))
+    # The line of each word, of n words a line at most: a window is the lines of n words in a row. Hashes pass over null.
+    step = step.select(*_KEY, F.transform("facts", lambda x: F.when(x["w"] > 0, F.struct(x["h"], x["g"]))).alias("d"), F.flatten(F.transform("facts", lambda x, i: F.array_repeat(i, x["w"]))).alias("p"))
+    held = F.greatest(F.size("p") - n + 1, F.lit(0))
+    pairs = F.array_distinct(F.zip_with(F.slice("p", 1, held), F.slice("p", n, held), lambda a, e: F.shiftleft(a.cast("long"), 32) + e))
+    step = step.select(*_KEY, "d", F.when(held > 0, pairs).alias("pairs"))
 
+    def window(x: Column) -> Column:
+        a, e = F.shiftright(x, 32).cast("int"), x.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
+        lines = F.slice("d", a + 1, e - a + 1)
+        return F.struct(F.xxhash64(lines).alias("h"), F.xxhash64(F.lit(1), lines).alias("g"), a.alias("a"), e.alias("e"))
 
-def _words(lines: Column) -> Column:
-    return F.aggregate(lines, F.lit(0), lambda a, x: a + x["w"])
+    return step.select(*_KEY, F.inline_outer(F.transform("pairs", window))).filter("a is not null")
 
 
 def repeated_runs(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """For each document (id, hash) with something to remove: removed, a map from a chunk's place to how many lines
-    before and after it go too, and the number of words."""
-    rows = written(_chunk_facts(docs), "chunks")
-    first = rows.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct(*_KEY, "k", "before", "after")).alias("first"))
-    repeated = written(first.filter("n > 1").select("h", "first"), "repeated")
-    # A hash that stands for two texts is left alone.
-    same = written(repeated.join(_verified(docs, repeated), "h"), "verified")
-    met = rows.join(same, "h")
-    met = met.filter(~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("hash") == F.col("first.hash")) & (F.col("k") == F.col("first.k"))))
-    met = met.withColumn("back", _common(F.reverse("before"), F.reverse("first.before"))).withColumn("ahead", _common(F.col("after"), F.col("first.after")))
-    met = met.select(*_KEY, "k", "words", "back", "ahead", _words(F.slice(F.reverse("before"), 1, F.col("back"))).alias("back_words"), _words(F.slice("after", 1, F.col("ahead"))).alias("ahead_words"))
-    met = met.repartition(*_KEY).dropDuplicates([*_KEY, "k"])
-    order = Window.partitionBy(*_KEY).orderBy("k")
-    met = met.withColumn("joined", F.coalesce(F.lag("k").over(order) == F.col("k") - 1, F.lit(False))).withColumn("followed", F.coalesce(F.lead("k").over(order) == F.col("k") + 1, F.lit(False))).withColumn("run", F.col("k") - F.row_number().over(order))
-    total = F.col("words") + F.when(F.col("joined"), 0).otherwise(F.col("back_words")) + F.when(F.col("followed"), 0).otherwise(F.col("ahead_words"))
-    met = met.withColumn("run_words", F.sum(total).over(Window.partitionBy(*_KEY, "run"))).filter(F.col("run_words") >= least_words)
-    return met.groupBy(*_KEY).agg(F.map_from_entries(F.collect_list(F.struct("k", F.struct("back", "ahead")))).alias("removed"), F.sum(total).alias("n_removed_words"))
+    """For each document (id, hash) with something to remove: removed, the places of the first and last line, a and e, of
+    each run that goes."""
+    rows = written(_windows(docs, least_words), "windows")
+    first = rows.groupBy("h", "g").agg(F.count("*").alias("n"), F.min(F.struct(*_KEY, "a")).alias("first"))
+    repeated = written(first.filter("n > 1").select("h", "g", "first"), "repeated")
+    met = rows.join(repeated, ["h", "g"])
+    met = met.filter(~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("hash") == F.col("first.hash")) & (F.col("a") == F.col("first.a"))))
+    met = met.select(*_KEY, "a", "e").distinct()
+    order = Window.partitionBy(*_KEY).orderBy("a", "e")
+    reach = F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    met = met.withColumn("apart", F.coalesce((F.col("a") > reach).cast("int"), F.lit(1))).withColumn("run", F.sum("apart").over(order))
+    runs = met.groupBy(*_KEY, "run").agg(F.min("a").alias("a"), F.max("e").alias("e"))
+    return runs.groupBy(*_KEY).agg(F.collect_list(F.struct("a", "e")).alias("removed"))
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least_words: int = LEAST_WORDS, keep: list[str] | None = None) -> DataFrame:
     """The rows with repeated passages cut out of their texts, and n_removed_words.
 
-    A passage is a run of whole lines, `least_words` words or more, that stands elsewhere too. The place that stays is
-    the first by id, then by the text's hash, then in the text; null ids come first. Repeated rows (same id and text)
-    are one document and keep the same. All lines of a text may go, which leaves the empty text. Null texts stay null,
-    empty and blank ones as they are, and shorter repeats stay. An input column n_removed_words gives way.
+    A passage is a run of whole lines, `least_words` words or more, that stands elsewhere too; blank lines between them
+    do not matter and go with it. The place that stays is the first by id, then by the text's hash, then in the text;
+    null ids come first. Repeated rows (same id and text) are one document and keep the same. All lines of a text may
+    go, which leaves the empty text. Null texts stay null, empty and blank ones as they are, and shorter repeats stay.
+    An input column n_removed_words gives way.
     """
     kept = [c for c in (docs.columns if keep is None else keep) if c.lower() != "n_removed_words"]
     runs = repeated_runs(docs.select(plain(doc_id).alias("id"), F.xxhash64(plain(text)).alias("hash"), plain(text).alias("text")), least_words)
     whole = docs.select(*map(plain, kept), plain(doc_id).alias("__id"), F.xxhash64(plain(text)).alias("__hash"), plain(text).alias("__text"))
     met = whole.join(runs, whole["__id"].eqNullSafe(runs["id"]) & (whole["__hash"] == runs["hash"]), "left")
-    met = with_chunks(met.withColumn("__part", F.when(F.col("removed").isNotNull(), F.col("__text"))), "__part")
-    of = lambda i: F.try_element_at("removed", i)
-
-    def left(chunk: Column, i: Column) -> Column:
-        top, bottom = F.coalesce(of(i - 1)["ahead"], F.lit(0)), F.coalesce(of(i + 1)["back"], F.lit(0))
-        lines = F.split(chunk, "\n", -1)
-        rest = F.array_join(F.slice(lines, top + 1, F.greatest(F.size(lines) - top - bottom, F.lit(0))), "\n")
-        return F.when(of(i).isNotNull(), None).when(top + bottom == 0, chunk).when(top + bottom >= F.size(lines), None).otherwise(rest)
-
-    cut = F.array_join(F.transform("chunks", left), "\n")
-    cleaned = F.when(F.col("removed").isNull(), F.col("__text")).otherwise(cut)
-    return met.select(*[cleaned.alias(c) if c.lower() == text.lower() else plain(c) for c in kept], F.coalesce("n_removed_words", F.lit(0)).cast("long").alias("n_removed_words"))
+    lines = F.split("__text", "\n", -1)
+    rest = F.array_join(F.filter(lines, lambda x, i: ~F.exists("removed", lambda r: i.between(r["a"], r["e"]))), "\n")
+    gone = F.flatten(F.transform("removed", lambda r: F.slice(lines, r["a"] + 1, r["e"] - r["a"] + 1)))
+    n_gone = F.aggregate(gone, F.lit(0), lambda n, x: n + words_in(x))
+    cleaned = F.when(F.col("removed").isNull(), F.col("__text")).otherwise(rest)
+    return met.select(*[cleaned.alias(c) if c.lower() == text.lower() else plain(c) for c in kept], F.when(F.col("removed").isNull(), 0).otherwise(n_gone).cast("long").alias("n_removed_words"))

@@ -124,6 +124,13 @@ def test_passages_go_from_later_places(spark, odd):
     assert PASSAGE in got[6] and PASSAGE not in got[7] and got[7] == "unique two\nend two" and got[1] is None
 
 
+def test_blank_lines_do_not_break_passages(spark):
+    paragraphs = [" ".join(f"p{k}word{i}" for i in range(n)) for k, n in enumerate((20, 40, 30))]
+    rows = [(i, f"begin {i}\n" + "\n\n".join(paragraphs) + f"\nend {i}") for i in range(1, 4)] + [(4, "begin 4\n" + "\n \n\n".join(paragraphs) + "\nend 4")]
+    got = {r.doc_id: (r.text, r.n_removed_words) for r in line_dedup.remove_repeats(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {1: (rows[0][1], 0)} | {i: (f"begin {i}\nend {i}", 90) for i in (2, 3, 4)}
+
+
 def test_near_duplicates(spark):
     words = [f"w{i}" for i in range(200)]
     rows = [(1, " ".join(words)), (2, " ".join(words)), (3, " ".join([*words[:-1], "other"])), (4, "something else entirely, of other words than those"), (5, None)]
