@@ -124,6 +124,25 @@ def test_passages_go_from_later_places(spark, odd):
     assert PASSAGE in got[6] and PASSAGE not in got[7] and got[7] == "unique two\nend two" and got[1] is None
 
 
+def lines_left(docs):
+    """Loops over all windows of whole lines, in the order in which places stay."""
+    seen, left = set(), {}
+    for i, text in docs:
+        lines = text.split("\n")
+        own = [k for k, x in enumerate(lines) if x.strip()]
+        gone = set()
+        for at in range(len(own)):
+            for end in range(at, len(own)):
+                key = tuple(lines[k] for k in own[at : end + 1])
+                if sum(len(x.split(" ")) for x in key) < 50:
+                    continue
+                if key in seen:
+                    gone |= set(range(own[at], own[end] + 1))
+                seen.add(key)
+        left[i] = "\n".join(x for k, x in enumerate(lines) if k not in gone)
+    return left
+
+
 def test_blank_lines_do_not_break_passages(spark):
     paragraphs = [" ".join(f"p{k}word{i}" for i in range(n)) for k, n in enumerate((20, 40, 30))]
     rows = [(i, f"begin {i}\n" + "\n\n".join(paragraphs) + f"\nend {i}") for i in range(1, 4)] + [(4, "begin 4\n" + "\n \n\n".join(paragraphs) + "\nend 4")]
@@ -131,6 +150,25 @@ def test_blank_lines_do_not_break_passages(spark):
     assert got == {1: (rows[0][1], 0)} | {i: (f"begin {i}\nend {i}", 90) for i in (2, 3, 4)}
 
 
+def test_every_passage_of_whole_lines_goes(spark):
+    draw = np.random.default_rng(5)
+    pool = [" ".join(f"v{w}" for w in draw.integers(0, 9999, n)) for n in draw.choice([1, 5, 13, 17, 25, 60], 90)]
+    own = iter(range(10**6))
+    filler = lambda: [f"own{next(own)} line" for _ in range(draw.integers(1, 4))]
+    rows = []
+    for i in range(60):
+        parts = filler()
+        for a in draw.integers(0, 84, draw.integers(1, 5)):
+            parts += [*pool[a : a + draw.integers(1, 7)], *([""] * draw.integers(0, 2)), *filler()]
+        rows.append((i, "\n".join(parts)))
+    # The first place of each line is in a document that shares nothing else with the rest.
+    rows += [(i - 100, pool[i]) for i in range(90)]
+    rows.sort()
+    got = {r.doc_id: r.text for r in line_dedup.remove_repeats(spark.createDataFrame(rows, SCHEMA)).collect()}
+    want = lines_left(rows)
+    assert got == want and sum(t != dict(rows)[i] for i, t in want.items()) > 10
+
+
 def test_near_duplicates(spark):
     words = [f"w{i}" for i in range(200)]
     rows = [(1, " ".join(words)), (2, " ".join(words)), (3, " ".join([*words[:-1], "other"])), (4, "something else entirely, of other words than those"), (5, None)]
