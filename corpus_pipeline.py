@@ -26,7 +26,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
+    """One document of each group of near duplicates stays, also where ids are null or repeat."""
     return jaccard.one_of_each(docs)
 
 
@@ -48,7 +48,7 @@ STAGES = [
     ("best-fit packing", pack_sequences),
 ]
 
-#: Learned lexicons, chunks by hash and packing are beyond SQL; tests compare the stages with brute force.
+#: Learned lexicons, MinHash and packing are beyond SQL; tests compare the line dedup and near-duplicate stages with loops.
 ORACLE_SQL = None
 
 

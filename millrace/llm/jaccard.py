@@ -162,7 +162,7 @@ def _verify(threshold: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
     return run
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, recall: float = 0.999, text: str = "text", doc_id: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, recall: float = 0.999, text: str = "text", doc_id: str = "doc_id", keep: list[str] | None = None, group: str | None = None) -> DataFrame:
     """Adds class_id and n_links, and copies, to each row.
 
     Two documents are linked if the Jaccard similarity of their sets of word n-grams is at least `threshold`; n_links
@@ -170,10 +170,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, rec
     links connect; copies is the number of rows with the same set. Texts shorter than n words are one n-gram. Null,
     empty and wordless texts are linked with nothing and are their own class. Null ids take part, yet name a class
     only if no other id does. Of pairs at the threshold `recall` are found, of more similar ones more. Input columns
-    named like an added one give way.
+    named like an added one give way. `group` names one more column: a key of the group that links connect, its own also
+    where ids are null or repeat, null for wordless texts.
     """
     bands, per_band = choose_bands(threshold, recall)
-    kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in ("class_id", "n_links", "copies")]
+    kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in ("class_id", "n_links", "copies", (group or "class_id").lower())]
     id_text = docs.select(plain(doc_id).alias("id"), plain(text).alias("text"), F.xxhash64(plain(text)).alias("hash"))
     signed = written(_signed(id_text, width, bands, per_band, "text", ["id", "hash"]), "signed")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "hash"))
@@ -210,21 +211,22 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, rec
     links = found.groupBy("cid").agg(F.sum("links").alias("links"))
     rooted = classes.select("cid", "digest", "n", "id").join(joined.select(F.col("node").alias("cid"), "root"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     names = rooted.groupBy("root").agg(F.min("id").alias("class_id"))
-    per_class = written(rooted.join(names, "root").join(links, "cid", "left").select("digest", "class_id", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.col("n").alias("copies")), "per-class")
+    per_class = written(rooted.join(names, "root").join(links, "cid", "left").select("digest", "root", "class_id", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.col("n").alias("copies")), "per-class")
 
     out = signed.join(per_class, "digest", "left")
-    answer = [F.when(F.col("digest").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("copies", F.lit(1)).alias("copies")]
+    answer = [F.when(F.col("digest").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("copies", F.lit(1)).alias("copies"), *([F.col("root").alias(group)] if group else [])]
     if [c.lower() for c in kept] == [doc_id.lower()]:
         return out.select(F.col("id").alias(doc_id), *answer)
     facts = out.select("id", "hash", *answer).dropDuplicates(["id", "hash"])
     whole = docs.select(*map(plain, kept), plain(doc_id).alias("__id"), F.xxhash64(plain(text)).alias("__hash"))
-    return whole.join(facts, whole["__id"].eqNullSafe(facts["id"]) & (whole["__hash"] == facts["hash"])).select(*map(plain, kept), "class_id", "n_links", "copies")
+    return whole.join(facts, whole["__id"].eqNullSafe(facts["id"]) & (whole["__hash"] == facts["hash"])).select(*map(plain, kept), "class_id", "n_links", "copies", *([group] if group else []))
 
 
 def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
-    """The documents with one of each class: the one of least id. Of rows that share this id any one stays. Texts without
-    words all stay."""
+    """The documents with one of each group of near duplicates: the one of least id. Of a group's rows that share this id,
+    or have none at all, any one stays; groups are told apart also where ids are null or repeat. Texts without words all
+    stay."""
     names = docs.columns
-    found = near_duplicates(docs, text=text, doc_id=doc_id, **options).filter(plain(doc_id).eqNullSafe(F.col("class_id")))
-    wordless = F.coalesce(~plain(text).rlike(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"), F.lit(True))
-    return found.filter(wordless).unionByName(found.filter(~wordless).dropDuplicates(["class_id"])).select(*map(plain, names))
+    found = near_duplicates(docs, text=text, doc_id=doc_id, group="__group", **options).filter(plain(doc_id).eqNullSafe(F.col("class_id")))
+    wordless = F.col("__group").isNull()
+    return found.filter(wordless).unionByName(found.filter(~wordless).dropDuplicates(["__group"])).select(*map(plain, names))

@@ -177,6 +177,48 @@ def test_near_duplicates(spark):
     assert {r.doc_id for r in jaccard.one_of_each(spark.createDataFrame(rows, SCHEMA)).collect()} == {1, 4, 5}
 
 
+def sets_of(text):
+    words = re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", (text or "").lower())
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def groups_of(texts):
+    """Numbers of the groups that similarities of 0.8 and more connect, by loops."""
+    sets, group = [sets_of(t) for t in texts], list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a and b and 5 * len(a & b) >= 4 * len(a | b) and group[i] != group[j]:
+                group = [group[j] if g == group[i] else g for g in group]
+    return group
+
+
+def test_one_of_each_with_null_and_repeated_ids(spark):
+    texts = [" ".join(f"{name}{i}" for i in range(60)) for name in ("a", "b", "c", "d")]
+    near = texts[0].replace("a59", "other")
+    rows = [(None, texts[0]), (None, near), (None, texts[1]), (None, texts[2]), (9, texts[2]), (5, texts[3]), (5, "one unrelated text under the id of another"), (5, texts[3]), (None, "..."), (None, None)]
+    got = [(r.doc_id, r.text) for r in jaccard.one_of_each(spark.createDataFrame(rows, SCHEMA)).collect()]
+    assert len(got) == 7 and sum(t in (texts[0], near) and i is None for i, t in got) == 1
+    assert {r for r in got if r[1] not in (texts[0], near)} == {(None, texts[1]), (9, texts[2]), (5, texts[3]), rows[6], (None, "..."), (None, None)}
+
+
+def test_pipeline_stages_against_loops(spark, documents):
+    import corpus_pipeline
+
+    # Every third id is null, and every seventh is that of another document.
+    docs = documents.withColumn("doc_id", F.expr("case when doc_id % 3 = 0 then null when doc_id % 7 = 0 then doc_id - 7 else doc_id end")).orderBy("text").limit(150).cache()
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    group = groups_of([t for _, t in rows])
+    key = lambda i: (i is None, i or 0)
+    least = {g: min((rows[k][0] for k in range(len(rows)) if group[k] == g), key=key) for g in group}
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, FOLDER).collect()]
+    at = {r: group[k] for k, r in enumerate(rows)}
+    assert sorted(at[r] for r in kept) == sorted(set(group))
+    assert all(i == least[at[i, t]] for i, t in kept)
+    want = lines_left(sorted((r.doc_id, r.text) for r in documents.collect()))
+    got = {r.doc_id: r.text for r in corpus_pipeline.drop_repeated_lines(spark, documents, FOLDER).collect()}
+    assert got == {i: t for i, t in want.items() if t.strip() or t == texts(documents)[i]}
+
+
 def test_span_removal_and_blocks(spark, odd):
     items = spark.createDataFrame([(i, f"passage{i} passage{i + 1}") for i in range(3, 20, 4)], "item_id long, text string")
     one, many = ([(r.doc_id, r.hit_spans, r.item_ids) for r in decontamination.decontaminate(odd, items, block_words=n).orderBy("doc_id", "text").collect()] for n in (10_000, 4))
