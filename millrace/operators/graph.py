@@ -38,16 +38,21 @@ def follow(links: DataFrame, group: str, name: str, to: str, hops: int) -> DataF
     return at
 
 
-def closure(needs: DataFrame, group: str, name: str, to: str, broken: str, hops: int) -> DataFrame:
+def closure(needs: DataFrame, group: str, name: str, to: str, broken: str) -> DataFrame:
     """(group, name, dependencies, broken): all that a name needs, directly or not, and whether any of that or itself is
-    broken. A pair met twice goes on once, so that a cycle ends."""
-    step = needs.select(group, F.col(name).alias("at"), F.col(to).alias("further"), F.col(broken).alias("bad"))
-    front = needs.select(group, name, F.col(name).alias("at"))
-    every = front
-    for _ in range(hops):
-        front = front.join(step, [group, "at"]).filter("further is not null").select(group, name, F.col("further").alias("at")).distinct()
-        every = every.union(front)
-    met = every.distinct().join(step.select(group, "at", "bad").distinct(), [group, "at"])
+    broken. Pairs are written between rounds, each of which doubles their reach, until none is new; so a cycle ends."""
+    step = needs.select(group, F.col(name).alias("at"), F.col(broken).alias("bad"))
+    own = needs.select(group, name, F.col(name).alias("at"))
+    direct = needs.join(step.select(group, F.col("at").alias(to)).distinct(), [group, to], "left_semi")
+    every = written(own.union(direct.select(group, name, F.col(to).alias("at"))).distinct(), "closure")
+    held = every.count()
+    while True:
+        onward = every.select(group, F.col(name).alias("at"), F.col("at").alias("further"))
+        every = written(every.join(onward, [group, "at"]).select(group, name, F.col("further").alias("at")).distinct(), "closure")
+        if (now := every.count()) == held:
+            break
+        held = now
+    met = every.join(step.distinct(), [group, "at"])
     return met.groupBy(group, name).agg((F.count_distinct("at") - 1).alias("dependencies"), F.max(F.coalesce("bad", F.lit(False))).alias("broken"))
 
 

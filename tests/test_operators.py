@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from millrace.operators import budgets, evidence, metrics, packets, resolve, state, statistics
+from millrace.operators import budgets, evidence, graph, metrics, packets, resolve, state, statistics
 
 
 def test_packet_choice_against_a_loop(spark):
@@ -118,3 +118,9 @@ def test_paths_without_host_or_tokens(spark):
     got = {r.k: r.score for r in evidence.path_evidence(asked, paths, "k").collect()}
     rarity = math.log(1 + (3 - 1 + 0.5) / 1.5)
     assert got == pytest.approx({2: 0.5 * rarity, 3: 1.0 * rarity})
+
+
+def test_closure_reaches_all_steps(spark):
+    rows = [("chain", k, k - 1 if k else None, k == 0) for k in range(30)] + [("ring", k, (k + 1) % 20, k == 7) for k in range(20)] + [("gap", 1, 99, None)]
+    got = {(r.g, r.name): (r.dependencies, r.broken) for r in graph.closure(spark.createDataFrame(rows, "g string, name long, needs long, bad boolean"), "g", "name", "needs", "bad").collect()}
+    assert got == {("chain", k): (k, True) for k in range(30)} | {("ring", k): (19, True) for k in range(20)} | {("gap", 1): (0, False)}
