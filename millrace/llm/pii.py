@@ -27,7 +27,7 @@ PATTERNS = {
     "ip": r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}",
     "card": r"[0-9](?:[\x20-]?[0-9]){12,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "secret": r"(?<![A-Za-z0-9_/+=-])(?=[A-Za-z_-]{0,64}[0-9])[A-Za-z0-9_-]{20,200}+(?![A-Za-z0-9_/+=-])",
+    "secret": r"(?<![A-Za-z0-9_/+=-])[A-Za-z0-9_-]{20,}+(?![/+=])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "person": r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Señor|Señora)\.?\x20\p{Lu}\p{Ll}+(?:\x20\p{Lu}\p{Ll}+)?",
@@ -36,7 +36,7 @@ PATTERNS = {
 GATES = {"email": "@", "phone": "+", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){12}", "secret": r"[A-Za-z0-9_-]{20}", "iban": r"[A-Z]{2}[0-9]{2}", "ssn": r"[0-9]-[0-9]{2}-[0-9]", "person": PATTERNS["person"]}
 # Forms that are surely right, words before a span that speak for a kind, and gazetteers.
 STRICT = {
-    "email": r"^[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}$",
+    "email": r"^[A-Za-z0-9][A-Za-z0-9._%+-]*+@(?:[A-Za-z0-9-]++\.)++[A-Za-z]{2,}+$",
     "ip": rf"^{_OCTET}(?:\.{_OCTET}){{3}}$",
     "card": r"^(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){2,3}(?:[ -][0-9]{1,3})?|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})$",
     "phone": r"^\+[0-9]{1,3}[ .-]?\(?[0-9]{1,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}$",
@@ -65,14 +65,27 @@ GAZETTEER = {
     "ssn": r"^(?:[0-7])",
     "person": r" (?:Anna|Carlos|Claire|David|Elena|Emma|Eva|Hans|Ines|James|Jean|John|José|Juan|Karl|Laura|Louis|Lucas|Luis|Maria|Marie|Mary|Michael|Paul|Peter|Pierre|Robert|Sarah|Sofia|Thomas)\b",
 }
-#: Values whose look speaks against a kind: one character repeated, or counting up.
-DULL = r"^(?:[^0-9]*([0-9])(?:[^0-9]*\1)*[^0-9]*|.*(?:0123456|1234567).*|[A-Za-z_-]+)$"
+#: Beginnings of runs that count up.
+COUNTING = ("0123456", "1234567")
 
 
 def _digits(value: Column) -> Column:
     return F.regexp_replace(value, "[^0-9]", "")
 
 
+def dull(value: Column) -> Column:
+    """Whether the look speaks against a value: no digit or one digit alone, or digits that count up."""
+    digits = _digits(value)
+    counts_up = value.contains(COUNTING[0]) | value.contains(COUNTING[1])
+    return (F.replace(digits, F.left(digits, F.lit(1))) == "") | (digits == "") | counts_up
+
+
+def strict(kind: str, value: Column) -> Column:
+    """Whether a value has the form that is surely right. No label of a host begins or ends with a hyphen."""
+    fits = value.rlike(STRICT[kind])
+    return fits & ~value.rlike(r"@-|-\.|\.-") if kind == "email" else fits
+
+
 def luhn(value: Column) -> Column:
     """Whether the digits pass: every second from the right counts double, less 9 if over 9."""
     backwards = F.reverse(_digits(value))
@@ -86,35 +99,73 @@ def stands(kind: str, value: Column) -> Column:
         return value.rlike(STRICT["ip"])
     if kind == "card":
         return F.length(_digits(value)).between(13, 19) & F.when(F.length(_digits(value)) <= 19, luhn(value)).otherwise(False)
+    if kind == "secret":
+        return value.rlike("[0-9]")
     return F.length(_digits(value)).between(9, 15) if kind == "phone" else F.lit(True)
 
 
 def _votes(kind: str, value: Column, before: Column) -> list[Column]:
     """+1, 0 or -1 of each labeler."""
     vote = lambda yes, no=None: F.when(yes, 1).when(no, -1).otherwise(0) if no is not None else F.when(yes, 1).otherwise(0)
-    strict = value.rlike(STRICT[kind])
-    return [vote(strict, ~strict).alias("form"), vote(value.rlike(GAZETTEER[kind])).alias("gazetteer"), vote(F.lower(before).rlike(CONTEXT[kind])).alias("context"), vote(~value.rlike(DULL), value.rlike(DULL)).alias("shape")]
+    form, shape = strict(kind, value), dull(value)
+    return [
+        vote(form, ~form).alias("form"),
+        vote(value.rlike(GAZETTEER[kind])).alias("gazetteer"),
+        vote(F.lower(before).rlike(CONTEXT[kind])).alias("context"),
+        # Names have no digits, which says nothing of them.
+        vote(~shape, shape).alias("shape") if kind != "person" else F.lit(0).alias("shape"),
+    ]
 
 
 _SPAN = "array<struct<kind:string,start:int,end:int,size:int,form:int,gazetteer:int,context:int,shape:int>>"
 
 
+#: Matches that one fold gathers; the folds of a text with more are joined.
+FOLD = 256
+
+
 def spans_of(kind: str, text: Column) -> Column:
-    """Spans of a kind with their votes: leftmost matches that pass, counted in code points."""
+    """Spans of a kind with their votes: leftmost matches that pass, counted in code points.
+
+    A fold copies what it has gathered for each match, so matches are folded by blocks: the time grows with the matches
+    and not with their square.
+    """
     gate = text.contains(GATES[kind]) if kind in ("email", "phone") else text.rlike(GATES[kind])
     hits = F.when(gate, F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0)))
     gaps = F.when(gate, F.split(text, PATTERNS[kind], -1))
     pairs = F.filter(F.arrays_zip(gaps.alias("gap"), hits.alias("hit")), lambda x: x["hit"].isNotNull())
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
+    size_of = lambda x: F.length(x["gap"]) + F.length(x["hit"])
 
     def add(state: Column, x: Column) -> Column:
         at = state["at"] + F.length(x["gap"])
         end = at + F.length(x["hit"])
         size = F.least(F.floor(F.length(x["hit"]) / 8), F.lit(4)).cast("int")
-        span = F.struct(F.lit(kind).alias("kind"), at.alias("start"), end.alias("end"), size.alias("size"), *_votes(kind, x["hit"], F.right(x["gap"], F.lit(40))))
-        return F.struct(end.alias("at"), F.when(stands(kind, x["hit"]), F.concat(state["out"], F.array(span))).otherwise(state["out"]).alias("out"))
+        votes = _votes(kind, x["hit"], F.right(x["gap"], F.lit(40)))
+        span = F.struct(F.lit(kind).alias("kind"), at.alias("start"), end.alias("end"), size.alias("size"), *votes)
+        out = F.when(stands(kind, x["hit"]), F.concat(state["out"], F.array(span))).otherwise(state["out"])
+        return F.struct(end.alias("at"), out.alias("out"))
+
+    def fold(block: Column, at: Column) -> Column:
+        return F.aggregate(block, F.struct(at.alias("at"), F.array().cast(_SPAN).alias("out")), add, lambda s: s["out"])
+
+    def place(state: Column, block: Column) -> Column:
+        """The blocks with where each begins."""
+        length = F.aggregate(block, F.lit(0), lambda n, x: n + size_of(x))
+        begun = F.concat(state["out"], F.array(F.struct(state["at"].alias("at"), block.alias("block"))))
+        return F.struct((state["at"] + length).alias("at"), begun.alias("out"))
+
+    placed_type = "array<struct<at:int,block:array<struct<gap:string,hit:string>>>>"
+
+    def gather(all_pairs: Column) -> Column:
+        """The argument is a variable of a higher-order function, so that the matches are found once."""
+        last = F.floor((F.size(all_pairs) - 1) / FOLD).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(all_pairs, i * FOLD + 1, F.lit(FOLD)))
+        placed = F.aggregate(blocks, F.struct(F.lit(0).alias("at"), F.array().cast(placed_type).alias("out")), place, lambda s: s["out"])
+        many = F.flatten(F.transform(placed, lambda b: fold(b["block"], b["at"])))
+        return F.when(F.size(all_pairs) > FOLD, many).when(F.size(all_pairs) > 0, fold(all_pairs, F.lit(0)))
 
-    return F.coalesce(F.aggregate(pairs, start, add, lambda s: s["out"]), F.array().cast(_SPAN))
+    spans = F.get(F.transform(F.array(pairs), gather), 0)
+    return F.coalesce(spans, F.array().cast(_SPAN))
 
 
 @dataclass(frozen=True)
@@ -171,7 +222,7 @@ def train(patterns: list[tuple]) -> SpanModel:
 def find(docs: DataFrame, text: str = "text", keep: list[str] | None = None, accept: float = 0.5) -> DataFrame:
     """Adds base (the stated kinds) and added (what the classifier accepts besides), arrays of spans by kind and start.
 
-    Null and empty texts have none. The labelers abstain or vote on every candidate in all texts; the counted patterns,
+    Null and empty texts have none; texts of any length and shape are searched whole. The labelers abstain or vote on every candidate in all texts; the counted patterns,
     at most kinds x sizes x 3^labelers of them, train the model. Repeated rows are each searched; input columns base
     and added give way.
     """
