@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -14,9 +14,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; only a session without one (a test) gets a temporary folder of its own."""
+    """The folder that the driver and all executors share. Only a session on one machine gets a temporary one where none
+    is set: on a cluster each executor would write to its own disk, and rows would be lost."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -28,3 +31,23 @@ def written(frame: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
+
+
+#: A key with more than this share of the rows is hot; so there are fewer hot keys than 1 / HOT_SHARE.
+HOT_SHARE = 1 / 1000
+
+
+def join_hot(rows: DataFrame, facts: DataFrame, key: str, held: str, least: int = 1000) -> DataFrame:
+    """Inner join of rows with facts, which has one row for each key and in `held` how many rows have the key.
+
+    Keys with a thousandth of all rows or more, a thousand at most, are broadcast, so that no task gets all rows of one.
+    The others are shuffled. Give written tables: rows and facts are read twice.
+    """
+    total = facts.agg(F.sum(held)).first()[0] or 0
+    bound = max(least, total * HOT_SHARE)
+    hot, cold = facts.filter(F.col(held) >= bound), facts.filter(F.col(held) < bound)
+    if total < least or not hot.limit(1).count():
+        return rows.join(facts, key)
+    few = F.broadcast(hot)  # 1 / HOT_SHARE rows at most
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return rows.join(few, key).unionByName(rest.join(cold, key))
