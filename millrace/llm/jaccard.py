@@ -20,11 +20,12 @@ from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField
 
 from millrace.llm.components import components
 from millrace.llm.texts import Slots, map_texts, plain, words_of
-from millrace.sources.tables import written
+from millrace.sources.tables import join_hot, written
 
 #: Classes in a block; two blocks meet in one task at most.
 BLOCK = 128
-#: Larger groups of candidates are compared bucket by bucket.
+#: Larger groups of candidates are compared bucket by bucket. Either way a link is a similar pair that shares a bucket, so
+#: that the number changes the work and not the result.
 WHOLE_GROUP = 20_000
 
 
@@ -139,11 +140,13 @@ def _verify(threshold: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
         block, (one, other) = cell["block"].to_numpy(), cell[["low", "high"]].iloc[0]
         if one != other:
             linked &= block[:, None] != block[None, :]
+        held = np.stack([np.asarray(b) for b in cell["bands"]])
+        same = lambda b: held[:, b][:, None] == held[:, b][None, :]
         if cell["bucket"].iloc[0]:  # a pair counts in the first band that it shares
-            held = np.stack([np.asarray(b) for b in cell["bands"]])
-            band = int(np.flatnonzero(held[0] == cell["cell"].iloc[0])[0])
-            for b in range(band):
-                linked &= held[:, b][:, None] != held[:, b][None, :]
+            for b in range(int(np.flatnonzero(held[0] == cell["cell"].iloc[0])[0])):
+                linked &= ~same(b)
+        else:
+            linked &= np.logical_or.reduce([same(b) for b in range(held.shape[1])])
         root = list(range(m))
 
         def find(i: int) -> int:
@@ -162,15 +165,16 @@ def _verify(threshold: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
     return run
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, recall: float = 0.999, text: str = "text", doc_id: str = "doc_id", keep: list[str] | None = None, group: str | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, recall: float = 0.9999, text: str = "text", doc_id: str = "doc_id", keep: list[str] | None = None, group: str | None = None, whole_group: int = WHOLE_GROUP) -> DataFrame:
     """Adds class_id and n_links, and copies, to each row.
 
-    Two documents are linked if the Jaccard similarity of their sets of word n-grams is at least `threshold`; n_links
+    Two documents are linked if the Jaccard similarity of their sets of word n-grams is at least `threshold` and their
+    signatures agree in a band; n_links
     counts a row's links, repeated rows and exact copies included. class_id is the least id among all documents that
     links connect; copies is the number of rows with the same set. Texts shorter than n words are one n-gram. Null,
     empty and wordless texts are linked with nothing and are their own class. Null ids take part, yet name a class
-    only if no other id does. Of pairs at the threshold `recall` are found, of more similar ones more. Input columns
-    named like an added one give way. `group` names one more column: a key of the group that links connect, its own also
+    only if no other id does. Of pairs at the threshold `recall` agree in a band, of more similar ones more. Very long
+    texts are one set of n-grams in memory. Input columns named like an added one give way. `group` names one more column: a key of the group that links connect, its own also
     where ids are null or repeat, null for wordless texts.
     """
     bands, per_band = choose_bands(threshold, recall)
@@ -183,14 +187,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, rec
 
     spread = classes.select("cid", F.explode("bands").alias("bucket"))
     buckets = written(spread.groupBy("bucket").agg(F.min("cid").alias("least"), F.count("*").alias("held")).filter("held > 1"), "buckets")
-    members = written(spread.join(buckets, "bucket"), "members")
+    members = written(join_hot(spread, buckets, "bucket", "held"), "members")
     # Each class hooks to the least class it meets, and the others that it meets hook to that one as well: the same
     # components from far fewer edges, as the classes of a large group meet the same few.
     hooked = members.withColumn("hook", F.min("least").over(Window.partitionBy("cid")))
     edges = hooked.select(F.col("cid").alias("a"), F.col("hook").alias("b")).union(hooked.select(F.col("least"), F.col("hook")))
     groups = components(edges.filter("a <> b").distinct())
     sizes = groups.groupBy("root").agg(F.count("*").alias("size"))
-    grouped = written(groups.join(written(sizes, "sizes"), "root").select(F.col("node").alias("cid"), "root", "size"), "grouped")
+    grouped = written(join_hot(groups, written(sizes, "sizes"), "root", "size").select(F.col("node").alias("cid"), "root", "size"), "grouped")
 
     def cells(rows: DataFrame, key: str, size: str, bucket: bool) -> DataFrame:
         """Each class in its block, met with every block of the same key once."""
@@ -198,7 +202,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, rec
         placed = rows.withColumn("block", F.pmod(F.xxhash64("cid"), blocks)).withColumn("met", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
         return placed.select(F.col(key).alias("cell"), F.least("block", "met").alias("low"), F.greatest("block", "met").alias("high"), "block", "cid", F.lit(bucket).alias("bucket"))
 
-    small, large = grouped.filter(F.col("size") <= WHOLE_GROUP), grouped.filter(F.col("size") > WHOLE_GROUP)
+    small, large = grouped.filter(F.col("size") <= whole_group), grouped.filter(F.col("size") > whole_group)
     placed = cells(small, "root", "size", False)
     if large.limit(1).count():
         placed = placed.union(cells(members.join(large.select("cid"), "cid"), "bucket", "held", True))
@@ -213,8 +217,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, rec
     names = rooted.groupBy("root").agg(F.min("id").alias("class_id"))
     per_class = written(rooted.join(names, "root").join(links, "cid", "left").select("digest", "root", "class_id", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.col("n").alias("copies")), "per-class")
 
-    out = signed.join(per_class, "digest", "left")
-    answer = [F.when(F.col("digest").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("copies", F.lit(1)).alias("copies"), *([F.col("root").alias(group)] if group else [])]
+    # Texts without words need no join; copies of one text may be a third of all rows.
+    wordless = signed.filter("digest is null").withColumns({"root": F.lit(None).cast("long"), "class_id": F.col("id"), "n_links": F.lit(0).cast("long"), "copies": F.lit(1).cast("long")})
+    out = join_hot(signed.filter("digest is not null"), per_class, "digest", "copies").unionByName(wordless)
+    answer = ["class_id", "n_links", "copies", *([F.col("root").alias(group)] if group else [])]
     if [c.lower() for c in kept] == [doc_id.lower()]:
         return out.select(F.col("id").alias(doc_id), *answer)
     facts = out.select("id", "hash", *answer).dropDuplicates(["id", "hash"])
