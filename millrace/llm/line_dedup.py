@@ -1,8 +1,9 @@
-"""Removal of passages that repeat across documents, by windows of whole lines, in DataFrame functions alone.
+"""Removal of passages that repeat across documents, by chunks of whole lines, in DataFrame functions alone.
 
-Every least run of whole lines with enough words is a window: each line begins one and ends one. Any longer run is a
-union of such windows, so a passage that stands elsewhere too is found wherever it begins. Lines without words are
-passed over when windows are compared. Windows that occur again go from every place but the first.
+A chunk is a least run of whole lines with enough words: every line begins one and ends one, so that no edge of a passage
+falls between chunks. Chunks that fewer lines would bound, chosen by rolling hashes, miss a part of the passages of few
+lines; the README has figures. Rolling hashes of the lines' hashes name the chunks, those that occur again are joined to
+runs, and runs are compared with their first place byte for byte before they go. Lines without words are passed over.
 """
 
 from __future__ import annotations
@@ -15,65 +16,116 @@ from millrace.sources.tables import written
 #: Words in a run of repeated lines from which on it is removed.
 LEAST_WORDS = 50
 
+# Blocks of scripts that write no spaces. A Chinese, Japanese or Korean character counts as a word; of the
+# scripts of South-East Asia, four characters at most do.
+_SINGLE = "\\u3040-\\u30ff\\u3400-\\u9fff\\uac00-\\ud7af\\uf900-\\ufaff"
+_FOURS = "\\u0e00-\\u0eff\\u1000-\\u109f\\u1780-\\u17ff"
+WORD = rf"[{_SINGLE}]|[{_FOURS}]{{1,4}}|[^\s{_SINGLE}{_FOURS}]+"
+
 _KEY = ["id", "hash"]
+_PLACE = ["first_id", "first_hash", "first_a", "first_e"]
 
 
 def words_in(line: Column) -> Column:
-    """Words between single spaces; 0 for a blank line."""
-    return F.when(F.trim(line, F.lit(" \t\r")) == "", 0).otherwise(F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "))) + 1)
+    """Words between white space, and characters of scripts without spaces; 0 for a blank line."""
+    return F.regexp_count(line, F.lit(WORD))
+
+
+def lines_of(text: Column) -> Column:
+    return F.split(text, "\n", -1)
 
 
 def _windows(docs: DataFrame, least_words: int) -> DataFrame:
-    """A row for each window of lines: the places of its first and last line, a and e, and its 128-bit hash (h, g)."""
+    """A row for each chunk: the places of its first and last line, a and e, the number k of its first line among those
+    with words, and its 128-bit hash (h, g)."""
     n = max(1, least_words)
-    line = lambda x: F.struct(F.least(words_in(x), F.lit(n)).alias("w"), F.xxhash64(x).alias("h"), F.xxhash64(F.lit(1), x).alias("g"))
-    step = docs.select(*_KEY, F.transform(F.split("text", "\n", -1), line).alias("facts"))
-    # The line of each word, of n words a line at most: a window is the lines of n words in a row. Hashes pass over null.
-    step = step.select(*_KEY, F.transform("facts", lambda x: F.when(x["w"] > 0, F.struct(x["h"], x["g"]))).alias("d"), F.flatten(F.transform("facts", lambda x, i: F.array_repeat(i, x["w"]))).alias("p"))
+
+    def line(x: Column, i: Column) -> Column:
+        return F.struct(F.least(words_in(x), F.lit(n)).alias("w"), F.xxhash64(x).alias("h"), F.xxhash64(F.lit(1), x).alias("g"), i.alias("i"))
+
+    step = docs.select(*_KEY, F.filter(F.transform(lines_of(F.col("text")), line), lambda x: x["w"] > 0).alias("facts"))
+    # The line of each word, of n words a line at most: a chunk is the lines of n words in a row.
+    names = F.transform("facts", lambda x: F.struct(x["h"], x["g"]))
+    step = step.select(*_KEY, "facts", names.alias("names"), F.flatten(F.transform("facts", lambda x, i: F.array_repeat(i, x["w"]))).alias("p"))
     held = F.greatest(F.size("p") - n + 1, F.lit(0))
     pairs = F.array_distinct(F.zip_with(F.slice("p", 1, held), F.slice("p", n, held), lambda a, e: F.shiftleft(a.cast("long"), 32) + e))
-    step = step.select(*_KEY, "d", F.when(held > 0, pairs).alias("pairs"))
+    step = step.select(*_KEY, "facts", "names", F.when(held > 0, pairs).alias("pairs"))
 
     def window(x: Column) -> Column:
         a, e = F.shiftright(x, 32).cast("int"), x.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
-        lines = F.slice("d", a + 1, e - a + 1)
-        return F.struct(F.xxhash64(lines).alias("h"), F.xxhash64(F.lit(1), lines).alias("g"), a.alias("a"), e.alias("e"))
+        own = F.slice("names", a + 1, e - a + 1)
+        place = lambda at: F.get("facts", at)["i"]
+        return F.struct(F.xxhash64(own).alias("h"), F.xxhash64(F.lit(1), own).alias("g"), place(a).alias("a"), place(e).alias("e"), a.alias("k"))
 
     return step.select(*_KEY, F.inline_outer(F.transform("pairs", window))).filter("a is not null")
 
 
+def _islands(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Numbers the groups of overlapping (a, e) among the rows of each key: column run."""
+    order = Window.partitionBy(*keys).orderBy("a", "e")
+    reach = F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    return rows.withColumn("apart", F.coalesce((F.col("a") > reach).cast("int"), F.lit(1))).withColumn("run", F.sum("apart").over(order))
+
+
 def repeated_runs(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """For each document (id, hash) with something to remove: removed, the places of the first and last line, a and e, of
-    each run that goes."""
+    """Runs of lines, from a to e, whose chunks all stand first at first_a to first_e of one other place."""
     rows = written(_windows(docs, least_words), "windows")
-    first = rows.groupBy("h", "g").agg(F.count("*").alias("n"), F.min(F.struct(*_KEY, "a")).alias("first"))
+    first = rows.groupBy("h", "g").agg(F.count("*").alias("n"), F.min(F.struct(*_KEY, "a", "e", "k")).alias("first"))
     repeated = written(first.filter("n > 1").select("h", "g", "first"), "repeated")
     met = rows.join(repeated, ["h", "g"])
     met = met.filter(~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("hash") == F.col("first.hash")) & (F.col("a") == F.col("first.a"))))
-    met = met.select(*_KEY, "a", "e").distinct()
-    order = Window.partitionBy(*_KEY).orderBy("a", "e")
-    reach = F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    met = met.withColumn("apart", F.coalesce((F.col("a") > reach).cast("int"), F.lit(1))).withColumn("run", F.sum("apart").over(order))
-    runs = met.groupBy(*_KEY, "run").agg(F.min("a").alias("a"), F.max("e").alias("e"))
-    return runs.groupBy(*_KEY).agg(F.collect_list(F.struct("a", "e")).alias("removed"))
+    places = [F.col("first.id").alias("first_id"), F.col("first.hash").alias("first_hash"), F.col("first.a").alias("first_a"), F.col("first.e").alias("first_e")]
+    met = met.select(*_KEY, "a", "e", *places, (F.col("k") - F.col("first.k")).alias("lag")).distinct()
+    keys = [*_KEY, "first_id", "first_hash", "lag"]
+    bounds = [F.min("a").alias("a"), F.max("e").alias("e"), F.min("first_a").alias("first_a"), F.max("first_e").alias("first_e")]
+    return _islands(met, keys).groupBy(*keys, "run").agg(*bounds).drop("lag", "run")
+
+
+def differing(docs: DataFrame, runs: DataFrame) -> DataFrame:
+    """The first places of runs with which some run does not agree byte for byte, lines without words aside.
+
+    Every text is read once, with all its ranges. The least and the greatest bytes of all that should be equal are enough.
+    """
+    own = runs.select(*_KEY, "a", "e", *_PLACE)
+    theirs = runs.select(F.col("first_id").alias("id"), F.col("first_hash").alias("hash"), F.col("first_a").alias("a"), F.col("first_e").alias("e"), *_PLACE).distinct()
+    ranges = own.union(theirs).groupBy(*_KEY).agg(F.collect_list(F.struct("a", "e", *_PLACE)).alias("ranges")).select(F.col("id").alias("own_id"), F.col("hash").alias("own_hash"), "ranges")
+    whole = docs.join(ranges, docs["id"].eqNullSafe(ranges["own_id"]) & (docs["hash"] == ranges["own_hash"])).select(lines_of(F.col("text")).alias("lines"), "ranges")
+    cut = lambda r: F.array_join(F.filter(F.slice("lines", r["a"] + 1, r["e"] - r["a"] + 1), lambda x: x.rlike(r"\S")), "\n")
+    texts = whole.select(F.inline(F.transform("ranges", lambda r: F.struct(*[r[c].alias(c) for c in _PLACE], cut(r).alias("t")))))
+    return texts.groupBy(*_PLACE).agg(F.min("t").alias("low"), F.max("t").alias("high")).filter("low <> high").select(*_PLACE)
+
+
+def removed_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+    """For each document (id, hash) with something to remove: removed, the places of the first and last line, a and e, of
+    the ranges that go, apart from each other and in order."""
+    runs = written(repeated_runs(docs, least_words), "runs")
+    wrong = written(differing(docs, runs), "differing")
+    if wrong.limit(1).count():
+        other = wrong.select(*[F.col(c).alias(f"wrong_{c}") for c in _PLACE])
+        runs = runs.join(other, [F.col(c).eqNullSafe(F.col(f"wrong_{c}")) for c in _PLACE], "left_anti")
+    ranges = _islands(runs.select(*_KEY, "a", "e").distinct(), _KEY).groupBy(*_KEY, "run").agg(F.min("a").alias("a"), F.max("e").alias("e"))
+    return ranges.groupBy(*_KEY).agg(F.array_sort(F.collect_list(F.struct("a", "e"))).alias("removed"))
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least_words: int = LEAST_WORDS, keep: list[str] | None = None) -> DataFrame:
     """The rows with repeated passages cut out of their texts, and n_removed_words.
 
-    A passage is a run of whole lines, `least_words` words or more, that stands elsewhere too; blank lines between them
-    do not matter and go with it. The place that stays is the first by id, then by the text's hash, then in the text;
-    null ids come first. Repeated rows (same id and text) are one document and keep the same. All lines of a text may
-    go, which leaves the empty text. Null texts stay null, empty and blank ones as they are, and shorter repeats stay.
-    An input column n_removed_words gives way.
+    A passage is a run of whole lines, `least_words` words or more, that stands elsewhere too, byte for byte; blank lines
+    between them do not matter and go with it. The place that stays is the first by id, then by the text's hash, then in
+    the text; null ids come first. Repeated rows (same id and text) are one document and keep the same. All lines of a
+    text may go, which leaves the empty text. Null texts stay null, empty and blank ones as they are, and shorter repeats
+    stay. A very long text is one row with its lines. An input column n_removed_words gives way.
     """
     kept = [c for c in (docs.columns if keep is None else keep) if c.lower() != "n_removed_words"]
-    runs = repeated_runs(docs.select(plain(doc_id).alias("id"), F.xxhash64(plain(text)).alias("hash"), plain(text).alias("text")), least_words)
+    gone = removed_lines(docs.select(plain(doc_id).alias("id"), F.xxhash64(plain(text)).alias("hash"), plain(text).alias("text")), least_words)
     whole = docs.select(*map(plain, kept), plain(doc_id).alias("__id"), F.xxhash64(plain(text)).alias("__hash"), plain(text).alias("__text"))
-    met = whole.join(runs, whole["__id"].eqNullSafe(runs["id"]) & (whole["__hash"] == runs["hash"]), "left")
-    lines = F.split("__text", "\n", -1)
-    rest = F.array_join(F.filter(lines, lambda x, i: ~F.exists("removed", lambda r: i.between(r["a"], r["e"]))), "\n")
-    gone = F.flatten(F.transform("removed", lambda r: F.slice(lines, r["a"] + 1, r["e"] - r["a"] + 1)))
-    n_gone = F.aggregate(gone, F.lit(0), lambda n, x: n + words_in(x))
+    met = whole.join(gone, whole["__id"].eqNullSafe(gone["id"]) & (whole["__hash"] == gone["hash"]), "left")
+    lines = lines_of(F.col("__text"))
+    # What stays lies between the end of one range and the beginning of the next.
+    ends, begins = F.array_prepend(F.transform("removed", lambda r: r["e"]), F.lit(-1)), F.array_append(F.transform("removed", lambda r: r["a"]), F.size(lines))
+    rest = F.array_join(F.flatten(F.zip_with(ends, begins, lambda e, a: F.slice(lines, e + 2, a - e - 1))), "\n")
+    taken = F.flatten(F.transform("removed", lambda r: F.slice(lines, r["a"] + 1, r["e"] - r["a"] + 1)))
+    n_taken = F.aggregate(taken, F.lit(0), lambda n, x: n + words_in(x))
     cleaned = F.when(F.col("removed").isNull(), F.col("__text")).otherwise(rest)
-    return met.select(*[cleaned.alias(c) if c.lower() == text.lower() else plain(c) for c in kept], F.when(F.col("removed").isNull(), 0).otherwise(n_gone).cast("long").alias("n_removed_words"))
+    n_removed = F.when(F.col("removed").isNull(), 0).otherwise(n_taken).cast("long").alias("n_removed_words")
+    return met.select(*[cleaned.alias(c) if c.lower() == text.lower() else plain(c) for c in kept], n_removed)
