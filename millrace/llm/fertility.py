@@ -1,47 +1,65 @@
 """Quality rules on tokeniser fertility, beside counts of symbols and repeats.
 
-A public vocabulary measures characters per token, the share of byte-fallback tokens and the entropy of a text's
-tokens. Bands for each script say which values ordinary text has; texts outside are rejected.
+A public vocabulary measures characters per token, the share of byte-fallback tokens and the entropy of the tokens of
+whole texts. Bands for each script say which values ordinary text has; texts outside are rejected.
 """
 
 from __future__ import annotations
 
+import math
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType, StructField
 
-from millrace.llm.texts import WordTokens, Slots, map_texts
+from millrace.llm.texts import Slots, map_texts
 
 
 @dataclass(frozen=True)
 class Band:
-    """Characters per token, byte-fallback share and bits of token entropy that ordinary text has."""
+    """Characters per token, byte-fallback share and evenness of tokens that ordinary text has.
+
+    Evenness is the entropy of a text's tokens by the most that so many tokens can have, log2 of their number up to
+    EVEN_TOKENS: repetitive and random text both fall short of ordinary text, whatever its length.
+    """
 
     chars_per_token: tuple[float, float]
     most_fallback: float
-    least_entropy: float
+    least_evenness: float
 
 
 # The bands of each script. The vocabulary is mostly English, so other scripts have fewer characters per
-# token; scripts it lacks fall back to bytes. The entropy applies to texts of ENTROPY_TOKENS tokens or more.
+# token; scripts it lacks fall back to bytes.
 BANDS = {
-    "latin": Band((1.15, 8.0), 0.10, 4.0),
-    "cyrillic": Band((1.0, 6.0), 0.15, 4.0),
-    "greek": Band((0.5, 4.0), 0.30, 4.0),
-    "cjk": Band((0.3, 3.0), 0.80, 3.5),
-    "other": Band((0.25, 8.0), 0.95, 2.5),
+    "latin": Band((1.3, 7.0), 0.10, 0.60),
+    "cyrillic": Band((0.9, 5.0), 0.15, 0.60),
+    "greek": Band((0.5, 4.0), 0.30, 0.55),
+    "hebrew": Band((0.4, 3.0), 0.60, 0.50),
+    "arabic": Band((0.4, 3.0), 0.60, 0.50),
+    "devanagari": Band((0.3, 3.0), 0.85, 0.45),
+    "thai": Band((0.3, 3.0), 0.85, 0.45),
+    "hangul": Band((0.3, 2.5), 0.90, 0.50),
+    "cjk": Band((0.3, 2.5), 0.85, 0.50),
+    "other": Band((0.2, 8.0), 0.98, 0.40),
 }
-#: Shorter texts have no reliable entropy.
-ENTROPY_TOKENS = 64
-#: Share of symbols among the characters in words beyond which a text is rejected.
-MOST_SYMBOLS = 0.20
-#: First and last code point of each script's blocks, in order.
-_SCRIPTS = [("latin", 0x41, 0x24F), ("greek", 0x370, 0x3FF), ("cyrillic", 0x400, 0x52F), ("latin", 0x1E00, 0x1EFF), ("cjk", 0x3040, 0x30FF), ("cjk", 0x3400, 0x9FFF), ("cjk", 0xAC00, 0xD7AF)]
+#: Shorter texts have no reliable measures and pass.
+LEAST_TOKENS = 64
+EVEN_TOKENS = 1024
+# First and last code point of each script's letters, in order.
+_SCRIPTS = [
+    ("latin", 0x41, 0x5A), ("latin", 0x61, 0x7A), ("latin", 0xC0, 0xD6), ("latin", 0xD8, 0xF6), ("latin", 0xF8, 0x24F), ("greek", 0x370, 0x3FF),
+    ("cyrillic", 0x400, 0x52F), ("hebrew", 0x590, 0x5FF), ("arabic", 0x600, 0x6FF), ("arabic", 0x750, 0x77F), ("devanagari", 0x900, 0x97F),
+    ("thai", 0xE00, 0xE7F), ("latin", 0x1E00, 0x1EFF), ("greek", 0x1F00, 0x1FFF), ("cjk", 0x3040, 0x30FF), ("cjk", 0x3400, 0x9FFF), ("hangul", 0xAC00, 0xD7AF),
+]
+#: From here on, what is in none of the blocks counts for "other"; below are signs.
+_OTHER_FROM = 0x250
+_SIGNS = (0x2000, 0x2E7F)
 
 SYMBOLS = b"#*$%&|<>"
 FIELDS = [StructField(n, LongType()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")] + [StructField("base_failed", BooleanType()), StructField("kept", BooleanType()), StructField("script", StringType()), StructField("reason", StringType())] + [StructField(n, DoubleType()) for n in ("chars_per_token", "byte_fallback", "token_entropy")]
@@ -58,28 +76,20 @@ def piece_model(path: str):
     return model, np.array([model.is_byte(i) for i in range(model.get_piece_size())])
 
 
-def piece_word_tokens(path: str) -> tuple[WordTokens, np.ndarray]:
-    """The ids of single words and which ids are fallback bytes. What is remembered goes with the task."""
-    model, bytes_ = piece_model(path)
-
-    def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids = model.encode(words, num_threads=1)
-        return np.array([i for x in ids for i in x], np.int32), np.array(list(map(len, ids)), np.int64)
-
-    return WordTokens(encode), bytes_
-
-
 def script_of(text: str) -> str:
     """The script of most letters, in the order of BANDS for ties; "other" without letters of a known one."""
     if text.isascii():
-        return "latin" if any(map(str.isalpha, text[:4096])) or any(map(str.isalpha, text)) else "other"
-    points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-    counts = dict.fromkeys(BANDS, 0)
+        return "latin" if re.search("[A-Za-z]", text) else "other"
+    points, counts = np.unique(np.frombuffer(text.encode("utf-32-le"), np.uint32), return_counts=True)
+    held = dict.fromkeys(BANDS, 0)
+    rest = counts * ((points >= _OTHER_FROM) & ((points < _SIGNS[0]) | (points > _SIGNS[1])))
     for name, a, b in _SCRIPTS:
-        counts[name] += int(((points >= a) & (points <= b)).sum())
-    known = sum(counts.values())
-    counts["other"] = int((points >= 0x80).sum()) - int(((points >= 0x80) & (points <= 0x24F)).sum()) - sum(v for k, v in counts.items() if k not in ("latin", "other"))
-    return max(counts, key=counts.get) if known or counts["other"] > 0 else "other"
+        inside = (points >= a) & (points <= b)
+        held[name] += int(counts[inside].sum())
+        rest = rest * ~inside
+    held["other"] = int(rest.sum())
+    best = max(held, key=held.get)
+    return best if held[best] else "other"
 
 
 def duplicate_lines(text: bytes) -> int:
@@ -119,34 +129,34 @@ def repeated_words(ids: np.ndarray, width: int = 8) -> int:
     return int((np.cumsum(edges[:-1]) > 0).sum())
 
 
-def verdict(script: str, chars: float, fallback: float, entropy: float, tokens: int, symbol_share: float) -> str | None:
+def verdict(script: str, chars: float, fallback: float, entropy: float, tokens: int) -> str | None:
     """Why a text is rejected; None if it isn't."""
     band = BANDS[script]
+    if tokens < LEAST_TOKENS:
+        return None
     if not band.chars_per_token[0] <= chars <= band.chars_per_token[1]:
         return "chars_per_token"
     if fallback > band.most_fallback:
         return "byte_fallback"
-    if tokens >= ENTROPY_TOKENS and entropy < band.least_entropy:
-        return "token_entropy"
-    return "symbols" if symbol_share > MOST_SYMBOLS else None
+    return "token_entropy" if entropy < band.least_evenness * math.log2(min(tokens, EVEN_TOKENS)) else None
 
 
 def assess(docs: DataFrame, vocabulary: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Adds the counts, base_failed, kept and the measures behind it.
 
-    Words are [^\\x20\\x09-\\x0D]+. Null and empty texts have no words, fail the base rule of 20 words, and have null
+    Words are [^\\x20\\x09-\\x0D]+. Tokens are those of the whole text, however long, its white space included. Null and empty texts have no words, fail the base rule of 20 words, and have null
     measures and the reason "base". Repeated rows are each judged; input columns named like an added one give way.
     """
 
     def make() -> Callable[[list], dict]:
-        tokens, is_byte = piece_word_tokens(vocabulary)
+        model, is_byte = piece_model(vocabulary)
 
         def run(texts: pa.Array) -> dict:
             out: dict[str, list] = {f.name: [] for f in FIELDS}
-            ids, ends = tokens(texts)
-            at, names = 0, Slots()
-            for raw, end in zip(texts.cast(pa.large_binary()).to_pylist(), ends.tolist(), strict=True):
-                raw, own, at = raw or b"", ids[at:end], end
+            names = Slots()
+            tokens = model.encode(pc.fill_null(texts, "").to_pylist(), num_threads=1)
+            for raw, ids in zip(texts.cast(pa.large_binary()).to_pylist(), tokens, strict=True):
+                raw, own = raw or b"", np.array(ids, np.int64)
                 words = raw.split()
                 n = len(words)
                 joined = b"".join(words)
@@ -160,7 +170,7 @@ def assess(docs: DataFrame, vocabulary: str, text: str = "text", keep: list[str]
                     share = np.bincount(own)
                     share = share[share > 0] / len(own)
                     entropy = float(-(share * np.log2(share)).sum())
-                    reason = verdict(script, per, fallback, entropy, len(own), symbols / chars)
+                    reason = verdict(script, per, fallback, entropy, len(own))
                 reason = "base" if failed else reason
                 row = (n, chars, symbols, duplicate_lines(raw), repeated, failed, reason is None, script, reason, per, fallback, entropy)
                 for f, value in zip(FIELDS, row, strict=True):
