@@ -12,6 +12,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import ahocorasick
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, ArrayType, StructType
 
@@ -20,72 +21,248 @@ from millrace.llm.texts import map_texts, words_of
 #: Phrases whose places are counted, and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-# Licenses as (label, SPDX identifiers, names, versions). Every name stands as it is written out in words.
-FAMILIES = [
-    ("mit", ["mit", "mit 0", "mit cmu"], ["mit", "expat", "x11"], []),
-    ("apache", ["apache 1 0", "apache 1 1", "apache 2 0"], ["apache", "apache software", "asl"], ["1 0", "1 1", "2", "2 0"]),
-    ("gpl", ["gpl 1 0", "gpl 2 0", "gpl 3 0"], ["gnu general public", "gnu gpl", "gpl", "general public"], ["1", "2", "2 0", "3", "3 0"]),
-    ("lgpl", ["lgpl 2 0", "lgpl 2 1", "lgpl 3 0"], ["gnu lesser general public", "gnu library general public", "lesser general public", "gnu lgpl", "lgpl"], ["2", "2 0", "2 1", "3", "3 0"]),
-    ("agpl", ["agpl 1 0", "agpl 3 0"], ["gnu affero general public", "affero general public", "gnu agpl", "agpl"], ["1", "3", "3 0"]),
-    ("bsd-2-clause", ["bsd 2 clause"], ["bsd 2 clause", "2 clause bsd", "simplified bsd", "freebsd"], []),
-    ("bsd-3-clause", ["bsd 3 clause"], ["bsd 3 clause", "3 clause bsd", "new bsd", "modified bsd", "revised bsd"], []),
-    ("bsd-4-clause", ["bsd 4 clause"], ["bsd 4 clause", "4 clause bsd", "original bsd"], []),
-    ("bsd", ["0bsd"], ["bsd", "bsd style", "zero clause bsd"], []),
-    ("mpl", ["mpl 1 0", "mpl 1 1", "mpl 2 0"], ["mozilla public", "mpl"], ["1 0", "1 1", "2", "2 0"]),
-    ("epl", ["epl 1 0", "epl 2 0"], ["eclipse public", "epl"], ["1 0", "2", "2 0"]),
-    ("cddl", ["cddl 1 0", "cddl 1 1"], ["common development and distribution", "cddl"], ["1 0", "1 1"]),
-    ("cc0", ["cc0 1 0"], ["cc0", "creative commons zero", "creative commons public domain"], ["1 0"]),
-    ("cc-by", ["cc by 2 0", "cc by 3 0", "cc by 4 0"], ["creative commons attribution", "cc by"], ["2 0", "2 5", "3 0", "4 0"]),
-    ("cc-by-sa", ["cc by sa 3 0", "cc by sa 4 0"], ["creative commons attribution share alike", "creative commons attribution sharealike", "cc by sa"], ["2 0", "3 0", "4 0"]),
-    ("cc-by-nc", ["cc by nc 3 0", "cc by nc 4 0"], ["creative commons attribution noncommercial", "creative commons attribution non commercial", "cc by nc"], ["2 0", "3 0", "4 0"]),
-    ("cc-by-nd", ["cc by nd 3 0", "cc by nd 4 0"], ["creative commons attribution noderivatives", "creative commons attribution no derivatives", "cc by nd"], ["3 0", "4 0"]),
-    ("isc", ["isc"], ["isc", "internet systems consortium"], []),
-    ("zlib", ["zlib"], ["zlib", "zlib libpng"], []),
-    ("libpng", ["libpng 2 0"], ["libpng", "png reference library"], ["2 0"]),
-    ("boost", ["bsl 1 0"], ["boost software", "boost"], ["1 0"]),
-    ("unlicense", ["unlicense"], ["unlicense"], []),
-    ("wtfpl", ["wtfpl"], ["wtfpl", "do what the fuck you want to public"], ["2"]),
-    ("artistic", ["artistic 1 0", "artistic 2 0"], ["artistic", "perl artistic"], ["1 0", "2 0"]),
-    ("python", ["psf 2 0", "python 2 0"], ["python software foundation", "psf"], ["2"]),
-    ("php", ["php 3 0", "php 3 01"], ["php"], ["3 0", "3 01"]),
-    ("ruby", ["ruby"], ["ruby"], []),
-    ("openssl", ["openssl"], ["openssl", "ssleay"], []),
-    ("postgresql", ["postgresql"], ["postgresql"], []),
-    ("ofl", ["ofl 1 0", "ofl 1 1"], ["sil open font", "open font", "ofl"], ["1 0", "1 1"]),
-    ("eupl", ["eupl 1 1", "eupl 1 2"], ["european union public", "eupl"], ["1 1", "1 2"]),
-    ("odbl", ["odbl 1 0"], ["open database", "odbl"], ["1 0"]),
-    ("ms-pl", ["ms pl"], ["microsoft public"], []),
-    ("ms-rl", ["ms rl"], ["microsoft reciprocal"], []),
-    ("afl", ["afl 2 1", "afl 3 0"], ["academic free"], ["2 1", "3 0"]),
-    ("osl", ["osl 2 1", "osl 3 0"], ["open software"], ["2 1", "3 0"]),
-    ("cpl", ["cpl 1 0"], ["common public"], ["1 0"]),
-    ("ibm-public", ["ipl 1 0"], ["ibm public"], ["1 0"]),
-    ("sleepycat", ["sleepycat"], ["sleepycat"], []),
-    ("vim", ["vim"], ["vim"], []),
-    ("w3c", ["w3c"], ["w3c software"], []),
-    ("sspl", ["sspl 1 0"], ["server side public", "sspl"], ["1"]),
-    ("busl", ["busl 1 1"], ["business source"], ["1 1"]),
-    ("elastic", ["elastic 2 0"], ["elastic"], ["2 0"]),
-]
-# Sentences that stand in a license's own text or notice, as (label, expression).
-NOTICES = [
-    ("mit", r"permission is hereby granted free of charge to any person obtaining a copy"),
-    ("isc", r"permission to use copy modify and or distribute this software for any purpose"),
-    ("bsd", r"redistribution and use in source and binary forms with or without modification are permitted"),
-    ("bsd-3-clause", r"neither the name of (?:\S+ ){1,12}nor the names of its contributors"),
-    ("bsd-4-clause", r"all advertising materials mentioning features or use of this software"),
-    ("apache", r"you may not use this file except in compliance with the license"),
-    ("gpl", r"this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
-    ("lgpl", r"this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license"),
-    ("mpl", r"this source code form is subject to the terms of the mozilla public license"),
-    ("zlib", r"this software is provided as is without any express or implied warranty in no event will the authors"),
-    ("unlicense", r"this is free and unencumbered software released into the public domain"),
-    ("public-domain", r"(?:is|are|been) (?:hereby )?(?:placed|released|dedicated) (?:in|into|to) the public domain"),
-    ("proprietary", r"all rights reserved(?: worldwide)?"),
-    ("proprietary", r"confidential and proprietary"),
-    ("proprietary", r"unauthorized copying of this file"),
-    ("cc0", r"to the extent possible under law (?:\S+ ){1,12}has waived all copyright"),
-]
+# SPDX identifiers. A tag "SPDX-License-Identifier: X" is a signature of each, by one rule.
+SPDX = """
+0BSD AFL-2.1 AFL-3.0 AGPL-1.0 AGPL-3.0 AGPL-3.0-only AGPL-3.0-or-later Apache-1.0 Apache-1.1 Apache-2.0 APSL-2.0 Artistic-1.0 Artistic-2.0
+BlueOak-1.0.0 BSD-1-Clause BSD-2-Clause BSD-3-Clause BSD-3-Clause-Clear BSD-4-Clause BSL-1.0 BUSL-1.1 CC-BY-3.0 CC-BY-4.0 CC-BY-NC-4.0 CC-BY-NC-ND-4.0
+CC-BY-NC-SA-4.0 CC-BY-ND-4.0 CC-BY-SA-3.0 CC-BY-SA-4.0 CC0-1.0 CDDL-1.0 CDDL-1.1 CECILL-2.1 CPL-1.0 ECL-2.0 EPL-1.0 EPL-2.0 EUPL-1.1 EUPL-1.2 GPL-1.0
+GPL-2.0 GPL-2.0-only GPL-2.0-or-later GPL-3.0 GPL-3.0-only GPL-3.0-or-later HPND ICU IPL-1.0 ISC LGPL-2.0 LGPL-2.1 LGPL-2.1-only LGPL-2.1-or-later
+LGPL-3.0 LGPL-3.0-only LGPL-3.0-or-later LPPL-1.3c MIT MIT-0 MPL-1.0 MPL-1.1 MPL-2.0 MS-PL MS-RL MulanPSL-2.0 NCSA ODbL-1.0 OFL-1.0 OFL-1.1
+OpenSSL OSL-3.0 PHP-3.0 PHP-3.01 PostgreSQL PSF-2.0 Python-2.0 QPL-1.0 Ruby Sleepycat SSPL-1.0 TCL Unicode-3.0 Unlicense UPL-1.0 Vim W3C WTFPL X11
+Zlib ZPL-2.1
+""".split()
+# Signatures written by hand on lower-cased words, as label, keyword that must be there, and expression.
+# First sentences of license texts and notices, then names with a version, names, grants, and wider hints.
+NOTICES = """
+mit | permission is hereby granted free of charge | permission is hereby granted free of charge to any person obtaining a copy(?: of this software)?
+mit | without restriction including without limitation the rights | to deal in the software without restriction including without limitation the rights to use copy modify merge publish
+mit-0 | mit no attribution | mit no attribution
+x11 | x consortium | except as contained in this notice the name of the x consortium shall not be used
+isc | permission to use copy modify | permission to use copy modify and (?:or )?distribute this software for any purpose with or without fee is hereby granted
+0bsd | permission to use copy modify | permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted the software is provided
+hpnd | permission to use copy modify | permission to use copy modify (?:and )?distribute (?:and sell )?this software and its documentation for any purpose
+bsd | redistribution and use in source and binary forms | redistribution and use in source and binary forms with or without modification are permitted
+bsd-3-clause | neither the name of | neither the name of (?:\\S+ ){1,12}nor the names of (?:its|their|any) contributors may be used
+bsd-4-clause | all advertising materials | all advertising materials mentioning features or use of this software must display
+apache-2.0 | licensed under the apache license version 2 0 | licensed under the apache license version 2 0 the license you may not use this file except in compliance
+apache-2.0 | apache org licenses license 2 0 | (?:https? )?(?:www )?apache org licenses license 2 0(?: txt| html)?
+apache | except in compliance with the license | you may not use this file except in compliance with the license
+apache-1.1 | this product includes software developed by the apache | this product includes software developed by the apache (?:software foundation|group)
+gpl | under the terms of the gnu general public license | redistribute it and or modify it under the terms of the gnu general public license
+gpl-2.0-or-later | either version 2 of the license | gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version
+gpl-3.0-or-later | either version 3 of the license | gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version
+gpl-2.0-only | version 2 of the license | gnu general public license as published by the free software foundation version 2 of the license
+gpl-2.0 | gnu general public license version 2 june 1991 | gnu general public license version 2 june 1991
+gpl-3.0 | gnu general public license version 3 29 june 2007 | gnu general public license version 3 29 june 2007
+gpl | you should have received a copy of the gnu general public license | you should have received a copy of the gnu general public license
+lgpl | under the terms of the gnu lesser general public license | redistribute it and or modify it under the terms of the gnu lesser general public license
+lgpl | under the terms of the gnu library general public license | redistribute it and or modify it under the terms of the gnu library general public license
+lgpl-2.1 | gnu lesser general public license version 2 1 february 1999 | gnu lesser general public license version 2 1 february 1999
+lgpl-3.0 | gnu lesser general public license version 3 29 june 2007 | gnu lesser general public license version 3 29 june 2007
+lgpl | you should have received a copy of the gnu lesser | you should have received a copy of the gnu lesser general public license
+agpl | under the terms of the gnu affero general public license | redistribute it and or modify it under the terms of the gnu affero general public license
+agpl-3.0 | gnu affero general public license version 3 19 november 2007 | gnu affero general public license version 3 19 november 2007
+mpl-2.0 | this source code form is subject to the terms | this source code form is subject to the terms of the mozilla public license v 2 0
+mpl-1.1 | mozilla public license version 1 1 | the contents of this file are subject to the mozilla public license version 1 1
+epl-1.0 | eclipse public license v1 0 | accompanying materials are made available under the terms of the eclipse public license v1 0
+epl-2.0 | eclipse public license 2 0 | made available under the terms of the eclipse public license 2 0
+cddl | common development and distribution license | the contents of this file are subject to the terms of the common development and distribution license
+boost | boost software license version 1 0 | distributed under the boost software license version 1 0
+zlib | this software is provided as is without any express or implied warranty | this software is provided as is without any express or implied warranty in no event will the authors be held liable
+unlicense | free and unencumbered software | this is free and unencumbered software released into the public domain
+cc0-1.0 | waived all copyright | to the extent possible under law (?:\\S+ ){1,12}has waived all copyright
+cc0-1.0 | creativecommons org publicdomain zero 1 0 | creativecommons org publicdomain zero 1 0
+cc-by-4.0 | creativecommons org licenses by 4 0 | creativecommons org licenses by 4 0
+cc-by-3.0 | creativecommons org licenses by 3 0 | creativecommons org licenses by 3 0
+cc-by-sa-4.0 | creativecommons org licenses by sa 4 0 | creativecommons org licenses by sa 4 0
+cc-by-sa-3.0 | creativecommons org licenses by sa 3 0 | creativecommons org licenses by sa 3 0
+cc-by-nc | creativecommons org licenses by nc | creativecommons org licenses by nc [0-9] [0-9]
+cc-by-nd | creativecommons org licenses by nd | creativecommons org licenses by nd [0-9] [0-9]
+cc-by-nc-sa | creativecommons org licenses by nc sa | creativecommons org licenses by nc sa [0-9] [0-9]
+cc-by-nc-nd | creativecommons org licenses by nc nd | creativecommons org licenses by nc nd [0-9] [0-9]
+wtfpl | do what the fuck you want to public license | do what the fuck you want to public license
+artistic | under the same terms as perl | under the same terms as perl(?: itself)?
+openssl | openssl project for use in the openssl toolkit | this product includes software developed by the openssl project for use in the openssl toolkit
+ofl-1.1 | sil open font license version 1 1 | this font software is licensed under the sil open font license version 1 1
+ncsa | university of illinois | university of illinois (?:\\S+ )?open source license
+public-domain | public domain | (?:is|are|been) (?:hereby )?(?:placed|released|dedicated) (?:in|into|to) the public domain
+public-domain | no copyright is claimed | no copyright is claimed
+proprietary | confidential and proprietary | confidential and proprietary
+proprietary | unauthorized copying of this file | unauthorized copying of this file
+proprietary | all rights reserved | all rights reserved(?: worldwide)?
+"""
+VERSIONED = """
+apache-2.0 | apache license | apache license (?:version |v ?)?2(?: 0)?
+apache-2.0 | apache 2 | apache 2(?: 0)? (?:license|licence|licensed)
+apache-2.0 | apache software license | apache software license (?:version |v ?)?2(?: 0)?
+apache-2.0 | asl 2 | asl 2(?: 0)? (?:license|licence|licensed)
+apache-1.1 | apache license | apache (?:software )?license (?:version |v ?)?1 1
+apache-1.1 | apache software license | apache software license (?:version |v ?)?1 1
+gpl-1.0 | general public license | (?:gnu )?general public license (?:version |v ?)1(?: 0)?
+gpl-2.0 | general public license | (?:gnu )?general public license (?:version |v ?)2(?: 0)?(?: only)?
+gpl-3.0 | general public license | (?:gnu )?general public license (?:version |v ?)3(?: 0)?(?: only)?
+gpl-2.0-or-later | general public license | (?:gnu )?general public license (?:version |v ?)2(?: 0)? or (?:any )?later(?: version)?
+gpl-3.0-or-later | general public license | (?:gnu )?general public license (?:version |v ?)3(?: 0)? or (?:any )?later(?: version)?
+gpl-2.0 | gplv2 | (?:gnu )?gplv2
+gpl-3.0 | gplv3 | (?:gnu )?gplv3
+gpl-2.0 | gpl 2 | gpl 2(?: 0)?(?: only| or later)? (?:license|licence|licensed)
+gpl-3.0 | gpl 3 | gpl 3(?: 0)?(?: only| or later)? (?:license|licence|licensed)
+gpl-2.0 | gpl v2 | (?:gnu )?gpl v2
+gpl-3.0 | gpl v3 | (?:gnu )?gpl v3
+gpl-2.0 | gpl version 2 | (?:gnu )?gpl version 2
+gpl-3.0 | gpl version 3 | (?:gnu )?gpl version 3
+lgpl-2.0 | library general public license | (?:gnu )?library general public license (?:version |v ?)2(?: 0)?
+lgpl-2.1 | lesser general public license | (?:gnu )?lesser general public license (?:version |v ?)2 1
+lgpl-3.0 | lesser general public license | (?:gnu )?lesser general public license (?:version |v ?)3(?: 0)?
+lgpl-2.1 | lgplv2 | (?:gnu )?lgplv2(?: 1)?
+lgpl-3.0 | lgplv3 | (?:gnu )?lgplv3
+lgpl-2.1 | lgpl v2 1 | (?:gnu )?lgpl v2 1
+lgpl-2.1 | lgpl version 2 1 | (?:gnu )?lgpl version 2 1
+lgpl-3.0 | lgpl v3 | (?:gnu )?lgpl v3
+lgpl-3.0 | lgpl version 3 | (?:gnu )?lgpl version 3
+agpl-3.0 | affero general public license | (?:gnu )?affero general public license (?:version |v ?)3(?: 0)?
+agpl-3.0 | agplv3 | (?:gnu )?agplv3
+agpl-3.0 | agpl v3 | (?:gnu )?agpl v3
+bsd-2-clause | bsd 2 clause | bsd 2 clause(?: license| licence)?
+bsd-3-clause | bsd 3 clause | bsd 3 clause(?: license| licence)?
+bsd-4-clause | bsd 4 clause | bsd 4 clause(?: license| licence)?
+bsd-2-clause | 2 clause bsd | 2 clause bsd(?: license| licence)?
+bsd-3-clause | 3 clause bsd | 3 clause bsd(?: license| licence)?
+bsd-4-clause | 4 clause bsd | 4 clause bsd(?: license| licence)?
+bsd-2-clause | two clause bsd | two clause bsd(?: license| licence)?
+bsd-3-clause | three clause bsd | three clause bsd(?: license| licence)?
+bsd-2-clause | simplified bsd | simplified bsd (?:license|licence)
+bsd-3-clause | new bsd | new bsd (?:license|licence)
+bsd-3-clause | modified bsd | modified bsd (?:license|licence)
+bsd-3-clause | revised bsd | revised bsd (?:license|licence)
+bsd-4-clause | original bsd | original bsd (?:license|licence)
+0bsd | zero clause bsd | zero clause bsd(?: license| licence)?
+mpl-1.0 | mozilla public license | mozilla public license (?:version |v ?)?1 0
+mpl-1.1 | mozilla public license | mozilla public license (?:version |v ?)?1 1
+mpl-2.0 | mozilla public license | mozilla public license (?:version |v ?)?2(?: 0)?
+mpl-2.0 | mpl 2 0 | mpl 2 0(?: license| licence| licensed)?
+epl-1.0 | eclipse public license | eclipse public license (?:version |v ?)?1 0
+epl-2.0 | eclipse public license | eclipse public license (?:version |v ?)?2(?: 0)?
+cddl-1.0 | common development and distribution license | common development and distribution license (?:cddl )?(?:version |v ?)?1 0
+cddl-1.1 | common development and distribution license | common development and distribution license (?:cddl )?(?:version |v ?)?1 1
+cc-by-3.0 | attribution 3 0 | creative commons attribution 3 0(?: unported| international)?(?: license)?
+cc-by-4.0 | attribution 4 0 | creative commons attribution 4 0(?: international)?(?: license)?
+cc-by-sa-3.0 | alike 3 0 | creative commons attribution share ?alike 3 0(?: unported)?(?: license)?
+cc-by-sa-4.0 | alike 4 0 | creative commons attribution share ?alike 4 0(?: international)?(?: license)?
+cc-by-sa-4.0 | cc by sa 4 0 | cc by sa 4 0
+cc-by-4.0 | cc by 4 0 | cc by 4 0
+cc-by-nc-4.0 | noncommercial 4 0 | creative commons attribution noncommercial 4 0(?: international)?(?: license)?
+cc-by-nc-4.0 | cc by nc 4 0 | cc by nc 4 0
+cc0-1.0 | cc0 1 0 | cc0 1 0(?: universal)?
+artistic-1.0 | artistic license | (?:perl )?artistic license (?:version |v ?)?1 0
+artistic-2.0 | artistic license | (?:perl )?artistic license (?:version |v ?)?2 0
+php-3.01 | php license | php license (?:version |v ?)?3 01
+ofl-1.1 | open font license | (?:sil )?open font license (?:version |v ?)?1 1
+eupl-1.2 | european union public | european union public licen[cs]e (?:version |v ?)?1 2
+sspl-1.0 | server side public license | server side public license(?: version 1| v1)
+busl-1.1 | business source license | business source license 1 1
+elastic-2.0 | elastic license | elastic license (?:version |v ?)?2 0
+afl-3.0 | academic free license | academic free license (?:version |v ?)?3 0
+osl-3.0 | open software license | open software license (?:version |v ?)?3 0
+psf-2.0 | python software foundation license | python software foundation license (?:version |v ?)?2
+"""
+NAMES = """
+mit | mit license | mit license
+mit | mit licence | mit licence
+mit | expat license | expat license
+mit | mit style license | mit style license
+x11 | x11 license | x11 license
+apache | apache license | apache license
+apache | apache licence | apache licence
+apache | apache software license | apache software license
+gpl | general public license | (?:gnu )?general public licen[cs]e
+gpl | general public licence | (?:gnu )?general public licence
+gpl | gpl license | (?:gnu )?gpl license
+gpl | gpl licensed | (?:gnu )?gpl licensed
+lgpl | lesser general public license | (?:gnu )?lesser general public license
+lgpl | library general public license | (?:gnu )?library general public license
+lgpl | lgpl license | (?:gnu )?lgpl license
+agpl | affero general public license | (?:gnu )?affero general public license
+agpl | agpl license | (?:gnu )?agpl license
+gfdl | gnu free documentation license | gnu free documentation license
+bsd | bsd license | bsd license
+bsd | bsd licence | bsd licence
+bsd | bsd style license | bsd style license
+mpl | mozilla public license | mozilla public license
+mpl | mpl license | mpl license
+epl | eclipse public license | eclipse public license
+cddl | common development and distribution license | common development and distribution license
+cpl | common public license | common public license
+ibm-public | ibm public license | ibm public license
+cc0 | cc0 license | cc0 license
+cc0 | creative commons zero | creative commons zero(?: license)?
+cc-by-sa | attribution share alike | creative commons attribution share alike(?: license)?
+cc-by-sa | attribution sharealike | creative commons attribution sharealike(?: license)?
+cc-by-nc | attribution noncommercial | creative commons attribution noncommercial(?: license)?
+cc-by-nd | attribution noderivatives | creative commons attribution noderivatives(?: license)?
+cc-by-nd | attribution noderivs | creative commons attribution noderivs(?: license)?
+cc-by | creative commons attribution | creative commons attribution(?: license)?
+creative-commons | creative commons license | creative commons license
+isc | isc license | isc license
+zlib | zlib license | zlib license
+libpng | libpng license | (?:zlib )?libpng license
+boost | boost software license | boost software license
+unlicense | the unlicense | the unlicense
+wtfpl | wtfpl license | wtfpl license
+artistic | artistic license | (?:perl )?artistic license
+python | python software foundation license | python software foundation license
+python | psf license | psf license
+php | php license | php license
+ruby | ruby license | ruby license(?! plate)
+openssl | openssl license | openssl license
+postgresql | postgresql license | postgresql license
+ofl | open font license | (?:sil )?open font license
+eupl | european union public | european union public licen[cs]e
+odbl | open database license | open database license
+ms-pl | microsoft public license | microsoft public license
+ms-rl | microsoft reciprocal license | microsoft reciprocal license
+afl | academic free license | academic free license
+osl | open software license | open software license
+sleepycat | sleepycat license | sleepycat license
+vim | vim license | vim license
+w3c | w3c software | w3c software (?:notice and )?license
+sspl | server side public license | server side public license
+busl | business source license | business source license
+elastic | elastic license | elastic license
+ncsa | ncsa open source license | (?:university of illinois )?ncsa open source license
+lppl | latex project public license | latex project public license
+qpl | q public license | q public license
+cecill | cecill license | cecill license
+upl | universal permissive license | universal permissive license
+"""
+GRANTS = """
+mit | under mit | (?:licensed|released|distributed|available|published|provided) under mit
+mit | under the mit | (?:licensed|released|distributed|available|published|provided) under the (?:terms of the )?mit
+apache-2.0 | under apache 2 | (?:licensed|released|distributed|available|published|provided) under apache 2(?: 0)?
+apache-2.0 | under the apache 2 | (?:licensed|released|distributed|available|published|provided) under the apache 2(?: 0)?
+gpl | under the gpl | (?:licensed|released|distributed|available|published|provided) under the (?:gnu )?gpl
+gpl | under the gnu gpl | (?:licensed|released|distributed|available|published|provided) under the gnu gpl
+gpl | under gpl | (?:licensed|released|distributed|available|published|provided) under gpl
+lgpl | under the lgpl | (?:licensed|released|distributed|available|published|provided) under the (?:gnu )?lgpl
+agpl | under the agpl | (?:licensed|released|distributed|available|published|provided) under the (?:gnu )?agpl
+bsd | under the bsd | (?:licensed|released|distributed|available|published|provided) under the bsd
+bsd | under bsd | (?:licensed|released|distributed|available|published|provided) under bsd
+mpl | under the mpl | (?:licensed|released|distributed|available|published|provided) under the mpl
+isc | under the isc | (?:licensed|released|distributed|available|published|provided) under the isc
+cc0 | under cc0 | (?:licensed|released|distributed|available|published|provided) under cc0
+cc-by | under cc by | (?:licensed|released|distributed|available|published|provided) under cc by
+creative-commons | under creative commons | (?:licensed|released|distributed|available|published|provided) under (?:a )?creative commons
+creative-commons | under a creative commons | (?:licensed|released|distributed|available|published|provided) under a creative commons
+"""
+HINTS = """
+license-notice | see the license file | see the license file
+license-notice | see license for | see license for
+license-notice | license agreement | (?:end user |software )?license agreement
+license-notice | licensed under | licensed under
+"""
+#: The lists with their priority and weight; tags come before all.
+RANKED = [(NOTICES, 5, 0.95), (VERSIONED, 4, 0.9), (NAMES, 3, 0.7), (GRANTS, 2, 0.8), (HINTS, 1, 0.3)]
+TAG_PRIORITY = 6
 
 
 @dataclass(frozen=True)
@@ -98,21 +275,15 @@ class Signature:
 
 
 def signatures() -> list[Signature]:
-    """The rules in order of priority: SPDX tags, sentences of notices, names with a version, grants, bare names."""
+    """The rules in order of priority."""
     out = []
-    for label, pattern in NOTICES:
-        literal = max(re.split(r"\(\?:.*?\)(?:\{\d+,\d+\}|\?)?|\\S\+", pattern), key=len).strip()
-        out.append(Signature(label, literal, pattern, 4, 0.95))
-    for label, spdx, names, versions in FAMILIES:
-        out += [Signature(label, s, rf"spdx license identifier {s}(?: only| or later)?", 5, 1.0) for s in spdx]
-        for n in names:
-            term = n if n.endswith("unlicense") else f"{n} (?:license|licence)"
-            out.append(Signature(label, n, rf"{term}", 1, 0.7))
-            out.append(Signature(label, n, rf"(?:licensed|released|distributed|available|published|provided) under (?:the terms of )?(?:the |an |a )?{n}(?: license| licence)?", 2, 0.9))
-            if versions:
-                either = "|".join(sorted(versions, key=len, reverse=True))
-                out.append(Signature(label, n, rf"{n}(?: license| licence)? (?:version |v ?)?(?:{either})(?: only| or (?:any )?later(?: version)?)?", 3, 0.9))
-    return sorted(out, key=lambda s: -s.priority)
+    for tag in SPDX:
+        words = re.sub("[^a-z0-9]+", " ", tag.lower())
+        out.append(Signature(tag.lower(), f"identifier {words}", f"spdx license identifier {words}", TAG_PRIORITY, 1.0))
+    for lines, priority, weight in RANKED:
+        for line in lines.strip().splitlines():
+            out.append(Signature(*(part.strip() for part in line.split(" | ")), priority, weight))
+    return out
 
 
 class Scanner:
@@ -120,7 +291,7 @@ class Scanner:
 
     def __init__(self, rules: list[Signature] | None = None, phrases: dict[str, str] | None = None) -> None:
         self.rules = [(s, re.compile(rf"(?<= ){s.pattern}(?= )")) for s in (signatures() if rules is None else rules)]
-        self.phrases = [(p, label, len(p.split())) for p, label in (PHRASES if phrases is None else phrases).items()]
+        self.phrases = list((PHRASES if phrases is None else phrases).items())
         self.gate = ahocorasick.Automaton()
         by_keyword: dict[str, list[int]] = {}
         for i, (s, _) in enumerate(self.rules):
@@ -130,11 +301,12 @@ class Scanner:
         self.gate.make_automaton()
 
     def places(self, joined: str) -> list[tuple[str, int]]:
+        """Labels of the phrases and where they begin, in characters of the joined words."""
         out = []
-        for phrase, label, _ in self.phrases:
+        for phrase, label in self.phrases:
             at = joined.find(f" {phrase} ")
             while at >= 0:
-                out.append((label, joined.count(" ", 0, at)))
+                out.append((label, at + 1))
                 at = joined.find(f" {phrase} ", at + 1)
         return out
 
@@ -159,7 +331,7 @@ def scan(docs: DataFrame, text: str = "text", keep: list[str] | None = None, rul
     """Adds the phrase places, the labels, a score (the greatest weight among them, 0 for none) and the detections.
 
     Words are [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ of the lower-cased text. Null and empty texts have none: 0 words, null
-    first_word and last_word, empty labels, score 0. Repeated rows are each scanned; input columns with the name of an
+    first_word and last_word, empty labels, score 0. Very long texts are scanned whole. Repeated rows are each scanned; input columns with the name of an
     added one give way.
     """
 
@@ -173,10 +345,13 @@ def scan(docs: DataFrame, text: str = "text", keep: list[str] | None = None, rul
                 joined = f" {b' '.join(words).decode()} "
                 places, found = scanner.places(joined), scanner.detections(joined)
                 base = {label for label, _ in places}
-                starts = [at for _, at in places]
+                # Where each word begins; found once for a text, so that the time grows with the text and its matches.
+                begins = np.cumsum([1, *(len(w.decode()) + 1 for w in words)]) if places or found else np.zeros(0, np.int64)
+                word_at = lambda at: int(np.searchsorted(begins, at))
+                starts = [word_at(at) for _, at in places]
                 row = (len(words), len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(base | {s.label for *_, s in found})))
                 score = max([0.7 * bool(places), *(s.weight for *_, s in found)])
-                spans = [{"first_word": joined.count(" ", 0, a) - 1, "end_word": joined.count(" ", 0, b), "label": s.label, "weight": s.weight} for a, b, s in found]
+                spans = [{"first_word": word_at(a), "end_word": word_at(b + 1), "label": s.label, "weight": s.weight} for a, b, s in found]
                 for f, value in zip(FIELDS, (*row, float(score), spans), strict=True):
                     out[f.name].append(value)
             return out
