@@ -1,8 +1,10 @@
 """Best-fit packing of token pieces into sequences, certified by lower bounds.
 
 Each partition packs its pieces by best-fit decreasing and compares its number of sequences with the best of its
-dual-feasible-function bounds. The pieces of sequences with a gap then go to other partitions and are packed anew,
-until the total meets the bound over all pieces or an exchange saves nothing.
+dual-feasible-function bounds. A partition that meets its bound is certified: no packing of its own pieces is better, so
+that all it still gives away is its emptiest sequence. A partition with a gap gives all sequences that are not full. What
+is given goes to other partitions and is packed anew, until the total meets the bound over all pieces or an exchange
+saves nothing.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StructField, StructType
 
 from millrace.llm.texts import json_word_tokens, lasting_word_tokens, map_texts
 from millrace.sources.tables import written
@@ -28,7 +30,7 @@ PIECES_PER_PARTITION = 4096
 def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, text: str = "text", keep: list[str] | None = None, with_ids: bool = False, lasting: bool = False) -> DataFrame:
     """A row for each piece of at most `capacity` ids of a whole text and `end_id`.
 
-    Null and empty texts have the one id `end_id`. Repeated rows are packed as often as they come. Adds piece, start,
+    Null and empty texts have the one id `end_id`, and texts of any length give pieces to their end. Repeated rows are packed as often as they come. Adds piece, start,
     length, ids_crc32 and, if asked for, ids; an input column of these names gives way.
     """
     fields = [StructField("piece", IntegerType()), StructField("start", LongType()), StructField("length", LongType()), StructField("ids_crc32", LongType())]
@@ -105,9 +107,9 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
 
 
 def _round(pieces: DataFrame, capacity: int, number: int, per_partition: int, rows: int) -> DataFrame:
-    """Packs each of evenly dealt partitions by itself."""
-    pieces = pieces.drop("sequence_id", "offset", "fill", "bound")
-    fields = [StructField(n, LongType()) for n in ("sequence_id", "offset", "fill", "bound")]
+    """Packs each of evenly dealt partitions by itself. gives says whether a piece's sequence takes part in an exchange."""
+    pieces = pieces.drop("sequence_id", "offset", "gives")
+    fields = [StructField("sequence_id", LongType()), StructField("offset", LongType()), StructField("gives", BooleanType())]
     out = StructType([*pieces.schema.fields, *fields])
     at = pieces.columns.index("length")
 
@@ -118,45 +120,41 @@ def _round(pieces: DataFrame, capacity: int, number: int, per_partition: int, ro
         mine = pa.Table.from_batches(got)
         lengths = mine.column(at).to_numpy().astype(np.int64)
         bins, offsets, fill = best_fit_decreasing(lengths, capacity)
-        bound = lower_bound(np.bincount(lengths, minlength=capacity + 1), capacity)
+        certified = len(fill) == lower_bound(np.bincount(lengths, minlength=capacity + 1), capacity)
+        gives = np.arange(len(fill)) == int(np.argmin(fill)) if certified else fill < capacity
         first = (number << 56) + (TaskContext.get().partitionId() << 28)
-        more = [first + bins, offsets, fill[bins], np.full(len(bins), bound)]
-        table = pa.Table.from_arrays([*mine.columns, *map(pa.array, more)], schema=schema)
+        table = pa.Table.from_arrays([*mine.columns, *map(pa.array, (first + bins, offsets, (gives & (fill < capacity))[bins]))], schema=schema)
         yield from table.to_batches(max_chunksize=10_000)
 
     return pieces.repartition(max(1, -(-rows // per_partition))).mapInArrow(run, out)
 
 
-def _sequences(packed: DataFrame) -> int:
-    return packed.filter("offset = 0").count()
-
-
-def pack(pieces: DataFrame, capacity: int = 4096, per_partition: int = PIECES_PER_PARTITION, rounds: int = 4) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = 4096, per_partition: int = PIECES_PER_PARTITION) -> DataFrame:
     """Adds sequence_id and offset to pieces with a `length` from 1 to `capacity`.
 
-    No pieces give no rows. Pieces of equal length are interchangeable; ties go to the first in the partition.
-    Sequences with less than 1/64 of their room left stay as they are; the others take part in each exchange.
+    No pieces give no rows. Pieces of equal length are interchangeable; ties go to the first in the partition. Each
+    exchange saves a sequence or is the last, and partitions that are certified give one sequence each, so that exchanges
+    soon have few pieces. Where an exchange saves nothing, the packing before it stays.
     """
     pieces = written(pieces, "pieces")
     counts = np.zeros(capacity + 1, np.int64)
     for length, n in pieces.groupBy("length").agg(F.count("*").alias("n")).collect():  # at most `capacity` rows
         counts[length] = n
-    bound, rows = lower_bound(counts, capacity), int(counts.sum())
-    packed, done, settled = written(_round(pieces, capacity, 0, per_partition, rows), "packed"), [], 0
-    total = _sequences(packed)
-    for number in range(1, rounds + 1):
-        if settled + total <= bound:
-            break
-        full, gaps = (packed.filter(c) for c in (F.col("fill") > capacity - capacity // 64, F.col("fill") <= capacity - capacity // 64))
-        rows, before = gaps.count(), _sequences(gaps)
+    bound = lower_bound(counts, capacity)
+    packed, done = written(_round(pieces, capacity, 0, per_partition, int(counts.sum())), "packed"), []
+    total, number = packed.filter("offset = 0").count(), 0
+    while total > bound:
+        given = packed.filter("gives")
+        rows, before = given.agg(F.count("*"), F.count(F.when(F.col("offset") == 0, 1))).first()
         if before < 2:
             break
-        again = written(_round(gaps, capacity, number, per_partition, rows), "packed")
-        after = _sequences(again)
-        if after >= before:
+        number += 1
+        again = written(_round(given, capacity, number, per_partition, rows), "packed")
+        saved = before - again.filter("offset = 0").count()
+        if saved <= 0:
             break
-        done.append(full)
-        settled, packed, total = settled + total - before, again, after
+        done.append(packed.filter("not gives"))
+        packed, total = again, total - saved
     for part in done:
         packed = packed.unionByName(part)
-    return packed.drop("fill", "bound")
+    return packed.drop("gives")
