@@ -14,7 +14,9 @@ def held_out(doc_id: str, parts: int, part: int) -> Column:
 
 
 def fit_sample(docs: DataFrame, labels: DataFrame, label: str, parts: int, part: int, rows: int = FIT_ROWS, text: str = "text") -> DataFrame:
-    """doc text and label of at most `rows` labelled documents outside the held-out part. Null labels teach nothing."""
+    """Text and label of at most `rows` documents outside the held-out part: ids are chosen among the labels, and of rows
+    with one id the one of least text counts. Null labels teach nothing."""
     known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id", parts, part)).select("doc_id", F.col(label).cast("int").alias("label"))
     chosen = known.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    return docs.select("doc_id", text).join(F.broadcast(chosen), "doc_id")  # `rows` ids at most are broadcast
+    own = docs.select("doc_id", text).join(F.broadcast(chosen), "doc_id")  # `rows` ids at most are broadcast
+    return own.groupBy("doc_id", "label").agg(F.min(text).alias(text))

@@ -19,6 +19,7 @@ from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, Stri
 
 from millrace.llm.folds import FIT_ROWS, fit_sample
 from millrace.llm.texts import map_texts
+from millrace.sources.tables import written
 
 # Letters of other scripts and the Latin ones that they look like.
 HOMOGLYPHS = str.maketrans("аеорсухіјѕһԁӏвкмнтгпԛԝαερουκνιτχγωβ", "aeopcyxijshdlbkmhtrnqwaepoukvitxywb")
@@ -111,15 +112,16 @@ def entries_of(word: str) -> list[str]:
     return [f"^{word}$", *(f"^{word[:n]}" for n in range(3, min(len(word), 12) + 1))]
 
 
-def learn(samples: list[tuple[str, int, int]], most: int = 500) -> Lexicon:
-    """A lexicon from (distinct words between spaces, number of words, label) of each sample. Without both labels it is empty.
+def learn(samples: list[tuple[str, int]], most: int = 500) -> Lexicon:
+    """Entries and weights from (distinct words between spaces, label) of each sample, without a curve. It is empty without
+    both labels, and then its constant score tells which one there was.
 
-    Entries are taken greedily: the one that adds most toxic documents less four times the clean ones, of equals the
-    longest, then the last in order; until none adds three. Whole words that six toxic documents have, and at most a
+    Entries are taken greedily, `most` of them at most: the one that adds most toxic documents less four times the clean
+    ones, of equals the longest, then the last in order; until none adds three. Whole words that six toxic documents have, and at most a
     twentieth as many clean ones, follow even where other entries cover their documents.
     """
     entries = lambda ws: {e for w in ws.split() for e in entries_of(w)}
-    toxic = [ws for ws, _, y in samples if y]
+    toxic = [ws for ws, y in samples if y]
     clean_n = len(samples) - len(toxic)
     if not toxic or not clean_n:
         return Lexicon((), 0.0, -3.0 if not toxic else 0.0)
@@ -133,7 +135,7 @@ def learn(samples: list[tuple[str, int, int]], most: int = 500) -> Lexicon:
         for e in entries(ws):
             if e in held:
                 held[e].add(i)
-    for ws, _, y in samples:
+    for ws, y in samples:
         if not y:
             for e in entries(ws):
                 if e in held:
@@ -148,11 +150,8 @@ def learn(samples: list[tuple[str, int, int]], most: int = 500) -> Lexicon:
         covered |= held[entry]
         live = {e for e in live if (n := len(held[e] - covered) - 4 * against[e]) >= 3 and (gain.__setitem__(e, n) or True)}
     chosen += [e for e in held if e.endswith("$") and e not in chosen and len(held[e]) >= 6 and 20 * against[e] <= len(held[e])]
-    weights = tuple((e, min(8.0, math.log((len(held[e]) + 0.5) / len(toxic)) - math.log((against[e] + 0.5) / clean_n))) for e in sorted(chosen))
-    matcher = Matcher(weights, ())
-    x = np.array([normalised(sum(w for _, w, _ in matcher.hits(f" {ws} ")), n) for ws, n, _ in samples])
-    slope, offset = logistic(x, np.array([y for *_, y in samples], float))
-    return Lexicon(weights, slope, offset)
+    weigh = lambda e: math.log((len(held[e]) + 0.5) / len(toxic)) - math.log((against[e] + 0.5) / clean_n)
+    return Lexicon(tuple((e, min(8.0, weigh(e))) for e in sorted(chosen)), 0.0, 0.0)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 40) -> tuple[float, float]:
@@ -169,20 +168,31 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 40)
     return float(b[0]), float(b[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, text: str = "text") -> Lexicon:
-    """Learns from at most `rows` labelled documents whose crc32 remainder by 4 isn't 2."""
-    sample = fit_sample(docs, labels, "toxic", 4, 2, rows, text)
-    fields = [StructField("words", StringType()), StructField("n", LongType())]
+def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, text: str = "text", exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
+    """Learns from at most `rows` labelled documents whose crc32 remainder by 4 isn't 2.
+
+    Entries come from the words of each; the curve is then fitted on the sums that scoring gives the same documents, with
+    the exceptions.
+    """
+    sample = written(fit_sample(docs, labels, "toxic", 4, 2, rows, text), "fit-sample")
+    seen = map_texts(sample, [StructField("words", StringType())], lambda: lambda texts: {"words": [" ".join(sorted(set(folded(t).split()))) for t in texts]}, text, ["label"], form="str")
+    lexicon = learn([(r.words, int(r.label == 1)) for r in seen.collect()])
+    if not lexicon.weights:
+        return lexicon
+    sums = [StructField("x", DoubleType())]
 
     def make() -> Callable[[list], dict]:
+        matcher = Matcher(lexicon.weights, exceptions)
+
         def run(texts: list) -> dict:
-            split = [folded(t).split() for t in texts]
-            return {"words": [" ".join(sorted(set(ws))) for ws in split], "n": [len(ws) for ws in split]}
+            whole = [folded(t) for t in texts]
+            return {"x": [normalised(sum(w for _, w, _ in matcher.hits(t)), t.count(" ") - 1) for t in whole]}
 
         return run
 
-    seen = map_texts(sample, fields, make, text, ["label"], form="str").collect()
-    return learn([(r.words, r.n, int(r.label == 1)) for r in seen])
+    got = np.array(sorted((r.x, float(r.label == 1)) for r in map_texts(sample, sums, make, text, ["label"], form="str").collect()))
+    slope, offset = logistic(got[:, 0], got[:, 1])
+    return Lexicon(lexicon.weights, slope, offset, exceptions)
 
 
 FIELDS = [StructField("score", DoubleType()), StructField("predicted", IntegerType()), StructField("n_matches", LongType()), StructField("matched", ArrayType(StringType()))]
@@ -191,7 +201,7 @@ FIELDS = [StructField("score", DoubleType()), StructField("predicted", IntegerTy
 def score(docs: DataFrame, lexicon: Lexicon, text: str = "text", keep: list[str] | None = None, threshold: float = PREDICTED_FROM) -> DataFrame:
     """Adds score, predicted, n_matches and the entries matched.
 
-    Null and empty texts have no matches and the score of none. Repeated rows are each scored; input columns named
+    Null and empty texts have no matches and the score of none; very long texts are matched whole. Repeated rows are each scored; input columns named
     like an added one give way.
     """
 
