@@ -15,7 +15,7 @@ from pyspark.sql.types import StringType
 from millrace.llm.texts import plain
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Rules that one literal index may hold; it is part of the plan.
+#: Rules that the literal index of judge() may hold, as it is part of the plan; judge_by_table() takes any number.
 MOST_RULES = 512
 
 
@@ -45,8 +45,22 @@ def host_word_rule(verdict: str, words: str) -> Rule:
 
 #: Rules of the stated list: (verdict, host, path).
 STATED = [prefix_rule(*r) for r in (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))]
-#: Words in hosts of link farms and of shops that live by spam.
-SPAM_HOSTS = ["spam-farm", "cheap-pills", "free-casino", "online-casino", "adult-cams", "payday-loans", "replica-watches", "link-exchange", "seo-links", "buy-followers"]
+# Hyphenated words in hosts of link farms, and of shops and sites that live by spam.
+SPAM_HOSTS = """
+spam-farm link-exchange link-farm link-building seo-links seo-services seo-backlinks buy-backlinks cheap-backlinks buy-followers buy-likes
+buy-views buy-subscribers buy-reviews cheap-pills buy-pills diet-pills weight-loss-pills online-pharmacy canadian-pharmacy cheap-pharmacy
+no-prescription buy-viagra cheap-viagra buy-cialis cheap-cialis generic-viagra generic-cialis buy-xanax buy-tramadol buy-steroids cheap-meds
+free-casino online-casino casino-bonus casino-online best-casino real-money-casino online-slots free-slots slot-online slot-gacor online-poker
+poker-online poker-bonus sports-betting betting-tips online-betting bet-online judi-online bingo-online roulette-online adult-cams adult-dating
+adult-chat adult-videos live-cams sex-cams free-porn porn-tube porn-videos xxx-videos sex-chat escort-service escort-girls hookup-sites
+payday-loans payday-loan cash-advance fast-loans instant-loans bad-credit-loans quick-cash no-credit-check get-rich make-money-fast earn-money-fast
+work-from-home-jobs binary-options forex-signals crypto-doubler bitcoin-doubler free-bitcoin bitcoin-generator replica-watches replica-handbags
+replica-rolex fake-watches cheap-jerseys cheap-nike cheap-jordans cheap-uggs cheap-oakley louis-vuitton-outlet michael-kors-outlet coach-outlet
+ray-ban-outlet essay-writing-service buy-essay write-my-essay custom-essays term-papers-online fake-diploma buy-degree fake-passport
+free-iphone free-gift-cards gift-card-generator free-robux free-vbucks cracked-software warez-download keygen-download serial-keys crack-download
+torrent-download free-movies-online watch-free-movies full-movie-download mp3-download-free free-ringtones toolbar-download pc-cleaner-free
+miracle-cure weight-loss-secrets lose-belly-fat penis-enlargement male-enhancement hair-loss-cure
+""".split()
 RULES = STATED + [host_word_rule("block", w) for w in SPAM_HOSTS]
 
 
@@ -76,11 +90,11 @@ def judge(pages: DataFrame, rules: list[Rule] | None = None, url: str = "url", o
 
     The rule of the highest rank that fits decides; of equal ranks the later name does. rule is its name, null for
     none and for rules without a name. A null URL, or one without ://, has empty host and path, so that no rule fits
-    it and the verdict is `otherwise`. Repeated rows are each judged; input columns named like an added one give way.
+    it and the verdict is `otherwise`. Very long URLs are judged whole. Repeated rows are each judged; input columns named like an added one give way.
     """
     rules = RULES if rules is None else rules
     if len(rules) > MOST_RULES:
-        raise ValueError(f"at most {MOST_RULES} rules can be part of a plan")
+        raise ValueError(f"more than {MOST_RULES} rules make the plan too large; use judge_by_table")
     added = {"host", "path", "rule", "verdict"}
     kept = [c for c in pages.columns if c.lower() not in added or c == url]
     frame = pages.select(*map(plain, kept), host_of(plain(url)).alias("__host"), path_of(plain(url)).alias("__path"))
@@ -104,6 +118,34 @@ def judge(pages: DataFrame, rules: list[Rule] | None = None, url: str = "url", o
     return frame.select(*[plain(c) for c in kept if c.lower() not in added], F.col("__host").alias("host"), F.col("__path").alias("path"), rule.alias("rule"), F.coalesce(best["verdict"], F.lit(otherwise)).alias("verdict"))
 
 
+_ADDED = {"host", "path", "rule", "verdict"}
+
+
+def judge_by_table(pages: DataFrame, rules: DataFrame, url: str = "url", otherwise: str = "allow", most_broadcast: int = 100_000) -> DataFrame:
+    """judge() for any number of rules, as rows (name, verdict, pattern, tokens, rank).
+
+    Each distinct host and path is judged once: its tokens meet the rules filed under them, and only those run. Rules
+    are broadcast up to a counted `most_broadcast` and shuffled by token beyond; the results are the same. Rules without
+    tokens are tried on every URL. The same cases have the same results as in judge().
+    """
+    kept = [c for c in pages.columns if c.lower() not in _ADDED or c == url]
+    frame = pages.select(*map(plain, kept), host_of(plain(url)).alias("__host"), path_of(plain(url)).alias("__path"))
+    keys = frame.select("__host", "__path").distinct()
+    asked = keys.select("__host", "__path", F.explode(F.array_append(tokens_of(F.concat("__host", "__path")), F.lit(""))).alias("token"))
+    asked = asked.distinct()
+    filed = rules.select("*", F.explode_outer("tokens").alias("token"))
+    seen = asked.join(filed.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count("*").alias("urls"))
+    rarest = filed.join(seen, "token", "left").groupBy("name", "verdict", "pattern", "rank").agg(F.min(F.struct(F.coalesce("urls", F.lit(0)), F.coalesce("token", F.lit("")).alias("token"))).alias("least"))
+    index = rarest.select("name", "verdict", "pattern", "rank", F.col("least.token").alias("token"))
+    if rules.limit(most_broadcast + 1).count() <= most_broadcast:
+        index = F.broadcast(index)
+    fits = asked.join(index, "token").filter(F.regexp_like(F.concat("__host", "__path"), F.col("pattern")))
+    best = fits.groupBy("__host", "__path").agg(F.max(F.struct("rank", "name", "verdict")).alias("best"))
+    rule = F.when(F.col("best.name") != "", F.col("best.name"))
+    out = [F.col("__host").alias("host"), F.col("__path").alias("path"), rule.alias("rule"), F.coalesce("best.verdict", F.lit(otherwise)).alias("verdict")]
+    return frame.join(best, ["__host", "__path"], "left").select(*[plain(c) for c in kept if c.lower() not in _ADDED], *out)
+
+
 def oracle() -> str:
     """DuckDB's form of judge(pages) with RULES."""
     host = "translate(regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)', 1), '" + UPPER + "', '" + LOWER + "')"
