@@ -27,8 +27,16 @@ _PLACE = ["first_id", "first_hash", "first_a", "first_e"]
 
 
 def words_in(line: Column) -> Column:
-    """Words between white space, and characters of scripts without spaces; 0 for a blank line."""
-    return F.regexp_count(line, F.lit(WORD))
+    """Words between white space, and characters of scripts without spaces; 0 for a blank line.
+
+    Where single spaces part the words, which is nearly always, the spaces are counted; the expression takes the rest.
+    """
+    uneven = line.contains("  ") | line.startswith(" ") | line.endswith(" ")
+    for sign in "\t\r\f\v":
+        uneven = uneven | line.contains(sign)
+    unspaced = (F.octet_length(line) > F.length(line)) & line.rlike(f"[{_SINGLE}{_FOURS}]")
+    spaces = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" ")))
+    return F.when(line == "", 0).when(uneven | unspaced, F.regexp_count(line, F.lit(WORD))).otherwise(spaces + 1)
 
 
 def lines_of(text: Column) -> Column:
@@ -37,15 +45,15 @@ def lines_of(text: Column) -> Column:
 
 def _windows(docs: DataFrame, least_words: int) -> DataFrame:
     """A row for each chunk: the places of its first and last line, a and e, the number k of its first line among those
-    with words, and its 128-bit hash (h, g)."""
+    with words, and its hash h. Bytes are compared later, so that 64 bits are enough."""
     n = max(1, least_words)
 
     def line(x: Column, i: Column) -> Column:
-        return F.struct(F.least(words_in(x), F.lit(n)).alias("w"), F.xxhash64(x).alias("h"), F.xxhash64(F.lit(1), x).alias("g"), i.alias("i"))
+        return F.struct(F.least(words_in(x), F.lit(n)).alias("w"), F.xxhash64(x).alias("h"), i.alias("i"))
 
     step = docs.select(*_KEY, F.filter(F.transform(lines_of(F.col("text")), line), lambda x: x["w"] > 0).alias("facts"))
     # The line of each word, of n words a line at most: a chunk is the lines of n words in a row.
-    names = F.transform("facts", lambda x: F.struct(x["h"], x["g"]))
+    names = F.transform("facts", lambda x: x["h"])
     step = step.select(*_KEY, "facts", names.alias("names"), F.flatten(F.transform("facts", lambda x, i: F.array_repeat(i, x["w"]))).alias("p"))
     held = F.greatest(F.size("p") - n + 1, F.lit(0))
     pairs = F.array_distinct(F.zip_with(F.slice("p", 1, held), F.slice("p", n, held), lambda a, e: F.shiftleft(a.cast("long"), 32) + e))
@@ -55,7 +63,7 @@ def _windows(docs: DataFrame, least_words: int) -> DataFrame:
         a, e = F.shiftright(x, 32).cast("int"), x.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
         own = F.slice("names", a + 1, e - a + 1)
         place = lambda at: F.get("facts", at)["i"]
-        return F.struct(F.xxhash64(own).alias("h"), F.xxhash64(F.lit(1), own).alias("g"), place(a).alias("a"), place(e).alias("e"), a.alias("k"))
+        return F.struct(F.xxhash64(own).alias("h"), place(a).alias("a"), place(e).alias("e"), a.alias("k"))
 
     return step.select(*_KEY, F.inline_outer(F.transform("pairs", window))).filter("a is not null")
 
@@ -70,12 +78,12 @@ def _islands(rows: DataFrame, keys: list[str]) -> DataFrame:
 def repeated_runs(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """Runs of lines, from a to e, whose chunks all stand first at first_a to first_e of one other place."""
     rows = written(_windows(docs, least_words), "windows")
-    first = rows.groupBy("h", "g").agg(F.count("*").alias("n"), F.min(F.struct(*_KEY, "a", "e", "k")).alias("first"))
-    repeated = written(first.filter("n > 1").select("h", "g", "first"), "repeated")
-    met = rows.join(repeated, ["h", "g"])
+    first = rows.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct(*_KEY, "a", "e", "k")).alias("first"))
+    repeated = written(first.filter("n > 1").select("h", "first"), "repeated")
+    met = rows.join(repeated, "h")
     met = met.filter(~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("hash") == F.col("first.hash")) & (F.col("a") == F.col("first.a"))))
     places = [F.col("first.id").alias("first_id"), F.col("first.hash").alias("first_hash"), F.col("first.a").alias("first_a"), F.col("first.e").alias("first_e")]
-    met = met.select(*_KEY, "a", "e", *places, (F.col("k") - F.col("first.k")).alias("lag")).distinct()
+    met = met.select(*_KEY, "a", "e", *places, (F.col("k") - F.col("first.k")).alias("lag"))
     keys = [*_KEY, "first_id", "first_hash", "lag"]
     bounds = [F.min("a").alias("a"), F.max("e").alias("e"), F.min("first_a").alias("first_a"), F.max("first_e").alias("first_e")]
     return _islands(met, keys).groupBy(*keys, "run").agg(*bounds).drop("lag", "run")
@@ -84,15 +92,15 @@ def repeated_runs(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
 def differing(docs: DataFrame, runs: DataFrame) -> DataFrame:
     """The first places of runs with which some run does not agree byte for byte, lines without words aside.
 
-    Every text is read once, with all its ranges. The least and the greatest bytes of all that should be equal are enough.
+    Every text is read once, with all its ranges. Equal texts become one in each partition before they are shuffled.
     """
     own = runs.select(*_KEY, "a", "e", *_PLACE)
     theirs = runs.select(F.col("first_id").alias("id"), F.col("first_hash").alias("hash"), F.col("first_a").alias("a"), F.col("first_e").alias("e"), *_PLACE).distinct()
-    ranges = own.union(theirs).groupBy(*_KEY).agg(F.collect_list(F.struct("a", "e", *_PLACE)).alias("ranges")).select(F.col("id").alias("own_id"), F.col("hash").alias("own_hash"), "ranges")
+    ranges = own.union(theirs).groupBy(*_KEY).agg(F.collect_list(F.struct("a", "e", *_PLACE)).alias("ranges")).select(F.col("id").alias("own_id"), F.col("hash").alias("own_hash"), "ranges").hint("merge")
     whole = docs.join(ranges, docs["id"].eqNullSafe(ranges["own_id"]) & (docs["hash"] == ranges["own_hash"])).select(lines_of(F.col("text")).alias("lines"), "ranges")
     cut = lambda r: F.array_join(F.filter(F.slice("lines", r["a"] + 1, r["e"] - r["a"] + 1), lambda x: x.rlike(r"\S")), "\n")
     texts = whole.select(F.inline(F.transform("ranges", lambda r: F.struct(*[r[c].alias(c) for c in _PLACE], cut(r).alias("t")))))
-    return texts.groupBy(*_PLACE).agg(F.min("t").alias("low"), F.max("t").alias("high")).filter("low <> high").select(*_PLACE)
+    return texts.distinct().groupBy(*_PLACE).agg(F.count("*").alias("n")).filter("n > 1").select(*_PLACE)
 
 
 def removed_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
@@ -117,7 +125,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     stay. A very long text is one row with its lines. An input column n_removed_words gives way.
     """
     kept = [c for c in (docs.columns if keep is None else keep) if c.lower() != "n_removed_words"]
-    gone = removed_lines(docs.select(plain(doc_id).alias("id"), F.xxhash64(plain(text)).alias("hash"), plain(text).alias("text")), least_words)
+    gone = removed_lines(docs.select(plain(doc_id).alias("id"), F.xxhash64(plain(text)).alias("hash"), plain(text).alias("text")), least_words).hint("merge")
     whole = docs.select(*map(plain, kept), plain(doc_id).alias("__id"), F.xxhash64(plain(text)).alias("__hash"), plain(text).alias("__text"))
     met = whole.join(gone, whole["__id"].eqNullSafe(gone["id"]) & (whole["__hash"] == gone["hash"]), "left")
     lines = lines_of(F.col("__text"))
