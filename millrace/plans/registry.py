@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.plans import admission, changes, evaluation, experiments, graphs, ordered, packing, resolution, retrieval, rollups, scoring, states, streams  # noqa: F401
+from millrace.plans import admission, changes, evaluation, expansion, experiments, graphs, lifecycle, ordered, packing, reports, resolution, retrieval, rollups, scoring, states, streams  # noqa: F401
 from millrace.plans.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
