@@ -7,13 +7,29 @@ from pyspark.sql import Column, functions as F
 # Trailers that name people, an address, and how a reference to an issue is declared.
 TRAILER = r"(?i)^\s*(signed-off-by|co-authored-by|reviewed-by|acked-by|reported-by|tested-by)\s*:"
 ADDRESS = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
-FIXES, MENTION = r"(?i)\b(?:fix(?:es|ed)?|close[sd]?|resolve[sd]?)\s+#(\d+)", r"#(\d+)"
+FIXES = r"(?i)\b(?:fix(?:e[sd])?|close[sd]?|resolve[sd]?)\s*:?\s+(?:#|GH-)(\d{1,7})\b"
+MENTION = r"(?:^|[^\w/#])#(\d{1,7})\b"
+MERGES, SQUASHED = r"^Merge pull request #(\d{1,7})", r"\(#(\d{1,7})\)\s*$"
+URL_REFERENCE = r"https?://[^\s/]+/([\w.-]+/[\w.-]+)/(?:issues|pull)/(\d{1,7})"
+#: Kinds of references, the weakest first.
+LINKS = ("mentions", "squashed", "merges", "declares_fix")
 # Kinds of path by folder, name and ending; the first that fits counts.
-TEST, MIGRATION, SCHEMA = r"(^|/)(tests?|__tests__)/|(^|/)test_|(\.test|\.spec|_test)\.", "migration", "schema"
-DOC, CONFIG, SOURCE = r"\.(md|rst|txt)$", r"\.(json|toml|ya?ml|ini|cfg)$|config", r"\.(py|js|ts|go|rs|java|rb|c|h|cpp|sh|css)$"
+TEST = r"(^|/)(tests?|__tests__)/|(^|/)test_[^/]*$|(\.test|\.spec|_test)\.[^/]*$"
+MANIFEST = r"(^|/)(package\.json|pyproject\.toml|requirements\.txt|go\.mod|Cargo\.toml|Gemfile|composer\.json|Makefile|CMakeLists\.txt)$"
+WORKFLOW, MIGRATION, SCHEMA = r"(?i)\.github/workflows/", r"(?i)migration", r"(?i)schema[^/]*$"
+DOC, CONFIG = r"(?i)\.(md|rst|txt)$", r"(?i)\.(json|toml|yaml|yml|ini|cfg)$|config[^/]*$"
+SOURCE = r"(?i)\.(py|js|ts|tsx|jsx|vue|svelte|go|rs|java|rb|c|h|cpp|cs|swift|css|scss|sh)$"
+KINDS = (("test", TEST), ("manifest", MANIFEST), ("workflow", WORKFLOW), ("migration", MIGRATION), ("schema", SCHEMA), ("doc", DOC), ("config", CONFIG), ("source", SOURCE))
 # Folders, lock files and names that are never read, with the reason.
-SKIPPED = r"(^|/)(node_modules|dist|build|vendor|\.git|__pycache__)(/|$)|(^|/)(package-lock\.json|yarn\.lock|poetry\.lock|Cargo\.lock)$"
-MINIFIED, CREDENTIAL = r"\.(map|snap)$|\.min\.", r"(^|/)(\.env|credentials|secrets|\.npmrc$|\.netrc$|id_rsa$)|\.(pem|key|p12|pfx|keystore)$"
+SKIPPED_FOLDERS = (
+    r"\.git|node_modules|vendor|dist|build|out|\.next|target|coverage|__pycache__|\.venv|venv|Pods|\.terraform|__snapshots__|\.cache|\.tox|"
+    r"\.mypy_cache|\.pytest_cache|generated|generated-clients"
+)
+LOCK_FILES = r"package-lock\.json|yarn\.lock|pnpm-lock\.yaml|poetry\.lock|Cargo\.lock|Gemfile\.lock|uv\.lock|composer\.lock|bun\.lockb?"
+SKIPPED = rf"(^|/)({SKIPPED_FOLDERS})(/|$)|(^|/)({LOCK_FILES})$"
+MINIFIED = r"(?i)\.(map|snap)$|\.min\.[^/]*$"
+CREDENTIAL = r"(?i)(^|/)(\.env|credentials|secrets)[^/]*$|(^|/)(\.npmrc|\.pypirc|\.netrc|id_rsa|id_ed25519|id_ecdsa)$|\.(pem|key|p12|pfx|keystore)$"
+REASONS = (("generated", SKIPPED), ("minified", MINIFIED), ("credential", CREDENTIAL))
 # What a review of a package looks for, by severity.
 REVIEW = (("high", r"(?i)\b(curl|wget)\b[^\n]*\|\s*(ba)?sh"), ("high", r"(?i)\brm\s+-rf\b"), ("medium", r"(?i)https?://"), ("low", r"(?i)\btoken\b"))
 
@@ -26,22 +42,30 @@ def sanitized(message: Column, most: int = 2000) -> Column:
 
 
 def references(message: Column) -> Column:
-    """An array of (number, strength): 3 for a declared fix, 1 for a mention. A number can occur more than once."""
-    found = lambda p, s: F.transform(F.regexp_extract_all(message, F.lit(p), F.lit(1)), lambda n: F.struct(n.alias("number"), F.lit(s).alias("strength")))
-    return F.concat(found(FIXES, 3), found(MENTION, 1))
+    """An array of (repository, number, strength), where strength is a place in LINKS. A number can occur more than once;
+    repository is null but for addresses. Merges and squashes are read from the first line."""
+    subject, none = F.get(F.split(message, "\n"), 0), F.lit(None).cast("string")
+
+    def found(text: Column, pattern: str, link: str) -> Column:
+        numbers = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+        return F.transform(numbers, lambda n: F.struct(none.alias("repository"), n.alias("number"), F.lit(LINKS.index(link)).alias("strength")))
+
+    places, numbers = (F.regexp_extract_all(message, F.lit(URL_REFERENCE), F.lit(i)) for i in (1, 2))
+    linked = F.zip_with(places, numbers, lambda r, n: F.struct(r.alias("repository"), n.alias("number"), F.lit(0).alias("strength")))
+    return F.concat(found(subject, MERGES, "merges"), found(subject, SQUASHED, "squashed"), found(message, FIXES, "declares_fix"), linked, found(message, MENTION, "mentions"))
+
+
+def _first(path: Column, table: tuple[tuple[str, str], ...], otherwise: str | None) -> Column:
+    return F.coalesce(*[F.when(F.rlike(path, F.lit(pattern)), name) for name, pattern in table], F.lit(otherwise))
 
 
 def path_kind(path: Column) -> Column:
-    low = F.lower(path)
-    fits = lambda p: F.rlike(low, F.lit(p))
-    return F.when(fits(TEST), "test").when(fits(MIGRATION), "migration").when(fits(SCHEMA), "schema").when(fits(DOC), "doc").when(fits(CONFIG), "config").when(fits(SOURCE), "source").otherwise("other")
+    return _first(path, KINDS, "other")
 
 
 def skip_reason(path: Column) -> Column:
     """Why a path is not read; null for one that is."""
-    low = F.lower(path)
-    fits = lambda p: F.rlike(low, F.lit(p))
-    return F.when(fits(SKIPPED), "generated").when(fits(MINIFIED), "minified").when(fits(CREDENTIAL), "credential")
+    return _first(path, REASONS, None)
 
 
 def test_counts(output: Column) -> Column:

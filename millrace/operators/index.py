@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from millrace.functions import tokens
+
 #: Lower-case terms of three characters or more.
 TERM = "[a-z_][a-z0-9_]{2,79}"
 
@@ -17,6 +19,13 @@ def postings(frame: DataFrame, key: str, text: str) -> DataFrame:
     return terms_of(frame, key, text).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
+def identifier_postings(frame: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, term, tf) over the terms that identifiers expand to. Identifiers are counted in a document first, so that
+    each is taken apart once."""
+    counted = frame.select(key, F.explode(tokens.identifiers(F.col(text))).alias("id")).groupBy(key, "id").agg(F.count("*").alias("n"))
+    return counted.select(key, "n", F.explode(tokens.expand(F.col("id"))).alias("term")).groupBy(key, "term").agg(F.sum("n").alias("tf"))
+
+
 def top_terms(postings: DataFrame, key: str, k: int) -> DataFrame:
     """The k most frequent terms of each document; ties by term."""
     order = Window.partitionBy(key).orderBy(F.desc("tf"), "term")

@@ -9,7 +9,9 @@ from millrace.plans.base import query
 from millrace.sources.tables import table
 
 #: Names for the fixtures below, from the number of a document. Spark and SQL share the list.
-_NAMES = ("src/core/engine.py", "tests/test_engine.py", "docs/guide.md", "config/app.toml", "node_modules/x/index.js", "web/app.min.js", ".env.local", "db/migrations/0001.sql", "api/schema.json", "lib/parse_test.go", "assets/logo.png", "poetry.lock", "src/util/io.rs")
+_NAMES = (
+    ".github/workflows/ci.yml", "pyproject.toml", "requirements.txt", ".venv/lib/x.py", "target/y.rs", "go/go.mod", "pnpm-lock.yaml", ".pypirc", "schema/notes.md", "app/configure.h",
+    "src/core/engine.py", "tests/test_engine.py", "docs/guide.md", "config/app.toml", "node_modules/x/index.js", "web/app.min.js", ".env.local", "db/migrations/0001.sql", "api/schema.json", "lib/parse_test.go", "assets/logo.png", "poetry.lock", "src/util/io.rs")
 _PATH = f"([{', '.join(repr(n) for n in _NAMES)}])[1 + doc_id % {len(_NAMES)}]"
 
 
@@ -18,8 +20,11 @@ def _named(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").withColumn("path", path)
 
 
-_KIND = f"CASE WHEN regexp_matches(lower(path), '{texts.TEST}') THEN 'test' WHEN contains(lower(path), 'migration') THEN 'migration' WHEN contains(lower(path), 'schema') THEN 'schema' WHEN regexp_matches(lower(path), '{texts.DOC}') THEN 'doc' WHEN regexp_matches(lower(path), '{texts.CONFIG}') THEN 'config' WHEN regexp_matches(lower(path), '{texts.SOURCE}') THEN 'source' ELSE 'other' END"
-_SKIP = f"CASE WHEN regexp_matches(lower(path), '{texts.SKIPPED}') THEN 'generated' WHEN regexp_matches(lower(path), '{texts.MINIFIED}') THEN 'minified' WHEN regexp_matches(lower(path), '{texts.CREDENTIAL}') THEN 'credential' END"
+def _case(table: tuple[tuple[str, str], ...], otherwise: str) -> str:
+    return "CASE " + " ".join(f"WHEN regexp_matches(path, '{pattern}') THEN '{name}'" for name, pattern in table) + f" ELSE {otherwise} END"
+
+
+_KIND, _SKIP = _case(texts.KINDS, "'other'"), _case(texts.REASONS, "NULL")
 
 
 @query(f"SELECT doc_id, path, {_KIND} AS kind, {_SKIP} AS skipped FROM (SELECT doc_id, {_PATH} AS path FROM documents)")
@@ -46,20 +51,28 @@ def path_suffix_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.select("source", "path", F.explode(suffixes).alias("wanted")).join(F.broadcast(wanted), "wanted").select("source", "path", "wanted", F.when(F.col("path") == F.col("wanted"), "exact").otherwise("suffix").alias("how"))
 
 
-_MESSAGE = "('Fix #' || doc_id || ' in ' || source || chr(10) || 'see #' || (doc_id % 7) || ', closes #' || (doc_id % 5) || chr(10) || 'Signed-off-by: a b <a.b@example.org>' || chr(10) || coalesce(substr(text, 1, 300), ''))"
+_SUBJECT = "CASE doc_id % 4 WHEN 0 THEN 'Merge pull request #' || doc_id WHEN 1 THEN 'Tidy ' || source || ' (#' || doc_id || ')' ELSE 'Fix #' || doc_id || ' in ' || source END"
+_LINES = "'see #' || (doc_id % 7) || ', closes #' || (doc_id % 5)", "'on https://example.org/a/b/issues/' || (doc_id % 9)", "'Signed-off-by: a b <a.b@example.org>'", "coalesce(text, '')"
+_MESSAGE = f"({' || chr(10) || '.join((_SUBJECT, *_LINES))})"
 
 
 def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s, i = F.lit, F.col("doc_id").cast("string")
-    lines = (F.concat(s("Fix #"), i, s(" in "), "source"), F.concat(s("see #"), (F.col("doc_id") % 7).cast("string"), s(", closes #"), (F.col("doc_id") % 5).cast("string")), s("Signed-off-by: a b <a.b@example.org>"), F.coalesce(F.substring("text", 1, 300), s("")))
-    return table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("\n", *lines).alias("message"))
+    """Whole texts under a subject and trailers."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.expr(_MESSAGE).alias("message"))
+
+
+def _found(text: str, pattern: str, strength: int) -> str:
+    return f"SELECT doc_id, NULL AS repository, unnest(regexp_extract_all({text}, '{pattern}', 1)) AS number, {strength} AS s FROM m"
 
 
-@query(f"WITH m AS (SELECT doc_id, {_MESSAGE} AS m FROM documents), r AS (SELECT doc_id, unnest(regexp_extract_all(m, '(?i)\\b(?:fix(?:es|ed)?|close[sd]?|resolve[sd]?)\\s+#(\\d+)', 1)) AS number, 3 AS s FROM m UNION ALL SELECT doc_id, unnest(regexp_extract_all(m, '#(\\d+)', 1)), 1 FROM m) SELECT doc_id, number, CASE max(s) WHEN 3 THEN 'declares_fix' ELSE 'mentions' END AS link FROM r GROUP BY doc_id, number")
+@query(f"""WITH m AS (SELECT doc_id, {_MESSAGE} AS m, {_SUBJECT} AS subject FROM documents), r AS ({_found("subject", texts.MERGES, 2)} UNION ALL {_found("subject", texts.SQUASHED, 1)} UNION ALL {_found("m", texts.FIXES, 3)}
+UNION ALL {_found("m", texts.MENTION, 0)} UNION ALL SELECT doc_id, unnest(regexp_extract_all(m, '{texts.URL_REFERENCE}', 1)), unnest(regexp_extract_all(m, '{texts.URL_REFERENCE}', 2)), 0 FROM m)
+SELECT doc_id, repository, number, CASE max(s) WHEN 3 THEN 'declares_fix' WHEN 2 THEN 'merges' WHEN 1 THEN 'squashed' ELSE 'mentions' END AS link FROM r GROUP BY doc_id, repository, number""")
 def issue_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers that a message refers to, each with the strongest link."""
     found = _messages(spark, sf_dir).select("doc_id", F.inline(texts.references(F.col("message"))))
-    return found.groupBy("doc_id", "number").agg(F.when(F.max("strength") == 3, "declares_fix").otherwise("mentions").alias("link"))
+    link = F.element_at(F.array(*map(F.lit, texts.LINKS)), F.max("strength") + 1)
+    return found.groupBy("doc_id", "repository", "number").agg(link.alias("link"))
 
 
 @query(f"WITH m AS (SELECT doc_id, string_split(regexp_replace({_MESSAGE}, '[\\x00-\\x08\\x0B-\\x1F\\x7F]', '', 'g'), chr(10)) AS l FROM documents) SELECT doc_id, md5(substr(trim(regexp_replace(array_to_string(list_filter(l, lambda x: NOT regexp_matches(x, '{texts.TRAILER}')), chr(10)), '{texts.ADDRESS}', '<redacted>', 'g')), 1, 2000)) AS sanitized_md5 FROM m")

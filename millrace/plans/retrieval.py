@@ -68,13 +68,38 @@ def tok_camel_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(tokens.parts(name), "|").alias("parts"))
 
 
-@query(f"WITH w AS (SELECT DISTINCT w FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]{{1,79}}')) AS w FROM conversations)), p AS (SELECT w AS id, unnest(regexp_extract_all(regexp_replace(w, '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g'), '[A-Z]?[a-z]+|[A-Z]+|\\d+')) AS w FROM w), n AS (SELECT id, {_NORMAL} AS t FROM p), a AS (SELECT id, t FROM n WHERE length(t) > 1 UNION SELECT w AS id, {_NORMAL} AS t FROM w) SELECT id AS identifier, string_agg(t, ' ' ORDER BY t) AS terms FROM a GROUP BY id")
+_PIECES = "regexp_extract_all(regexp_replace(w, '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g'), '[A-Z]?[a-z]+|[A-Z]+|\\d+')"
+#: Terms of identifiers: relation {0} has (key, w), and the result (key, id, t).
+_EXPANDED = (
+    "p AS (SELECT key, w AS id, unnest(" + _PIECES + ") AS w FROM {0}), n AS (SELECT key, id, " + _NORMAL + " AS t FROM p WHERE length(w) > 1), "
+    "many AS (SELECT id FROM (SELECT DISTINCT w AS id, " + _PIECES + " AS s FROM {0}) WHERE len(list_filter(s, lambda x: length(x) > 1)) > 1 OR regexp_matches(id, '[A-Z]')), "
+    "terms AS (SELECT DISTINCT key, id, t FROM n UNION SELECT DISTINCT key, w, w FROM {0} WHERE w IN (SELECT id FROM many))"
+)
+
+
+@query(f"WITH w AS (SELECT DISTINCT 0 AS key, w FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]{{1,79}}')) AS w FROM conversations)), {_EXPANDED.format('w')} SELECT id AS identifier, string_agg(t, ' ' ORDER BY t) AS terms FROM terms GROUP BY id")
 def tok_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Identifiers without a part of two characters have no terms and give no row."""
     words = table(spark, sf_dir, "conversations").select(F.explode(tokens.identifiers(F.col("text"))).alias("identifier")).distinct()
-    return words.select("identifier", F.array_join(tokens.expand(F.col("identifier")), " ").alias("terms"))
+    return words.select("identifier", F.array_join(F.array_sort(tokens.expand(F.col("identifier"))), " ").alias("terms")).filter("terms <> ''")
+
+
+@query(f"""WITH c AS (SELECT doc_id AS key, w, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]{{1,79}}')) AS w FROM documents) GROUP BY 1, 2), {_EXPANDED.format('c')}
+SELECT t AS term, count(DISTINCT terms.key) AS df, CAST(sum(c.n) AS BIGINT) AS tf FROM terms JOIN c ON c.key = terms.key AND c.w = terms.id GROUP BY t""")
+def idx_identifier_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index on expanded identifiers: a compound one is found as it is written and by each of its parts."""
+    found = index.identifier_postings(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return found.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+
+
+def _redacted(text: str) -> str:
+    for pattern in tokens.SECRETS:
+        quoted = pattern.replace("'", "''")
+        text = f"regexp_replace({text}, '{quoted}', '{tokens.PLACEHOLDER}', 'g')"
+    return text
 
 
-@query("""SELECT doc_id, md5(t) AS redacted_md5, t <> text AS changed FROM (SELECT doc_id, text, regexp_replace(regexp_replace(regexp_replace(text, '(token|key|secret|password)\\s*=\\s*"[^"]*"', '[secret]', 'g'), '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}', '[email]', 'g'), '\\+[0-9][0-9() .-]{7,}[0-9]', '[phone]', 'g') AS t FROM documents)""")
+@query(f"SELECT doc_id, md5(t) AS redacted_md5, t <> text AS changed FROM (SELECT doc_id, text, {_redacted('text')} AS t FROM documents)")
 def redact_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = tokens.redact(F.col("text"))
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(t).alias("redacted_md5"), (t != F.col("text")).alias("changed"))
