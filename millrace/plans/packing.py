@@ -26,12 +26,12 @@ def packet_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packets.chosen_files(_bm25(spark, sf_dir).join(d, "doc_id").select("query_id", "doc_id", "rank", F.coalesce("limited", F.lit(False)).alias("limited"), "content"), "doc_id", 10, 4)
 
 
-@query("WITH e AS (SELECT l_partkey AS path, l_suppkey AS other, CASE l_returnflag WHEN 'A' THEN 'calls' WHEN 'N' THEN 'imports' ELSE 'references' END AS kind FROM lineitem), b AS (SELECT path, other, arg_min(kind, CASE kind WHEN 'calls' THEN 1 WHEN 'references' THEN 2 ELSE 3 END) AS kind FROM e WHERE other <= 50 GROUP BY path, other) SELECT path, other, kind, CAST(row_number() OVER (PARTITION BY path ORDER BY other % 7, other) AS INTEGER) AS place FROM b QUALIFY row_number() OVER (PARTITION BY path ORDER BY other % 7, other) <= 4")
+@query("WITH e AS (SELECT l_partkey AS path, l_suppkey AS other, CASE l_returnflag WHEN 'A' THEN 'calls' WHEN 'N' THEN 'imports' ELSE 'references' END AS kind FROM lineitem), b AS (SELECT path, other, arg_min(kind, CASE kind WHEN 'calls' THEN 1 WHEN 'references' THEN 2 ELSE 3 END) AS kind FROM e GROUP BY path, other) SELECT path, other, kind, CAST(row_number() OVER (PARTITION BY path ORDER BY other % 7, other) AS INTEGER) AS place FROM b QUALIFY row_number() OVER (PARTITION BY path ORDER BY other % 7, other) <= 4")
 def relationship_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers as neighbours of parts, the first fifty of them near."""
+    """Suppliers as neighbours of parts: four lines a part, the strongest kind for each neighbour."""
     kind = F.when(F.col("l_returnflag") == "A", "calls").when(F.col("l_returnflag") == "N", "imports").otherwise("references")
     edges = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("path"), F.col("l_suppkey").alias("other"), kind.alias("kind"))
-    near = table(spark, sf_dir, "supplier").filter("s_suppkey <= 50").select(F.col("s_suppkey").alias("other"), (F.col("s_suppkey") % 7).alias("rank"))
+    near = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("other"), (F.col("s_suppkey") % 7).alias("rank"))
     return packets.strongest_relations(edges, near, ["calls", "references", "imports"])
 
 

@@ -11,12 +11,12 @@ from millrace.sources.tables import table
 _FILES = "f AS (SELECT p_partkey AS path, lower(p_type) || '.' || replace(p_name, ' ', '.') || CASE WHEN p_partkey % 3 = 0 THEN '' ELSE '.m' || (p_partkey % 40) END AS module FROM part)"
 
 
-@query(f"WITH {_FILES}, s AS (SELECT DISTINCT unnest([module, regexp_replace(module, '^[^.]*\\.', ''), 'm' || (path % 40), regexp_extract(module, '[^.]*\\.[^.]*$')]) AS spec FROM f WHERE path % 20 = 1), e AS (SELECT spec, min(path) AS path FROM s JOIN f ON module = spec GROUP BY spec), x AS (SELECT spec, min(path) AS path FROM s JOIN f ON module = spec OR ends_with(module, '.' || spec) WHERE spec NOT IN (SELECT spec FROM e) GROUP BY spec HAVING count(*) = 1) SELECT spec, path, 'exact' AS how FROM e UNION ALL SELECT spec, path, 'suffix' FROM x")
+@query(f"WITH {_FILES}, s AS (SELECT DISTINCT unnest([module, regexp_replace(module, '^[^.]*\\.', ''), 'm' || (path % 40), regexp_extract(module, '[^.]*\\.[^.]*$')]) AS spec FROM f), e AS (SELECT spec, min(path) AS path FROM s JOIN f ON module = spec GROUP BY spec), x AS (SELECT spec, min(path) AS path FROM s JOIN f ON module = spec OR ends_with(module, '.' || spec) WHERE spec NOT IN (SELECT spec FROM e) GROUP BY spec HAVING count(*) = 1) SELECT spec, path, 'exact' AS how FROM e UNION ALL SELECT spec, path, 'suffix' FROM x")
 def module_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     tail = F.when(F.col("p_partkey") % 3 == 0, "").otherwise(F.concat(F.lit(".m"), F.col("p_partkey") % 40))
     files = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("path"), F.concat(F.lower("p_type"), F.lit("."), F.translate("p_name", " ", "."), tail).alias("module"))
     asked = F.array("module", F.regexp_replace("module", r"^[^.]*\.", ""), F.concat(F.lit("m"), F.col("path") % 40), F.regexp_extract("module", r"[^.]*\.[^.]*$", 0))
-    return resolve.modules(files.filter("path % 20 = 1").select(F.explode(asked).alias("spec")), files)
+    return resolve.modules(files.select(F.explode(asked).alias("spec")), files)
 
 
 @query("WITH w AS (SELECT DISTINCT conv_id, role, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS name FROM conversations), d AS (SELECT DISTINCT conv_id AS target, name FROM w WHERE role = 'assistant' AND length(name) >= 6), n AS (SELECT name, count(*) AS n FROM d GROUP BY name HAVING count(*) <= 3), u AS (SELECT DISTINCT conv_id AS source, name FROM w WHERE role = 'user') SELECT source, target, name, CASE WHEN n = 1 THEN 'resolved' ELSE 'candidate' END AS status FROM u JOIN d USING (name) JOIN n USING (name) WHERE NOT EXISTS (SELECT 1 FROM d o WHERE o.target = u.source AND o.name = u.name)")
