@@ -30,10 +30,11 @@ def overlap(ranked: DataFrame, key: str) -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.count("*").alias("shared"))
 
 
-def sign_test(pairs: DataFrame, z: float = 1.959964) -> DataFrame:
+def sign_test(pairs: DataFrame, z: float = 1.959964, most_terms: int = 100_000) -> DataFrame:
     """One row: discordant pairs, exact two-sided sign p, and Wald's interval of the share; null with none discordant.
 
-    The tail is summed from logarithms, term after term, on the one row of counts.
+    The tail is summed from logarithms, term after term, on the one row of counts: up to `most_terms` from its end, and
+    beyond from its greatest term down, as far as terms count in double precision.
     """
     count = lambda c: F.count(F.when(c, 1))
     got = pairs.agg(F.count("*").alias("n"), count(F.col("a") > F.col("b")).alias("wins"), count(F.col("a") < F.col("b")).alias("losses"))
@@ -41,7 +42,15 @@ def sign_test(pairs: DataFrame, z: float = 1.959964) -> DataFrame:
     start = F.struct((-m * math.log(2)).cast("double").alias("l"), F.exp(-m * math.log(2)).alias("s"))
     step = lambda a, k: F.struct((a["l"] + F.log((m - k + 1) / k)).alias("l"), (a["s"] + F.exp(a["l"] + F.log((m - k + 1) / k))).alias("s"))
     ks = F.when(least > 0, F.sequence(F.lit(1).cast("long"), least)).otherwise(F.array().cast("array<bigint>"))
-    tail = F.aggregate(ks, start, step, lambda a: a["s"])
+    exact = F.aggregate(ks, start, step, lambda a: a["s"])
+    # Stirling's series for ln n! is good to the last places at such sizes.
+    log_factorial = lambda n: n * F.log(n) - n + F.log(2 * math.pi * n) / 2 + 1 / (12 * n) - 1 / (360 * n * n * n)
+    x, k = m.cast("double"), least.cast("double")
+    top = log_factorial(x) - log_factorial(k) - log_factorial(x - k) - x * math.log(2)
+    down = lambda a, i: F.struct((a["l"] + F.log((k - i + 1) / (x - k + i))).alias("l"), (a["s"] + F.exp(a["l"] + F.log((k - i + 1) / (x - k + i)))).alias("s"))
+    steps = F.sequence(F.lit(1).cast("long"), F.least(F.ceil(10 * F.sqrt(x)), least))
+    bounded = F.aggregate(steps, F.struct(top.alias("l"), F.exp(top).alias("s")), down, lambda a: a["s"])
+    tail = F.when(least <= most_terms, exact).otherwise(bounded)
     d = (F.col("wins") - F.col("losses")) / F.col("n")
     se = F.sqrt(F.greatest(F.lit(0.0), m - (F.col("wins") - F.col("losses")) ** 2 / F.col("n"))) / F.col("n")
     known = lambda c: F.when(m > 0, c)

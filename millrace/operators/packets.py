@@ -7,13 +7,14 @@ from pyspark.sql import DataFrame, Window, functions as F
 from millrace.sources.tables import written
 
 
-def prefix_sums(rows: DataFrame, group: str, order: str, size: str, parts: int = 32) -> DataFrame:
+def prefix_sums(rows: DataFrame, group: str, order: str, size: str, parts: int | None = None) -> DataFrame:
     """Adds `used`: the sum of `size` up to each row of its group, by order (no ties within a group).
 
     Rows are dealt by ranges of group and order, so a group of any size is shared among tasks; each task sums its own
     part, and the sums of the parts before it, one row for a group and part, are added. The parts are written first,
-    so that a task that runs again sees the same.
+    so that a task that runs again sees the same. There are as many parts as shuffle partitions, if not told otherwise.
     """
+    parts = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = written(rows.repartitionByRange(parts, group, order).withColumn("__part", F.spark_partition_id()), "ranges")
     own = F.sum(size).over(Window.partitionBy(group, "__part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
     sums = dealt.groupBy(group, "__part").agg(F.sum(size).alias("s"))

@@ -80,8 +80,11 @@ def preference_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
     return met.groupBy(F.when(q > t, "quality").when(q < t, "toxic").when(q.isNull() | t.isNull(), "unknown").otherwise("tie").alias("choice")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT o_custkey, md5(string_agg(o_orderkey || ':' || o_orderstatus, ',' ORDER BY o_orderkey)) AS tree_digest, count(*) AS n FROM orders GROUP BY o_custkey")
+@query("""WITH r AS (SELECT o_custkey, o_orderkey // 4096 AS r, md5(string_agg(o_orderkey || ':' || o_orderstatus, ',' ORDER BY o_orderkey)) AS d, count(*) AS n FROM orders GROUP BY 1, 2)
+SELECT o_custkey, md5(string_agg(r || ':' || d, ',' ORDER BY r)) AS tree_digest, CAST(sum(n) AS BIGINT) AS n FROM r GROUP BY o_custkey""")
 def tree_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A digest over the sorted entries of a customer."""
-    entry = F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderstatus"))), lambda x: F.concat_ws(":", x["o_orderkey"], x["o_orderstatus"]))
-    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.md5(F.array_join(entry, ",")).alias("tree_digest"), F.count("*").alias("n"))
+    """A digest over the sorted entries of a customer: ranges of 4096 keys first, then the ranges, so that no task has all
+    entries of a customer."""
+    joined = lambda *c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*c))), lambda x: F.concat_ws(":", *[x[i] for i in c])), ",")
+    ranges = table(spark, sf_dir, "orders").groupBy("o_custkey", F.floor(F.col("o_orderkey") / 4096).alias("r")).agg(F.md5(joined("o_orderkey", "o_orderstatus")).alias("d"), F.count("*").alias("n"))
+    return ranges.groupBy("o_custkey").agg(F.md5(joined("r", "d")).alias("tree_digest"), F.sum("n").alias("n"))
