@@ -13,10 +13,17 @@ def per_query(ranked: DataFrame, targets: DataFrame, key: str, sources: list[str
     A query without targets has no row, and so never counts as perfect.
     """
     gold = targets.select("query_id", key).distinct()
-    hits = ranked.join(gold, ["query_id", key], "left_semi").withColumn("nth", F.row_number().over(Window.partitionBy("source", "query_id").orderBy("rank", key)))
+    hits = ranked.join(gold, ["query_id", key], "left_semi")
+    return measured(hits, gold.groupBy("query_id").agg(F.count("*").alias("targets")), key, sources, ks)
+
+
+def measured(hits: DataFrame, counts: DataFrame, key: str, sources: list[str], ks: list[int]) -> DataFrame:
+    """`per_query` from the ranked rows that are targets and (query_id, targets), so that targets which no list has are
+    counted without being listed."""
+    numbered = hits.withColumn("nth", F.row_number().over(Window.partitionBy("source", "query_id").orderBy("rank", key)))
     at = lambda k: F.count(F.when(F.col("rank") <= k, 1))
-    found = hits.groupBy("source", "query_id").agg(*[at(k).alias(f"n_{k}") for k in ks], F.min("rank").alias("best"), F.sum(F.col("nth") / F.col("rank")).alias("ap"))
-    asked = gold.groupBy("query_id").agg(F.count("*").alias("targets")).withColumn("source", F.explode(F.array(*map(F.lit, sources))))
+    found = numbered.groupBy("source", "query_id").agg(*[at(k).alias(f"n_{k}") for k in ks], F.min("rank").alias("best"), F.sum(F.col("nth") / F.col("rank")).alias("ap"))
+    asked = counts.select("query_id", "targets", F.explode(F.array(*map(F.lit, sources))).alias("source"))
     met = asked.join(found, ["source", "query_id"], "left")
     n = lambda k: F.coalesce(F.col(f"n_{k}"), F.lit(0))
     columns = [c for k in ks for c in ((n(k) / F.col("targets")).alias(f"recall_{k}"), (n(k) > 0).cast("double").alias(f"hit_{k}"), (n(k) == F.col("targets")).cast("double").alias(f"all_{k}"))]

@@ -14,14 +14,21 @@ _GOLD = "gold AS (SELECT item_id AS query_id, doc_id FROM benchmark JOIN labels
 _PER = f"{_LISTS}, {_GOLD}, h AS (SELECT source, query_id, doc_id, rank, row_number() OVER (PARTITION BY source, query_id ORDER BY rank, doc_id) AS nth FROM lists JOIN gold USING (query_id, doc_id)), g AS (SELECT source, query_id, count(*) AS targets FROM gold, (VALUES ('bm25'), ('rare')) v(source) GROUP BY ALL), f AS (SELECT source, query_id, count(*) FILTER (rank <= 5) AS n5, count(*) FILTER (rank <= 20) AS n20, min(rank) AS best, sum(nth / rank::DOUBLE) AS ap FROM h GROUP BY ALL), per AS (SELECT source, query_id, targets, coalesce(n5, 0)::DOUBLE / targets AS recall_5, coalesce(n20, 0)::DOUBLE / targets AS recall_20, CASE WHEN n5 > 0 THEN 1.0::DOUBLE ELSE 0 END AS hit_5, CASE WHEN n20 > 0 THEN 1.0::DOUBLE ELSE 0 END AS hit_20, CASE WHEN n20 = targets THEN 1.0::DOUBLE ELSE 0 END AS all_20, coalesce(1.0::DOUBLE / best, 0) AS mrr, coalesce(ap / targets, 0) AS map FROM g LEFT JOIN f USING (source, query_id))"
 
 
-def _gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A stated relation of passages and good documents, by the last digit of their numbers."""
-    good = table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id", (F.col("doc_id") % 10).alias("digit"))
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), (F.col("item_id") % 10).alias("digit")).join(good, "digit").select("query_id", "doc_id")
+def _good(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Good documents with the last digit of their number. A passage's targets are those of its own last digit: a tenth of
+    all pairs, which are counted by digit and met by document, never listed."""
+    return table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id", (F.col("doc_id") % 10).alias("digit"))
+
+
+def _passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), (F.col("item_id") % 10).alias("digit"))
 
 
 def _per(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.per_query(_lists(spark, sf_dir), _gold(spark, sf_dir), "doc_id", ["bm25", "rare"], [5, 20])
+    good, lists = _good(spark, sf_dir).distinct(), _lists(spark, sf_dir)
+    hits = lists.withColumn("digit", F.col("query_id") % 10).join(good, ["doc_id", "digit"], "left_semi")
+    counts = _passages(spark, sf_dir).distinct().join(good.groupBy("digit").agg(F.count("*").alias("targets")), "digit")
+    return metrics.measured(hits, counts, "doc_id", ["bm25", "rare"], [5, 20])
 
 
 @query(f"{_PER} SELECT source, count(*) AS queries, round(avg(recall_5), 6) AS recall_5, round(avg(recall_20), 6) AS recall_20, round(avg(hit_5), 6) AS hit_5, round(avg(hit_20), 6) AS hit_20, round(avg(all_20), 6) AS all_20, round(avg(mrr), 6) AS mrr, round(avg(map), 6) AS map FROM per GROUP BY source")
@@ -52,8 +59,14 @@ def failure_causes(spark: SparkSession, sf_dir: str) -> DataFrame:
     lists = _lists(spark, sf_dir)
     fused = scorers.ranked(fusion.rrf(lists, "doc_id"), "doc_id", 100).select("query_id", "doc_id", "rank")
     best = lists.groupBy("query_id", "doc_id").agg(F.min("rank").alias("best"))
-    cause = F.when(F.col("rank") <= 8, "found").when(F.col("best").isNull(), "candidate generation").when(F.col("best") <= 8, "fusion").otherwise("weak evidence")
-    return _gold(spark, sf_dir).join(fused, ["query_id", "doc_id"], "left").join(best, ["query_id", "doc_id"], "left").groupBy(cause.alias("cause")).agg(F.count("*").alias("n"))
+    cause = F.when(F.col("rank") <= 8, "found").when(F.col("best") <= 8, "fusion").otherwise("weak evidence")
+    listed = best.join(fused, ["query_id", "doc_id"], "left").withColumn("digit", F.col("query_id") % 10)
+    met = listed.join(_passages(spark, sf_dir).select("query_id"), "query_id").join(_good(spark, sf_dir), ["doc_id", "digit"])
+    seen = met.groupBy(cause.alias("cause")).agg(F.count("*").alias("n"))
+    of = lambda f, n: f.groupBy("digit").agg(F.count("*").alias(n))
+    every = of(_passages(spark, sf_dir), "p").join(of(_good(spark, sf_dir), "g"), "digit").select(F.lit("candidate generation").alias("cause"), (F.col("p") * F.col("g")).alias("n"))
+    unlisted = every.unionByName(seen.select(F.lit("candidate generation").alias("cause"), (-F.col("n")).alias("n")))
+    return seen.unionByName(unlisted).groupBy("cause").agg(F.sum("n").alias("n")).filter("n > 0")
 
 
 @query("WITH c AS (SELECT o_custkey AS id, list_distinct(coalesce(list(o_orderpriority) FILTER (o_orderstatus = 'F'), [])) AS picked, list_distinct(coalesce(list(o_orderpriority) FILTER (o_orderkey % 3 = 0), [])) AS required, list_distinct(coalesce(list(o_orderpriority) FILTER (o_orderkey % 5 = 0), [])) AS irrelevant FROM orders GROUP BY o_custkey) SELECT id, round(CASE WHEN len(picked) > 0 THEN len(list_intersect(picked, required))::DOUBLE / len(picked) ELSE 0 END, 4) AS precision, round(CASE WHEN len(required) > 0 THEN len(list_intersect(picked, required))::DOUBLE / len(required) ELSE 1 END, 4) AS recall, round(CASE WHEN len(picked) > 0 THEN len(list_intersect(picked, irrelevant))::DOUBLE / len(picked) ELSE 0 END, 4) AS noise FROM c")

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from millrace.functions import tokens
 from millrace.operators import fusion, index, scorers
 from millrace.plans.base import query
-from millrace.sources.tables import table
+from millrace.sources.tables import table, written
 
 _TERMS = "regexp_extract_all(lower(text), '[a-z_][a-z0-9_]{2,79}')"
 _POSTINGS = f"postings AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_TERMS}) AS term FROM documents) GROUP BY doc_id, term)"
@@ -30,18 +30,24 @@ def _postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.postings(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Postings as a table: scorers read them for lengths, frequencies and matches, and texts are taken apart once."""
+    return written(_postings(spark, sf_dir), "postings")
+
+
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = index.terms_of(table(spark, sf_dir, "benchmark"), "item_id", "text").filter(F.length("term") >= 6).distinct()
     return asked.select(F.col("item_id").alias("query_id"), "term", F.lit(1.0).alias("w"))
 
 
 def _bm25(spark: SparkSession, sf_dir: str, k: int = 50) -> DataFrame:
-    return scorers.ranked(scorers.bm25(_asked(spark, sf_dir), _postings(spark, sf_dir), "doc_id"), "doc_id", k)
+    return scorers.ranked(scorers.bm25(_asked(spark, sf_dir), _stored(spark, sf_dir), "doc_id"), "doc_id", k)
 
 
 def _lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rare = scorers.ranked(scorers.rare_terms(_asked(spark, sf_dir), _postings(spark, sf_dir), "doc_id"), "doc_id", 50)
-    return _bm25(spark, sf_dir).withColumn("source", F.lit("bm25")).unionByName(rare.withColumn("source", F.lit("rare")))
+    held, asked = _stored(spark, sf_dir), _asked(spark, sf_dir)
+    lists = [scorers.ranked(scorer(asked, held, "doc_id"), "doc_id", 50).withColumn("source", F.lit(name)) for name, scorer in (("bm25", scorers.bm25), ("rare", scorers.rare_terms))]
+    return written(lists[0].unionByName(lists[1]), "lists")
 
 
 @query("SELECT doc_id, CAST(len(t) AS BIGINT) AS n_tokens, CAST(len(list_distinct(t)) AS BIGINT) AS n_distinct FROM (SELECT doc_id, regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]{1,79}') AS t FROM documents)")
