@@ -24,6 +24,20 @@ def prefix_sums(rows: DataFrame, group: str, order: str, size: str, parts: int |
     return met.withColumn("used", F.col("own") + F.col("before")).drop("own", "before", "__part", "__g", "__p")
 
 
+def known_before(rows: DataFrame, group: str, order: str, value: str, parts: int | None = None) -> DataFrame:
+    """Adds `earlier` and `best_before`: how many rows of its group come before each row, by order (no ties within a group),
+    and the greatest known value among them. Rows are dealt by ranges as in `prefix_sums`."""
+    parts = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = written(rows.repartitionByRange(parts, group, order).withColumn("__part", F.spark_partition_id()), "ranges")
+    mine = Window.partitionBy(group, "__part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    own = dealt.withColumn("__n", F.count(F.lit(1)).over(mine)).withColumn("__m", F.max(value).over(mine))
+    past = Window.partitionBy("__g").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    sums = dealt.groupBy(F.col(group).alias("__g"), F.col("__part").alias("__p")).agg(F.count("*").alias("c"), F.max(value).alias("m"))
+    before = sums.select("__g", "__p", F.coalesce(F.sum("c").over(past), F.lit(0)).alias("__c"), F.max("m").over(past).alias("__b"))
+    met = own.join(before, F.col(group).eqNullSafe(F.col("__g")) & (F.col("__part") == F.col("__p")))
+    return met.withColumn("earlier", F.col("__n") + F.col("__c")).withColumn("best_before", F.greatest("__m", "__b")).drop("__n", "__m", "__c", "__b", "__part", "__g", "__p")
+
+
 def chosen_files(ranked: DataFrame, key: str, most: int, most_of_kind: int) -> DataFrame:
     """(query_id, key, rank, state) for ranked (query_id, key, rank, limited, content).
 

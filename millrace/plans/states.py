@@ -130,9 +130,9 @@ def health_display(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per.select("user_id", F.when(F.col("error") > 50, "failing").when(F.col("good") == 4, "healthy").when(F.col("good") > 0, "degraded").otherwise("unverified").alias("display"))
 
 
-@query("WITH RECURSIVE b AS (SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS needs, length(text) < 40 AS broken FROM (SELECT conv_id, turn, min(text) AS text FROM conversations GROUP BY ALL)), w AS (SELECT conv_id, turn AS origin, turn AS at, needs, broken, 0 AS hops FROM b UNION ALL SELECT w.conv_id, origin, b.turn, b.needs, w.broken OR b.broken, hops + 1 FROM w JOIN b ON b.conv_id = w.conv_id AND b.turn = w.needs WHERE hops < 12) SELECT conv_id, origin AS turn, count(*) - 1 AS dependencies, coalesce(bool_or(broken), false) AS broken FROM w GROUP BY conv_id, origin")
+@query("WITH RECURSIVE b AS (SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS needs, length(text) < 40 AS broken FROM (SELECT conv_id, turn, min(text) AS text FROM conversations GROUP BY ALL)), w AS (SELECT conv_id, turn AS origin, turn AS at, needs, broken FROM b UNION ALL SELECT w.conv_id, origin, b.turn, b.needs, w.broken OR b.broken FROM w JOIN b ON b.conv_id = w.conv_id AND b.turn = w.needs) SELECT conv_id, origin AS turn, count(*) - 1 AS dependencies, coalesce(bool_or(broken), false) AS broken FROM w GROUP BY conv_id, origin")
 def dependency_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A turn needs the one before; its state is that of all it needs, however far back. The SQL stops after twelve steps."""
+    """A turn needs the one before; its state is that of all it needs, however far back."""
     t = table(spark, sf_dir, "conversations").groupBy("conv_id", "turn").agg(F.min("text").alias("text")).withColumn("broken", F.coalesce(F.length("text") < 40, F.lit(False)))
     t = t.withColumn("needs", F.lag("turn").over(Window.partitionBy("conv_id").orderBy("turn")))
     return graph.closure(t.select("conv_id", "turn", "needs", "broken"), "conv_id", "turn", "needs", "broken")

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from millrace.operators import packets
 from millrace.plans.base import query
 from millrace.sources.tables import table
 from millrace.streaming import events
@@ -42,5 +43,5 @@ def cursor_review(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_id, coalesce(count(*) OVER w, 0) AS earlier, round(max(value) OVER w, 6) AS best_before FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
 def replay_before(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What was known of a user strictly before each event."""
-    past = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1)
-    return table(spark, sf_dir, "events").select("event_id", F.count("*").over(past).alias("earlier"), F.round(F.max("value").over(past), 6).alias("best_before"))
+    got = packets.known_before(table(spark, sf_dir, "events").select("event_id", "user_id", "value"), "user_id", "event_id", "value")
+    return got.select("event_id", "earlier", F.round("best_before", 6).alias("best_before"))
