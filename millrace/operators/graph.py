@@ -29,6 +29,40 @@ def reach(seeds: DataFrame, edges: DataFrame, hops: int) -> DataFrame:
     return found.groupBy("node").agg(F.min("distance").alias("distance"))
 
 
+def reached(seeds: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node): all that the seeds (node) lead to along edges (a, b), without the seeds. Each round follows only what the one
+    before found, which is written, and it ends when nothing is new, in cycles too."""
+    links = edges.select("a", "b").distinct()
+    front = written(seeds.select("node").distinct(), "front")
+    found = front
+    while True:
+        front = written(links.join(front.withColumnRenamed("node", "a"), "a", "left_semi").select(F.col("b").alias("node")).distinct().join(found, "node", "left_anti"), "front")
+        if front.isEmpty():
+            return found.join(seeds.select("node"), "node", "left_anti")
+        found = written(found.union(front), "found")
+
+
+def pruned(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, most: int) -> DataFrame:
+    """(role, id) of a graph cut to its first `most` nodes (node, path, place) so that nothing dangles.
+
+    Edges (a, b, kind, resolved, path) need both ends; seeds (node) must be there; upstream and downstream follow resolved
+    calls and imports from them; sources are the paths of what is left. Roles: node, edge (a>b), seed, upstream, downstream, source.
+    """
+    kept = written(nodes.orderBy("place", "node").limit(most), "nodes")  # the bound is the operator's purpose
+    ids = kept.select("node")
+    ends = edges.join(ids.withColumnRenamed("node", "a"), "a", "left_semi").join(ids.withColumnRenamed("node", "b"), "b", "left_semi")
+    links, first = written(ends, "edges"), seeds.select("node").distinct().join(ids, "node", "left_semi")
+    solid = links.filter("resolved and kind in ('calls', 'imports')")
+    sides = {"downstream": reached(first, solid), "upstream": reached(first, solid.select(F.col("b").alias("a"), F.col("a").alias("b")))}
+    sources = kept.select("path").union(links.select("path")).filter("path is not null").distinct().select(F.col("path").alias("node"))
+    named = {"node": ids, "edge": links.select(F.concat("a", F.lit(">"), "b").alias("node")).distinct(), "seed": first, "source": sources, **sides}
+    out = None
+    for role, rows in named.items():
+        part = rows.select(F.lit(role).alias("role"), F.col("node").alias("id"))
+        out = part if out is None else out.union(part)
+    return out
+
+
 def follow(links: DataFrame, group: str, name: str, to: str, hops: int) -> DataFrame:
     """Where each (group, name) is after at most `hops` links. The hops are joins in a row; a link is one row."""
     at = links.select(group, name, F.col(name).alias("at"), F.lit(0).alias("hops"))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from millrace.operators.index import document_stats, idf
+from millrace.operators.index import document_stats, identifier_postings, idf
+from millrace.sources.tables import written
 
 
 def _matches(queries: DataFrame, postings: DataFrame, key: str) -> DataFrame:
@@ -41,3 +42,21 @@ def ranked(candidates: DataFrame, key: str, k: int, digits: int = 9) -> DataFram
     held = candidates.withColumn("score", F.round("score", digits))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
     return held.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def module_search(queries: DataFrame, records: DataFrame, key: str, k: int = 8, floor: float = 0.25, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(query_id, key, score, rank, identifier_support, concept_matches, weak): BM25 on the identifiers of current records
+    (key, text, status), over (query_id, term, w).
+
+    Terms of weight 3 or more count as identifiers. A record is weak with no identifier and fewer than two other terms, or
+    below the first one's score by more than the floor allows.
+    """
+    held = written(identifier_postings(records.filter("status = 'current'"), key, "text"), "module-postings")
+    m = _matches(queries, held, key)
+    gain = F.col("w") * idf(F.col("n"), F.col("df")) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
+    strong = F.count(F.when(F.col("w") >= 3, 1))
+    found = m.groupBy("query_id", key).agg(F.round(F.sum(gain), 4).alias("score"), strong.alias("identifier_support"), (F.count("*") - strong).alias("concept_matches")).filter("score > 0")
+    top = ranked(found, key, k, 4)
+    best = F.first("score").over(Window.partitionBy("query_id").orderBy("rank"))
+    weak = ((F.col("identifier_support") == 0) & (F.col("concept_matches") < 2)) | ((F.col("rank") > 1) & (F.col("score") < best * floor))
+    return top.withColumn("weak", weak)

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 
 from millrace.operators.packets import prefix_sums
+from millrace.sources.tables import written
 
 
 def rate(rows: DataFrame, by: list[str], hit: Column) -> DataFrame:
@@ -40,14 +41,19 @@ def numbered(rows: DataFrame, key: str) -> DataFrame:
     return prefix_sums(one, "__all", key, "__one").withColumn("i", F.col("used") - 1).drop("used", "__one", "__all")
 
 
-def bootstrap(pairs: DataFrame, rounds: int) -> DataFrame:
-    """(round_no, mean): in each round every pair gives its place to the one that md5 picks. A row makes `rounds` picks."""
+def bootstrap(pairs: DataFrame, rounds: int, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """(round_no, mean): in each round every pair gives its place to the one that md5 picks. A row makes `rounds` picks.
+
+    Up to `broadcast_rows` pairs, sixteen bytes each, are sent to all tasks, so that picks are summed where they are made;
+    more are joined by place. Both give the same means.
+    """
     own = pairs.select("family", (F.col("a") - F.col("b")).alias("d"))
-    n = own.agg(F.count("*").alias("n"))
-    ids = numbered(own, "family")
-    draws = ids.select("i", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("round_no")).join(F.broadcast(n), F.lit(True))
-    pick = F.conv(F.substring(F.md5(F.concat_ws(":", "round_no", "i")), 1, 8), 16, 10).cast("long") % F.col("n")
-    return draws.select("round_no", pick.alias("i")).join(ids.select("i", "d"), "i").groupBy(F.col("round_no").cast("long").alias("round_no")).agg(F.avg("d").alias("mean"))
+    ids = written(numbered(own, "family").select("i", "d"), "pairs")
+    n = ids.count()
+    draws = ids.select("i", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("round_no"))
+    pick = F.conv(F.substring(F.md5(F.concat_ws(":", "round_no", "i")), 1, 8), 16, 10).cast("long") % F.lit(n)
+    values = ids if n > broadcast_rows else F.broadcast(ids)
+    return draws.select("round_no", pick.alias("i")).join(values, "i").groupBy(F.col("round_no").cast("long").alias("round_no")).agg(F.avg("d").alias("mean"))
 
 
 def _places(rows: DataFrame, group: str, value: str) -> DataFrame:

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from millrace.functions.tokens import SECRETS
-from millrace.operators import inspection, records
+from millrace.operators import graph, index, inspection, records, scorers
 from millrace.plans.base import query
+from millrace.plans.retrieval import _EXPANDED
+from millrace.sources.records import commit_changes
 from millrace.sources.tables import table
 
 _STOP = ", ".join(f"'{w}'" for w in inspection._PLAIN)
@@ -247,3 +249,82 @@ def upkeep_after_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     made = orders.filter("o_orderkey % 3 = 0").select((F.col("o_orderkey") * 2).alias("o_orderkey"), (-F.col("o_custkey")).alias("o_custkey"))
     return records.maintained(orders, made, "o_orderkey", 500)
+
+
+@query(f"""WITH c AS (SELECT key, w, count(*) AS n FROM (SELECT doc_id AS key, unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]{{1,79}}')) AS w FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)) GROUP BY 1, 2), {_EXPANDED.format('c')},
+post AS (SELECT terms.key AS doc_id, t AS term, sum(c.n) AS tf FROM terms JOIN c ON c.key = terms.key AND c.w = terms.id GROUP BY 1, 2),
+st AS (SELECT doc_id, sum(tf) AS len FROM post GROUP BY 1), co AS (SELECT count(*) AS nd, avg(len) AS al FROM st), df AS (SELECT term, count(*) AS df FROM post GROUP BY 1),
+q AS (SELECT DISTINCT item_id AS query_id, term, CASE WHEN length(term) >= 9 THEN 3.0 ELSE 1.0 END::DOUBLE AS w FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z_][a-z0-9_]{{2,79}}')) AS term FROM benchmark) WHERE length(term) >= 6),
+f AS (SELECT query_id, doc_id, round(sum(w * ln(1 + (nd - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * len / al))), 4) AS score, count(*) FILTER (w >= 3) AS identifier_support, count(*) FILTER (w < 3) AS concept_matches FROM q JOIN post USING (term) JOIN df USING (term) JOIN st USING (doc_id), co GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank, max(score) OVER (PARTITION BY query_id) AS best FROM f WHERE score > 0)
+SELECT query_id, doc_id, score, rank::INTEGER AS rank, identifier_support, concept_matches, (identifier_support = 0 AND concept_matches < 2) OR (rank > 1 AND score < best * 0.25) AS weak FROM r WHERE rank <= 8""")
+def semantic_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as texts of modules, those of low quality withdrawn; benchmark passages ask."""
+    low = table(spark, sf_dir, "labels").filter("quality = 0").select("doc_id", F.lit("withdrawn").alias("status")).distinct()
+    modules = table(spark, sf_dir, "documents").select("doc_id", "text").join(low, "doc_id", "left").withColumn("status", F.coalesce("status", F.lit("current")))
+    asked = index.terms_of(table(spark, sf_dir, "benchmark"), "item_id", "text").filter(F.length("term") >= 6).distinct()
+    weighted = asked.select(F.col("item_id").alias("query_id"), "term", F.when(F.length("term") >= 9, 3.0).otherwise(1.0).alias("w"))
+    return scorers.module_search(weighted, modules, "doc_id")
+
+
+_LINK = "CASE l_returnflag WHEN 'A' THEN 'calls' WHEN 'N' THEN 'imports' ELSE 'references' END"
+
+
+@query(f"""WITH RECURSIVE n AS (SELECT 'p' || p_partkey AS node, 'f' || (p_partkey % 40) AS path FROM part QUALIFY row_number() OVER (ORDER BY p_size, 'p' || p_partkey) <= 300),
+e AS (SELECT DISTINCT 'p' || l_partkey AS a, 'p' || (l_suppkey * 7 % 2000 + 1) AS b, {_LINK} AS kind, l_linestatus = 'O' AS resolved, 'g' || (l_partkey % 30) AS path FROM lineitem WHERE 'p' || l_partkey IN (SELECT node FROM n) AND 'p' || (l_suppkey * 7 % 2000 + 1) IN (SELECT node FROM n)),
+s AS (SELECT node FROM n WHERE substr(node, 2)::BIGINT % 10 = 1), k AS (SELECT DISTINCT a, b FROM e WHERE resolved AND kind IN ('calls', 'imports')),
+dn AS (SELECT node FROM s UNION SELECT k.b FROM dn JOIN k ON k.a = dn.node), up AS (SELECT node FROM s UNION SELECT k.a FROM up JOIN k ON k.b = up.node)
+SELECT 'node' AS role, node AS id FROM n UNION ALL SELECT DISTINCT 'edge', a || '>' || b FROM e UNION ALL SELECT 'seed', node FROM s UNION ALL SELECT 'downstream', node FROM dn WHERE node NOT IN (SELECT node FROM s)
+UNION ALL SELECT 'upstream', node FROM up WHERE node NOT IN (SELECT node FROM s) UNION ALL SELECT DISTINCT 'source', path FROM (SELECT path FROM n UNION SELECT path FROM e)""")
+def pruned_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as nodes, of which the first 300 by size stay; line items are the edges."""
+    nodes = table(spark, sf_dir, "part").select(F.expr("'p' || p_partkey").alias("node"), F.expr("'f' || (p_partkey % 40)").alias("path"), F.col("p_size").alias("place"))
+    edges = table(spark, sf_dir, "lineitem").select(F.expr("'p' || l_partkey").alias("a"), F.expr("'p' || (l_suppkey * 7 % 2000 + 1)").alias("b"), F.expr(_LINK).alias("kind"), (F.col("l_linestatus") == "O").alias("resolved"), F.expr("'g' || (l_partkey % 30)").alias("path")).distinct()
+    seeds = table(spark, sf_dir, "part").filter("p_partkey % 10 = 1").select(F.expr("'p' || p_partkey").alias("node"))
+    return graph.pruned(nodes, edges, seeds, 300)
+
+
+_OLD = """SELECT 'c' || event_id AS id, CASE event_id % 3 WHEN 0 THEN 'skills' WHEN 1 THEN 'mcps' ELSE 'tools' END AS list, CASE WHEN event_id % 2 = 0 THEN 'v' || user_id END AS server,
+CASE event_type WHEN 'click' THEN 'exposed' WHEN 'view' THEN 'verified' WHEN 'purchase' THEN 'missing' WHEN 'signup' THEN 'auth_required' ELSE CASE WHEN event_id % 4 < 2 THEN 'disabled' ELSE 'blocked' END END AS status FROM events"""
+
+
+def _old(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(_OLD.replace("FROM events", "FROM {events}"), events=table(spark, sf_dir, "events"))
+
+
+@query(f"""WITH o AS ({_OLD}) SELECT id, CASE WHEN list = 'skills' THEN 'skill' WHEN list = 'mcps' THEN 'mcp_server' WHEN server IS NULL THEN 'native_tool' ELSE 'mcp_tool' END AS kind, server,
+CASE WHEN status IN ('exposed', 'verified') THEN 'callable' WHEN status = 'missing' THEN 'not_exposed' ELSE 'unknown' END AS exposure, CASE WHEN status IN ('disabled', 'blocked') THEN status END AS policy,
+CASE status WHEN 'verified' THEN 'OK' WHEN 'auth_required' THEN 'AUTHENTICATION_REQUIRED' WHEN 'missing' THEN 'SERVICE_UNAVAILABLE' END AS reason FROM o""")
+def snapshot_upgraded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as rows of the first layout."""
+    return records.upgraded(_old(spark, sf_dir)).select("*", "observation.reason").drop("observation")
+
+
+@query("""WITH b AS (SELECT user_id AS id, bool_or(event_type = 'view') AS good, bool_or(event_type = 'signup' AND value > 80) AS auth, bool_or(event_type = 'error' AND value > 40) AS gone FROM events GROUP BY 1),
+c AS (SELECT c_custkey AS id, CASE c_custkey % 5 WHEN 0 THEN 'skill' WHEN 1 THEN 'mcp_server' WHEN 2 THEN 'mcp_tool' WHEN 3 THEN 'native_tool' ELSE 'plugin' END AS kind, CASE WHEN c_acctbal < -500 THEN 'disabled' WHEN c_acctbal < 0 THEN 'quarantined' END AS policy, c_custkey % 2 = 0 AS callable FROM customer)
+SELECT CASE kind WHEN 'skill' THEN 'skills' WHEN 'mcp_server' THEN 'mcps' ELSE 'tools' END AS list, id, CASE WHEN policy = 'disabled' THEN 'disabled' WHEN policy IS NOT NULL THEN 'blocked' WHEN auth THEN 'auth_required' WHEN gone AND NOT good THEN 'missing' WHEN good THEN 'verified' WHEN callable THEN 'exposed' ELSE 'unknown' END AS status
+FROM c LEFT JOIN b USING (id) WHERE kind <> 'plugin'""")
+def snapshot_projected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as capabilities, events of the user of the same number as what was observed."""
+    type_ = F.when(F.col("event_type") == "view", "tool_enumeration").when(F.col("event_type") == "error", "host_exposure").otherwise("other")
+    reason = F.when((F.col("event_type") == "signup") & (F.col("value") > 80), "AUTHENTICATION_REQUIRED").when((F.col("event_type") == "error") & (F.col("value") > 40), "SERVICE_UNAVAILABLE")
+    seen = table(spark, sf_dir, "events").select(F.col("user_id").alias("id"), type_.alias("type"), F.when(F.col("event_type") == "view", "success").otherwise("failure").alias("outcome"), reason.alias("reason"))
+    kind = F.expr("CASE c_custkey % 5 WHEN 0 THEN 'skill' WHEN 1 THEN 'mcp_server' WHEN 2 THEN 'mcp_tool' WHEN 3 THEN 'native_tool' ELSE 'plugin' END")
+    policy = F.when(F.col("c_acctbal") < -500, "disabled").when(F.col("c_acctbal") < 0, "quarantined")
+    return records.projected(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), kind.alias("kind"), policy.alias("policy"), F.when(F.col("c_custkey") % 2 == 0, "callable").alias("exposure")), seen)
+
+
+_BLOCK = f"""'c' || event_id || chr(2) || CASE WHEN event_id % 29 = 0 THEN 'never' ELSE CAST(1700000000 + event_id AS STRING) END || chr(2) || 'change ' || event_type || chr(10) || chr(10) || 'M' || chr(9) || {_NAMED} || chr(10) ||
+CASE event_id % 4 WHEN 0 THEN 'R0' || (50 + user_id % 50) || chr(9) || 'old/' || user_id || '.py' || chr(9) || {_NAMED} WHEN 1 THEN 'A' || chr(9) || 'src/en/mod' || (user_id % 200) || '.py' WHEN 2 THEN 'D' || chr(9) || 'no/such.py' ELSE 'C100' || chr(9) || 'src/de/mod' || (user_id % 200) || '.py' || chr(9) || 'src/en/mod' || (user_id % 190) || '.py' END || chr(10) || 'M' || chr(9) || 'src/fr/mod' || (event_id % 7) || '.py'"""
+
+
+@query(f"""WITH b AS (SELECT {_BLOCK} AS block FROM events), p AS (SELECT DISTINCT {_MOD} AS path FROM documents),
+h AS (SELECT block, string_split(string_split(block, chr(10))[1], chr(2)) AS h FROM b), r AS (SELECT h[1] AS sha, TRY_CAST(h[2] AS BIGINT) AS stamp, h[3] AS subject, block FROM h WHERE TRY_CAST(h[2] AS BIGINT) IS NOT NULL),
+f AS (SELECT sha, string_split(unnest(string_split(block, chr(10))[2:]), chr(9)) AS f FROM r), t AS (SELECT DISTINCT sha, path FROM (SELECT sha, unnest(f[2:]) AS path FROM f WHERE len(f) > 1) JOIN p USING (path)),
+s AS (SELECT sha, count(*) AS touched, list(path ORDER BY path)[1:2] AS paths FROM t GROUP BY sha), m AS (SELECT sha, string_agg(f[2] || '>' || f[3] || ':' || TRY_CAST(f[1][2:] AS INTEGER), ',') AS renames FROM f JOIN p ON p.path = f[3] WHERE len(f) = 3 GROUP BY sha)
+SELECT sha, stamp, subject, coalesce(touched, 0) AS touched, coalesce(touched, 0) > 2 AS capped, coalesce(array_to_string(paths, ','), '') AS paths, coalesce(renames, '') AS renames FROM r LEFT JOIN s USING (sha) LEFT JOIN m USING (sha)""")
+def commit_changes_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as blocks of a log, some without a time; two paths of a commit are kept."""
+    got = commit_changes(table(spark, sf_dir, "events").select(F.expr(_BLOCK).alias("block")), _paths(spark, sf_dir), 2)
+    shown = F.transform("renames", lambda r: F.concat(r["old"], F.lit(">"), r["new"], F.lit(":"), r["score"].cast("string")))
+    return got.select("sha", "stamp", "subject", "touched", "capped", F.array_join("paths", ",").alias("paths"), F.array_join(shown, ",").alias("renames"))

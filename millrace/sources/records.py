@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 #: What begins a commit in a log.
@@ -30,6 +30,30 @@ def commit_paths(blocks: DataFrame, universe: DataFrame, most: int, least: int =
     return kept.select("stamp", "paths", F.explode(F.sequence(F.lit(1), "copies")).alias("copy")).drop("copy")
 
 
+def commit_changes(blocks: DataFrame, universe: DataFrame, most: int) -> DataFrame:
+    """(sha, stamp, subject, touched, capped, paths, renames) from blocks of a log with states and likeness of renames.
+
+    A block is sha, seconds and subject, parted by \\x02, then a line for each change: M, A or D with a path, or R and C with
+    a score and the old and new path, all parted by tabs. Paths of the universe count, each once; the first `most` by name
+    stay. A rename counts if its new name is known. Blocks without three parts or a time are left out; of several with one sha the first by time and subject stays.
+    """
+    known = universe.select("path").filter("path is not null").distinct()
+    head = F.split(F.substring_index("block", "\n", 1), "\x02")
+    read = blocks.filter(F.size(head) == 3).select(F.substring(F.trim(head[0]), 1, 40).alias("sha"), F.trim(head[1]).try_cast("bigint").alias("stamp"), head[2].alias("subject"), F.slice(F.split("block", "\n"), 2, 1 << 30).alias("lines"))
+    read = read.filter("stamp is not null").groupBy("sha").agg(F.min(F.struct("stamp", "subject", "lines")).alias("c")).select("sha", "c.*")
+    fields = read.select("sha", F.explode("lines").alias("line")).select("sha", F.split("line", "\t").alias("f"))
+    moved = F.col("f")[0].rlike("^[RC]") & (F.size("f") == 3)
+    names = F.when(moved, F.slice("f", 2, 2)).when((F.size("f") == 2) & ~F.col("f")[0].rlike("^[RC ]*$"), F.slice("f", 2, 1))
+    touched = fields.select("sha", F.explode(names).alias("path")).distinct().join(known, "path", "left_semi")
+    sizes = touched.groupBy("sha").agg(F.count("*").alias("touched"))
+    first = touched.withColumn("n", F.row_number().over(Window.partitionBy("sha").orderBy("path"))).filter(F.col("n") <= most).groupBy("sha").agg(F.array_sort(F.collect_list("path")).alias("paths"))
+    score = F.coalesce(F.substring(F.col("f")[0], F.lit(2), F.length(F.col("f")[0])).try_cast("int"), F.lit(0))
+    renames = fields.filter(moved).select("sha", F.get("f", F.lit(1)).alias("old"), F.get("f", F.lit(2)).alias("path"), score.alias("score")).join(known, "path", "left_semi")
+    renames = renames.groupBy("sha").agg(F.array_sort(F.collect_set(F.struct("old", F.col("path").alias("new"), "score"))).alias("renames"))
+    met = read.drop("lines").join(sizes, "sha", "left").join(first, "sha", "left").join(renames, "sha", "left").fillna(0, ["touched"])
+    return met.select("sha", "stamp", "subject", "touched", (F.col("touched") > most).alias("capped"), F.coalesce("paths", F.array().cast("array<string>")).alias("paths"), F.coalesce("renames", F.array().cast("array<struct<old:string,new:string,score:int>>")).alias("renames"))
+
+
 def parsed_lines(frame: DataFrame, line: str, fields: str | StructType) -> DataFrame:
     """The fields of each line of JSON and `partial`: a line that is damaged or null keeps its row, with null fields."""
     stated = StructType.fromDDL(fields) if isinstance(fields, str) else fields
