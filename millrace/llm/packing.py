@@ -1,7 +1,7 @@
 """Best-fit packing of token pieces into sequences, certified by lower bounds.
 
-Each partition packs its pieces by best-fit decreasing and compares its number of sequences with the best of its
-dual-feasible-function bounds. A partition that meets its bound is certified: no packing of its own pieces is better, so
+Each partition packs its pieces by best-fit decreasing, or fills by pairs where that takes fewer sequences, and compares
+their number with the best of its dual-feasible-function bounds. A partition that meets its bound is certified: no packing of its own pieces is better, so
 that all it still gives away is its emptiest sequence. A partition with a gap gives all sequences that are not full. What
 is given goes to other partitions and is packed anew, until the total meets the bound over all pieces or an exchange
 saves nothing.
@@ -27,14 +27,14 @@ from millrace.sources.tables import written
 PIECES_PER_PARTITION = 4096
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, text: str = "text", keep: list[str] | None = None, with_ids: bool = False, lasting: bool = False) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, text: str = "text", keep: list[str] | None = None, short_ids: bool = False, lasting: bool = False) -> DataFrame:
     """A row for each piece of at most `capacity` ids of a whole text and `end_id`.
 
     Null and empty texts have the one id `end_id`, and texts of any length give pieces to their end. Repeated rows are packed as often as they come. Adds piece, start,
-    length, ids_crc32 and, if asked for, ids; an input column of these names gives way.
+    length, ids_crc32 and, with `short_ids`, doc_tokens and the ids of pieces below the capacity; an input column of these names gives way.
     """
     fields = [StructField("piece", IntegerType()), StructField("start", LongType()), StructField("length", LongType()), StructField("ids_crc32", LongType())]
-    fields += [StructField("ids", ArrayType(IntegerType()))] if with_ids else []
+    fields += [StructField("doc_tokens", LongType()), StructField("ids", ArrayType(IntegerType()))] if short_ids else []
 
     def make():
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -51,8 +51,9 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id:
                     part = own[start : start + capacity]
                     for name, value in (("row", row), ("piece", piece), ("start", start), ("length", len(part)), ("ids_crc32", zlib.crc32(part.tobytes()))):
                         out[name].append(value)
-                    if with_ids:
-                        out["ids"].append(part.astype(np.int32))
+                    if short_ids:
+                        out["doc_tokens"].append(len(own))
+                        out["ids"].append(part.astype(np.int32) if len(part) < capacity else None)
             return out
 
         return cut
@@ -106,6 +107,39 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return bins, offsets, np.asarray(fill, np.int64)
 
 
+def fill_by_pairs(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As best_fit_decreasing: each bin gets the longest piece left, then pairs, or single pieces, that fill its room best.
+
+    It is the better of the two where pieces are about a third or a quarter of a sequence.
+    """
+    left, sizes = np.bincount(lengths, minlength=capacity + 1), np.arange(capacity + 1)
+    own = [list(x) for x in np.split(np.argsort(lengths, kind="stable"), np.cumsum(left)[:-1])]
+    bins, offsets, fill = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64), []
+    last = capacity
+    while True:
+        while last and not left[last]:
+            last -= 1
+        if not last:
+            return bins, offsets, np.asarray(fill, np.int64)
+        at, chosen = 0, [last]
+        while chosen:
+            for size in chosen:
+                piece = own[size].pop()
+                bins[piece], offsets[piece] = len(fill), at
+                left[size] -= 1
+                at += size
+            near = np.maximum.accumulate(np.where(left > 0, sizes, 0))[: capacity - at + 1]  # the longest piece up to each size
+            one = np.flatnonzero(left[: capacity - at + 1])
+            if not len(one):
+                break
+            two = near[capacity - at - one]
+            again = (two == one) & (left[one] < 2)
+            two[again] = near[one[again] - 1]
+            best = int(np.argmax(one + two))
+            chosen = [int(x) for x in (one[best], two[best]) if x]
+        fill.append(at)
+
+
 def _round(pieces: DataFrame, capacity: int, number: int, per_partition: int, rows: int) -> DataFrame:
     """Packs each of evenly dealt partitions by itself. gives says whether a piece's sequence takes part in an exchange."""
     pieces = pieces.drop("sequence_id", "offset", "gives")
@@ -120,7 +154,10 @@ def _round(pieces: DataFrame, capacity: int, number: int, per_partition: int, ro
         mine = pa.Table.from_batches(got)
         lengths = mine.column(at).to_numpy().astype(np.int64)
         bins, offsets, fill = best_fit_decreasing(lengths, capacity)
-        certified = len(fill) == lower_bound(np.bincount(lengths, minlength=capacity + 1), capacity)
+        bound = lower_bound(np.bincount(lengths, minlength=capacity + 1), capacity)
+        if len(fill) > bound and len((other := fill_by_pairs(lengths, capacity))[2]) < len(fill):
+            bins, offsets, fill = other
+        certified = len(fill) == bound
         gives = np.arange(len(fill)) == int(np.argmin(fill)) if certified else fill < capacity
         first = (number << 56) + (TaskContext.get().partitionId() << 28)
         table = pa.Table.from_arrays([*mine.columns, *map(pa.array, (first + bins, offsets, (gives & (fill < capacity))[bins]))], schema=schema)
@@ -130,7 +167,7 @@ def _round(pieces: DataFrame, capacity: int, number: int, per_partition: int, ro
 
 
 def pack(pieces: DataFrame, capacity: int = 4096, per_partition: int = PIECES_PER_PARTITION) -> DataFrame:
-    """Adds sequence_id and offset to pieces with a `length` from 1 to `capacity`.
+    """Adds sequence_id and offset to pieces with a `length` from 1 to `capacity`; an input column of these names, or `gives`, goes.
 
     No pieces give no rows. Pieces of equal length are interchangeable; ties go to the first in the partition. Each
     exchange saves a sequence or is the last, and partitions that are certified give one sequence each, so that exchanges

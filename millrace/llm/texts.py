@@ -5,6 +5,7 @@ Texts are handled whole; only the number of rows that are in Python at once is b
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -86,6 +87,12 @@ class Slots(dict):
         return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
 
+@lru_cache(maxsize=100_000)
+def ends_in_letter(letter: str) -> bool:
+    """Whether a letter's normal form ends in one: that of some, as \u0130 or \u095c, ends in a mark, which goes with a sign that follows."""
+    return letter.isalpha() and (letter < "\u0100" or unicodedata.normalize("NFC", letter.lower())[-1:].isalpha())
+
+
 class WordTokens:
     """Token ids of texts, taken word by word from a tokenizer that no token of leaves a word.
 
@@ -113,7 +120,7 @@ class WordTokens:
             return
         self.slots.fresh, cores, ends = [], [], []
         for w in fresh:
-            core, end = (w[:-1], self.ends[w[-1]]) if w[-1:] in self.ends and w[-2:-1].isalpha() else (w, -1)
+            core, end = (w[:-1], self.ends[w[-1]]) if w[-1:] in self.ends and ends_in_letter(w[-2:-1]) else (w, -1)
             cores.append(core.lower() if self.lower and core.isalpha() and max(core) < "\u0100" else core)
             ends.append(end)
         self.core_of = np.concatenate([self.core_of, self.cores.numbers(cores)])
