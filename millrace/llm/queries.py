@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from millrace.llm import decontamination, fertility, jaccard, licenses, line_dedup, packing, pii, quality, toxicity, url_filter
+from millrace.llm import decontamination, fertility, jaccard, licenses, line_dedup, packing, pii, quality, resampling, toxicity, url_filter, whitening, window_packing
 from millrace.llm.folds import held_out
 from millrace.sources.tables import table
 
@@ -62,13 +62,32 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility.assess(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), keep=["doc_id"])
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_best_fit_packing, op3_toxicity, op4_pii, op5_quality_classifier, op6_license_scans, op7_benchmark_decontamination, op8_ngram_jaccard_join, op9_line_dedup, op10_quality_rules)}
+def op11_target_distribution_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_window_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return window_packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), keep=["doc_id"], lasting=True)
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A deviation beyond a long is null."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    model = whitening.fit(rows)
+    explained = F.array(*map(F.lit, map(float, model.explained))).cast("array<double>")
+    each = whitening.whiten(rows, model, keep=["vec_id"]).select("vec_id", F.col("deviation").try_cast("long").alias("deviation"), F.posexplode("whitened").alias("at", "whitened"))
+    return each.select("vec_id", (F.col("at") + 1).alias("component"), F.lit(model.n).cast("long").alias("n"), "deviation", "whitened", F.get(explained, F.col("at")).alias("explained"), F.lit(model.identity_error).alias("identity_error"))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_best_fit_packing, op3_toxicity, op4_pii, op5_quality_classifier, op6_license_scans, op7_benchmark_decontamination, op8_ngram_jaccard_join, op9_line_dedup, op10_quality_rules, op11_target_distribution_resampling, op12_window_packing, op13_embedding_whitening)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
 ORACLES = {
     "op1_url_filters": url_filter.oracle(),
+    "op11_target_distribution_resampling": resampling.oracle(),
     "op7_benchmark_decontamination": f"""WITH items AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark),
 wide AS (SELECT item, w, least(10, len(w)) AS m FROM items WHERE len(w) > 0),
 grams AS (SELECT DISTINCT item, m, array_to_string(w[i : i + m - 1], ' ') AS g FROM (SELECT item, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM wide)),
