@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.plans import admission, changes, evaluation, expansion, experiments, graphs, inspection, lifecycle, ordered, packing, predicates, reports, requests, resolution, retrieval, rollups, scoring, states, streams  # noqa: F401
+from millrace.plans import admission, changes, diffs, evaluation, expansion, experiments, graphs, inspection, lifecycle, ordered, packing, predicates, reports, requests, resolution, retrieval, rollups, scoring, states, streams  # noqa: F401
 from millrace.plans.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
