@@ -15,15 +15,16 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from millrace.llm.packing import token_pieces
+from millrace.llm.texts import plain
 from millrace.sources.tables import written
 
 CAPACITY = 2048
 #: Gaps up to this part of a window are padded rather than filled with a cut piece.
 LEAST_GAP = 1 / 128
-#: Short pieces that a partition packs at once, about; with their ids they have 8 KB each at most.
+#: Short pieces that a partition packs at once, about.
 PIECES_PER_PARTITION = 4096
 
 
@@ -124,23 +125,42 @@ def close_gaps(windows: list[list[tuple[int, int, int]]], capacity: int, least_g
     return out
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 1, text: str = "text", keep: list[str] | None = None, least_gap: float = LEAST_GAP, per_partition: int = PIECES_PER_PARTITION, lasting: bool = False) -> DataFrame:
+def _checked(parts: DataFrame) -> DataFrame:
+    """Parts of pieces with the checksum of their own ids, which it takes out."""
+    names = parts.drop("ids", "__skip").columns
+    out = StructType([parts.schema[n] for n in names])
+    at = {n: parts.columns.index(n) for n in parts.columns}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = to_arrow_schema(out)
+        for batch in batches:
+            own = batch.column(at["ids"])
+            ids, begins = own.flatten().to_numpy().astype("<u4"), own.offsets.to_numpy() - own.offsets[0].as_py()
+            skip, length = (batch.column(at[n]).to_numpy() for n in ("__skip", "length"))
+            crc = pa.array([zlib.crc32(ids[b + s : b + s + n].tobytes()) for b, s, n in zip(begins, skip, length, strict=False)], pa.int64())
+            yield pa.RecordBatch.from_arrays([crc if n == "ids_crc32" else batch.column(at[n]) for n in names], schema=schema)
+
+    return parts.mapInArrow(run, out)
+
+
+def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 1, text: str = "text", keep: list[str] | None = None, least_gap: float = LEAST_GAP, per_partition: int = PIECES_PER_PARTITION, lasting: bool = False, most_broadcast: int = 1_000_000) -> DataFrame:
     """A row for each piece of a document: the kept columns, start, length, ids_crc32, doc_tokens, sequence_id and offset.
 
     A document's tokens are those of its whole text and `end_id`; null and empty texts have that one. Each token lies in
     one piece. Repeated rows and null ids are packed as often as they come; ties of length keep the order of their
     partition; no documents give no rows. An input column named like an added one (piece and ids too) gives way. Full
-    windows of overlong documents are not shuffled; short pieces are dealt evenly, whatever document they are of.
+    windows of overlong documents are not shuffled; short pieces are dealt evenly, whatever document they are of. Ids are
+    written once and read again only for the pieces that were cut, which are broadcast up to a counted `most_broadcast`.
     """
-    added = {"piece", "start", "length", "ids_crc32", "doc_tokens", "ids", "sequence_id", "offset"}
+    added = {"piece", "start", "length", "ids_crc32", "doc_tokens", "ids", "sequence_id", "offset", "__row", "__skip", "__cut"}
     kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in added]
-    pieces = written(token_pieces(docs, tokenizer, capacity, end_id, text, kept, short_ids=True, lasting=lasting), "pieces")
-    short = pieces.filter(F.col("ids").isNotNull()).drop("piece", "ids_crc32")
-    places = [StructField("ids_crc32", LongType()), StructField("sequence_id", LongType()), StructField("offset", LongType())]
-    out = StructType([*(f for f in short.schema.fields if f.name != "ids"), *places])
+    pieces = token_pieces(docs, tokenizer, capacity, end_id, text, kept, short_ids=True, lasting=lasting).drop("piece")
+    pieces = written(pieces.withColumn("__row", F.monotonically_increasing_id()), "pieces")
+    short = pieces.filter(F.col("length") < capacity).drop("ids")
+    places = [StructField("sequence_id", LongType()), StructField("offset", LongType()), StructField("__skip", LongType()), StructField("__cut", BooleanType())]
+    out = StructType([*short.schema.fields, *places])
     names, most = short.columns, int(capacity * least_gap)
-    at = {n: names.index(n) for n in ("start", "length", "ids")}
-    own = [i for i, n in enumerate(names) if n not in at]
+    at = {n: names.index(n) for n in ("start", "length")}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema, got = to_arrow_schema(out), list(batches)
@@ -148,21 +168,23 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
             return
         mine = pa.Table.from_batches(got)
         lengths = mine.column(at["length"]).to_numpy().astype(np.int64)
-        begins = np.cumsum(lengths) - lengths
-        ids = np.concatenate([c.flatten().to_numpy() for c in mine.column(at["ids"]).chunks]).astype("<u4")
         windows = close_gaps([[(i, 0, int(lengths[i])) for i in w] for w in best_fit(lengths, capacity)], capacity, most)
         first, rows = TaskContext.get().partitionId() << 32, []
         for number, window in enumerate(windows):
             offset = 0
             for piece, start, length in window:
-                a = int(begins[piece]) + start
-                rows.append((piece, start, length, zlib.crc32(ids[a : a + length].tobytes()), first + number, offset))
+                rows.append((piece, start, length, first + number, offset))
                 offset += length
-        piece, start, length, crc, number, offset = (np.array(c, np.int64) for c in zip(*rows, strict=True))
-        values = {names[i]: mine.column(i).take(pa.array(piece)) for i in own}
-        values |= {"start": pa.array(mine.column(at["start"]).to_numpy()[piece] + start), "length": pa.array(length), "ids_crc32": pa.array(crc), "sequence_id": pa.array(number), "offset": pa.array(offset)}
+        piece, start, length, number, offset = (np.array(c, np.int64) for c in zip(*rows, strict=True))
+        values = {n: mine.column(i).take(pa.array(piece)) for i, n in enumerate(names) if n not in at}
+        values |= {"start": pa.array(mine.column(at["start"]).to_numpy()[piece] + start), "length": pa.array(length), "sequence_id": pa.array(number), "offset": pa.array(offset), "__skip": pa.array(start), "__cut": pa.array(length < lengths[piece])}
         yield from pa.Table.from_arrays([values[f.name] for f in out.fields], schema=schema).to_batches(max_chunksize=10_000)
 
-    dealt = short.repartition(max(1, -(-short.count() // per_partition)))
-    full = pieces.filter(F.col("ids").isNull()).withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
-    return dealt.mapInArrow(run, out).unionByName(full.select(out.names))
+    packed = written(short.repartition(max(1, -(-short.count() // per_partition))).mapInArrow(run, out), "packed")
+    result = [*kept, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    cut = packed.filter("__cut")
+    few = F.broadcast(cut) if cut.count() <= most_broadcast else cut
+    checked = _checked(pieces.select("__row", "ids").join(few, "__row"))
+    full = pieces.filter(F.col("length") == capacity).withColumn("sequence_id", -1 - F.col("__row")).withColumn("offset", F.lit(0).cast("long"))
+    parts = [f.select(*map(plain, result)) for f in (packed.filter("not __cut"), checked, full)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
