@@ -217,7 +217,7 @@ def whiten(rows: DataFrame, model: Whitening, column: str = "embedding", keep: l
     rows. An input column named like an added one gives way.
     """
     kept = [c for c in (rows.columns if keep is None else keep) if c.lower() not in {"deviation", "whitened"}]
-    dimension = len(model.sums)
+    dimension = len(model.sums) if model.n else 0
     frame = whole_vectors(rows, dimension, column, kept) if dimension else rows.limit(0).select(*map(plain, kept), F.lit(b"").alias("__x"))
     out = StructType([*frame.schema.fields[:-1], StructField("deviation", DecimalType(38, 0)), StructField("whitened", ArrayType(DoubleType()))])
     n, sums, turn, scale = model.n, np.array(model.sums, object), model.vectors, np.sqrt(model.values)
