@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from millrace.sources.tables import written
+
 from millrace.functions.tokens import SECRETS
 from millrace.operators.resolve import modules
 
@@ -153,16 +155,79 @@ def integrated(ranked: DataFrame, outside: DataFrame, key: str, mode: str, k: in
 
 
 def answers(requests: DataFrame, sources: DataFrame, most: int) -> DataFrame:
-    """(query_id, path, score): requests (query_id, position, type, value) answered from sources (type, value, path).
+    """(query_id, path, score): requests (query_id, position, type, value) answered from sources (type, value, path), which
+    may have an `at` that orders the paths of a value.
 
-    A request at position p gives 1 / p to the first `most` paths it finds; the `most` best of a query stay."""
-    found = requests.join(sources.distinct(), ["type", "value"])
-    first = F.row_number().over(Window.partitionBy("query_id", "position").orderBy("path"))
-    total = found.withColumn("nth", first).filter(F.col("nth") <= most).groupBy("query_id", "path").agg(F.round(F.sum(1.0 / F.col("position")), 9).alias("score"))
+    A request at position p gives 1 / p to the first `most` paths it finds; the `most` best of a query stay. The first paths
+    of a value don't depend on who asks, so they are cut before the join, and no request meets more than `most` rows.
+    """
+    order = [F.col("at"), F.col("path")] if "at" in sources.columns else [F.col("path")]
+    first = F.row_number().over(Window.partitionBy("type", "value").orderBy(*order))
+    held = sources.distinct().withColumn("nth", first).filter(F.col("nth") <= most).drop("nth")
+    nth = F.row_number().over(Window.partitionBy("query_id", "position").orderBy(*[c for c in ("at", "path") if c in sources.columns]))
+    found = requests.join(held, ["type", "value"]).withColumn("nth", nth).filter(F.col("nth") <= most)
+    total = found.groupBy("query_id", "path").agg(F.round(F.sum(1.0 / F.col("position")), 9).alias("score"))
     best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "path"))
     return total.withColumn("nth", best).filter(F.col("nth") <= most).drop("nth")
 
 
+def next_requests(ranked: DataFrame, wanted: DataFrame, defined: DataFrame, uses: DataFrame, tests: DataFrame, shown: int, most: int, enough: float) -> DataFrame:
+    """(query_id, position, type, value) that the first `shown` paths of each ranking leave open.
+
+    Wanted names (query_id, name) that no shown path defines ask for their symbol; those that are defined ask for callers if no
+    shown path uses a wanted name; if no shown path is a test, the neighbours of the first are asked for. Names come in order, the
+    first `most` requests stay. Half the share of names that are defined, and half for names in use (or none wanted), is the
+    confidence; from `enough` on nothing is asked.
+    """
+    view = ranked.filter(F.col("rank") <= shown)
+    inside = lambda pairs, flag: view.select("query_id", "path").join(pairs, "path").select("query_id", "name").distinct().withColumn(flag, F.lit(True))
+    names = wanted.select("query_id", "name").distinct().join(inside(defined, "has"), ["query_id", "name"], "left").join(inside(uses, "used"), ["query_id", "name"], "left")
+    files = view.join(tests.select("path").distinct().withColumn("test", F.lit(True)), "path", "left").groupBy("query_id").agg(F.min_by("path", "rank").alias("first"), F.max(F.coalesce("test", F.lit(False))).alias("tested"))
+    facts = names.groupBy("query_id").agg(F.count("*").alias("n"), F.count("has").alias("covered"), F.max(F.coalesce("used", F.lit(False))).alias("in_use"))
+    known = files.join(facts, "query_id", "full")
+    in_use = F.coalesce("in_use", F.lit(True))
+    sure = F.round(0.5 * F.coalesce(F.col("covered") / F.col("n"), F.lit(1.0)) + F.when(F.col("first").isNotNull() & in_use, 0.5).otherwise(0.0), 2)
+    asking = known.withColumn("sure", sure).filter(F.col("sure") < enough)
+    by_name = names.join(asking.select("query_id", "in_use"), "query_id").filter("has is null or not in_use")
+    by_name = by_name.select("query_id", F.when(F.col("has").isNull(), 0).otherwise(1).alias("turn"), F.when(F.col("has").isNull(), "symbol").otherwise("callers").alias("type"), F.col("name").cast("string").alias("value"))
+    near = asking.filter("first is not null and not tested").select("query_id", F.lit(2).alias("turn"), F.lit("neighbors").alias("type"), F.col("first").cast("string").alias("value"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("turn", "value"))
+    return by_name.union(near).withColumn("position", place).filter(F.col("position") <= most).select("query_id", "position", "type", "value")
+
+
+def explored(ranked: DataFrame, wanted: DataFrame, defined: DataFrame, uses: DataFrame, near: DataFrame, tests: DataFrame, rounds: int = 2, protected: int = 5, shown: int = 8, most_requests: int = 12, most: int = 6, enough: float = 0.9) -> DataFrame:
+    """(query_id, path, rank, round): rankings (query_id, path, rank from 1) after up to `rounds` rounds of requests.
+
+    In each round what the ranking leaves open is asked for, from defined (name, path), uses (name, path, n), the most frequent
+    first, and near (path, other), and what is found and wasn't shown goes below the first `protected` paths and what earlier
+    rounds added. round is null for what was ranked. Queries whose round adds nothing ask no more; rankings are written between rounds.
+    """
+    text = lambda c: F.col(c).cast("string").alias("value")
+    sources = defined.select(F.lit("symbol").alias("type"), text("name"), "path", F.lit(0).cast("long").alias("at"))
+    sources = sources.union(uses.select(F.lit("callers"), text("name"), "path", -F.col("n").cast("long"))).union(near.select(F.lit("neighbors"), text("path"), "other", F.lit(0).cast("long")))
+    order = F.row_number().over(Window.partitionBy("type", "value").orderBy("at", "path"))
+    sources = written(sources.distinct().withColumn("nth", order).filter(F.col("nth") <= most).drop("nth"), "sources")
+    now = written(ranked.select("query_id", "path", F.col("rank").cast("int").alias("rank"), F.lit(None).cast("int").alias("round"), F.lit(protected).alias("below")), "ranking")
+    asking = now.select("query_id").distinct()
+    for number in range(1, rounds + 1):
+        requests = next_requests(now, wanted, defined, uses, tests, shown, most_requests, enough).join(asking, "query_id", "left_semi")
+        found = answers(requests, sources, most)
+        seen = now.filter(F.col("rank") <= shown).select("query_id", "path")
+        fresh = written(found.join(seen, ["query_id", "path"], "left_anti"), "found")
+        if not fresh.limit(1).count():
+            break
+        met = now.join(fresh, ["query_id", "path"], "full")
+        rows = met.withColumn("below", F.coalesce(F.max("below").over(Window.partitionBy("query_id")), F.lit(protected)))
+        kept = F.sum(F.col("score").isNull().cast("int")).over(Window.partitionBy("query_id").orderBy(F.asc_nulls_last("rank")).rowsBetween(Window.unboundedPreceding, 0))
+        band = F.when(F.col("score").isNotNull(), 1).when(kept <= F.col("below"), 0).otherwise(2)
+        place = F.row_number().over(Window.partitionBy("query_id").orderBy("band", F.desc("score"), F.when(F.col("score").isNull(), F.col("rank")), "path"))
+        added = F.count("score").over(Window.partitionBy("query_id"))
+        moved = rows.withColumn("band", band).withColumn("place", place).withColumn("grown", F.col("below") + added)
+        now = written(moved.select("query_id", "path", F.col("place").alias("rank"), F.when(F.col("score").isNotNull(), number).otherwise(F.col("round")).alias("round"), F.col("grown").cast("int").alias("below")), "ranking")
+        asking = fresh.select("query_id").distinct()
+    return now.select("query_id", "path", "rank", "round")
+
+
 def inserted(ranked: DataFrame, found: DataFrame, protected: int, shown: int) -> DataFrame:
     """(query_id, path, place, added): found files (query_id, path, score) that aren't among the first `shown` go right below
     the first `protected` of a ranking (query_id, path, rank); what was ranked keeps its order."""

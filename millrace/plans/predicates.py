@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from millrace.operators import substrings
 from millrace.plans.base import query
 from millrace.sources.tables import table
 
@@ -27,10 +28,25 @@ def point_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice").join(asked, "o_orderkey", "left_semi")
 
 
-@query("SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'ring') ORDER BY length(p_name), p_name, p_partkey LIMIT 40")
+_VOCABULARY = "SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*')) AS name FROM documents"
+
+
+@query(f"""WITH n AS ({_VOCABULARY}), p AS (SELECT DISTINCT lower(substr(w, 1, 4)) AS pattern FROM (SELECT unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*')) AS w FROM benchmark) UNION SELECT 'q' UNION SELECT '_x'),
+m AS (SELECT pattern, name, row_number() OVER (PARTITION BY pattern ORDER BY length(name), name) AS place FROM p JOIN n ON contains(name, pattern))
+SELECT pattern, name, CAST(place AS INTEGER) AS place FROM m WHERE place <= 40""")
 def symbol_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The forty shortest names that hold a text; the number is the feature."""
-    return table(spark, sf_dir, "part").filter(F.lower("p_name").contains("ring")).select("p_partkey", "p_name").orderBy(F.length("p_name"), "p_name", "p_partkey").limit(40)
+    """The forty shortest names that hold each of the asked texts; the number is the feature."""
+    names = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z_][A-Za-z0-9_]*"), F.lit(0))).alias("name")).distinct()
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z_][A-Za-z0-9_]*"), F.lit(0))).alias("w"))
+    asked = words.select(F.lower(F.substring("w", 1, 4)).alias("pattern")).union(spark.createDataFrame([("q",), ("_x",)], "pattern string"))
+    return substrings.containing(names, "name", asked, "pattern", 40)
+
+
+@query("WITH a AS (SELECT DISTINCT substr(p_name, 2, 4) AS asked FROM part) SELECT p.page_id, a.asked FROM pages p JOIN a ON contains(p.html, a.asked) WHERE a.asked <> ''")
+def file_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages that hold any of the texts that the names of parts have from their second character on."""
+    asked = table(spark, sf_dir, "part").select(F.substring("p_name", 2, 4).alias("asked"))
+    return substrings.containing(table(spark, sf_dir, "pages").select("page_id", "html"), "html", asked, "asked").select("page_id", "asked")
 
 
 _FRAME = "lang || '/' || source || '/m' || (doc_id % 300) || '.py'"
