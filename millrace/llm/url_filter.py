@@ -6,8 +6,10 @@ of a URL fetch its candidate rules, and only those run their expressions.
 
 from __future__ import annotations
 
+import json
 import re
-from dataclasses import dataclass
+import zlib
+from dataclasses import asdict, dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StringType
@@ -15,8 +17,8 @@ from pyspark.sql.types import StringType
 from millrace.llm.texts import plain
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Rules that the literal index of judge() may hold, as it is part of the plan; judge_by_table() takes any number.
-MOST_RULES = 512
+#: Rules whose index judge() keeps in the plan, about a hundred bytes each; more are judged as a table.
+MOST_IN_PLAN = 20_000
 
 
 @dataclass(frozen=True)
@@ -61,6 +63,10 @@ free-iphone free-gift-cards gift-card-generator free-robux free-vbucks cracked-s
 torrent-download free-movies-online watch-free-movies full-movie-download mp3-download-free free-ringtones toolbar-download pc-cleaner-free
 miracle-cure weight-loss-secrets lose-belly-fat penis-enlargement male-enhancement hair-loss-cure
 """.split()
+# What such hosts offer and how they praise it; each pair, in either order, is a rule of its own.
+OFFERS = "pills meds pharmacy casino slots poker betting loans credit watches handbags sunglasses sneakers backlinks followers essays dissertations diplomas escorts webcams torrents warez keygens steroids supplements".split()
+PRAISE = "cheap cheapest discount discounted wholesale replica fake bonus instant fast easy free best top top10 online buy order sale deals outlet store shop 24x7 vip".split()
+SPAM_HOSTS = list(dict.fromkeys([*SPAM_HOSTS, *(f"{p}-{o}" for p in PRAISE for o in OFFERS), *(f"{o}-{p}" for p in PRAISE for o in OFFERS)]))
 RULES = STATED + [host_word_rule("block", w) for w in SPAM_HOSTS]
 
 
@@ -76,13 +82,30 @@ def tokens_of(key: Column) -> Column:
     return F.array_distinct(F.split(F.lower(key), "[^a-z0-9]+"))
 
 
+def _filed(rows: list[dict], schema: str) -> tuple[Column, int]:
+    """Rows by a hash of their token, as a constant array of lists: the list of a token is found by its place alone."""
+    size = max(1, 2 * len(rows))
+    lists: list[list[dict]] = [[] for _ in range(size)]
+    for r in rows:
+        lists[zlib.crc32(r["token"].encode()) % size].append(r)
+    return F.from_json(F.lit(json.dumps(lists)), f"array<array<struct<token:string{schema}>>>"), size
+
+
+def _fetched(tokens: Column, index: tuple[Column, int]) -> Column:
+    """The rows that are filed under any of the tokens."""
+    lists, size = index
+    found = F.transform(tokens, lambda t: F.filter(F.get(lists, (F.crc32(t.cast("binary")) % size).cast("int")), lambda r: r["token"] == t))
+    return F.flatten(found)
+
+
 def token_counts(pages: DataFrame, tokens: list[str], url: str = "url") -> dict[str, int]:
-    """How many URLs have each of the rules' tokens. The tokens are those of a bounded rule list."""
+    """How many URLs have each of the rules' tokens. The tokens are those of a rule list, and so are the rows that come back."""
     if not tokens:
         return {}
     own = tokens_of(F.concat(host_of(plain(url)), path_of(plain(url))))
-    counts = pages.select([F.count(F.when(F.array_contains(own, t), 1)).alias(f"t{i}") for i, t in enumerate(tokens)]).first()
-    return dict(zip(tokens, counts, strict=True))
+    met = pages.select(F.explode(_fetched(own, _filed([{"token": t} for t in tokens], ""))["token"]).alias("token"))
+    counts = dict(tuple(r) for r in met.groupBy("token").count().collect())
+    return {t: counts.get(t, 0) for t in tokens}
 
 
 def judge(pages: DataFrame, rules: list[Rule] | None = None, url: str = "url", otherwise: str = "allow") -> DataFrame:
@@ -91,31 +114,23 @@ def judge(pages: DataFrame, rules: list[Rule] | None = None, url: str = "url", o
     The rule of the highest rank that fits decides; of equal ranks the later name does. rule is its name, null for
     none and for rules without a name. A null URL, or one without ://, has empty host and path, so that no rule fits
     it and the verdict is `otherwise`. Very long URLs are judged whole. Repeated rows are each judged; input columns named like an added one give way.
+    A token finds its rules by its hash, so that the work for a URL doesn't grow with the number of rules.
     """
     rules = RULES if rules is None else rules
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"more than {MOST_RULES} rules make the plan too large; use judge_by_table")
-    added = {"host", "path", "rule", "verdict"}
-    kept = [c for c in pages.columns if c.lower() not in added or c == url]
+    if len(rules) > MOST_IN_PLAN:
+        fields = "array<struct<name:string,verdict:string,pattern:string,tokens:array<string>,rank:int>>"
+        return judge_by_table(pages, pages.sparkSession.range(1).select(F.inline(F.from_json(F.lit(json.dumps([asdict(r) for r in rules])), fields))), url, otherwise)
+    kept = [c for c in pages.columns if c.lower() not in _ADDED or c == url]
     frame = pages.select(*map(plain, kept), host_of(plain(url)).alias("__host"), path_of(plain(url)).alias("__path"))
     key = F.concat("__host", "__path")
     count = token_counts(pages, sorted({t for r in rules for t in r.tokens}), url)
-    filed: dict[str, list[Rule]] = {}
-    for r in rules:
-        filed.setdefault(min(r.tokens, key=lambda t: (count[t], t)) if r.tokens else "", []).append(r)
-    entry = lambda r: F.struct(F.lit(r.rank).alias("rank"), F.lit(r.name).alias("name"), F.lit(r.verdict).alias("verdict"), F.lit(r.pattern).alias("pattern"))
-    none = F.array(F.struct(F.lit(0).alias("rank"), F.lit("").alias("name"), F.lit("").alias("verdict"), F.lit("").alias("pattern")))
-    frame = frame.withColumn("__tokens", F.array_append(tokens_of(key), F.lit("")))
-    if filed:
-        index = F.create_map(*[x for t, rs in sorted(filed.items()) for x in (F.lit(t), F.array(*map(entry, rs)))])
-        known = F.array(*map(F.lit, sorted(filed)))
-        fetched = F.flatten(F.transform(F.array_intersect("__tokens", known), lambda t: F.element_at(index, t)))
-        frame = frame.withColumn("__best", F.array_max(F.filter(fetched, lambda r: F.regexp_like(key, r["pattern"]))))
-    else:
-        frame = frame.withColumn("__best", F.get(F.filter(none, lambda r: F.lit(False)), 0))
-    best = F.col("__best")
-    rule = F.when(best["name"] != "", best["name"]).cast(StringType())
-    return frame.select(*[plain(c) for c in kept if c.lower() not in added], F.col("__host").alias("host"), F.col("__path").alias("path"), rule.alias("rule"), F.coalesce(best["verdict"], F.lit(otherwise)).alias("verdict"))
+    rarest = lambda r: min(r.tokens, key=lambda t: (count[t], t)) if r.tokens else ""
+    index = _filed([{"token": rarest(r), "rank": r.rank, "name": r.name, "verdict": r.verdict, "pattern": r.pattern} for r in rules], ",rank:int,name:string,verdict:string,pattern:string")
+    fetched = F.filter(_fetched(F.array_append(tokens_of(key), F.lit("")), index), lambda r: F.regexp_like(key, r["pattern"]))
+    best = F.array_max(F.transform(fetched, lambda r: F.struct(r["rank"].alias("rank"), r["name"].alias("name"), r["verdict"].alias("verdict"))))
+    frame = frame.withColumn("__best", best)
+    rule = F.when(F.col("__best.name") != "", F.col("__best.name")).cast(StringType())
+    return frame.select(*[plain(c) for c in kept if c.lower() not in _ADDED], F.col("__host").alias("host"), F.col("__path").alias("path"), rule.alias("rule"), F.coalesce(F.col("__best.verdict"), F.lit(otherwise)).alias("verdict"))
 
 
 _ADDED = {"host", "path", "rule", "verdict"}
