@@ -91,3 +91,38 @@ def diversified(ranked: DataFrame, key: str, folder: str, most: int, cap: int) -
     covered = F.max("main").over(Window.partitionBy("query_id", folder))
     reason = F.when(F.col("main"), "rank").when(~covered & (F.col("__in") == 1), "uncovered folder")
     return picked.select("query_id", key, folder, reason.alias("reason")).filter("reason is not null")
+
+
+def delivered(parts: DataFrame, packet: str, kind: str, order: str, size: str, protected: str, budget: int, classes: list[tuple[str, float, int]]) -> DataFrame:
+    """Adds state to the parts of each packet: protected, delivered, omitted or minimum.
+
+    classes are (kind, share, least) in order of priority; shares of the room that protected parts leave are reserved, rounded
+    down. A class takes its parts in order (no ties within a packet's class) up to what was reserved for it and left over by
+    those before, and its first `least` parts even beyond that, as far as the packet has room, at the cost of classes after it. A
+    part that doesn't fit ends its class. If the protected parts alone are over the budget, all others are omitted, and the
+    protected ones are minimum. Null sizes are 0, kinds without a class are omitted. A class of any size is summed in ranges.
+    """
+    rows = parts.withColumn("__size", F.coalesce(F.col(size), F.lit(0)).cast("double")).withColumn("__kept", F.coalesce(F.col(protected), F.lit(False)))
+    room = F.lit(float(budget)) - F.coalesce(F.sum(F.when(F.col("__kept"), F.col("__size"))), F.lit(0.0))
+    rooms = written(rows.groupBy(F.col(packet).alias("__id")).agg(room.alias("room")), "rooms")
+    open_ = rows.filter(~F.col("__kept")).withColumn("__class", F.struct(F.col(packet).alias("id"), F.col(kind).alias("kind"))).withColumn("__one", F.lit(1))
+    summed = prefix_sums(prefix_sums(open_, "__class", order, "__one").withColumnRenamed("used", "__place"), "__class", order, "__size").drop("__class", "__one")
+    summed = written(summed.withColumnRenamed("used", "__upto"), "sums")
+    now = rooms.filter("room >= 0").select("__id", "room", F.lit(0.0).alias("reserved"), F.lit(0.0).alias("spent"))
+    taken = None
+    for name, share, least in classes:
+        own = summed.filter(F.col(kind) == name)
+        held = own.join(now, F.col(packet).eqNullSafe(F.col("__id")))
+        free = F.col("reserved") + F.floor(F.lit(share) * F.col("room")) - F.col("spent")
+        fits = (F.col("__upto") <= free) | ((F.col("__place") <= least) & (F.col("__upto") <= F.col("room") - F.col("spent")))
+        got = held.filter(fits)
+        limit = got.groupBy(F.col("__id").alias("__of")).agg(F.max("__upto").alias("used"), F.max("__place").alias("last"))
+        met = now.join(limit, F.col("__id").eqNullSafe(F.col("__of")), "left")
+        now = written(met.select("__id", "room", (F.col("reserved") + F.floor(F.lit(share) * F.col("room"))).alias("reserved"), (F.col("spent") + F.coalesce("used", F.lit(0.0))).alias("spent")), "spent")
+        ends = limit.select("__of", F.lit(name).alias("__kind"), F.col("last").cast("long").alias("last"))
+        taken = ends if taken is None else taken.union(ends)
+    ends = written(taken, "ends")
+    met = summed.join(ends, F.col(packet).eqNullSafe(F.col("__of")) & (F.col(kind) == F.col("__kind")), "left")
+    rest = met.withColumn("state", F.when(F.col("__place") <= F.col("last"), "delivered").otherwise("omitted")).select(*parts.columns, "state")
+    kept = rows.filter("__kept").join(rooms, F.col(packet).eqNullSafe(F.col("__id"))).withColumn("state", F.when(F.col("room") < 0, "minimum").otherwise("protected"))
+    return rest.unionByName(kept.select(*parts.columns, "state"))

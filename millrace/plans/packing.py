@@ -47,3 +47,31 @@ def diversified_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight documents a passage, two of a source, and the best of sources that have none."""
     held = _bm25(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
     return packets.diversified(held, "doc_id", "source", 8, 2)
+
+
+_CLASSES = [("N", 0.25, 2), ("A", 0.5, 1), ("R", 0.25, 0)]
+
+
+def _delivery_sql() -> str:
+    steps = []
+    for i, (name, share, least) in enumerate(_CLASSES):
+        was = f"s{i - 1}" if i else "(SELECT id, room, 0.0::DOUBLE AS reserved, 0.0::DOUBLE AS spent FROM rooms WHERE room >= 0)"
+        steps.append(f"""f{i} AS (SELECT o.id, o.kind, max(o.upto) AS used, max(o.place) AS last FROM o JOIN {was} s ON o.id = s.id WHERE o.kind = '{name}' AND (o.upto <= s.reserved + floor({share} * s.room) - s.spent OR o.place <= {least} AND o.upto <= s.room - s.spent) GROUP BY ALL),
+s{i} AS (SELECT s.id, s.room, s.reserved + floor({share} * s.room) AS reserved, s.spent + coalesce(f.used, 0) AS spent FROM {was} s LEFT JOIN f{i} f ON f.id = s.id)""")
+    ends = " UNION ALL ".join(f"SELECT id, kind, last FROM f{i}" for i in range(len(_CLASSES)))
+    return f"""WITH p AS (SELECT o_custkey AS id, l_orderkey * 10 + l_linenumber AS part, max(l_returnflag) AS kind, sum(l_quantity) AS size, bool_and(l_linestatus = 'F' AND l_linenumber = 1) AS kept FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2),
+rooms AS (SELECT id, 300 - coalesce(sum(size) FILTER (kept), 0) AS room FROM p GROUP BY id),
+o AS (SELECT *, sum(size) OVER w AS upto, row_number() OVER w AS place FROM p WHERE NOT kept WINDOW w AS (PARTITION BY id, kind ORDER BY part)),
+{", ".join(steps)}, ends AS ({ends})
+SELECT o.id AS packet_id, o.part, CASE WHEN o.place <= e.last THEN 'delivered' ELSE 'omitted' END AS state FROM o LEFT JOIN ends e ON e.id = o.id AND e.kind = o.kind
+UNION ALL SELECT p.id, p.part, CASE WHEN r.room < 0 THEN 'minimum' ELSE 'protected' END FROM p JOIN rooms r ON r.id = p.id WHERE p.kept"""
+
+
+@query(_delivery_sql())
+def packet_delivery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A customer's numbered lines as parts of a packet; the first line of a settled order is protected."""
+    bought = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    part = (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("part")
+    kept = F.bool_and((F.col("l_linestatus") == "F") & (F.col("l_linenumber") == 1))
+    parts = bought.groupBy(F.col("o_custkey").alias("packet_id"), part).agg(F.max("l_returnflag").alias("kind"), F.sum("l_quantity").alias("size"), kept.alias("kept"))
+    return packets.delivered(parts, "packet_id", "kind", "part", "size", "kept", 300, _CLASSES).select("packet_id", "part", "state")
