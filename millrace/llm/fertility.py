@@ -1,12 +1,12 @@
 """Quality rules on tokeniser fertility, beside counts of symbols and repeats.
 
 A public vocabulary measures characters per token, the share of byte-fallback tokens and the entropy of the tokens of
-whole texts. Bands for each script say which values ordinary text has; texts outside are rejected.
+whole texts. Bands say which values ordinary text has; texts outside are rejected. The bands of a language (or script) with
+enough texts come from the median and quartiles of its own texts, counted exactly over the table; others have fixed ones.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -15,10 +15,11 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType, StructField
 
-from millrace.llm.texts import Slots, map_texts
+from millrace.llm.texts import Slots, map_texts, plain
+from millrace.sources.tables import join_hot, written
 
 
 @dataclass(frozen=True)
@@ -50,6 +51,12 @@ BANDS = {
 }
 #: Shorter texts have no reliable measures and pass.
 LEAST_TOKENS = 64
+#: Different texts that a language needs for bands of its own.
+LEAST_TEXTS = 200
+#: How far bands reach from the median, in half the distance of the quartiles as a normal distribution's deviation: down and
+#: up for characters per token, up for byte fallback, down for evenness. Below, the least that a deviation counts as.
+REACH = {"chars_down": 4.0, "chars_up": 6.0, "fallback_up": 10.0, "even_down": 2.5}
+LEAST_DEVIATION = {"chars": 0.02, "fallback": 0.004, "even": 0.01}
 EVEN_TOKENS = 1024
 # First and last code point of each script's letters, in order.
 _SCRIPTS = [
@@ -62,7 +69,7 @@ _OTHER_FROM = 0x250
 _SIGNS = (0x2000, 0x2E7F)
 
 SYMBOLS = b"#*$%&|<>"
-FIELDS = [StructField(n, LongType()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")] + [StructField("base_failed", BooleanType()), StructField("kept", BooleanType()), StructField("script", StringType()), StructField("reason", StringType())] + [StructField(n, DoubleType()) for n in ("chars_per_token", "byte_fallback", "token_entropy")]
+FIELDS = [StructField(n, LongType()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")] + [StructField("base_failed", BooleanType()), StructField("script", StringType()), StructField("n_tokens", LongType())] + [StructField(n, DoubleType()) for n in ("chars_per_token", "byte_fallback", "token_entropy")]
 _NOT_SYMBOL = bytes(b for b in range(256) if b not in SYMBOLS)
 _CONTINUATION = bytes(range(0x80, 0xC0))
 
@@ -129,23 +136,38 @@ def repeated_words(ids: np.ndarray, width: int = 8) -> int:
     return int((np.cumsum(edges[:-1]) > 0).sum())
 
 
-def verdict(script: str, chars: float, fallback: float, entropy: float, tokens: int) -> str | None:
-    """Why a text is rejected; None if it isn't."""
-    band = BANDS[script]
-    if tokens < LEAST_TOKENS:
-        return None
-    if not band.chars_per_token[0] <= chars <= band.chars_per_token[1]:
-        return "chars_per_token"
-    if fallback > band.most_fallback:
-        return "byte_fallback"
-    return "token_entropy" if entropy < band.least_evenness * math.log2(min(tokens, EVEN_TOKENS)) else None
+def _evenness() -> Column:
+    return F.col("token_entropy") / F.log2(F.least(F.col("n_tokens"), F.lit(EVEN_TOKENS)).cast("double"))
 
 
-def assess(docs: DataFrame, vocabulary: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Adds the counts, base_failed, kept and the measures behind it.
+def bands(measured: DataFrame, group: str, least_texts: int = LEAST_TEXTS) -> DataFrame:
+    """(group, texts, chars_low, chars_high, most_fallback, least_even) of each group; the bands are null below `least_texts`.
+
+    Texts of enough tokens that pass the base rule count, those with the same measures once, so that copies don't draw the
+    bands to themselves. Quartiles are those of values rounded to thousandths, whose counts are all that a task gets of a group.
+    """
+    texts = measured.filter(~F.col("base_failed") & (F.col("n_tokens") >= LEAST_TOKENS)).select(group, "n_tokens", "chars_per_token", "byte_fallback", "token_entropy").distinct()
+    parts = F.array(*(F.struct(F.lit(n).alias("measure"), F.round(c, 3).alias("value")) for n, c in (("chars", F.col("chars_per_token")), ("fallback", F.col("byte_fallback")), ("even", _evenness()))))
+    counts = texts.select(group, F.inline(parts)).groupBy(group, "measure", "value").agg(F.count("*").alias("c"))
+    mine = Window.partitionBy(group, "measure")
+    placed = counts.withColumn("upto", F.sum("c").over(mine.orderBy("value"))).withColumn("n", F.sum("c").over(mine))
+    at = lambda measure, p: F.min(F.when((F.col("measure") == measure) & (F.col("upto") >= F.ceil(F.lit(p) * F.col("n"))), F.col("value")))
+    quartiles = placed.groupBy(group).agg(F.max("n").alias("texts"), *(at(m, p).alias(f"{m}{int(100 * p)}") for m in LEAST_DEVIATION for p in (0.25, 0.5, 0.75)))
+
+    def limit(measure: str, up: bool, reach: str) -> Column:
+        middle = F.col(f"{measure}50")
+        half = F.col(f"{measure}75") - middle if up else middle - F.col(f"{measure}25")
+        away = REACH[reach] * F.greatest(half / 0.6745, F.lit(LEAST_DEVIATION[measure]))
+        return F.when(F.col("texts") >= least_texts, middle + away if up else middle - away)
+
+    return quartiles.select(group, "texts", limit("chars", False, "chars_down").alias("chars_low"), limit("chars", True, "chars_up").alias("chars_high"), limit("fallback", True, "fallback_up").alias("most_fallback"), limit("even", False, "even_down").alias("least_even"))
+
+
+def measure(docs: DataFrame, vocabulary: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """Adds the counts, base_failed, script, n_tokens and the measures.
 
     Words are [^\\x20\\x09-\\x0D]+. Tokens are those of the whole text, however long, its white space included. Null and empty texts have no words, fail the base rule of 20 words, and have null
-    measures and the reason "base". Repeated rows are each judged; input columns named like an added one give way.
+    measures. Repeated rows are each measured; input columns named like an added one give way.
     """
 
     def make() -> Callable[[list], dict]:
@@ -164,15 +186,13 @@ def assess(docs: DataFrame, vocabulary: str, text: str = "text", keep: list[str]
                 symbols = len(raw.translate(None, _NOT_SYMBOL))
                 repeated = repeated_words(names.numbers(words)) if n > 8 else 0
                 failed = n < 20 or 100 * repeated > 30 * n
-                script = reason = per = fallback = entropy = None
+                script = per = fallback = entropy = None
                 if len(own) and n:
                     script, per, fallback = script_of(raw.decode()), chars / len(own), float(is_byte[own].mean())
                     share = np.bincount(own)
                     share = share[share > 0] / len(own)
                     entropy = float(-(share * np.log2(share)).sum())
-                    reason = verdict(script, per, fallback, entropy, len(own))
-                reason = "base" if failed else reason
-                row = (n, chars, symbols, duplicate_lines(raw), repeated, failed, reason is None, script, reason, per, fallback, entropy)
+                row = (n, chars, symbols, duplicate_lines(raw), repeated, failed, script, len(own), per, fallback, entropy)
                 for f, value in zip(FIELDS, row, strict=True):
                     out[f.name].append(value)
             return out
@@ -180,3 +200,28 @@ def assess(docs: DataFrame, vocabulary: str, text: str = "text", keep: list[str]
         return run
 
     return map_texts(docs, FIELDS, make, text, keep, form="arrow")
+
+
+def assess(docs: DataFrame, vocabulary: str, text: str = "text", keep: list[str] | None = None, language: str | None = None, least_texts: int = LEAST_TEXTS) -> DataFrame:
+    """Adds what measure() does, kept, and the reason against a text: base, chars_per_token, byte_fallback or token_entropy.
+
+    Null and empty texts fail the base rule. Texts below LEAST_TOKENS pass. `language` names a column whose texts share bands;
+    without it, and where it is null, those of a script do, and languages with few different texts have the fixed bands of the
+    text's script. What is kept of the input is written with the measures. An input column named like an added one gives way.
+    """
+    added = {f.name for f in FIELDS} | {"kept", "reason", "__group", "__texts"}
+    kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in added]
+    named = docs if language is None else docs.withColumn("__language", plain(language).cast("string"))
+    measured = measure(named, vocabulary, text, [*kept, *(["__language"] if language else [])])
+    script = F.coalesce("script", F.lit("other"))
+    group = script if language is None else F.coalesce(F.concat(F.lit("language:"), F.col("__language")), script)
+    measured = written(measured.withColumn("__group", group), "measures")
+    held = measured.groupBy("__group").agg(F.count("*").alias("__texts"))
+    facts = written(held.join(bands(measured, "__group", least_texts).drop("texts"), "__group", "left"), "bands")
+    rows = join_hot(measured, facts, "__group", "__texts")
+    fixed = lambda pick: F.create_map(*[x for n, b in BANDS.items() for x in (F.lit(n), F.lit(float(pick(b))))])[script]
+    low, high, most, even = (F.coalesce(F.col(c), fixed(pick)) for c, pick in (("chars_low", lambda b: b.chars_per_token[0]), ("chars_high", lambda b: b.chars_per_token[1]), ("most_fallback", lambda b: b.most_fallback), ("least_even", lambda b: b.least_evenness)))
+    chars = F.col("chars_per_token")
+    reason = F.when(F.col("base_failed"), "base").when(F.col("n_tokens") < LEAST_TOKENS, None).when((chars < low) | (chars > high), "chars_per_token").when(F.col("byte_fallback") > most, "byte_fallback").when(_evenness() < even, "token_entropy")
+    out = [*map(plain, kept), *(f.name for f in FIELDS[:6]), reason.alias("reason"), *(f.name for f in FIELDS[6:])]
+    return rows.select(*out).withColumn("kept", F.col("reason").isNull())

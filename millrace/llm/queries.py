@@ -59,7 +59,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fertility.assess(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), keep=["doc_id"])
+    return fertility.assess(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), keep=["doc_id"], language="lang")
 
 
 def op11_target_distribution_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:

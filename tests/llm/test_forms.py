@@ -95,7 +95,7 @@ def test_tokens_and_verdicts_of_whole_texts(spark):
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame([(-1, "漢字 " * 50), (-2, "a b\n\n\tc   d " * 40), (-3, "\u2605 " * 80), (-4, "same " * 500)], SCHEMA))
     whole = {r.doc_id: r.text for r in docs.collect()}
     reasons = set()
-    for r in fertility.assess(docs, queries.vocabulary("piece_bpe_32k.model")).collect():
+    for r in fertility.assess(docs, queries.vocabulary("piece_bpe_32k.model"), least_texts=10**9).collect():
         ids = model.encode(whole[r.doc_id] or "")
         if not ids or not (whole[r.doc_id] or "").split():
             continue
@@ -110,6 +110,47 @@ def test_tokens_and_verdicts_of_whole_texts(spark):
     assert [fertility.script_of(t) for t in ("abc", "漢字", "при", "123 [_]", "ה", "é×", "한글")] == ["latin", "cjk", "cyrillic", "other", "hebrew", "latin", "hangul"]
 
 
+def band_of(values, measure):
+    """Limits down and up from the nearest-rank quartiles of rounded values."""
+    own = sorted(round(v, 3) for v in values)
+    q1, md, q3 = (own[max(0, math.ceil(p * len(own)) - 1)] for p in (0.25, 0.5, 0.75))
+    least = fertility.LEAST_DEVIATION[measure]
+    reach = lambda way: fertility.REACH.get(f"{measure}_{way}", 0)
+    return md - reach("down") * max((md - q1) / 0.6745, least), md + reach("up") * max((q3 - md) / 0.6745, least)
+
+
+def test_bands_of_languages_and_each_reason(spark):
+    """Bands by language against a loop; copies count once; texts of letters, of bytes and of few words fall out of their band."""
+    odd = [(-1, "a b c d e f g h i j k l m n o p q r s t u v w x y z " * 6, "en"), (-2, " ".join(f"\u2603{chr(0x1F300 + i)} word{i}" for i in range(60)), "en"), (-3, " ".join(["one", "two", "three", "four", "five", "six", "seven"][i * i % 7] + "ab"[i % 2] for i in range(40)) + " " + " ".join("x" * (i % 9 + 1) for i in range(40)), "de"), (-4, None, None), (-5, "", "en"), (-6, "short text", "xx")]
+    draw, model = np.random.default_rng(1), fertility.piece_model(queries.vocabulary("piece_bpe_32k.model"))[0]
+    common = "information government development production company history between national public different".split()
+    mixed = [" ".join(str(draw.choice(common)) if draw.random() < share else "of" if draw.random() < 0.5 else chr(0x1F300 + int(draw.integers(200))) for _ in range(200)) for share in np.arange(0.05, 0.9, 0.01)]
+    near = min(mixed, key=lambda t: abs(len("".join(t.split())) / len(model.encode(t)) - 2.2))
+    odd.append((-7, near, "en"))
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    copies = docs.filter("doc_id = 3").crossJoin(spark.range(400)).select((-1000 - F.col("id")).alias("doc_id"), "text", "lang")
+    docs = docs.union(copies).union(spark.createDataFrame(odd, "doc_id long, text string, lang string")).withColumn("Kept", F.lit("clash"))
+    rows = fertility.assess(docs, queries.vocabulary("piece_bpe_32k.model"), keep=["doc_id", "lang"], language="lang", least_texts=60).collect()
+    even = lambda r: r.token_entropy / math.log2(min(r.n_tokens, 1024))
+    limits = {}
+    for lang in {r.lang for r in rows} - {None}:
+        own = {(r.n_tokens, r.chars_per_token, r.byte_fallback, r.token_entropy): r for r in rows if r.lang == lang and not r.base_failed and r.n_tokens >= 64}.values()
+        if len(own) >= 60:
+            limits[lang] = [band_of([f(r) for r in own], m) for m, f in (("chars", lambda r: r.chars_per_token), ("fallback", lambda r: r.byte_fallback), ("even", even))]
+    assert set(limits) >= {"en", "de", "fr"}
+    for r in rows:
+        fixed = fertility.BANDS[r.script or "other"]
+        chars, fallback, least = limits.get(r.lang) or (fixed.chars_per_token, (0, fixed.most_fallback), (fixed.least_evenness, 1))
+        want = "base" if r.base_failed else None if r.n_tokens < 64 else "chars_per_token" if not chars[0] <= r.chars_per_token <= chars[1] else "byte_fallback" if r.byte_fallback > fallback[1] else "token_entropy" if even(r) < least[0] else None
+        assert r.reason == want or any(abs(a - b) < 1e-9 for a, b in ((r.chars_per_token or 0, chars[0]), (r.chars_per_token or 0, chars[1])))
+        assert r.kept == (r.reason is None)
+    assert {r.reason for r in rows} == {None, "base", "chars_per_token", "byte_fallback", "token_entropy"}
+    good = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").filter("quality = 1")
+    kept = {r.doc_id: r for r in rows}
+    labelled = [kept[r.doc_id] for r in good.collect() if r.doc_id in kept and not kept[r.doc_id].base_failed]
+    assert sum(r.kept for r in labelled) >= 0.98 * len(labelled)
+
+
 LICENSED = {
     "Apache 2.4 web server": "", "PHP 3.0 was released": "", "my elastic 2.0 band": "", "available under Vim and Ruby": "", "boost 1.0": "", "ruby license plate": "",
     "SPDX-License-Identifier: Apache-2.0": "apache-2.0", "Licensed under the Apache License, Version 2.0": "apache,apache-2.0,license-notice",
