@@ -12,7 +12,7 @@ def _matches(queries: DataFrame, postings: DataFrame, key: str) -> DataFrame:
     """Occurrences of query terms with their df and the corpus facts. Only the terms that are asked for are counted."""
     facts = document_stats(postings, key)
     corpus = facts.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"), F.avg("distinct_terms").alias("avg_distinct"))
-    asked = postings.join(queries.select("term").distinct(), "term")
+    asked = written(postings.join(queries.select("term").distinct(), "term"), "matches")
     df = asked.groupBy("term").agg(F.count("*").alias("df"))
     return asked.join(df, "term").join(queries, "term").join(facts, key).join(F.broadcast(corpus), F.lit(True))  # corpus: one row
 
@@ -33,7 +33,8 @@ def rare_terms(queries: DataFrame, postings: DataFrame, key: str) -> DataFrame:
 
 def references(names: DataFrame, postings: DataFrame, key: str) -> DataFrame:
     """(1 + ln tf) / ln(2 + documents with the name), over names (query_id, term, w)."""
-    found = postings.join(names, "term").withColumn("holders", F.count("*").over(Window.partitionBy("query_id", "term")))
+    held = postings.join(names.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("holders"))
+    found = postings.join(names.join(held, "term"), "term")
     return found.groupBy("query_id", key).agg(F.sum(F.col("w") * (1 + F.log("tf")) / F.log(2 + F.col("holders"))).alias("score"))
 
 

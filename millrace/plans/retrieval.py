@@ -149,7 +149,7 @@ def score_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{_MET}, {_RARE}, {_rank('rare', 10)} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM rare_r")
 def score_rare_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = scorers.ranked(scorers.rare_terms(_asked(spark, sf_dir), _postings(spark, sf_dir), "doc_id"), "doc_id", 10)
+    got = scorers.ranked(scorers.rare_terms(_asked(spark, sf_dir), _stored(spark, sf_dir), "doc_id"), "doc_id", 10)
     return got.select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
@@ -193,7 +193,7 @@ def fuse_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{_MET}, {_BM25}, v AS (SELECT count(DISTINCT term) AS v FROM postings), h AS (SELECT query_id, doc_id, round(score * (1 - distinct_terms / v::DOUBLE), 9) AS score FROM bm JOIN stats USING (doc_id), v), {_rank('h', 10)} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM h_r")
 def damp_hubs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _postings(spark, sf_dir)
+    p = _stored(spark, sf_dir)
     vocabulary = p.agg(F.count_distinct("term").alias("v"))
     shares = index.document_stats(p, "doc_id").join(F.broadcast(vocabulary), F.lit(True)).select("doc_id", (F.col("distinct_terms") / F.col("v")).alias("share"))
     scored = scorers.bm25(_asked(spark, sf_dir), p, "doc_id").withColumn("score", F.round("score", 9))
