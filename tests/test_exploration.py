@@ -3,7 +3,7 @@
 import pytest
 
 from millrace.operators import inspection
-from millrace.plans import inspection as plans
+from millrace.plans import exploration as plans
 
 FOLDER = "/root/testdata/sf0.001"
 SIZES = {"protected": 5, "shown": 8, "most_requests": 12, "most": 6, "enough": 0.9}
@@ -53,7 +53,7 @@ def loop(t, rounds, protected, shown, most_requests, most, enough):
 
 @pytest.mark.parametrize("rounds", [1, 2, 4])
 def test_rounds_against_a_loop(spark, rounds):
-    tables = plans.exploration(spark, FOLDER)
+    tables = plans.given(spark, FOLDER)
     rows = {n: [tuple(r) for r in f.collect()] for n, f in tables.items()}
     rows["wanted"] = [r for r in rows["wanted"] if r[0] % 5]  # some want nothing
     tables["wanted"] = tables["wanted"].filter("query_id % 5 <> 0")
