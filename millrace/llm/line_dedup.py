@@ -1,9 +1,11 @@
 """Removal of passages that repeat across documents, by chunks of whole lines, in DataFrame functions alone.
 
-A chunk is a least run of whole lines with enough words: every line begins one and ends one, so that no edge of a passage
-falls between chunks. Chunks that fewer lines would bound, chosen by rolling hashes, miss a part of the passages of few
-lines; the README has figures. Rolling hashes of the lines' hashes name the chunks, those that occur again are joined to
-runs, and runs are compared with their first place byte for byte before they go. Lines without words are passed over.
+Rolling hashes over the hashes of neighbouring lines choose boundaries: in each least run of whole lines with enough words,
+the place of the least rolling hash. The choice depends on the run's own lines alone, so that it shifts with them, and runs
+with the same lines have the same boundary. Boundaries that stand at one place only go first, with all their chunks. The
+chunks around the others are the runs themselves; every line begins one and ends one, so that no edge of a passage falls
+between chunks, which parts of a text between two boundaries would have. Those that occur again are joined to runs of
+lines, and runs are compared with their first place byte for byte before they go. Lines without words are passed over.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from millrace.llm.texts import plain
-from millrace.sources.tables import written
+from millrace.sources.tables import join_hot, written
 
 #: Words in a run of repeated lines from which on it is removed.
 LEAST_WORDS = 50
@@ -45,7 +47,8 @@ def lines_of(text: Column) -> Column:
 
 def _windows(docs: DataFrame, least_words: int) -> DataFrame:
     """A row for each chunk: the places of its first and last line, a and e, the number k of its first line among those
-    with words, and its hash h. Bytes are compared later, so that 64 bits are enough."""
+    with words, its hash h, and its boundary: the least rolling hash of two lines in a row in it (of its line, if it has
+    but one) and where that first stands, b. Bytes are compared later, so that 64 bits are enough."""
     n = max(1, least_words)
 
     def line(x: Column, i: Column) -> Column:
@@ -57,13 +60,16 @@ def _windows(docs: DataFrame, least_words: int) -> DataFrame:
     step = step.select(*_KEY, "facts", names.alias("names"), F.flatten(F.transform("facts", lambda x, i: F.array_repeat(i, x["w"]))).alias("p"))
     held = F.greatest(F.size("p") - n + 1, F.lit(0))
     pairs = F.array_distinct(F.zip_with(F.slice("p", 1, held), F.slice("p", n, held), lambda a, e: F.shiftleft(a.cast("long"), 32) + e))
-    step = step.select(*_KEY, "facts", "names", F.when(held > 0, pairs).alias("pairs"))
+    rolled = F.zip_with("names", F.slice("names", 2, F.greatest(F.size("names") - 1, F.lit(0))), lambda x, y: F.xxhash64(x, y))
+    step = step.select(*_KEY, "facts", "names", rolled.alias("rolled"), F.when(held > 0, pairs).alias("pairs"))
 
     def window(x: Column) -> Column:
         a, e = F.shiftright(x, 32).cast("int"), x.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
         own = F.slice("names", a + 1, e - a + 1)
         place = lambda at: F.get("facts", at)["i"]
-        return F.struct(F.xxhash64(own).alias("h"), place(a).alias("a"), place(e).alias("e"), a.alias("k"))
+        least = F.when(a == e, F.get("names", a)).otherwise(F.array_min(F.slice("rolled", a + 1, e - a)))
+        at = F.when(a == e, a).otherwise(a + F.array_position(F.slice("rolled", a + 1, e - a), least).cast("int") - 1)
+        return F.struct(F.xxhash64(own).alias("h"), place(a).alias("a"), place(e).alias("e"), a.alias("k"), least.alias("boundary"), at.alias("b"))
 
     return step.select(*_KEY, F.inline_outer(F.transform("pairs", window))).filter("a is not null")
 
@@ -75,12 +81,21 @@ def _islands(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.withColumn("apart", F.coalesce((F.col("a") > reach).cast("int"), F.lit(1))).withColumn("run", F.sum("apart").over(order))
 
 
+def bounded_chunks(rows: DataFrame) -> DataFrame:
+    """The chunks whose boundary stands at two places or more. Each place counts once, so that copies of a row and chunks
+    that share a boundary make none; what is shuffled to find out is a row for each boundary of a partition."""
+    place = F.struct(*_KEY, "b")
+    seen = rows.groupBy("boundary").agg(F.count("*").alias("held"), F.min(place).alias("least"), F.max(place).alias("most"))
+    shared = written(seen.filter(~F.col("least").eqNullSafe(F.col("most"))).select("boundary", "held"), "boundaries")
+    return join_hot(rows, shared, "boundary", "held").select(*_KEY, "h", "a", "e", "k")
+
+
 def repeated_runs(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """Runs of lines, from a to e, whose chunks all stand first at first_a to first_e of one other place."""
-    rows = written(_windows(docs, least_words), "windows")
+    rows = written(bounded_chunks(written(_windows(docs, least_words), "windows")), "chunks")
     first = rows.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct(*_KEY, "a", "e", "k")).alias("first"))
-    repeated = written(first.filter("n > 1").select("h", "first"), "repeated")
-    met = rows.join(repeated, "h")
+    repeated = written(first.filter("n > 1").select("h", "n", "first"), "repeated")
+    met = join_hot(rows, repeated, "h", "n")
     met = met.filter(~(F.col("id").eqNullSafe(F.col("first.id")) & (F.col("hash") == F.col("first.hash")) & (F.col("a") == F.col("first.a"))))
     places = [F.col("first.id").alias("first_id"), F.col("first.hash").alias("first_hash"), F.col("first.a").alias("first_a"), F.col("first.e").alias("first_e")]
     met = met.select(*_KEY, "a", "e", *places, (F.col("k") - F.col("first.k")).alias("lag"))
@@ -89,18 +104,35 @@ def repeated_runs(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     return _islands(met, keys).groupBy(*keys, "run").agg(*bounds).drop("lag", "run")
 
 
+def _cut(docs: DataFrame, ranges: DataFrame) -> DataFrame:
+    """The ranges (id, hash, a, e and a first place) with their text t, lines without words aside. A document is read
+    once, with all its ranges."""
+    held = ranges.groupBy(*_KEY).agg(F.collect_list(F.struct("a", "e", *_PLACE)).alias("ranges")).select(F.col("id").alias("own_id"), F.col("hash").alias("own_hash"), "ranges").hint("merge")
+    whole = docs.join(held, docs["id"].eqNullSafe(held["own_id"]) & (docs["hash"] == held["own_hash"])).select("own_id", "own_hash", lines_of(F.col("text")).alias("lines"), "ranges")
+    text = lambda r: F.array_join(F.filter(F.slice("lines", r["a"] + 1, r["e"] - r["a"] + 1), lambda x: x.rlike(r"\S")), "\n")
+    return whole.select("own_id", "own_hash", F.inline(F.transform("ranges", lambda r: F.struct(*[r[c].alias(c) for c in ("a", "e", *_PLACE)], text(r).alias("t")))))
+
+
+def _first_places(runs: DataFrame) -> DataFrame:
+    return runs.select(F.col("first_id").alias("id"), F.col("first_hash").alias("hash"), F.col("first_a").alias("a"), F.col("first_e").alias("e"), *_PLACE).distinct()
+
+
 def differing(docs: DataFrame, runs: DataFrame) -> DataFrame:
     """The first places of runs with which some run does not agree byte for byte, lines without words aside.
 
-    Every text is read once, with all its ranges. Equal texts become one in each partition before they are shuffled.
+    Equal texts become one in each partition before they are shuffled.
     """
-    own = runs.select(*_KEY, "a", "e", *_PLACE)
-    theirs = runs.select(F.col("first_id").alias("id"), F.col("first_hash").alias("hash"), F.col("first_a").alias("a"), F.col("first_e").alias("e"), *_PLACE).distinct()
-    ranges = own.union(theirs).groupBy(*_KEY).agg(F.collect_list(F.struct("a", "e", *_PLACE)).alias("ranges")).select(F.col("id").alias("own_id"), F.col("hash").alias("own_hash"), "ranges").hint("merge")
-    whole = docs.join(ranges, docs["id"].eqNullSafe(ranges["own_id"]) & (docs["hash"] == ranges["own_hash"])).select(lines_of(F.col("text")).alias("lines"), "ranges")
-    cut = lambda r: F.array_join(F.filter(F.slice("lines", r["a"] + 1, r["e"] - r["a"] + 1), lambda x: x.rlike(r"\S")), "\n")
-    texts = whole.select(F.inline(F.transform("ranges", lambda r: F.struct(*[r[c].alias(c) for c in _PLACE], cut(r).alias("t")))))
-    return texts.distinct().groupBy(*_PLACE).agg(F.count("*").alias("n")).filter("n > 1").select(*_PLACE)
+    ranges = runs.select(*_KEY, "a", "e", *_PLACE).union(_first_places(runs))
+    return _cut(docs, ranges).select(*_PLACE, "t").distinct().groupBy(*_PLACE).agg(F.count("*").alias("n")).filter("n > 1").select(*_PLACE)
+
+
+def unlike(docs: DataFrame, runs: DataFrame, places: DataFrame) -> DataFrame:
+    """The runs at these first places that do not agree with them byte for byte; hashes that clash lead here, no others."""
+    other = places.select(*[F.col(c).alias(f"at_{c}") for c in _PLACE])
+    doubted = written(runs.join(other, [F.col(c).eqNullSafe(F.col(f"at_{c}")) for c in _PLACE], "left_semi").select(*_KEY, "a", "e", *_PLACE), "doubted")
+    theirs = _cut(docs, _first_places(doubted)).select(*[F.col(c).alias(f"at_{c}") for c in _PLACE], F.col("t").alias("at_t")).distinct()
+    met = _cut(docs, doubted).join(theirs, [F.col(c).eqNullSafe(F.col(f"at_{c}")) for c in _PLACE])
+    return met.filter("t <> at_t").select(F.col("own_id").alias("id"), F.col("own_hash").alias("hash"), "a", "e", *_PLACE).distinct()
 
 
 def removed_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
@@ -109,8 +141,9 @@ def removed_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     runs = written(repeated_runs(docs, least_words), "runs")
     wrong = written(differing(docs, runs), "differing")
     if wrong.limit(1).count():
-        other = wrong.select(*[F.col(c).alias(f"wrong_{c}") for c in _PLACE])
-        runs = runs.join(other, [F.col(c).eqNullSafe(F.col(f"wrong_{c}")) for c in _PLACE], "left_anti")
+        named = [*_KEY, "a", "e", *_PLACE]
+        other = written(unlike(docs, runs, wrong), "unlike").select(*[F.col(c).alias(f"wrong_{c}") for c in named])
+        runs = runs.join(other, [F.col(c).eqNullSafe(F.col(f"wrong_{c}")) for c in named], "left_anti")
     ranges = _islands(runs.select(*_KEY, "a", "e").distinct(), _KEY).groupBy(*_KEY, "run").agg(F.min("a").alias("a"), F.max("e").alias("e"))
     return ranges.groupBy(*_KEY).agg(F.array_sort(F.collect_list(F.struct("a", "e"))).alias("removed"))
 

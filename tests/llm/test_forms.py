@@ -1,6 +1,7 @@
 """Text operators on hard inputs and against loops: long runs, other scripts, sizes of groups, scores and labels."""
 
 import math
+import random
 import re
 import time
 
@@ -8,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.llm import fertility, folds, jaccard, licenses, line_dedup, packing, pii, quality, queries, texts, toxicity, url_filter
+from millrace.llm import components, fertility, folds, jaccard, licenses, line_dedup, packing, pii, quality, queries, texts, toxicity, url_filter
 from tests.llm.test_operators import FOLDER, ODD, SCHEMA, lines_left, operators, sets_of
 
 MANY = 100_000
@@ -90,6 +91,45 @@ def test_runs_that_differ_in_bytes_stay(spark):
     assert [tuple(r) for r in line_dedup.differing(docs, runs).collect()] == [(2, 22, 1, 3)]
 
 
+def test_only_the_run_that_differs_stays(spark):
+    docs = spark.createDataFrame([(1, 11, "a\nb\nc"), (None, 22, "x\na\n\nb"), (3, 33, "a\nB"), (3, 33, "a\nB"), (4, 44, "a\nb")], "id long, hash long, text string")
+    runs = spark.createDataFrame([(None, 22, 1, 3, 1, 11, 0, 1), (3, 33, 0, 1, 1, 11, 0, 1), (4, 44, 0, 1, 1, 11, 0, 1), (4, 44, 0, 0, 1, 11, 0, 0)], "id long, hash long, a int, e int, first_id long, first_hash long, first_a int, first_e int")
+    places = line_dedup.differing(docs, runs)
+    assert [tuple(r) for r in places.collect()] == [(1, 11, 0, 1)]
+    assert [tuple(r)[:4] for r in line_dedup.unlike(docs, runs, places).collect()] == [(3, 33, 0, 1)]
+
+
+def test_boundaries_keep_every_chunk_that_repeats(spark):
+    """Random lines from few words: chunks of one line and of many, copies of rows, null ids, passages within one text."""
+    draw = random.Random(7)
+    rows = [(i if i % 9 else None, "\n".join(" ".join(draw.choice("abc") for _ in range(draw.choice([0, 1, 2, 3, 12]))) for _ in range(draw.randrange(30)))) for i in range(200)]
+    rows += rows[:20] + [(500, "\n".join(["one two three four five six"] * 9)), (501, "t u v w x y z t"), (502, "t u v w x y z t")]
+    docs = spark.createDataFrame(rows, SCHEMA).select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"), "text")
+    chunks = line_dedup._windows(docs, 8)
+    places = {}
+    for r in chunks.collect():
+        places.setdefault(r.h, set()).add((r.id, r.hash, r.a))
+    kept = {(r.h, r.id, r.hash, r.a) for r in line_dedup.bounded_chunks(chunks).collect()}
+    want = {(h, *p) for h, found in places.items() if len(found) > 1 for p in found}
+    assert want and want <= kept and len(kept) < sum(map(len, places.values()))
+
+
+def test_components_of_hubs_paths_and_cycles(spark, monkeypatch):
+    """Labels are those of a loop, where keys are hot and where none is."""
+    edges = [(0, i) for i in range(1, 1300)] + [(i, i + 1) for i in range(2000, 2060)] + [(3000, 3001), (3001, 3002), (3002, 3000), (4000, 4000), (5001, 5000), (5001, 5000)]
+    root = {}
+    for a, b in edges:
+        if a != b:
+            root.setdefault(a, a), root.setdefault(b, b)
+    for _ in range(70):
+        for a, b in edges:
+            if a != b:
+                root[a] = root[b] = min(root[a], root[b])
+    frame = spark.createDataFrame(edges, "a long, b long")
+    assert {r.node: r.root for r in components.components(frame).collect()} == root
+    assert components.components(frame.limit(0)).collect() == []
+
+
 def test_tokens_and_verdicts_of_whole_texts(spark):
     model, is_byte = fertility.piece_model(queries.vocabulary("piece_bpe_32k.model"))
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame([(-1, "漢字 " * 50), (-2, "a b\n\n\tc   d " * 40), (-3, "\u2605 " * 80), (-4, "same " * 500)], SCHEMA))
