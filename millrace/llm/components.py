@@ -4,22 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from millrace.sources.tables import written
+from millrace.sources.tables import join_hot, written
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every end of the edges (a, b); root is the least node that it is connected with.
 
     Each round takes the least label of the neighbours, then the label of that label, so that paths halve. It ends
-    when nothing changes. No edges give no rows.
+    when nothing changes. No edges give no rows. Hubs and the roots of large components are keys of many rows: how many is
+    counted, and such keys are broadcast, a thousand at most.
     """
-    both = written(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).filter("a <> b").distinct(), "edges")
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root")), "labels")
+    both = written(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).filter("a <> b").distinct().select("a", F.col("b").alias("node")), "edges")
+    ends = both.groupBy(F.col("a").alias("at")).agg(F.min("node").alias("m"), F.count("*").alias("degree"))
+    labels = written(ends.select(F.col("at").alias("node"), F.least("at", "m").alias("root"), "degree"), "labels")
     while True:
-        near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("root").alias("m"))
-        met = labels.join(near, F.col("node") == F.col("a")).select("node", F.col("root").alias("was"), F.least("root", "m").alias("root"))
-        far = labels.select(F.col("node").alias("at"), F.col("root").alias("further"))
-        now = written(met.join(far, F.col("root") == F.col("at")).select("node", "was", F.least("root", "further").alias("root")), "labels")
+        near = join_hot(both, labels, "node", "degree").groupBy("a").agg(F.min("root").alias("m"))
+        met = written(labels.join(near, F.col("node") == F.col("a")).select("node", F.col("root").alias("was"), F.least("root", "m").alias("root"), "degree"), "met")
+        roots = met.groupBy("root").agg(F.count("*").alias("held")).join(labels.select(F.col("node").alias("root"), F.col("root").alias("further")), "root")
+        far = join_hot(met, written(roots, "roots"), "root", "held")
+        now = written(far.select("node", "was", F.least("root", "further").alias("root"), "degree"), "labels")
         if not now.filter("was <> root").limit(1).count():
             return now.select("node", "root")
-        labels = now.select("node", "root")
+        labels = now.select("node", "root", "degree")
