@@ -22,8 +22,26 @@ def postings(frame: DataFrame, key: str, text: str) -> DataFrame:
 def identifier_postings(frame: DataFrame, key: str, text: str) -> DataFrame:
     """(key, term, tf) over the terms that identifiers expand to. Identifiers are counted in a document first, so that
     each is taken apart once."""
-    counted = frame.select(key, F.explode(tokens.identifiers(F.col(text))).alias("id")).groupBy(key, "id").agg(F.count("*").alias("n"))
-    return counted.select(key, "n", F.explode(tokens.expand(F.col("id"))).alias("term")).groupBy(key, "term").agg(F.sum("n").alias("tf"))
+    return expanded(identifier_counts(frame, key, text), key)
+
+
+def identifier_counts(frame: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, id, n): identifiers as they are written."""
+    return frame.select(key, F.explode(tokens.identifiers(F.col(text))).alias("id")).groupBy(key, "id").agg(F.count("*").alias("n"))
+
+
+def expanded(counts: DataFrame, key: str) -> DataFrame:
+    """(key, term, tf) from counts of identifiers (key, id, n)."""
+    return counts.select(key, "n", F.explode(tokens.expand(F.col("id"))).alias("term")).groupBy(key, "term").agg(F.sum("n").alias("tf"))
+
+
+def document_facts(frame: DataFrame, key: str, text: str, postings: DataFrame) -> DataFrame:
+    """(key, len, distinct_terms, chars) for every document: identifiers as they stand in the text, terms of the postings,
+    characters. A text that is null or has no identifier counts with zeros."""
+    whole = F.coalesce(F.col(text), F.lit(""))
+    lengths = frame.select(key, F.size(tokens.identifiers(whole)).alias("len"), F.length(whole).alias("chars"))
+    terms = postings.groupBy(key).agg(F.count("*").alias("distinct_terms"))
+    return lengths.join(terms, key, "left").withColumn("distinct_terms", F.coalesce("distinct_terms", F.lit(0)))
 
 
 def top_terms(postings: DataFrame, key: str, k: int) -> DataFrame:

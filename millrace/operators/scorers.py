@@ -8,31 +8,37 @@ from millrace.operators.index import document_stats, identifier_postings, idf
 from millrace.sources.tables import written
 
 
-def _matches(queries: DataFrame, postings: DataFrame, key: str) -> DataFrame:
-    """Occurrences of query terms with their df and the corpus facts. Only the terms that are asked for are counted."""
-    facts = document_stats(postings, key)
+def _matches(queries: DataFrame, postings: DataFrame, key: str, facts: DataFrame | None = None) -> DataFrame:
+    """Occurrences of query terms with their df and the corpus facts. Only the terms that are asked for are counted.
+
+    Lengths and distinct terms are counted from the postings where no facts (key, len, distinct_terms) are given.
+    """
+    facts = document_stats(postings, key) if facts is None else facts.select(key, "len", "distinct_terms")
     corpus = facts.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"), F.avg("distinct_terms").alias("avg_distinct"))
     asked = written(postings.join(queries.select("term").distinct(), "term"), "matches")
     df = asked.groupBy("term").agg(F.count("*").alias("df"))
     return asked.join(df, "term").join(queries, "term").join(facts, key).join(F.broadcast(corpus), F.lit(True))  # corpus: one row
 
 
-def bm25(queries: DataFrame, postings: DataFrame, key: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+def bm25(queries: DataFrame, postings: DataFrame, key: str, k1: float = 1.2, b: float = 0.75, facts: DataFrame | None = None) -> DataFrame:
     """Sum of w idf tf (k1 + 1) / (tf + k1 (1 - b + b len / avg)) over (query_id, term, w)."""
-    m = _matches(queries, postings, key)
+    m = _matches(queries, postings, key, facts)
     gain = F.col("w") * idf(F.col("n"), F.col("df")) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
     return m.groupBy("query_id", key).agg(F.sum(gain).alias("score"))
 
 
-def rare_terms(queries: DataFrame, postings: DataFrame, key: str) -> DataFrame:
+def rare_terms(queries: DataFrame, postings: DataFrame, key: str, facts: DataFrame | None = None) -> DataFrame:
     """Sum of w idf squared, less for documents of many distinct terms. Presence counts, not frequency."""
-    m = _matches(queries, postings, key)
+    m = _matches(queries, postings, key, facts)
     gain = F.col("w") * idf(F.col("n"), F.col("df")) ** 2 / (1 + F.log(1 + F.col("distinct_terms") / F.col("avg_distinct")))
     return m.groupBy("query_id", key).agg(F.sum(gain).alias("score"))
 
 
-def references(names: DataFrame, postings: DataFrame, key: str) -> DataFrame:
-    """(1 + ln tf) / ln(2 + documents with the name), over names (query_id, term, w)."""
+def references(names: DataFrame, postings: DataFrame, key: str, defining: DataFrame | None = None) -> DataFrame:
+    """(1 + ln tf) / ln(2 + documents with the name), over names (query_id, term, w). Documents that define a name
+    (key, term) don't refer to it, where these are given."""
+    if defining is not None:
+        postings = postings.join(defining.select(key, "term").distinct(), [key, "term"], "left_anti")
     held = postings.join(names.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("holders"))
     found = postings.join(names.join(held, "term"), "term")
     return found.groupBy("query_id", key).agg(F.sum(F.col("w") * (1 + F.log("tf")) / F.log(2 + F.col("holders"))).alias("score"))
