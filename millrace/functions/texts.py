@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# Trailers that name people, an address, and how a reference to an issue is declared.
-TRAILER = r"(?i)^\s*(signed-off-by|co-authored-by|reviewed-by|acked-by|reported-by|tested-by)\s*:"
+from millrace.functions import tokens
+
+# A trailer that names a person, an address, and how a reference to an issue is declared.
+TRAILER = r"(?s)^[A-Za-z][A-Za-z-]{1,40}: .*@"
 ADDRESS = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 FIXES = r"(?i)\b(?:fix(?:e[sd])?|close[sd]?|resolve[sd]?)\s*:?\s+(?:#|GH-)(\d{1,7})\b"
 MENTION = r"(?:^|[^\w/#])#(\d{1,7})\b"
@@ -34,11 +36,20 @@ REASONS = (("generated", SKIPPED), ("minified", MINIFIED), ("credential", CREDEN
 REVIEW = (("high", r"(?i)\b(curl|wget)\b[^\n]*\|\s*(ba)?sh"), ("high", r"(?i)\brm\s+-rf\b"), ("medium", r"(?i)https?://"), ("low", r"(?i)\btoken\b"))
 
 
-def sanitized(message: Column, most: int = 2000) -> Column:
-    """Without control characters, trailers and addresses; the first `most` characters. This bound is the feature."""
+def sanitized(message: Column, most_subject: int = 200, most_body: int = 1500) -> Column:
+    """(subject, body) of a message without control characters, trailers that name people, addresses and credentials.
+
+    The subject is the first line that is no trailer. The bounds are the feature; what crosses one is blanked before the
+    cut. A null message gives nulls.
+    """
+    blank = F.lit(" \t\n")
     clean = F.regexp_replace(message, r"[\x00-\x08\x0B-\x1F\x7F]", "")
-    lines = F.filter(F.split(clean, "\n"), lambda x: ~F.rlike(x, F.lit(TRAILER)))
-    return F.substring(F.trim(F.regexp_replace(F.array_join(lines, "\n"), ADDRESS, "<redacted>")), 1, most)
+    lines = F.filter(F.transform(F.split(clean, "\n"), lambda x: F.rtrim(x, blank)), lambda x: ~F.rlike(F.btrim(x, blank), F.lit(TRAILER)))
+    lines = F.transform(lines, lambda x: F.regexp_replace(x, ADDRESS, "<redacted>"))
+    told = lambda text, most: F.substring(tokens.redact(F.btrim(text, blank)), 1, most)
+    subject = F.when(lines.isNotNull(), F.coalesce(F.get(lines, F.lit(0)), F.lit("")))
+    body = F.array_join(F.slice(lines, F.lit(2), F.greatest(F.size(lines), F.lit(1))), "\n")
+    return F.struct(told(subject, most_subject).alias("subject"), told(body, most_body).alias("body"))
 
 
 def references(message: Column) -> Column:

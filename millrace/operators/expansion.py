@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 PRIORS = {"calls": 1.0, "called_by": 1.0, "references": 0.8, "referenced_by": 0.8, "inherits": 0.8, "inherited_by": 0.8, "tested_by": 0.7, "tests": 0.7, "imports": 0.5, "imported_by": 0.5}
 REVERSED = {"imports": "imported_by", "calls": "called_by", "references": "referenced_by", "inherits": "inherited_by", "tested_by": "tests"}
 INCOMING = ("imports", "references", "calls", "inherits")
-KIND_WEIGHTS = {"test": 0.6, "doc": 0.7, "config": 0.8}
+# Weights of the kinds of files; a kind that isn't here keeps its score.
+KIND_WEIGHTS = {"source": 1.0, "test": 0.5, "doc": 0.5, "config": 0.7, "manifest": 0.7, "schema": 0.8, "migration": 0.8, "workflow": 0.5, "other": 0.5}
 
 
 def lookup(key: Column, values: dict[str, object], otherwise: object) -> Column:

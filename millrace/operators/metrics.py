@@ -90,3 +90,20 @@ def pair_class(left_status: Column, left: Column, right_status: Column, right: C
 def verdict(n: Column, blocks: Column, low: Column, high: Column, violations: Column, least_n: int, least_blocks: int, threshold: float) -> Column:
     """Safety first, then coverage, then the interval: a missing interval decides nothing."""
     return F.when(violations > 0, "failed").when(n == 0, "not_run").when((n < least_n) | (blocks < least_blocks) | low.isNull() | high.isNull(), "inconclusive").when(low > threshold, "passed").when(high < 0, "failed").otherwise("inconclusive")
+
+
+def arm_groups(lists: DataFrame, labels: DataFrame, arms: list[str], query: str, key: str, ks: tuple[int, ...] = (1, 5, 10)) -> DataFrame:
+    """(arm, grp, n_queries, mrr, hit_k, recall_k) by arm and group of labels, with the group `all` for their union.
+
+    lists is (arm, query, key, rank), labels (query, grp, key). A query counts for a group in which it has a label, in each
+    of the arms, also where an arm has no list for it. Of repeated rows the best rank counts. Null labels count for none.
+    """
+    each = labels.filter(F.col(key).isNotNull() & F.col("grp").isNotNull()).select(query, F.explode(F.array("grp", F.lit("all"))).alias("grp"), key).distinct()
+    asked = each.withColumn("arm", F.explode(F.array(*map(F.lit, arms))))
+    ranks = lists.groupBy("arm", query, key).agg(F.min("rank").alias("rank"))
+    met = asked.join(ranks, ["arm", query, key], "left")
+    within = [F.count(F.when(F.col("rank") <= k, 1)).alias(f"in_{k}") for k in ks]
+    per = met.groupBy("arm", query, "grp").agg(F.count("*").alias("n"), F.min("rank").alias("first"), *within)
+    hits = [F.avg(F.when(F.col(f"in_{k}") > 0, 1.0).otherwise(0.0)).alias(f"hit_{k}") for k in ks]
+    recalls = [F.avg(F.col(f"in_{k}") / F.col("n")).alias(f"recall_{k}") for k in ks]
+    return per.groupBy("arm", "grp").agg(F.count("*").alias("n_queries"), F.avg(F.coalesce(1 / F.col("first"), F.lit(0.0))).alias("mrr"), *hits, *recalls)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from millrace.functions import texts
 from millrace.plans.base import query
+from millrace.plans.retrieval import _redacted
 from millrace.sources.tables import table
 
 #: Names for the fixtures below, from the number of a document. Spark and SQL share the list.
@@ -75,9 +76,16 @@ def issue_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("doc_id", "repository", "number").agg(link.alias("link"))
 
 
-@query(f"WITH m AS (SELECT doc_id, string_split(regexp_replace({_MESSAGE}, '[\\x00-\\x08\\x0B-\\x1F\\x7F]', '', 'g'), chr(10)) AS l FROM documents) SELECT doc_id, md5(substr(trim(regexp_replace(array_to_string(list_filter(l, lambda x: NOT regexp_matches(x, '{texts.TRAILER}')), chr(10)), '{texts.ADDRESS}', '<redacted>', 'g')), 1, 2000)) AS sanitized_md5 FROM m")
+_BLANK = "' ' || chr(9) || chr(10)"
+
+
+@query(f"""WITH m AS (SELECT doc_id, list_transform(string_split(regexp_replace({_MESSAGE}, '[\\x00-\\x08\\x0B-\\x1F\\x7F]', '', 'g'), chr(10)), lambda x: rtrim(x, {_BLANK})) AS l FROM documents),
+k AS (SELECT doc_id, list_transform(list_filter(l, lambda x: NOT regexp_matches(trim(x, {_BLANK}), '{texts.TRAILER}')), lambda x: regexp_replace(x, '{texts.ADDRESS}', '<redacted>', 'g')) AS l FROM m),
+p AS (SELECT doc_id, trim(l[1], {_BLANK}) AS s, trim(array_to_string(l[2:], chr(10)), {_BLANK}) AS b FROM k)
+SELECT doc_id, substr({_redacted('s')}, 1, 200) AS subject, md5(substr({_redacted('b')}, 1, 1500)) AS body_md5 FROM p""")
 def sanitize_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _messages(spark, sf_dir).select("doc_id", F.md5(texts.sanitized(F.col("message"))).alias("sanitized_md5"))
+    kept = texts.sanitized(F.col("message"))
+    return _messages(spark, sf_dir).select("doc_id", kept.alias("m")).select("doc_id", "m.subject", F.md5("m.body").alias("body_md5"))
 
 
 @query("WITH l AS (SELECT doc_id, unnest(s) AS line, unnest(range(1, len(s) + 1)) AS n FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents)) SELECT doc_id, CAST(n AS INTEGER) AS line_no, regexp_extract(line, '^([A-Z]\\w+) (\\w+)', 1) AS name, sha256(line) AS fingerprint FROM l WHERE regexp_matches(line, '^[A-Z]\\w+ \\w+')")

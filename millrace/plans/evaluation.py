@@ -143,3 +143,22 @@ def stable_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     total = F.aggregate(F.split(F.substring(h, 1, 63), ""), F.lit(0), lambda a, c: a + F.when(c == "", 0).otherwise(digit(c)))
     m = (6 * total + digit(F.substring(h, 64, 1))) % 10
     return table(spark, sf_dir, "documents").select("doc_id", F.when(m < 6, "train").when(m < 8, "validation").otherwise("test").alias("split"))
+
+
+_ARMS = """x AS (SELECT l_orderkey, l_partkey, l_linenumber, l_returnflag, l_extendedprice AS a, l_quantity AS b FROM lineitem),
+r AS (SELECT 'price' AS arm, l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY a DESC, l_linenumber, l_partkey) AS rank FROM x UNION ALL SELECT 'quantity', l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY b DESC, l_linenumber, l_partkey) FROM x WHERE b >= 10)"""
+
+
+@query(f"""WITH {_ARMS}, b AS (SELECT arm, l_orderkey, l_partkey, min(rank) AS rank FROM r GROUP BY ALL), g AS (SELECT DISTINCT l_orderkey, l_partkey, unnest([l_returnflag, 'all']) AS grp FROM lineitem WHERE l_returnflag <> 'N'),
+m AS (SELECT arms.arm, g.*, b.rank FROM g CROSS JOIN (SELECT unnest(['price', 'quantity']) AS arm) arms LEFT JOIN b ON b.arm = arms.arm AND b.l_orderkey = g.l_orderkey AND b.l_partkey = g.l_partkey),
+q AS (SELECT arm, l_orderkey, grp, count(*) AS n, min(rank) AS first, count(*) FILTER (rank <= 1) AS i1, count(*) FILTER (rank <= 3) AS i3 FROM m GROUP BY ALL)
+SELECT arm, grp, count(*) AS n_queries, round(avg(coalesce(1.0::DOUBLE / first, 0)), 6) AS mrr, round(avg(least(i1, 1)), 6) AS hit_1, round(avg(least(i3, 1)), 6) AS hit_3, round(avg(i1 / n::DOUBLE), 6) AS recall_1, round(avg(i3 / n::DOUBLE), 6) AS recall_3 FROM q GROUP BY arm, grp""")
+def arm_label_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as queries, whose parts are ranked by price or, from a quantity of ten, by quantity; returned and accepted
+    parts are two groups of labels."""
+    x = table(spark, sf_dir, "lineitem")
+    ranked = lambda arm, by, rows: rows.select(F.lit(arm).alias("arm"), "l_orderkey", "l_partkey", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(F.desc(by), "l_linenumber", "l_partkey")).alias("rank"))
+    lists = ranked("price", "l_extendedprice", x).unionByName(ranked("quantity", "l_quantity", x.filter("l_quantity >= 10")))
+    labels = x.filter("l_returnflag <> 'N'").select("l_orderkey", F.col("l_returnflag").alias("grp"), "l_partkey")
+    got = metrics.arm_groups(lists, labels, ["price", "quantity"], "l_orderkey", "l_partkey", (1, 3))
+    return got.select("arm", "grp", "n_queries", *[F.round(c, 6).alias(c) for c in got.columns[3:]])

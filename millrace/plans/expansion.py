@@ -65,13 +65,13 @@ def cochange_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SOURCES = "list_filter(['path', 'symbol_definitions', 'graph', 'bm25'], lambda x, i: (doc_id // power(2, i)::BIGINT) % 2 = 1)"
 
 
-@query(f"""WITH c AS (SELECT lang, doc_id, CASE doc_id % 4 WHEN 0 THEN 'test' WHEN 1 THEN 'doc' WHEN 2 THEN 'config' ELSE 'source' END AS kind, round(n_chars % 97 / 10.0::DOUBLE, 3) AS score,
+@query(f"""WITH c AS (SELECT lang, doc_id, ['test', 'doc', 'config', 'source', 'manifest', 'schema', 'migration', 'workflow', 'other', 'binary'][doc_id % 10 + 1] AS kind, round(n_chars % 97 / 10.0::DOUBLE, 3) AS score,
 doc_id % 50 = 0 AS named, n_chars % 7 AS in_degree, {_SOURCES} AS sources FROM documents),
-v AS (SELECT *, round(score * CASE WHEN named OR kind = 'config' THEN 1.0 WHEN kind = 'test' THEN 0.6 WHEN kind = 'doc' THEN 0.7 ELSE 1.0 END::DOUBLE, 9) AS value FROM c)
+v AS (SELECT *, round(score * CASE WHEN named OR kind = 'config' THEN 1.0 WHEN kind IN ('test', 'doc', 'workflow', 'other') THEN 0.5 WHEN kind = 'manifest' THEN 0.7 WHEN kind IN ('schema', 'migration') THEN 0.8 ELSE 1.0 END::DOUBLE, 9) AS value FROM c)
 SELECT lang, doc_id, value, CAST(row_number() OVER (PARTITION BY lang ORDER BY named DESC, value DESC, list_contains(sources, 'symbol_definitions') DESC, list_contains(sources, 'path') DESC,
 len(list_intersect(sources, ['path', 'symbol_definitions', 'symbol_references', 'phrases', 'explorer'])) DESC, len(list_intersect(sources, ['graph', 'git'])) DESC, in_degree, doc_id) AS INTEGER) AS place FROM v""")
 def rerank_pinned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind = F.element_at(F.array(*map(F.lit, ("test", "doc", "config", "source"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    kind = F.element_at(F.array(*map(F.lit, ("test", "doc", "config", "source", "manifest", "schema", "migration", "workflow", "other", "binary"))), (F.col("doc_id") % 10 + 1).cast("int"))
     names = F.array(*map(F.lit, ("path", "symbol_definitions", "graph", "bm25")))
     # The bits of the number say which sources found a document; DuckDB's positions begin at 1.
     sources = F.filter(names, lambda x, i: F.floor(F.col("doc_id") / F.pow(F.lit(2), i + 1)) % 2 == 1)
