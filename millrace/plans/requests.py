@@ -41,7 +41,7 @@ def stack_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 WHERE p_size <= 25 GROUP BY o_orderkey HAVING count(DISTINCT l_partkey) BETWEEN 2 AND 4""")
 def commit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as the blocks of a log, their parts as paths; only parts up to size 25 are in the universe."""
-    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.collect_list(F.concat(F.lit("part/"), "l_partkey")), "\n").alias("lines"))  # seven lines at most
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("part/"), "l_partkey"))), "\n").alias("lines"))  # seven lines at most
     blocks = table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey")).select(F.concat("o_orderkey", F.lit("\n\n"), "lines").alias("block"))
     universe = table(spark, sf_dir, "part").filter("p_size <= 25").select(F.concat(F.lit("part/"), "p_partkey").alias("path"))
     return records.commit_paths(blocks, universe, 4)

@@ -17,16 +17,16 @@ def read_commit_log(spark: SparkSession, path: str) -> DataFrame:
 def commit_paths(blocks: DataFrame, universe: DataFrame, most: int, least: int = 2) -> DataFrame:
     """(stamp, paths): commits that touch `least` to `most` paths of the universe (path); other paths count for nothing.
 
-    A block without a time is left out. Equal blocks stay as many rows. The largest commits are dropped by a count before
-    any list of paths is made.
+    A block without a time is left out. Equal blocks stay as many rows. No list is longer than `most` and one. The blocks
+    are read once, so that a source that deals or orders them anew on a second reading can't lose any.
     """
     known = universe.select("path").filter("path is not null").distinct()
     counted = blocks.groupBy("block").agg(F.count("*").alias("copies"))
     lines = F.split("block", "\n")
     read = counted.select(F.md5("block").alias("id"), "copies", F.trim(F.get(lines, F.lit(0))).try_cast("bigint").alias("stamp"), F.array_distinct(F.slice(lines, 2, 1 << 30)).alias("lines"))
     touched = read.filter("stamp is not null").select("id", "copies", "stamp", F.explode("lines").alias("path")).join(known, "path", "left_semi")
-    sizes = touched.groupBy("id").agg(F.count("*").alias("n")).filter(F.col("n").between(least, most))
-    kept = touched.join(sizes, "id", "left_semi").groupBy("id", "copies", "stamp").agg(F.array_sort(F.collect_list("path")).alias("paths"))
+    first = touched.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("path"))).filter(F.col("n") <= most + 1)
+    kept = first.groupBy("id", "copies", "stamp").agg(F.array_sort(F.collect_list("path")).alias("paths")).filter(F.size("paths").between(least, most))
     return kept.select("stamp", "paths", F.explode(F.sequence(F.lit(1), "copies")).alias("copy")).drop("copy")
 
 
