@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from millrace.sources.tables import written
+
 
 def modules(specs: DataFrame, files: DataFrame) -> DataFrame:
     """(spec, path) for dotted names: the module of that very name, else the only one that ends in it.
@@ -37,11 +39,26 @@ def aliases(before: DataFrame, after: DataFrame, renames: DataFrame) -> DataFram
     return met.select("old_path", "new_path", "name", F.when(F.col("was") == F.col("now"), "supported").otherwise("uncertain").alias("state"))
 
 
-def bound(operations: DataFrame, instances: DataFrame, keys: list[str]) -> DataFrame:
+def bound(operations: DataFrame, instances: DataFrame, keys: list[str], parts: int | None = None) -> DataFrame:
     """The healthiest instance for each operation: instances (instance, health, access, keys...) whose access level
-    suffices, by health, then name. An operation (operation, needs, keys...) that none serves has a null instance."""
-    served = operations.join(instances, keys).filter("access >= needs")
-    best = served.groupBy("operation").agg(F.min(F.struct("health", "instance")).alias("x"))
+    suffices, by health, then name. An operation (operation, needs, keys...) that none serves has a null instance.
+
+    Both are put in one order, by keys and falling level, in which an operation's best is the least of the instances before
+    it; so no pairs are made. Rows are dealt by ranges of that order, and what comes before a range is added to it, so that
+    keys of any size are shared among tasks. There are as many ranges as shuffle partitions, if not told otherwise.
+    """
+    parts = parts or int(operations.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    offered, none = F.struct("health", "instance"), F.lit(None)
+    held = instances.filter("access is not null").select(*keys, F.col("access").alias("__level"), offered.alias("__x"), F.lit(0).alias("__asks"), none.cast(operations.schema["operation"].dataType).alias("operation"))
+    asks = operations.filter("needs is not null and operation is not null").select(*keys, F.col("needs").alias("__level"), none.alias("__x"), F.lit(1).alias("__asks"), "operation")
+    order = (F.desc("__level"), F.col("__asks"))
+    rows = held.unionByName(asks).dropna(subset=keys)
+    dealt = written(rows.repartitionByRange(parts, *keys, *order, "operation").withColumn("__part", F.spark_partition_id()), "ranges")
+    within = Window.partitionBy(*keys, "__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    past = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    before = dealt.groupBy(*keys, "__part").agg(F.min("__x").alias("__x")).withColumn("__before", F.min("__x").over(past)).drop("__x")
+    own = dealt.withColumn("__own", F.min("__x").over(within)).filter("__asks = 1")
+    best = own.join(before, [*keys, "__part"]).groupBy("operation").agg(F.min(F.least("__own", "__before")).alias("x"))
     return operations.select("operation").join(best, "operation", "left").select("operation", F.col("x.instance").alias("instance"), F.col("x.health").alias("health"))
 
 
@@ -68,9 +85,10 @@ def contained(spans: DataFrame, group: str) -> DataFrame:
 
 
 def merged(spans: DataFrame, group: str) -> DataFrame:
-    """Overlapping or touching half-open spans as one, with how many they were."""
+    """Overlapping or touching half-open spans as one, with how many they were. Equal spans are counted first, so that no
+    order of equal rows can part them."""
     order = Window.partitionBy(group).orderBy("lo", "hi")
     reach = F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    starts = spans.withColumn("new", (reach.isNull() | (reach < F.col("lo"))).cast("int"))
+    starts = spans.groupBy(group, "lo", "hi").agg(F.count("*").alias("n")).withColumn("new", (reach.isNull() | (reach < F.col("lo"))).cast("int"))
     islands = starts.withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return islands.groupBy(group, "island").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count("*").alias("n")).drop("island")
+    return islands.groupBy(group, "island").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n")).drop("island")
