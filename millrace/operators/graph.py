@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
 from millrace.sources.tables import written
@@ -90,19 +91,31 @@ def closure(needs: DataFrame, group: str, name: str, to: str, broken: str) -> Da
     return met.groupBy(group, name).agg((F.count_distinct("at") - 1).alias("dependencies"), F.max(F.coalesce("bad", F.lit(False))).alias("broken"))
 
 
-def personalised_pagerank(seeds: DataFrame, edges: DataFrame, iterations: int = 16, restart: float = 0.25) -> DataFrame:
-    """(node, score) with restarts at the seeds, which also get the mass of nodes without edges. The scores are written
-    after every fourth iteration, so that neither plans nor lineage grow."""
-    both = written(both_ways(edges).distinct(), "edges")
-    degree = both.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("d"))
-    start = written(seeds.select("node").distinct().join(seeds.agg(F.count_distinct("node").alias("n")), F.lit(True)).select("node", (1 / F.col("n")).alias("p")), "personal")
-    links = written(both.join(degree, F.col("a") == F.col("node")).select("a", "b", "d"), "links")
-    score = start.withColumnRenamed("p", "score")
+def personalised_pagerank(seeds: DataFrame, edges: DataFrame, iterations: int = 16, restart: float = 0.25, parts: int | None = None) -> DataFrame:
+    """(node, score) with restarts at the seeds, which also get the mass of nodes without edges. Only seeds can be without
+    edges, so that mass follows from their share alone, and each iteration reads the scores once. Nodes are numbers while
+    they are walked; the links are dealt by their start once and kept in place, so that only sums by node move. There are
+    as many parts as shuffle partitions, if not told otherwise. The scores are written after every fourth iteration, so
+    that neither plans nor lineage grow.
+    """
+    spark = edges.sparkSession
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    both = both_ways(edges.filter("a is not null and b is not null")).distinct()
+    first = written(seeds.select("node").filter("node is not null").distinct(), "personal")
+    named = both.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("d")).join(first.withColumn("seed", F.lit(True)), "node", "full")
+    nodes = written(named.select("node", F.coalesce("d", F.lit(0)).alias("d"), F.coalesce("seed", F.lit(False)).alias("seed"), F.monotonically_increasing_id().alias("i")), "nodes")
+    n, lonely = nodes.agg(F.count_if("seed"), F.count_if(F.col("seed") & (F.col("d") == 0))).first()
+    start = nodes.filter("seed").select(F.col("i").alias("node"), F.lit(1 / n if n else 0.0).alias("p"))
+    ends = both.join(nodes.select(F.col("node").alias("b"), F.col("i").alias("to")), "b").join(nodes.filter("d > 0").select(F.col("node").alias("a"), F.col("i").alias("from"), "d"), "a")
+    links = written(ends.select("from", "to", "d"), "links").repartition(parts, "from").persist(StorageLevel.DISK_ONLY)
+    score, idle = start.withColumnRenamed("p", "score"), lonely / n if n else 0.0
+    share = idle
     for i in range(iterations):
-        moved = links.join(score.withColumnRenamed("node", "a"), "a").groupBy(F.col("b").alias("node")).agg(F.sum((1 - restart) * F.col("score") / F.col("d")).alias("m"))
-        kept = moved.agg(F.coalesce(F.sum("m"), F.lit(0.0)).alias("kept"))
-        back = start.join(F.broadcast(kept), F.lit(True)).select("node", (F.col("p") * (1 - F.col("kept"))).alias("m"))
-        score = moved.union(back).groupBy("node").agg(F.sum("m").alias("score"))
-        if i % 4 == 3:
+        kept = (1 - restart) * (1 - idle)
+        idle = share * (1 - kept)
+        moved = links.join(score.withColumnRenamed("node", "from"), "from").select(F.col("to").alias("node"), ((1 - restart) * F.col("score") / F.col("d")).alias("m"))
+        score = moved.union(start.select("node", F.col("p") * (1 - kept))).groupBy("node").agg(F.sum("m").alias("score"))
+        if i % 4 == 3 or i == iterations - 1:
             score = written(score, "scores")
-    return score
+    links.unpersist()
+    return score.join(nodes.select(F.col("i").alias("node"), F.col("node").alias("__name")), "node").select(F.col("__name").alias("node"), "score")
