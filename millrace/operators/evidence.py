@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from millrace.operators.index import TERM, idf
+from millrace.sources.tables import written
 
 # Weights of the classes of path evidence, of which only the first that fits counts.
 STEM_EXACT, STEM_TOKEN, DIRECTORY, PARTIAL, PARTIAL_CHARS = 3.0, 2.0, 1.0, 0.5, 5
@@ -33,6 +34,58 @@ def path_evidence(queries: DataFrame, paths: DataFrame, key: str) -> DataFrame:
     return met.join(df, "term", "left").join(F.broadcast(n), F.lit(True)).groupBy("query_id", key).agg(F.sum(F.col("w") * F.col("gain") * rarity).alias("score"))
 
 
+def _path_hits(terms: DataFrame, paths: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """((key, term, gain), (term, df)): the asked terms (term, distinct) in each path, and how many paths have one as a token."""
+    classed = lambda c, n: F.transform(F.coalesce(c, F.array()), lambda t: F.struct(t.alias("term"), F.lit(n).alias("gain")))
+    every = F.concat(classed(F.array("stem"), STEM_EXACT), classed(F.col("stem_tokens"), STEM_TOKEN), classed(F.col("directory_tokens"), DIRECTORY))
+    tokens = paths.select(key, F.inline(every)).join(terms, "term").groupBy(key, "term").agg(F.max("gain").alias("gain"))
+    pieces = F.transform(F.sequence(F.lit(1), F.length("stem") - PARTIAL_CHARS + 1), lambda i: F.substring(F.col("stem"), i, F.lit(PARTIAL_CHARS)))
+    stems = paths.select("stem").filter(F.length("stem") >= PARTIAL_CHARS).distinct().select("stem", F.explode(F.array_distinct(pieces)).alias("piece"))
+    long = terms.filter(F.length("term") >= PARTIAL_CHARS).withColumn("piece", F.substring("term", 1, PARTIAL_CHARS))
+    inside = stems.join(long, "piece").filter(F.col("stem").contains(F.col("term"))).select("stem", "term").distinct()
+    partial = paths.select(key, "stem").join(inside, "stem").select(key, "term", F.lit(PARTIAL).alias("gain"))
+    return tokens.unionByName(partial).groupBy(key, "term").agg(F.max("gain").alias("gain")), tokens.groupBy("term").agg(F.count("*").alias("df"))
+
+
+def best_paths(queries: DataFrame, paths: DataFrame, key: str, k: int, digits: int = 9, few: int = 50) -> DataFrame:
+    """The (query_id, key, score) of `path_evidence` with the k best of each query among them, by score, then key; keys are
+    unique and weights not negative.
+
+    Terms that more than `few` queries ask for and more than `few` paths have are common. Paths with the same common terms
+    are one class, as are queries; classes meet, and the k best classes of each are spread to their first k paths. Paths with
+    another term of a query, which are few, are scored one by one. A path with common terms only is among the k best only
+    if it is by those; so what is left out is worse. Other work grows with the rows.
+    """
+    asked = queries.select("query_id", "term", "w").distinct()
+    counts = asked.groupBy("term").agg(F.count_distinct("query_id").alias("asked"))
+    hits, df = _path_hits(counts.select("term"), paths, key)
+    hits = written(hits, "hits")
+    n = paths.agg(F.count("*").alias("n"))  # one row
+    held = counts.join(hits.groupBy("term").agg(F.count("*").alias("held")), "term").join(df, "term", "left").join(F.broadcast(n), F.lit(True))
+    facts = written(held.select("term", idf(F.col("n"), F.coalesce("df", F.lit(0))).alias("rarity"), (F.least("asked", "held") > few).alias("common")), "facts")
+    asked = written(asked.join(facts, "term").select("query_id", "term", (F.col("w") * F.col("rarity")).alias("w"), "common"), "asked")
+    hits = written(hits.join(facts.select("term", "common"), "term").select(key, "term", "gain", "common"), "hits")
+
+    def classes(rows: DataFrame, own: str, value: str, name: str) -> DataFrame:
+        terms = F.array_sort(F.collect_list(F.struct("term", value)))
+        return written(rows.filter("common").groupBy(own).agg(terms.alias("terms")).select(own, "terms", F.sha2(F.to_json("terms"), 256).alias(name)), name)
+
+    asking, having = classes(asked, "query_id", "w", "q_class"), classes(hits, key, "gain", "p_class")
+    wants = asking.select("q_class", "terms").dropDuplicates(["q_class"]).select("q_class", F.inline("terms"))
+    first = F.row_number().over(Window.partitionBy("p_class").orderBy(key))
+    members = written(having.select("p_class", key).withColumn("at", first).filter(F.col("at") <= k), "members")
+    gives = having.select("p_class", "terms").dropDuplicates(["p_class"]).select("p_class", F.inline("terms"))
+    met = wants.join(gives, "term").groupBy("q_class", "p_class").agg(F.round(F.sum(F.col("w") * F.col("gain")), digits).alias("score"))
+    order = Window.partitionBy("q_class").orderBy(F.desc("score"), key)
+    leading = met.join(members.filter("at = 1").select("p_class", key), "p_class").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    spread = leading.select("q_class", "p_class", "score").join(members.select("p_class", key), "p_class").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    by_class = asking.select("query_id", "q_class").join(spread.select("q_class", key, "score"), "q_class").select("query_id", key, "score")
+    rare = asked.filter("not common").join(hits.filter("not common").select("term", key), "term").select("query_id", key).distinct()
+    each = rare.join(asked.select("query_id", "term", "w"), "query_id").join(hits.select(key, "term", "gain"), [key, "term"])
+    each = each.groupBy("query_id", key).agg(F.sum(F.col("w") * F.col("gain")).alias("score"))
+    return each.unionByName(by_class).groupBy("query_id", key).agg(F.max("score").alias("score"))
+
+
 def definitions(names: DataFrame, defined: DataFrame, qualified: DataFrame, key: str) -> DataFrame:
     """(query_id, key, score) for names (query_id, name, w) against (key, name, kind, parent): w over the square root of
     how many keys define the name. Only a name with no exact match falls back to names of the same letters;

@@ -25,7 +25,7 @@ def score_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _paths(spark, sf_dir)
     terms = F.array_distinct(F.concat(F.array("stem", F.substring("stem", 1, 6)), "directory_tokens"))
     asked = p.filter("page_id % 50 = 0").select(F.col("page_id").alias("query_id"), F.explode(terms).alias("term"), F.lit(1.0).alias("w")).filter("term <> ''")
-    return scorers.ranked(evidence.path_evidence(asked, p, "page_id"), "page_id", 10).select("query_id", "page_id", F.round("score", 6).alias("score"), "rank")
+    return scorers.ranked(evidence.best_paths(asked, p, "page_id", 10), "page_id", 10).select("query_id", "page_id", F.round("score", 6).alias("score"), "rank")
 
 
 _NAMES = "(VALUES (1, 'Ring', 3.0::DOUBLE), (1, 'WIDGET', 3.0::DOUBLE), (2, 'BOLT', 1.0::DOUBLE), (3, 'gear', 3.0::DOUBLE))"
