@@ -10,11 +10,12 @@ CONFIGURES = ("config", "manifest", "schema")
 
 def additive(exact: Column, named: Column, found: Column, kind: Column, fits_role: Column, rule_file: Column) -> Column:
     """A flat score: 3 for an exact phrase, 2 for a named path, 2 for several terms or 1 for a single one that is all there
-    is; a score gains 1 for configuring files and 1 for the role. Project rules alone give 1; nothing gives null."""
+    is; a score gains 1 for configuring files and 1 for the role. Project rules alone give 1; nothing gives null. What is
+    read from a text is bound once, however often the rules look at it."""
     yes = lambda c, n: F.when(c, n).otherwise(0)
-    sure = yes(exact, 3) + yes(named, 2)
-    base = sure + F.when(found >= 2, 2).when((found == 1) & (sure == 0), 1).otherwise(0)
-    return F.when(base > 0, base + yes(kind.isin(*CONFIGURES), 1) + yes(fits_role, 1)).when(rule_file, 1)
+    bases = F.transform(F.array(F.struct((yes(exact, 3) + yes(named, 2)).alias("sure"), found.alias("found"))), lambda f: f["sure"] + F.when(f["found"] >= 2, 2).when((f["found"] == 1) & (f["sure"] == 0), 1).otherwise(0))
+    more = yes(kind.isin(*CONFIGURES), 1) + yes(fits_role, 1)
+    return F.get(F.transform(bases, lambda base: F.when(base > 0, base + more).when(rule_file, 1)), F.lit(0))
 
 
 def difference(candidate: str, preferred: str, required: str) -> Column:

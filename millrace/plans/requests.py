@@ -91,7 +91,9 @@ s AS (SELECT *, 3 * exact::INTEGER + 2 * named::INTEGER AS sure FROM f), b AS (S
 SELECT * FROM (SELECT doc_id, CASE WHEN base > 0 THEN base + config::INTEGER + fits::INTEGER WHEN rules THEN 1 END AS score FROM b) WHERE score IS NOT NULL""")
 def additive_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
-    found = sum((F.lower(text).rlike(f"(^|[^a-z0-9_]){w}([^a-z0-9_]|$)").cast("int") for w in _WORDS), F.lit(0))
+    low = F.lower(text)
+    # The pattern is tried only where the word stands at all.
+    found = sum((F.when(F.contains(low, F.lit(w)), low.rlike(f"(^|[^a-z0-9_]){w}([^a-z0-9_]|$)").cast("int")).otherwise(0) for w in _WORDS), F.lit(0))
     kind = F.when(F.col("doc_id") % 7 == 0, "config").otherwise("source")
     no = lambda c: F.coalesce(c, F.lit(False))
     score = choices.additive(text.contains("MIT License"), no(F.col("source").isin("code", "forum")), found, kind, no(F.col("lang") == "en"), F.col("doc_id") % 11 == 0)
