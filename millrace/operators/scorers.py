@@ -11,13 +11,15 @@ from millrace.sources.tables import written
 def _matches(queries: DataFrame, postings: DataFrame, key: str, facts: DataFrame | None = None) -> DataFrame:
     """Occurrences of query terms with their df and the corpus facts. Only the terms that are asked for are counted.
 
-    Lengths and distinct terms are counted from the postings where no facts (key, len, distinct_terms) are given.
+    Lengths and distinct terms are counted from the postings where no facts (key, len, distinct_terms) are given. Postings
+    meet their document's facts first and the queries last, so that where the queries are few enough to be broadcast, the
+    many rows for a query and document are summed where they arise and none of them is shuffled.
     """
     facts = document_stats(postings, key) if facts is None else facts.select(key, "len", "distinct_terms")
     corpus = facts.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"), F.avg("distinct_terms").alias("avg_distinct"))
     asked = written(postings.join(queries.select("term").distinct(), "term"), "matches")
-    df = asked.groupBy("term").agg(F.count("*").alias("df"))
-    return asked.join(df, "term").join(queries, "term").join(facts, key).join(F.broadcast(corpus), F.lit(True))  # corpus: one row
+    weighed = written(queries.join(asked.groupBy("term").agg(F.count("*").alias("df")), "term").join(F.broadcast(corpus), F.lit(True)), "weighed")  # corpus: one row
+    return asked.join(facts.hint("shuffle_hash"), key).join(weighed, "term")
 
 
 def bm25(queries: DataFrame, postings: DataFrame, key: str, k1: float = 1.2, b: float = 0.75, facts: DataFrame | None = None) -> DataFrame:
