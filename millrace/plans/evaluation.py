@@ -8,7 +8,7 @@ from millrace.operators import fusion, metrics, scorers
 from millrace.plans.base import query
 from millrace.plans.experiments import _PAIRS, _pairs
 from millrace.plans.retrieval import _LISTS, _lists, _rank
-from millrace.sources.tables import table
+from millrace.sources.tables import table, written
 
 _GOLD = "gold AS (SELECT item_id AS query_id, doc_id FROM benchmark JOIN labels ON doc_id % 10 = item_id % 10 WHERE quality = 1)"
 _PER = f"{_LISTS}, {_GOLD}, h AS (SELECT source, query_id, doc_id, rank, row_number() OVER (PARTITION BY source, query_id ORDER BY rank, doc_id) AS nth FROM lists JOIN gold USING (query_id, doc_id)), g AS (SELECT source, query_id, count(*) AS targets FROM gold, (VALUES ('bm25'), ('rare')) v(source) GROUP BY ALL), f AS (SELECT source, query_id, count(*) FILTER (rank <= 5) AS n5, count(*) FILTER (rank <= 20) AS n20, min(rank) AS best, sum(nth / rank::DOUBLE) AS ap FROM h GROUP BY ALL), per AS (SELECT source, query_id, targets, coalesce(n5, 0)::DOUBLE / targets AS recall_5, coalesce(n20, 0)::DOUBLE / targets AS recall_20, CASE WHEN n5 > 0 THEN 1.0::DOUBLE ELSE 0 END AS hit_5, CASE WHEN n20 > 0 THEN 1.0::DOUBLE ELSE 0 END AS hit_20, CASE WHEN n20 = targets THEN 1.0::DOUBLE ELSE 0 END AS all_20, coalesce(1.0::DOUBLE / best, 0) AS mrr, coalesce(ap / targets, 0) AS map FROM g LEFT JOIN f USING (source, query_id))"
@@ -24,8 +24,8 @@ def _passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), (F.col("item_id") % 10).alias("digit"))
 
 
-def _per(spark: SparkSession, sf_dir: str) -> DataFrame:
-    good, lists = _good(spark, sf_dir).distinct(), _lists(spark, sf_dir)
+def _per(spark: SparkSession, sf_dir: str, lists: DataFrame | None = None) -> DataFrame:
+    good, lists = _good(spark, sf_dir).distinct(), _lists(spark, sf_dir) if lists is None else lists
     hits = lists.withColumn("digit", F.col("query_id") % 10).join(good, ["doc_id", "digit"], "left_semi")
     counts = _passages(spark, sf_dir).distinct().join(good.groupBy("digit").agg(F.count("*").alias("targets")), "digit")
     return metrics.measured(hits, counts, "doc_id", ["bm25", "rare"], [5, 20])
@@ -120,9 +120,10 @@ def pair_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{_PER}, conf AS (SELECT query_id, (score - lead(score) OVER (PARTITION BY query_id ORDER BY rank)) / nullif(score, 0) AS gap, rank FROM bm_r), w AS (SELECT query_id, max(mrr) FILTER (source = 'bm25') AS own, max(mrr) FILTER (source = 'rare') AS other FROM per GROUP BY query_id) SELECT count(*) AS queries, count(*) FILTER (coalesce(gap, 0) < 0.1) AS asked, round(avg(CASE WHEN coalesce(gap, 0) < 0.1 THEN other ELSE own END), 6) AS mrr FROM w LEFT JOIN (SELECT * FROM conf WHERE rank = 1) USING (query_id)")
 def policy_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The second ranking is asked for only where the first has no clear leader."""
-    gap = fusion.confidence(_lists(spark, sf_dir).filter("source = 'bm25'")).select("query_id", "gap")
+    lists = written(_lists(spark, sf_dir), "lists")  # read twice
+    gap = fusion.confidence(lists.filter("source = 'bm25'")).select("query_id", "gap")
     of = lambda s: F.max(F.when(F.col("source") == s, F.col("mrr")))
-    w = _per(spark, sf_dir).groupBy("query_id").agg(of("bm25").alias("own"), of("rare").alias("other")).join(gap, "query_id", "left")
+    w = _per(spark, sf_dir, lists).groupBy("query_id").agg(of("bm25").alias("own"), of("rare").alias("other")).join(gap, "query_id", "left")
     ask = F.coalesce("gap", F.lit(0.0)) < 0.1
     return w.agg(F.count("*").alias("queries"), F.count(F.when(ask, 1)).alias("asked"), F.round(F.avg(F.when(ask, F.col("other")).otherwise(F.col("own"))), 6).alias("mrr"))
 
