@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from millrace.sources.tables import join_hot, written
+from millrace.sources.tables import join_hot, shuffled, written
 
 #: Relations of a row of needs (name, dep, relation, grp, operation).
 ALL, ANY, OPTIONAL, CONDITIONAL = "all_of", "any_of", "optional", "conditional"
@@ -55,19 +55,20 @@ def dependency_states(needs: DataFrame, names: DataFrame, states: DataFrame, ope
     every = written(names.join(degrees, "name", "left").join(own, "name", "left").select("name", F.coalesce("degree", F.lit(0)).alias("degree"), *_KINDS), "names")
     front = every.filter("degree = 0").select("name", *_KINDS)
     settled, waiting = [front], None
-    while True:
-        told = front.withColumnRenamed("name", "dep").join(held, "dep")
-        told = written(told, "front")
-        if not told.limit(1).count():
-            break
-        met = join_hot(edges, told, "dep", "__held")
-        news = met.groupBy("name").agg(F.count("*").alias("n"), *(F.min(k).alias(k) for k in _KINDS))
-        if waiting is not None:
-            news = news.unionByName(waiting).groupBy("name").agg(F.sum("n").alias("n"), *(F.min(k).alias(k) for k in _KINDS))
-        news = written(news.join(every.select("name", "degree", *(F.col(k).alias(f"own_{k}") for k in _KINDS)), "name"), "news")
-        waiting = news.filter("n < degree").select("name", "n", *_KINDS)
-        front = news.filter("n = degree").select("name", *(F.least(k, f"own_{k}").alias(k) for k in _KINDS))
-        settled.append(front)
+    with shuffled(edges.sparkSession):
+        while True:
+            told = front.withColumnRenamed("name", "dep").join(held, "dep")
+            told = written(told, "front")
+            if not told.limit(1).count():
+                break
+            met = join_hot(edges, told, "dep", "__held")
+            news = met.groupBy("name").agg(F.count("*").alias("n"), *(F.min(k).alias(k) for k in _KINDS))
+            if waiting is not None:
+                news = news.unionByName(waiting).groupBy("name").agg(F.sum("n").alias("n"), *(F.min(k).alias(k) for k in _KINDS))
+            news = written(news.join(every.select("name", "degree", *(F.col(k).alias(f"own_{k}") for k in _KINDS)), "name"), "news")
+            waiting = news.filter("n < degree").select("name", "n", *_KINDS)
+            front = news.filter("n = degree").select("name", *(F.least(k, f"own_{k}").alias(k) for k in _KINDS))
+            settled.append(front)
     done = settled[0]
     for part in settled[1:]:
         done = done.union(part)
