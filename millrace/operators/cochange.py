@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from millrace.sources.tables import wide, written
+
 
 def eligible(events: DataFrame, least: int = 2, most: int = 30) -> DataFrame:
     """Distinct items of baskets with `least` to `most` of them. The bound keeps the pairs of a basket few."""
@@ -14,12 +16,18 @@ def eligible(events: DataFrame, least: int = 2, most: int = 30) -> DataFrame:
 
 def pairs(events: DataFrame, half_life_days: float | None = None) -> DataFrame:
     """(a, b, support, weight) with a < b; the weight of a basket halves with each half-life before the newest."""
+    events = written(events.select("basket", "item", "at"), "baskets")
+    with wide(events.sparkSession, events.count()):
+        return written(_pairs(events, half_life_days), "pairs")
+
+
+def _pairs(events: DataFrame, half_life_days: float | None) -> DataFrame:
     one = events.select("basket", F.struct("item", "at").alias("x"))
     held = one.groupBy("basket").agg(F.array_sort(F.collect_list("x.item")).alias("items"), F.max("x.at").alias("at"))
     both = held.select("at", F.posexplode("items").alias("i", "a"), "items").select("at", "a", F.explode(F.slice("items", F.col("i") + 2, F.size("items"))).alias("b"))
     weight = F.lit(1.0)
     if half_life_days:
-        newest = held.agg(F.max("at").alias("newest"))
+        newest = events.agg(F.max("at").alias("newest"))
         both = both.join(F.broadcast(newest), F.lit(True))  # one row
         weight = F.pow(F.lit(0.5), (F.unix_seconds(F.col("newest").cast("timestamp")) - F.unix_seconds(F.col("at").cast("timestamp"))) / 86400.0 / half_life_days)
     return both.groupBy("a", "b").agg(F.count("*").alias("support"), F.sum(weight).alias("weight"))
