@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from millrace.operators.expansion import lookup
-from millrace.sources.tables import written
+from millrace.sources.tables import wide, written
 
 #: Kinds of edges in the order in which they are shown; others come after them.
 SHOWN = {"calls": 0, "imports": 1}
@@ -28,6 +28,11 @@ def ranked_nodes(hits: DataFrame, edges: DataFrame, seeds: int = 4, hops: int =
     Seeds are the nodes with the highest hits (task_id, node, score), ties by name. Edges are walked both ways, each neighbour
     once, and only between near nodes; a node without any gives its mass to the seeds by their share of it.
     """
+    with wide(hits.sparkSession, edges.count() + hits.count()):
+        return _walked(hits, edges, seeds, hops, iterations, restart)
+
+
+def _walked(hits: DataFrame, edges: DataFrame, seeds: int, hops: int, iterations: int, restart: float) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("task_id").orderBy(F.desc("score"), "node"))
     chosen = hits.filter("score > 0").groupBy("task_id", "node").agg(F.max("score").alias("score")).withColumn("seed", place).filter(F.col("seed") <= seeds)
     total = F.sum("score").over(Window.partitionBy("task_id"))
