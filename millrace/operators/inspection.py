@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from millrace.sources.tables import written
+from millrace.sources.tables import wide, written
 
 from millrace.functions.tokens import SECRETS
 from millrace.operators.resolve import modules
@@ -117,9 +117,11 @@ def known_symbols(claims: DataFrame, known: DataFrame) -> DataFrame:
     """(path, kept, dropped): distinct claimed symbols (path, symbol), by their last dotted part without (), that the file
     has (path, name), and how many it doesn't."""
     name = F.regexp_replace(F.substring_index("symbol", ".", -1), r"[()]+\z", "")
-    said = claims.select("path", name.alias("name")).distinct()
-    met = said.join(known.select("path", "name").distinct().withColumn("ok", F.lit(True)), ["path", "name"], "left")
-    return met.groupBy("path").agg(F.count("ok").alias("kept"), F.count(F.when(F.col("ok").isNull(), 1)).alias("dropped"))
+    had = known.filter("path is not null and name is not null").select("path", "name", F.lit(False).alias("said"), F.lit(True).alias("ok"))
+    rows = claims.select("path", name.alias("name"), F.lit(True).alias("said"), F.lit(False).alias("ok")).unionByName(had)
+    with wide(rows.sparkSession, claims.count() + known.count()):
+        met = rows.groupBy("path", "name").agg(F.max("said").alias("said"), F.max("ok").alias("ok")).filter("said")
+        return written(met.groupBy("path").agg(F.count_if("ok").alias("kept"), F.count_if(~F.col("ok")).alias("dropped")), "claims")
 
 
 def fact_view(facts: DataFrame, kind: str, pins: int = 2, view: int = 12) -> DataFrame:
