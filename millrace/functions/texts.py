@@ -47,9 +47,13 @@ def sanitized(message: Column, most_subject: int = 200, most_body: int = 1500) -
     lines = F.filter(F.transform(F.split(clean, "\n"), lambda x: F.rtrim(x, blank)), lambda x: ~F.rlike(F.btrim(x, blank), F.lit(TRAILER)))
     lines = F.transform(lines, lambda x: F.regexp_replace(x, ADDRESS, "<redacted>"))
     told = lambda text, most: F.substring(tokens.redact(F.btrim(text, blank)), 1, most)
-    subject = F.when(lines.isNotNull(), F.coalesce(F.get(lines, F.lit(0)), F.lit("")))
-    body = F.array_join(F.slice(lines, F.lit(2), F.greatest(F.size(lines), F.lit(1))), "\n")
-    return F.struct(told(subject, most_subject).alias("subject"), told(body, most_body).alias("body"))
+
+    def parted(held: Column) -> Column:
+        subject = F.when(held.isNotNull(), F.coalesce(F.get(held, F.lit(0)), F.lit("")))
+        body = F.array_join(F.slice(held, F.lit(2), F.greatest(F.size(held), F.lit(1))), "\n")
+        return F.struct(told(subject, most_subject).alias("subject"), told(body, most_body).alias("body"))
+
+    return F.get(F.transform(F.array(lines), parted), F.lit(0))  # the lines are made once
 
 
 def references(message: Column) -> Column:

@@ -43,7 +43,11 @@ def identifiers(text: Column) -> Column:
 
 def normalize(word: Column) -> Column:
     """Lower case without plural endings, by fixed rules: -ies to -y in words over 4, -s in words over 3 but for -ss, -us and -is."""
-    low = F.lower(word)
+    return normalized(F.lower(word))
+
+
+def normalized(low: Column) -> Column:
+    """The normal form of a word in lower case."""
     keeps = low.endswith("ss") | low.endswith("us") | low.endswith("is")
     return F.when(low.endswith("ies") & (F.length(low) > 4), F.concat(F.substring(low, F.lit(1), F.length(low) - 3), F.lit("y"))).when(low.endswith("s") & (F.length(low) > 3) & ~keeps, F.substring(low, F.lit(1), F.length(low) - 1)).otherwise(low)
 
@@ -59,9 +63,12 @@ def is_compound(identifier: Column) -> Column:
 
 
 def expand(identifier: Column) -> Column:
-    """A compound identifier as it is written, and its normalised parts of two characters or more; distinct, in order."""
-    small = F.transform(F.filter(parts(identifier), lambda p: F.length(p) > 1), normalize)
-    return F.array_distinct(F.concat(F.when(is_compound(identifier), F.array(identifier)).otherwise(F.array().cast("array<string>")), small))
+    """A compound identifier as it is written, and its normalised parts of two characters or more; distinct, in order. It is
+    taken apart once."""
+    several = lambda s: (F.size(s) > 1) | identifier.rlike("[A-Z]")
+    whole = lambda s: F.when(several(s), F.array(identifier)).otherwise(F.array().cast("array<string>"))
+    small = F.filter(parts(identifier), lambda p: F.length(p) > 1)
+    return F.get(F.transform(F.array(small), lambda s: F.array_distinct(F.concat(whole(s), F.transform(F.transform(s, F.lower), normalized)))), F.lit(0))
 
 
 def redact(text: Column) -> Column:
