@@ -8,20 +8,26 @@ from millrace.sources.tables import written
 
 
 def prefix_sums(rows: DataFrame, group: str, order: str, size: str, parts: int | None = None) -> DataFrame:
-    """Adds `used`: the sum of `size` up to each row of its group, by order (no ties within a group).
+    """Adds `used`: the sum of `size` up to each row of its group, by order (no ties within a group)."""
+    return running_sums(rows, group, order, {"used": size}, parts)
 
-    Rows are dealt by ranges of group and order, so a group of any size is shared among tasks; each task sums its own
-    part, and the sums of the parts before it, one row for a group and part, are added. The parts are written first,
-    so that a task that runs again sees the same. There are as many parts as shuffle partitions, if not told otherwise.
+
+def running_sums(rows: DataFrame, group: str, order: str, sizes: dict[str, str], parts: int | None = None) -> DataFrame:
+    """Adds the sum of each size up to each row of its group, by order (no ties within a group), under the name given.
+
+    Rows are dealt by ranges of group and order, once for all sums, so a group of any size is shared among tasks; each task
+    sums its own part, and the sums of the parts before it, one row for a group and part, are added. The parts are written
+    first, so that a task that runs again sees the same. There are as many parts as shuffle partitions, if not told otherwise.
     """
     parts = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = written(rows.repartitionByRange(parts, group, order).withColumn("__part", F.spark_partition_id()), "ranges")
-    own = F.sum(size).over(Window.partitionBy(group, "__part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    sums = dealt.groupBy(group, "__part").agg(F.sum(size).alias("s"))
-    before = F.sum("s").over(Window.partitionBy(group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = sums.withColumn("before", F.coalesce(before, F.lit(0))).select(F.col(group).alias("__g"), F.col("__part").alias("__p"), "before")
-    met = dealt.withColumn("own", own).join(offsets, dealt[group].eqNullSafe(F.col("__g")) & (dealt["__part"] == F.col("__p")))
-    return met.withColumn("used", F.col("own") + F.col("before")).drop("own", "before", "__part", "__g", "__p")
+    mine = Window.partitionBy(group, "__part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    past = Window.partitionBy("__g").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    sums = dealt.groupBy(F.col(group).alias("__g"), F.col("__part").alias("__p")).agg(*(F.sum(size).alias(f"__s_{name}") for name, size in sizes.items()))
+    offsets = sums.select("__g", "__p", *(F.coalesce(F.sum(f"__s_{name}").over(past), F.lit(0)).alias(f"__b_{name}") for name in sizes))
+    own = dealt.withColumns({f"__o_{name}": F.sum(size).over(mine) for name, size in sizes.items()})
+    met = own.join(offsets, F.col(group).eqNullSafe(F.col("__g")) & (F.col("__part") == F.col("__p")))
+    return met.select(*rows.columns, *((F.col(f"__o_{name}") + F.col(f"__b_{name}")).alias(name) for name in sizes))
 
 
 def known_before(rows: DataFrame, group: str, order: str, value: str, parts: int | None = None) -> DataFrame:
@@ -106,8 +112,7 @@ def delivered(parts: DataFrame, packet: str, kind: str, order: str, size: str, p
     room = F.lit(float(budget)) - F.coalesce(F.sum(F.when(F.col("__kept"), F.col("__size"))), F.lit(0.0))
     rooms = written(rows.groupBy(F.col(packet).alias("__id")).agg(room.alias("room")), "rooms")
     open_ = rows.filter(~F.col("__kept")).withColumn("__class", F.struct(F.col(packet).alias("id"), F.col(kind).alias("kind"))).withColumn("__one", F.lit(1))
-    summed = prefix_sums(prefix_sums(open_, "__class", order, "__one").withColumnRenamed("used", "__place"), "__class", order, "__size").drop("__class", "__one")
-    summed = written(summed.withColumnRenamed("used", "__upto"), "sums")
+    summed = written(running_sums(open_, "__class", order, {"__place": "__one", "__upto": "__size"}).drop("__class", "__one"), "sums")
     now = rooms.filter("room >= 0").select("__id", "room", F.lit(0.0).alias("reserved"), F.lit(0.0).alias("spent"))
     taken = None
     for name, share, least in classes:
