@@ -30,7 +30,8 @@ def containing(names: DataFrame, name: str, patterns: DataFrame, pattern: str, m
     width = F.least(F.length("__p"), F.lit(3))
     of = F.when(width == 1, grams(F.col("__p"), 1)).when(width == 2, grams(F.col("__p"), 2)).otherwise(grams(F.col("__p"), 3))
     wanted = written(asked.select("__p", F.explode(of).alias("gram")), "asked")
-    every = F.concat(*(grams(F.col("__n"), k) for k in (1, 2, 3)))
+    widths = sorted(r[0] for r in wanted.select(F.length("gram")).distinct().collect())  # three at most; texts are cut by those alone
+    every = F.concat(*(grams(F.col("__n"), k) for k in widths or [1]))
     held = written(own.select("__n", F.explode(every).alias("gram")).join(wanted.select("gram").distinct(), "gram", "left_semi"), "grams")
     counts = held.groupBy("gram").agg(F.count("*").alias("__held"))
     least = F.min(F.struct("__held", "gram")).alias("least")
