@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from millrace.operators import cochange
-from millrace.sources.tables import join_hot, written
+from millrace.sources.tables import join_hot, wide, written
 
 # What each feature weighs, and half of the penalty's weight is taken off.
 WEIGHTS = {"edits": 1.0, "recency": 0.5, "fixes": 1.0, "incidents": 1.0, "symbols": 0.5, "partners": 0.5}
@@ -26,7 +26,12 @@ def features(touches: DataFrame, commits: DataFrame, refs: DataFrame, symbols: D
     are unknown and leave the average. reasons are the two features that weigh most, ties in the order of WEIGHTS. Flags
     that are null are false, repeated rows are one, touches with nulls or unknown commits are passed over.
     """
-    own = written(touches.select("commit", "path").filter("commit is not null and path is not null").distinct(), "touches")
+    touches = touches.select("commit", "path").filter("commit is not null and path is not null")
+    with wide(touches.sparkSession, touches.count()):
+        return _features(written(touches.distinct(), "touches"), commits, refs, symbols, least_support, most_paths)
+
+
+def _features(own: DataFrame, commits: DataFrame, refs: DataFrame, symbols: DataFrame | None, least_support: int, most_paths: int) -> DataFrame:
     flags = [F.coalesce(F.col(c), F.lit(False)).alias(c) for c in ("fix", "release", "bulk", "merge")]
     total = max(1, commits.count())
     known = commits.select("commit", (1 - F.col("place") / total).alias("age"), *flags).filter("not merge")
