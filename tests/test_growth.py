@@ -4,8 +4,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from millrace.operators import graph, resolve
-from millrace.sources import records
+from millrace.operators import choices, evidence, graph, inspection, packets, resolve, scorers
+from millrace.sources import records, tables
 
 
 def rows_of(frame) -> list[tuple]:
@@ -62,3 +62,56 @@ def test_walks_read_the_scores_once_in_an_iteration(spark, monkeypatch):
         score = {k: new.get(k, 0.0) + (1 - kept) / 3 * (k in seeds) for k in {*new, *seeds}}
     assert got.keys() == score.keys() and all(abs(got[k] - score[k]) < 1e-12 for k in score)
     assert max(n for label, n in joins if label == "scores") <= 8
+
+
+def test_best_paths_are_those_of_all_evidence(spark):
+    rows = [(i, f"stem{i % 3}", [f"stem{i % 3}", "com"], [("en", "fr")[i % 2], str(i // 2)]) for i in range(60)] + [(99, None, None, [])]
+    paths = spark.createDataFrame(rows, "id long, stem string, stem_tokens array<string>, directory_tokens array<string>")
+    asked = [(q, t, w) for q in range(12) for t, w in (("en", 1.0), ("stem1", 1.0 + q % 2), ("stem", 1.0), (str(q), 0.5), ("nowhere", 1.0))]
+    queries = spark.createDataFrame(asked, "query_id long, term string, w double")
+    every = rows_of(scorers.ranked(evidence.path_evidence(queries, paths, "id"), "id", 7))
+    for few in (0, 2, 8, 1000):
+        assert rows_of(scorers.ranked(evidence.best_paths(queries, paths, "id", 7, few=few), "id", 7)) == every
+    many = evidence.best_paths(queries, paths, "id", 7, few=2)
+    assert many.count() < evidence.path_evidence(queries, paths, "id").count()
+
+
+def test_texts_are_read_once(spark):
+    met = spark.sparkContext.accumulator(0)
+
+    @F.udf("int")
+    def counted(x):
+        met.add(1)
+        return x
+
+    f = spark.range(20).withColumn("n", (F.col("id") % 3).cast("int"))
+    no = F.lit(False)
+    score = choices.additive(no, no, counted.asNondeterministic()("n"), F.lit("source"), no, F.col("id") == 0)
+    got = {r.id: r.score for r in f.select("id", score.alias("score")).collect()}
+    assert got == {i: (1 if i == 0 else None, 1, 2)[i % 3] if i % 3 or i == 0 else None for i in range(20)} and met.value == 20
+
+
+def test_sums_of_several_sizes_are_dealt_once(spark, monkeypatch):
+    labels, write = [], packets.written
+    monkeypatch.setattr(packets, "written", lambda f, label: labels.append(label) or write(f, label))
+    f = spark.createDataFrame([("a" if i % 3 else None, i, i % 4, 1) for i in range(50)], "g string, o int, s int, one int")
+    got = rows_of(packets.running_sums(f, "g", "o", {"used": "s", "place": "one"}, 5).select("o", "used", "place"))
+    same = lambda i: [k for k in range(i + 1) if bool(k % 3) == bool(i % 3)]
+    assert got == sorted(((i, sum(k % 4 for k in same(i)), len(same(i))) for i in range(50)), key=repr) and labels == ["ranges"]
+
+
+def test_partitions_follow_rows_and_settings_come_back(spark):
+    name = "spark.sql.shuffle.partitions"
+    was = spark.conf.get(name)
+    with tables.wide(spark, tables.ROWS_EACH * 20):
+        assert spark.conf.get(name) == "20"
+    with tables.wide(spark, 3), tables.shuffled(spark):
+        assert spark.conf.get(name) == was and spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == "-1"
+    assert spark.conf.get(name) == was and spark.conf.get("spark.sql.autoBroadcastJoinThreshold") != "-1"
+
+
+def test_claims_without_names_and_empty_tables(spark):
+    claims = spark.createDataFrame([(1, "A.f()"), (1, "f"), (1, "g"), (1, None), (None, "f"), (2, "h")], "path int, symbol string")
+    known = spark.createDataFrame([(1, "f"), (1, None), (None, "f"), (3, "h")], "path int, name string")
+    assert rows_of(inspection.known_symbols(claims, known)) == [(1, 1, 2), (2, 0, 1), (None, 0, 1)]
+    assert inspection.known_symbols(claims.limit(0), known).isEmpty()
