@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from millrace.operators import choices, evidence, graph, inspection, packets, resolve, scorers
+from millrace.operators import choices, evidence, graph, inspection, lineage, packets, resolve, scorers
 from millrace.sources import records, tables
 
 
@@ -115,3 +115,38 @@ def test_claims_without_names_and_empty_tables(spark):
     known = spark.createDataFrame([(1, "f"), (1, None), (None, "f"), (3, "h")], "path int, name string")
     assert rows_of(inspection.known_symbols(claims, known)) == [(1, 1, 2), (2, 0, 1), (None, 0, 1)]
     assert inspection.known_symbols(claims.limit(0), known).isEmpty()
+
+
+def test_walks_of_paths_double_in_each_join(spark, monkeypatch):
+    calls, write = [], lineage.written
+    monkeypatch.setattr(lineage, "written", lambda f, label: calls.append(label) or write(f, label))
+    draw = random.Random(9)
+    rows = [(f"p{draw.randrange(90)}", f"p{draw.randrange(90)}", draw.choice("RRRRRC"), draw.choice([None, 90, 60, 49])) for _ in range(80)]
+    rows += [(f"q{i + 1}", f"q{i}", "R", None) for i in range(20)] + [(f"c{(i + 1) % 6}", f"c{i}", "R", 70) for i in range(6)] + [("c2", "into", "R", 99), ("in place", None, "R", None)]
+    current = ["q14", *[f"p{i}" for i in range(0, 90, 5)]]
+    moves, past = {}, set()
+    for path, source, kind, score in rows:
+        past |= {path, source} - {None}
+        if source:
+            moves.setdefault(source, []).append((path, kind, 100 if score is None else score))
+
+    def walked(path, hops):
+        seen = [path]
+        for _ in range(hops):
+            step = moves.get(seen[-1])
+            if not step:
+                return None, "unresolved"
+            target = step[0][0]
+            if any(p != target or k == "C" or s < 50 for p, k, s in step) or target in seen:
+                return None, "ambiguous"
+            if target in current:
+                return target, "supported_rename"
+            seen.append(target)
+        return None, "unresolved"
+
+    frames = spark.createDataFrame(rows, "path string, source string, kind string, score int"), spark.createDataFrame([(c,) for c in current], "path string")
+    for hops in (1, 3, 5, 6, 7, 8, 11):
+        calls.clear()
+        got = rows_of(lineage.lineage(*frames, hops))
+        assert got == sorted(((p, *walked(p, hops)) for p in past - set(current)), key=repr)
+        assert len(calls) <= 2 + 2 * hops.bit_length()
