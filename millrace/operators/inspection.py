@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from millrace.sources.tables import wide, written
+from millrace.sources.tables import look_up, wide, written
 
 from millrace.functions.tokens import SECRETS
 from millrace.operators.resolve import modules
@@ -173,6 +173,40 @@ def answers(requests: DataFrame, sources: DataFrame, most: int) -> DataFrame:
     return total.withColumn("nth", best).filter(F.col("nth") <= most).drop("nth")
 
 
+def _links(defined: DataFrame, uses: DataFrame, tests: DataFrame) -> DataFrame:
+    """(path, kind, name): the names that a path defines (0) and uses (1), and whether it is a test (2)."""
+    kind = lambda n: F.lit(n).alias("kind")
+    return defined.select("path", kind(0), "name").union(uses.select("path", kind(1), "name")).union(tests.select("path", kind(2), F.lit(None)))
+
+
+def _wants(wanted: DataFrame) -> DataFrame:
+    """(query_id, names): the distinct wanted names of a query, null among them if it is wanted."""
+    names = F.collect_set("name")
+    return wanted.filter("query_id is not null").groupBy("query_id").agg(F.when(F.bool_or(F.isnull("name")), F.array_append(names, F.lit(None))).otherwise(names).alias("names"))
+
+
+def _requests(view: DataFrame, wants: DataFrame, links: DataFrame, most: int, enough: float, how: str) -> DataFrame:
+    """The requests of `next_requests`; `how` wants meet the queries of the view. Wanted names go with each shown path, so that
+    of what the paths define and use only wanted names leave the join."""
+    held = links.select(F.col("path").alias("__path"), "kind", "name")
+    of = (F.col("path") == F.col("__path")) & ((F.col("kind") == 2) | F.array_contains("names", F.col("name")))
+    met = view.select("query_id", "path", "rank").join(wants, "query_id", "left").join(held, of, "left").select("query_id", "path", "rank", "kind", "name")
+    any_of = lambda n: F.max(F.coalesce(F.col("kind") == n, F.lit(False)))
+    files = met.groupBy("query_id").agg(F.min_by("path", "rank").alias("first"), any_of(2).alias("tested"), any_of(1).alias("used"), F.collect_set(F.when(F.col("kind") == 0, F.col("name"))).alias("has"))
+    known = files.join(wants, "query_id", how)
+    in_use = F.isnull("names") | F.coalesce("used", F.lit(False))
+    covered = F.coalesce(F.size("has") / F.when(F.size("names") > 0, F.size("names")), F.when(F.isnull("names"), 1.0).otherwise(0.0))
+    sure = F.round(0.5 * covered + F.when(F.col("first").isNotNull() & in_use, 0.5).otherwise(0.0), 2)
+    asked = lambda turn, kind, value: F.struct(turn.alias("turn"), value.cast("string").alias("value"), kind.alias("type"))
+    has = lambda n: F.coalesce(F.array_contains("has", n), F.lit(False))
+    names = F.filter(F.coalesce("names", F.array()), lambda n: ~has(n) | ~F.coalesce("used", F.lit(False)))
+    by_name = F.transform(names, lambda n: asked(F.when(has(n), 1).otherwise(0), F.when(has(n), F.lit("callers")).otherwise(F.lit("symbol")), n))
+    near = F.when(F.col("first").isNotNull() & ~F.col("tested"), F.array(asked(F.lit(2), F.lit("neighbors"), F.col("first"))))
+    every = F.slice(F.array_sort(F.concat(by_name, F.coalesce(near, F.array()))), 1, most)
+    asking = known.filter(sure < enough).select("query_id", F.posexplode(every).alias("at", "r"))
+    return asking.select("query_id", (F.col("at") + 1).alias("position"), "r.type", "r.value")
+
+
 def next_requests(ranked: DataFrame, wanted: DataFrame, defined: DataFrame, uses: DataFrame, tests: DataFrame, shown: int, most: int, enough: float) -> DataFrame:
     """(query_id, position, type, value) that the first `shown` paths of each ranking leave open.
 
@@ -181,20 +215,7 @@ def next_requests(ranked: DataFrame, wanted: DataFrame, defined: DataFrame, uses
     first `most` requests stay. Half the share of names that are defined, and half for names in use (or none wanted), is the
     confidence; from `enough` on nothing is asked.
     """
-    view = ranked.filter(F.col("rank") <= shown)
-    inside = lambda pairs, flag: view.select("query_id", "path").join(pairs, "path").select("query_id", "name").distinct().withColumn(flag, F.lit(True))
-    names = wanted.select("query_id", "name").distinct().join(inside(defined, "has"), ["query_id", "name"], "left").join(inside(uses, "used"), ["query_id", "name"], "left")
-    files = view.join(tests.select("path").distinct().withColumn("test", F.lit(True)), "path", "left").groupBy("query_id").agg(F.min_by("path", "rank").alias("first"), F.max(F.coalesce("test", F.lit(False))).alias("tested"))
-    facts = names.groupBy("query_id").agg(F.count("*").alias("n"), F.count("has").alias("covered"), F.max(F.coalesce("used", F.lit(False))).alias("in_use"))
-    known = files.join(facts, "query_id", "full")
-    in_use = F.coalesce("in_use", F.lit(True))
-    sure = F.round(0.5 * F.coalesce(F.col("covered") / F.col("n"), F.lit(1.0)) + F.when(F.col("first").isNotNull() & in_use, 0.5).otherwise(0.0), 2)
-    asking = known.withColumn("sure", sure).filter(F.col("sure") < enough)
-    by_name = names.join(asking.select("query_id", "in_use"), "query_id").filter("has is null or not in_use")
-    by_name = by_name.select("query_id", F.when(F.col("has").isNull(), 0).otherwise(1).alias("turn"), F.when(F.col("has").isNull(), "symbol").otherwise("callers").alias("type"), F.col("name").cast("string").alias("value"))
-    near = asking.filter("first is not null and not tested").select("query_id", F.lit(2).alias("turn"), F.lit("neighbors").alias("type"), F.col("first").cast("string").alias("value"))
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy("turn", "value"))
-    return by_name.union(near).withColumn("position", place).filter(F.col("position") <= most).select("query_id", "position", "type", "value")
+    return _requests(ranked.filter(F.col("rank") <= shown), _wants(wanted), _links(defined, uses, tests), most, enough, "full")
 
 
 def explored(ranked: DataFrame, wanted: DataFrame, defined: DataFrame, uses: DataFrame, near: DataFrame, tests: DataFrame, rounds: int = 2, protected: int = 5, shown: int = 8, most_requests: int = 12, most: int = 6, enough: float = 0.9) -> DataFrame:
@@ -203,30 +224,45 @@ def explored(ranked: DataFrame, wanted: DataFrame, defined: DataFrame, uses: Dat
     In each round what the ranking leaves open is asked for, from defined (name, path), uses (name, path, n), the most frequent
     first, and near (path, other), and what is found and wasn't shown goes below the first `protected` paths and what earlier
     rounds added. round is null for what was ranked. Queries whose round adds nothing ask no more; rankings are written between rounds.
+
+    What is given is read once, before the rounds. A value keeps the first `most` paths that answer it, and values that many
+    ask for are joined apart. In a round the rows of a query are brought together once.
     """
-    text = lambda c: F.col(c).cast("string").alias("value")
-    sources = defined.select(F.lit("symbol").alias("type"), text("name"), "path", F.lit(0).cast("long").alias("at"))
-    sources = sources.union(uses.select(F.lit("callers"), text("name"), "path", -F.col("n").cast("long"))).union(near.select(F.lit("neighbors"), text("path"), "other", F.lit(0).cast("long")))
-    order = F.row_number().over(Window.partitionBy("type", "value").orderBy("at", "path"))
-    sources = written(sources.distinct().withColumn("nth", order).filter(F.col("nth") <= most).drop("nth"), "sources")
-    now = written(ranked.select("query_id", "path", F.col("rank").cast("int").alias("rank"), F.lit(None).cast("int").alias("round"), F.lit(protected).alias("below")), "ranking")
-    asking = now.select("query_id").distinct()
+    uses = written(uses.select("name", "path", F.col("n").cast("long").alias("n")), "uses")
+    wants, links = written(_wants(wanted), "wants"), written(_links(defined, uses, tests), "links")
+    nth = F.dense_rank().over(Window.partitionBy("key").orderBy("at", "path"))  # repeated rows count once
+    asks = lambda kind, c: F.concat(F.lit(f"{kind} "), F.col(c).cast("string")).alias("asked")
+    first = lambda kind, rows: rows.filter("key is not null").withColumn("nth", nth).filter(F.col("nth") <= most).select(asks(kind, "key"), "at", "path").distinct()
+    zero = F.lit(0).cast("long").alias("at")
+    symbols, callers = defined.select(F.col("name").alias("key"), zero, "path"), uses.select(F.col("name").alias("key"), (-F.col("n")).alias("at"), "path")
+    sources = first("symbol", symbols).union(first("callers", callers)).union(first("neighbors", near.select(F.col("path").alias("key"), zero, F.col("other").alias("path"))))
+    sources = written(sources.drop("at"), "sources")
+    now = written(ranked.select("query_id", "path", F.col("rank").cast("int").alias("rank"), F.lit(None).cast("int").alias("round"), F.lit(protected).alias("below"), F.lit(True).alias("asking")), "ranking")
+    query = Window.partitionBy("query_id")
     for number in range(1, rounds + 1):
-        requests = next_requests(now, wanted, defined, uses, tests, shown, most_requests, enough).join(asking, "query_id", "left_semi")
-        found = answers(requests, sources, most)
-        seen = now.filter(F.col("rank") <= shown).select("query_id", "path")
-        fresh = written(found.join(seen, ["query_id", "path"], "left_anti"), "found")
-        if not fresh.limit(1).count():
+        view = now.filter((F.col("rank") <= shown) & F.col("asking") & F.col("query_id").isNotNull())
+        asked = F.concat("type", F.lit(" "), "value").alias("asked")
+        requests = written(_requests(view, wants, links, most_requests, enough, "left").select("query_id", "position", asked), "requests")
+        met = look_up(requests, sources, "asked").select("query_id", "position", "path").repartition("query_id")
+        total = met.groupBy("query_id", "path").agg(F.round(F.sum(1.0 / F.col("position")), 9).alias("score"))
+        best = F.row_number().over(query.orderBy(F.desc("score"), "path"))
+        found = total.withColumn("nth", best).filter(F.col("nth") <= most).drop("nth")
+        both = now.drop("asking").withColumn("score", F.lit(None).cast("double")).unionByName(found, allowMissingColumns=True).repartition("query_id")
+        was = F.col("below").isNotNull()
+        same = Window.partitionBy("query_id", "path", F.isnull("path") & ~was)  # a null path is like no other
+        met = both.withColumn("held", F.max("below").over(same)).withColumn("seen", F.coalesce(F.min("rank").over(same) <= shown, F.lit(False))).withColumn("score", F.max("score").over(same))
+        rows = met.filter(was | F.isnull("held")).withColumn("score", F.when(~F.col("seen"), F.col("score")))
+        rows = rows.withColumn("below", F.coalesce(F.max("below").over(query), F.lit(protected))).withColumn("added", F.count("score").over(query)).withColumn("n", F.count("*").over(query))
+        old = F.isnull("score")
+        nth = F.row_number().over(query.orderBy(~old, F.when(old, F.col("rank")).asc_nulls_last(), F.desc("score"), "path"))  # what is added comes after all others
+        top = F.least("below", F.col("n") - F.col("added"))
+        place = F.when(old & (F.col("nth") <= top), F.col("nth")).when(old, F.col("nth") + F.col("added")).otherwise(F.col("nth") - (F.col("n") - F.col("added")) + top)
+        moved = rows.withColumn("nth", nth).withColumn("place", place.cast("int"))
+        after = moved.select("query_id", "path", F.col("place").alias("rank"), F.when(F.col("score").isNotNull(), number).otherwise(F.col("round")).alias("round"), (F.col("below") + F.col("added")).cast("int").alias("below"), (F.col("added") > 0).alias("asking"))
+        after = written(after, "ranking")
+        if not after.filter("asking").limit(1).count():
             break
-        met = now.join(fresh, ["query_id", "path"], "full")
-        rows = met.withColumn("below", F.coalesce(F.max("below").over(Window.partitionBy("query_id")), F.lit(protected)))
-        kept = F.sum(F.col("score").isNull().cast("int")).over(Window.partitionBy("query_id").orderBy(F.asc_nulls_last("rank")).rowsBetween(Window.unboundedPreceding, 0))
-        band = F.when(F.col("score").isNotNull(), 1).when(kept <= F.col("below"), 0).otherwise(2)
-        place = F.row_number().over(Window.partitionBy("query_id").orderBy("band", F.desc("score"), F.when(F.col("score").isNull(), F.col("rank")), "path"))
-        added = F.count("score").over(Window.partitionBy("query_id"))
-        moved = rows.withColumn("band", band).withColumn("place", place).withColumn("grown", F.col("below") + added)
-        now = written(moved.select("query_id", "path", F.col("place").alias("rank"), F.when(F.col("score").isNotNull(), number).otherwise(F.col("round")).alias("round"), F.col("grown").cast("int").alias("below")), "ranking")
-        asking = fresh.select("query_id").distinct()
+        now = after
     return now.select("query_id", "path", "rank", "round")
 
 

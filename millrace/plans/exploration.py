@@ -6,16 +6,17 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from millrace.operators import inspection
 from millrace.plans.base import query
-from millrace.sources.tables import table
+from millrace.sources.tables import table, written
 
 
 def given(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """A customer's twenty most ordered parts, sizes they want, parts of a size, sizes that parts are ordered with, and parts ordered together."""
     orders, lines, parts = (table(spark, sf_dir, n) for n in ("orders", "lineitem", "part"))
-    bought = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey")).groupBy(F.col("o_custkey").alias("query_id"), F.col("l_partkey").alias("path")).agg(F.count("*").alias("n"))
+    met = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("query_id"), F.col("l_partkey").alias("path"))
+    bought = met.repartition("query_id").groupBy("query_id", "path").agg(F.count("*").alias("n"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("n"), "path"))
     first = lines.filter("l_linenumber = 1").select("l_orderkey", F.col("l_partkey").alias("path"))
-    near = lines.filter("l_linenumber > 1").join(first, "l_orderkey").select("path", F.col("l_partkey").alias("other")).distinct()
+    near = written(lines.filter("l_linenumber > 1").join(first, "l_orderkey").select("path", F.col("l_partkey").alias("other")).distinct(), "near")
     return {
         "ranked": bought.withColumn("rank", rank).filter("rank <= 20").drop("n"),
         "wanted": orders.select(F.col("o_custkey").alias("query_id"), (F.col("o_orderkey") % 60).alias("name")).distinct(),

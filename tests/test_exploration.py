@@ -1,6 +1,7 @@
 """Rounds of requests against a loop over rankings, and answers whose join stays linear."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.operators import inspection
 from millrace.plans import exploration as plans
@@ -68,3 +69,18 @@ def test_a_request_meets_no_more_than_it_keeps(spark):
     found = inspection.answers(requests, sources, 6)
     found.write.format("noop").mode("overwrite").save()
     assert found.count() == 18_000 and {r.path for r in found.collect()} == set(range(6))
+
+
+def test_rounds_read_what_is_given_once(spark):
+    met, tables = spark.sparkContext.accumulator(0), plans.given(spark, FOLDER)
+
+    @F.udf("long")
+    def counted(x):
+        met.add(1)
+        return x
+
+    held = {"wanted": ("query_id", "name"), "uses": ("name", "path", "n"), "near": ("path", "other")}
+    rows = sum(tables[n].count() for n in held)
+    for n, (first, *others) in held.items():
+        tables[n] = tables[n].select(counted.asNondeterministic()(first).alias(first), *others)
+    assert inspection.explored(**tables, rounds=2, **SIZES).count() > 0 and met.value == rows
