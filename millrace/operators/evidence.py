@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from millrace.operators.index import TERM, idf
-from millrace.sources.tables import written
+from millrace.sources.tables import join_hot, look_up, written
 
 # Weights of the classes of path evidence, of which only the first that fits counts.
 STEM_EXACT, STEM_TOKEN, DIRECTORY, PARTIAL, PARTIAL_CHARS = 3.0, 2.0, 1.0, 0.5, 5
@@ -35,51 +35,79 @@ def path_evidence(queries: DataFrame, paths: DataFrame, key: str) -> DataFrame:
 
 
 def _path_hits(terms: DataFrame, paths: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """((key, term, gain), (term, df)): the asked terms (term, distinct) in each path, and how many paths have one as a token."""
+    """((key, term, gain), (term, df)): the asked terms (term, distinct, written) in each path, and how many paths have one as a token.
+
+    A stem is cut into runs of characters as wide as asked terms are, which are looked up; so stems that begin alike don't
+    meet all terms that do.
+    """
     classed = lambda c, n: F.transform(F.coalesce(c, F.array()), lambda t: F.struct(t.alias("term"), F.lit(n).alias("gain")))
     every = F.concat(classed(F.array("stem"), STEM_EXACT), classed(F.col("stem_tokens"), STEM_TOKEN), classed(F.col("directory_tokens"), DIRECTORY))
-    tokens = paths.select(key, F.inline(every)).join(terms, "term").groupBy(key, "term").agg(F.max("gain").alias("gain"))
-    pieces = F.transform(F.sequence(F.lit(1), F.length("stem") - PARTIAL_CHARS + 1), lambda i: F.substring(F.col("stem"), i, F.lit(PARTIAL_CHARS)))
-    stems = paths.select("stem").filter(F.length("stem") >= PARTIAL_CHARS).distinct().select("stem", F.explode(F.array_distinct(pieces)).alias("piece"))
-    long = terms.filter(F.length("term") >= PARTIAL_CHARS).withColumn("piece", F.substring("term", 1, PARTIAL_CHARS))
-    inside = stems.join(long, "piece").filter(F.col("stem").contains(F.col("term"))).select("stem", "term").distinct()
-    partial = paths.select(key, "stem").join(inside, "stem").select(key, "term", F.lit(PARTIAL).alias("gain"))
+    tokens = written(paths.select(key, F.inline(every)).groupBy(key, "term").agg(F.max("gain").alias("gain")), "tokens")
+    tokens = written(look_up(tokens, terms, "term").select(key, "term", "gain"), "tokens")
+    long = terms.filter(F.length("term") >= PARTIAL_CHARS)
+    widths = long.agg(F.collect_set(F.length("term")).alias("widths"))  # one row
+    stems = paths.select(key, "stem").filter(F.length("stem") >= PARTIAL_CHARS)
+    cut = lambda w: F.transform(F.sequence(F.lit(1), F.length("stem") - w + 1), lambda i: F.substring(F.col("stem"), i, w))
+    runs = F.flatten(F.transform(F.filter("widths", lambda w: w <= F.length("stem")), cut))
+    own = stems.select("stem").distinct().join(F.broadcast(widths), F.lit(True))
+    pieces = written(own.select("stem", F.explode(F.array_distinct(runs)).alias("term")), "pieces")
+    inside = written(look_up(pieces, long, "term").select("stem", "term"), "inside")
+    partial = look_up(stems, inside, "stem").select(key, "term", F.lit(PARTIAL).alias("gain"))
     return tokens.unionByName(partial).groupBy(key, "term").agg(F.max("gain").alias("gain")), tokens.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def best_paths(queries: DataFrame, paths: DataFrame, key: str, k: int, digits: int = 9, few: int = 50) -> DataFrame:
+def _parts(rows: DataFrame, own: str, value: str) -> DataFrame:
+    """(own, part, value): every choice of one term or more from sorted `terms` (term, value), by the digest of its terms and with its values."""
+    every = F.expr("transform(sequence(1, shiftleft(1, size(terms)) - 1), m -> filter(terms, (x, i) -> (shiftright(m, i) & 1) = 1))")
+    return rows.select(own, F.explode(every).alias("part")).select(own, F.unhex(F.sha2(F.to_json("part.term"), 256)).alias("part"), f"part.{value}")
+
+
+def best_paths(queries: DataFrame, paths: DataFrame, key: str, k: int, digits: int = 9, few: int = 50, most: int = 8) -> DataFrame:
     """The (query_id, key, score) of `path_evidence` with the k best of each query among them, by score, then key; keys are
     unique and weights not negative.
 
-    Terms that more than `few` queries ask for and more than `few` paths have are common. Paths with the same common terms
-    are one class, as are queries; classes meet, and the k best classes of each are spread to their first k paths. Paths with
-    another term of a query, which are few, are scored one by one. A path with common terms only is among the k best only
-    if it is by those; so what is left out is worse. Other work grows with the rows.
+    Terms that more than `few` queries ask for and more than `few` paths have are common. Paths with another term of a query,
+    which are few, are scored one by one. Paths with the same common terms are one class, as are queries. Those of `most`
+    common terms or fewer meet by parts: for every choice of terms the first k paths that have it, and with the same gains, are
+    kept, and a query takes those of its choices. A path is first found by all that it shares with a query; if k others come before it
+    there, they have as much and smaller keys, so it is not among the k best. So no class meets another, however many there are.
+    Classes of more common terms, which have too many choices, meet the others one by one. Other work grows with the rows.
     """
-    asked = queries.select("query_id", "term", "w").distinct()
-    counts = asked.groupBy("term").agg(F.count_distinct("query_id").alias("asked"))
+    asked = written(queries.select("query_id", "term", "w").distinct().groupBy("query_id", "term").agg(F.sum("w").alias("w")), "asked")
+    counts = written(asked.filter("term is not null").groupBy("term").agg(F.count("*").alias("asked")), "counts")
     hits, df = _path_hits(counts.select("term"), paths, key)
     hits = written(hits, "hits")
     n = paths.agg(F.count("*").alias("n"))  # one row
     held = counts.join(hits.groupBy("term").agg(F.count("*").alias("held")), "term").join(df, "term", "left").join(F.broadcast(n), F.lit(True))
-    facts = written(held.select("term", idf(F.col("n"), F.coalesce("df", F.lit(0))).alias("rarity"), (F.least("asked", "held") > few).alias("common")), "facts")
-    asked = written(asked.join(facts, "term").select("query_id", "term", (F.col("w") * F.col("rarity")).alias("w"), "common"), "asked")
-    hits = written(hits.join(facts.select("term", "common"), "term").select(key, "term", "gain", "common"), "hits")
+    facts = written(held.select("term", "asked", "held", idf(F.col("n"), F.coalesce("df", F.lit(0))).alias("rarity"), (F.least("asked", "held") > few).alias("common")), "facts")
+    asked = written(join_hot(asked, facts, "term", "asked").select("query_id", "term", (F.col("w") * F.col("rarity")).alias("w"), "common"), "asked")
+    hits = written(join_hot(hits, facts, "term", "held").select(key, "term", "gain", "common"), "hits")
 
-    def classes(rows: DataFrame, own: str, value: str, name: str) -> DataFrame:
+    def classes(rows: DataFrame, own: str, value: str, name: str) -> tuple[DataFrame, DataFrame]:
         terms = F.array_sort(F.collect_list(F.struct("term", value)))
-        return written(rows.filter("common").groupBy(own).agg(terms.alias("terms")).select(own, "terms", F.sha2(F.to_json("terms"), 256).alias(name)), name)
+        found = written(rows.filter("common").groupBy(own).agg(terms.alias("terms")).select(own, "terms", F.sha2(F.to_json("terms"), 256).alias(name)), name)
+        return found.select(own, name), written(found.groupBy(name).agg(F.first("terms").alias("terms")).withColumn("deep", F.size("terms") > most), name)
 
-    asking, having = classes(asked, "query_id", "w", "q_class"), classes(hits, key, "gain", "p_class")
-    wants = asking.select("q_class", "terms").dropDuplicates(["q_class"]).select("q_class", F.inline("terms"))
+    asking, wants = classes(asked, "query_id", "w", "q_class")
+    having, gives = classes(hits, key, "gain", "p_class")
     first = F.row_number().over(Window.partitionBy("p_class").orderBy(key))
-    members = written(having.select("p_class", key).withColumn("at", first).filter(F.col("at") <= k), "members")
-    gives = having.select("p_class", "terms").dropDuplicates(["p_class"]).select("p_class", F.inline("terms"))
-    met = wants.join(gives, "term").groupBy("q_class", "p_class").agg(F.round(F.sum(F.col("w") * F.col("gain")), digits).alias("score"))
+    members = written(having.withColumn("at", first).filter(F.col("at") <= k), "members")
+
+    wanted = written(_parts(wants.filter("not deep"), "q_class", "w"), "wanted")
+    first = F.row_number().over(Window.partitionBy("part", "gain").orderBy(key))
+    parts = _parts(gives.filter("not deep"), "p_class", "gain").join(members.select("p_class", key), "p_class").withColumn("at", first).filter(F.col("at") <= k)
+    leaders = written(parts.join(wanted.select("part").distinct(), "part", "left_semi").select("part", "gain", key), "leaders")
+    score = F.aggregate(F.zip_with("w", "gain", lambda w, g: w * g), F.lit(0.0), lambda a, b: a + b)
+    met = look_up(wanted, leaders, "part").select("q_class", key, F.round(score, digits).alias("score"))
+
     order = Window.partitionBy("q_class").orderBy(F.desc("score"), key)
-    leading = met.join(members.filter("at = 1").select("p_class", key), "p_class").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    spread = leading.select("q_class", "p_class", "score").join(members.select("p_class", key), "p_class").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    by_class = asking.select("query_id", "q_class").join(spread.select("q_class", key, "score"), "q_class").select("query_id", key, "score")
+    terms = lambda rows, name: rows.select(name, F.inline("terms"))
+    deep = [(wants.filter("deep"), gives), (wants.filter("not deep"), gives.filter("deep"))]
+    one, two = (terms(q, "q_class").join(terms(p, "p_class"), "term").groupBy("q_class", "p_class").agg(F.round(F.sum(F.col("w") * F.col("gain")), digits).alias("score")) for q, p in deep)
+    leading = one.unionByName(two).join(members.filter("at = 1").select("p_class", key), "p_class").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    spread = leading.select("q_class", "p_class", "score").join(members.select("p_class", key), "p_class").select("q_class", key, "score")
+    best = met.unionByName(spread).groupBy("q_class", key).agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    by_class = asking.join(best.select("q_class", key, "score"), "q_class").select("query_id", key, "score")
     rare = asked.filter("not common").join(hits.filter("not common").select("term", key), "term").select("query_id", key).distinct()
     each = rare.join(asked.select("query_id", "term", "w"), "query_id").join(hits.select(key, "term", "gain"), [key, "term"])
     each = each.groupBy("query_id", key).agg(F.sum(F.col("w") * F.col("gain")).alias("score"))

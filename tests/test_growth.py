@@ -76,6 +76,32 @@ def test_best_paths_are_those_of_all_evidence(spark):
     assert many.count() < evidence.path_evidence(queries, paths, "id").count()
 
 
+def test_best_paths_make_no_pairs_of_classes(spark):
+    store = spark._jsparkSession.sharedState().statusStore()
+
+    def most_rows(since):
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        most, runs = 0, store.executionsList()
+        for run in (runs.apply(i).executionId() for i in range(runs.size())):
+            values, nodes = store.executionMetrics(run), store.planGraph(run).allNodes()
+            for node in (nodes.apply(i) for i in range(nodes.size() if run > since else 0)):
+                for m in (node.metrics().apply(i) for i in range(node.metrics().size())):
+                    if "Join" in node.name() and m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                        most = max(most, int(values.apply(m.accumulatorId()).replace(",", "")))
+        return most, max((runs.apply(i).executionId() for i in range(runs.size())), default=-1)
+
+    rows = [(i, "www", ["www", "com"], [f"w{a}", f"w{b}"]) for i, (a, b) in enumerate((a, b) for a in range(36) for b in range(a))]
+    rows += [(1000 + i, f"shop-{i}", [f"shop-{i}"], ["www"] + [f"d{j}" for j in range(9)]) for i in range(30)]
+    paths = spark.createDataFrame(rows, "id long, stem string, stem_tokens array<string>, directory_tokens array<string>")
+    asked = [(i, t, w) for i, stem, _, dirs in rows for t, w in ((stem, 1.0), (stem, 0.5), (stem[:6], 1.0), *((d, 1.0) for d in dirs))]
+    queries = spark.createDataFrame(asked, "query_id long, term string, w double")
+    began = most_rows(1 << 60)[1]
+    got = rows_of(scorers.ranked(evidence.best_paths(queries, paths, "id", 5, few=5), "id", 5))
+    made = most_rows(began)[0]
+    assert got == rows_of(scorers.ranked(evidence.path_evidence(queries, paths, "id"), "id", 5))
+    assert 0 < made < 50_000, made  # classes that met one by one: some 400,000 pairs
+
+
 def test_texts_are_read_once(spark):
     met = spark.sparkContext.accumulator(0)
 
