@@ -62,13 +62,21 @@ def is_compound(identifier: Column) -> Column:
     return several | identifier.rlike("[A-Z]")
 
 
+def small_parts(identifier: Column) -> Column:
+    """Its parts of two characters or more, as they are written."""
+    return F.filter(parts(identifier), lambda p: F.length(p) > 1)
+
+
+def terms_of(identifier: Column, small: Column) -> Column:
+    """What it expands to, from its small parts."""
+    whole = F.when((F.size(small) > 1) | identifier.rlike("[A-Z]"), F.array(identifier)).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(whole, F.transform(F.transform(small, F.lower), normalized)))
+
+
 def expand(identifier: Column) -> Column:
     """A compound identifier as it is written, and its normalised parts of two characters or more; distinct, in order. It is
     taken apart once."""
-    several = lambda s: (F.size(s) > 1) | identifier.rlike("[A-Z]")
-    whole = lambda s: F.when(several(s), F.array(identifier)).otherwise(F.array().cast("array<string>"))
-    small = F.filter(parts(identifier), lambda p: F.length(p) > 1)
-    return F.get(F.transform(F.array(small), lambda s: F.array_distinct(F.concat(whole(s), F.transform(F.transform(s, F.lower), normalized)))), F.lit(0))
+    return F.get(F.transform(F.array(small_parts(identifier)), lambda s: terms_of(identifier, s)), F.lit(0))
 
 
 def redact(text: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -75,17 +76,16 @@ def answered(requests: DataFrame, key: str, documents: DataFrame, document: str,
     requests, documents = requests.filter(F.col(key).isNotNull()), documents.filter(F.col(document).isNotNull())
     config = strategies.configured("full", {"retrievers": ("bm25", "rare", "references"), **(change or {})})
     analysis = written(reading.analysed(requests.select(key, text), text, generic).drop(text), "analysis")
-    counts = written(index.identifier_counts(documents, document, text), "identifiers")
-    postings = written(index.expanded(counts, document), "terms")
-    facts = written(index.document_facts(documents, document, text, postings), "facts")
-    terms = weighed_terms(analysis, key, weights, generic)
-    names = weighed_names(analysis, key, weights).filter(F.col("w") >= weights["identifier"])
-    voters = {
-        "bm25": lambda q, p, d: scorers.bm25(q, p, d, facts=facts),
-        "rare": lambda q, p, d: scorers.rare_terms(q, p, d, facts=facts),
-        "references": lambda q, p, d: scorers.references(names, counts.select(d, F.col("id").alias("term"), F.col("n").alias("tf")), d, defining),
-    }
-    lists = written(strategies.candidates(config, terms, postings, document, voters), "lists")
+    terms = written(weighed_terms(analysis, key, weights, generic), "asked")
+    names = written(weighed_names(analysis, key, weights).filter(F.col("w") >= weights["identifier"]), "names")
+    postings, counts, facts = index.asked_index(documents, document, text, terms, names)
+    summed = [n for n in config["retrievers"] if n in scorers.GAINS]
+    others = [n for n in config["retrievers"] if n not in scorers.GAINS]
+    own = [scorers.voted(summed, terms, postings, document, facts, config["candidates"])] if summed else []
+    if others:
+        voters = {"references": lambda q, p, d: scorers.references(names, counts, d, defining)}
+        own.append(strategies.candidates({**config, "retrievers": others}, terms, postings, document, voters))
+    lists = written(reduce(DataFrame.unionByName, own), "lists")
     votes = lists.groupBy("query_id", document).agg(F.count("*").alias("agree"))
     found = strategies.FUSIONS[config["fusion"]](lists, document).join(votes, ["query_id", document])
     if paths is None:

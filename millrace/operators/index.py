@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from millrace.functions import tokens
+from millrace.sources.tables import written
 
 #: Lower-case terms of three characters or more.
 TERM = "[a-z_][a-z0-9_]{2,79}"
@@ -30,18 +31,59 @@ def identifier_counts(frame: DataFrame, key: str, text: str) -> DataFrame:
     return frame.select(key, F.explode(tokens.identifiers(F.col(text))).alias("id")).groupBy(key, "id").agg(F.count("*").alias("n"))
 
 
-def expanded(counts: DataFrame, key: str) -> DataFrame:
-    """(key, term, tf) from counts of identifiers (key, id, n)."""
-    return counts.select(key, "n", F.explode(tokens.expand(F.col("id"))).alias("term")).groupBy(key, "term").agg(F.sum("n").alias("tf"))
+#: One word of small letters, as most identifiers are: it has one part, itself.
+_ONE = r"^[a-z]{2,}\z"
+
+
+def _apart(counts: DataFrame) -> DataFrame:
+    """Adds terms, what the identifier expands to (`tokens.expand`), in two steps, so that only compound ones are taken apart
+    and each once."""
+    one = F.col("id").rlike(_ONE)
+    steps = counts.withColumn("small", F.when(~one, tokens.small_parts(F.col("id"))))
+    return steps.withColumn("terms", F.when(one, F.array(tokens.normalized(F.col("id")))).otherwise(tokens.terms_of(F.col("id"), F.col("small"))))
 
 
-def document_facts(frame: DataFrame, key: str, text: str, postings: DataFrame) -> DataFrame:
-    """(key, len, distinct_terms, chars) for every document: identifiers as they stand in the text, terms of the postings,
-    characters. A text that is null or has no identifier counts with zeros."""
-    whole = F.coalesce(F.col(text), F.lit(""))
-    lengths = frame.select(key, F.size(tokens.identifiers(whole)).alias("len"), F.length(whole).alias("chars"))
-    terms = postings.groupBy(key).agg(F.count("*").alias("distinct_terms"))
-    return lengths.join(terms, key, "left").withColumn("distinct_terms", F.coalesce("distinct_terms", F.lit(0)))
+def _each(rows: DataFrame, key: str, terms: Column) -> DataFrame:
+    """(key, term, tf). An outer explode has no filter inferred from it, which would take all identifiers apart twice more."""
+    return rows.select(key, "n", F.explode_outer(terms).alias("term")).filter(F.col("term").isNotNull()).groupBy(key, "term").agg(F.sum("n").alias("tf"))
+
+
+def expanded(counts: DataFrame, key: str) -> DataFrame:
+    """(key, term, tf) from counts of identifiers (key, id, n)."""
+    return _each(_apart(counts), key, F.col("terms"))
+
+
+#: Identifiers that a task gets, about, where whole texts are dealt by document.
+IDENTIFIERS_EACH = 1_000_000
+#: Before a name as it is written, to tell it from a term. No identifier has it.
+_WRITTEN = "="
+
+
+def asked_index(frame: DataFrame, key: str, text: str, terms: DataFrame, names: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(postings, counts, facts): (key, term, tf) of the asked terms, (key, term, tf) of the asked names as they are
+    written, and (key, len, distinct_terms, chars) for every document: identifiers as they stand in the text, distinct terms
+    of the whole index, characters. A text that is null or has no identifier counts with zeros.
+
+    Texts are dealt by document once. A task counts, expands and sums what its documents have, and only what is asked is
+    written, so that the whole index, which is larger than the texts, is on no disk.
+    """
+    spark, whole = frame.sparkSession, F.coalesce(F.col(text), F.lit(""))
+    lengths = written(frame.select(key, F.size(tokens.identifiers(whole)).alias("len"), F.length(whole).alias("chars")), "lengths")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(lengths.agg(F.sum("len")).first()[0] or 0) // IDENTIFIERS_EACH))
+    spelled = terms.limit(0) if names is None else names
+    spelled = written(spelled.select(F.col("term").alias("id"), F.concat(F.lit(_WRITTEN), "term").alias("as_written")).distinct(), "spelled")
+    wanted = written(terms.select(F.col("term").alias("asked")).union(spelled.select("as_written")).distinct(), "wanted")
+    held = identifier_counts(frame.select(key, text).repartition(tasks, key), key, text).join(spelled, "id", "left")
+    each = F.when(F.col("as_written").isNull(), F.col("terms")).otherwise(F.concat("terms", F.array("as_written")))
+    sums = _each(_apart(held), key, each)
+    met = sums.join(wanted, F.col("term") == F.col("asked"), "left")
+    met = met.groupBy(key, "asked").agg(F.sum("tf").alias("tf"), F.count(F.when(~F.col("term").startswith(_WRITTEN), 1)).alias("terms"))
+    met = written(met, "terms")
+    distinct = met.groupBy(key).agg(F.sum("terms").alias("distinct_terms"))
+    facts = written(lengths.join(distinct, key, "left").withColumn("distinct_terms", F.coalesce("distinct_terms", F.lit(0))), "facts")
+    named = F.col("asked").startswith(_WRITTEN)
+    counts = met.filter(named).select(key, F.substring("asked", 1 + len(_WRITTEN), 1000).alias("term"), "tf")
+    return met.filter(~named).select(key, F.col("asked").alias("term"), "tf"), counts, facts
 
 
 def top_terms(postings: DataFrame, key: str, k: int) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from millrace.operators.index import document_stats, identifier_postings, idf
 from millrace.sources.tables import written
@@ -22,18 +24,47 @@ def _matches(queries: DataFrame, postings: DataFrame, key: str, facts: DataFrame
     return asked.join(facts.hint("shuffle_hash"), key).join(weighed, "term")
 
 
+def _bm25(k1: float = 1.2, b: float = 0.75) -> Column:
+    """w idf tf (k1 + 1) / (tf + k1 (1 - b + b len / avg))."""
+    return F.col("w") * idf(F.col("n"), F.col("df")) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
+
+
+def _rare() -> Column:
+    """w idf squared, less for documents of many distinct terms. Presence counts, not frequency."""
+    return F.col("w") * idf(F.col("n"), F.col("df")) ** 2 / (1 + F.log(1 + F.col("distinct_terms") / F.col("avg_distinct")))
+
+
 def bm25(queries: DataFrame, postings: DataFrame, key: str, k1: float = 1.2, b: float = 0.75, facts: DataFrame | None = None) -> DataFrame:
     """Sum of w idf tf (k1 + 1) / (tf + k1 (1 - b + b len / avg)) over (query_id, term, w)."""
-    m = _matches(queries, postings, key, facts)
-    gain = F.col("w") * idf(F.col("n"), F.col("df")) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    return m.groupBy("query_id", key).agg(F.sum(gain).alias("score"))
+    return _matches(queries, postings, key, facts).groupBy("query_id", key).agg(F.sum(_bm25(k1, b)).alias("score"))
 
 
 def rare_terms(queries: DataFrame, postings: DataFrame, key: str, facts: DataFrame | None = None) -> DataFrame:
     """Sum of w idf squared, less for documents of many distinct terms. Presence counts, not frequency."""
-    m = _matches(queries, postings, key, facts)
-    gain = F.col("w") * idf(F.col("n"), F.col("df")) ** 2 / (1 + F.log(1 + F.col("distinct_terms") / F.col("avg_distinct")))
-    return m.groupBy("query_id", key).agg(F.sum(gain).alias("score"))
+    return _matches(queries, postings, key, facts).groupBy("query_id", key).agg(F.sum(_rare()).alias("score"))
+
+
+#: What `voted` can sum together.
+GAINS = {"bm25": _bm25, "rare": _rare}
+#: Meetings of a query's term with a document that a task gets, about.
+MEETINGS_EACH = 2_000_000
+
+
+def voted(names: Sequence[str], queries: DataFrame, postings: DataFrame, key: str, facts: DataFrame, k: int) -> DataFrame:
+    """(source, query_id, key, score, rank): the k best of each query by the scorers of GAINS that are named. Give written
+    tables: postings (key, term, tf) and facts (key, len, distinct_terms).
+
+    Postings are dealt by document once, for all scorers. A task gets so many documents that the sums for them fit its
+    memory, and passes on its k best of each query: where common words are terms, almost every document meets every query, and
+    those rows are neither shuffled nor kept.
+    """
+    spark = postings.sparkSession
+    corpus = facts.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"), F.avg("distinct_terms").alias("avg_distinct"))
+    weighed = written(queries.join(postings.groupBy("term").agg(F.count("*").alias("df")), "term").join(F.broadcast(corpus), F.lit(True)), "weighed")  # corpus: one row
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(weighed.agg(F.sum("df")).first()[0] or 0) // MEETINGS_EACH))
+    dealt = postings.repartition(tasks, key).join(facts.select(key, "len", "distinct_terms").repartition(tasks, key).hint("shuffle_hash"), key)
+    sums = dealt.join(weighed, "term").groupBy("query_id", key).agg(*[F.sum(GAINS[n]()).alias(n) for n in names])
+    return ranked(sums.unpivot(["query_id", key], list(names), "source", "score"), key, k, by=("source", "query_id"))
 
 
 def references(names: DataFrame, postings: DataFrame, key: str, defining: DataFrame | None = None) -> DataFrame:
@@ -46,10 +77,10 @@ def references(names: DataFrame, postings: DataFrame, key: str, defining: DataFr
     return found.groupBy("query_id", key).agg(F.sum(F.col("w") * (1 + F.log("tf")) / F.log(2 + F.col("holders"))).alias("score"))
 
 
-def ranked(candidates: DataFrame, key: str, k: int, digits: int = 9) -> DataFrame:
+def ranked(candidates: DataFrame, key: str, k: int, digits: int = 9, by: Sequence[str] = ("query_id",)) -> DataFrame:
     """The k best of each query, numbered; ties by key. Scores are rounded first so that the order of sums can't show."""
     held = candidates.withColumn("score", F.round("score", digits))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
+    order = Window.partitionBy(*by).orderBy(F.desc("score"), key)
     return held.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
@@ -62,9 +93,8 @@ def module_search(queries: DataFrame, records: DataFrame, key: str, k: int = 8,
     """
     held = written(identifier_postings(records.filter("status = 'current'"), key, "text"), "module-postings")
     m = _matches(queries, held, key)
-    gain = F.col("w") * idf(F.col("n"), F.col("df")) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
     strong = F.count(F.when(F.col("w") >= 3, 1))
-    found = m.groupBy("query_id", key).agg(F.round(F.sum(gain), 4).alias("score"), strong.alias("identifier_support"), (F.count("*") - strong).alias("concept_matches")).filter("score > 0")
+    found = m.groupBy("query_id", key).agg(F.round(F.sum(_bm25(k1, b)), 4).alias("score"), strong.alias("identifier_support"), (F.count("*") - strong).alias("concept_matches")).filter("score > 0")
     top = ranked(found, key, k, 4)
     best = F.first("score").over(Window.partitionBy("query_id").orderBy("rank"))
     weak = ((F.col("identifier_support") == 0) & (F.col("concept_matches") < 2)) | ((F.col("rank") > 1) & (F.col("score") < best * floor))

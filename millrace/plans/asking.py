@@ -50,10 +50,9 @@ def weighed_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 def score_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BM25 of weighed terms on expanded identifiers, by the texts' lengths in identifiers."""
     documents = _documents(spark, sf_dir)
-    postings = written(index.identifier_postings(documents, "doc_id", "text"), "terms")
-    facts = index.document_facts(documents, "doc_id", "text", postings)
-    terms = asking.weighed_terms(requests.analysed(_requests(spark, sf_dir), "text"), "query_id")
-    got = scorers.ranked(scorers.bm25(terms, postings, "doc_id", facts=facts), "doc_id", 10)
+    terms = written(asking.weighed_terms(requests.analysed(_requests(spark, sf_dir), "text"), "query_id"), "asked")
+    postings, _, facts = index.asked_index(documents, "doc_id", "text", terms)
+    got = scorers.voted(["bm25"], terms, postings, "doc_id", facts, 10)
     return got.select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 

@@ -4,9 +4,11 @@ import math
 import re
 from collections import Counter, defaultdict
 
-from millrace.functions import requests
+from pyspark.sql import functions as F
+
+from millrace.functions import requests, tokens
 from millrace.functions.tokens import IDENTIFIER, PARTS
-from millrace.operators import asking, scorers
+from millrace.operators import asking, index, scorers
 
 DULL = requests.GENERIC
 ASKED = [
@@ -140,3 +142,48 @@ def test_nothing_asked_or_nothing_there(spark):
     held = spark.createDataFrame([(1, "it", 2), (2, "it", 1)], "doc long, term string, tf long")
     got = {r.doc for r in scorers.references(names, held, "doc", held.filter("doc = 1").select("doc", "term")).collect()}
     assert got == {2}
+
+
+def test_only_what_is_asked_is_written(spark, monkeypatch):
+    docs = [(d, " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}_{d}" for i in range(300)) + " load_table queries" * (1 + d % 3)) for d in range(20)]
+    rows, write = {}, asking.written
+
+    def counted(frame, label):
+        out = write(frame, label)
+        rows[label] = out.count()
+        return out
+
+    for module in (asking, index, scorers):
+        monkeypatch.setattr(module, "written", counted, raising=False)
+    asked = spark.createDataFrame([("a", "load_table fails"), ("b", "slow queries")], "id string, text string")
+    got = asking.answered(asked, "id", spark.createDataFrame(docs, "doc long, text string"), "doc").collect()
+    assert Counter(r.query_id for r in got) == {"a": 10, "b": 10}
+    assert max(rows.values()) <= 20 * 6, rows  # of 300 names and 900 terms in a document: asked terms and names, and one row for the others
+
+
+def test_scorers_that_are_summed_together_are_those_alone(spark):
+    docs = [(d, f"alpha {'beta ' * (d % 4)}gamma{d % 3} boxes HTTP2 load_table" if d % 5 else None) for d in range(40)] + [(3, "alpha alpha delta")]
+    terms = spark.createDataFrame([(q, t, w) for q in range(3) for t, w in (("alpha", 1.0), ("beta", 1.5 + q), ("gamma", 3.0), ("box", 0.5), ("HTTP2", 3.0), ("nowhere", 1.0))], "query_id long, term string, w double")
+    frame = spark.createDataFrame(docs, "doc long, text string")
+    postings, counts, facts = index.asked_index(frame, "doc", "text", terms, spark.createDataFrame([("boxes",), ("load_table",)], "term string"))
+    every = index.identifier_postings(frame, "doc", "text")
+    plain = lambda f: sorted(tuple(r) for r in f.collect())
+    assert plain(postings) == plain(every.join(terms.select("term").distinct(), "term", "left_semi").select("doc", "term", "tf"))
+    assert plain(counts) == plain(index.identifier_counts(frame, "doc", "text").filter("id in ('boxes', 'load_table')"))
+    distinct = Counter(r.doc for r in every.collect())
+    assert plain(facts.select("doc", "len", "distinct_terms", "chars")) == sorted((d, len(re.findall(IDENTIFIER, t or "")), distinct[d], len(t or "")) for d, t in docs)
+    got = scorers.voted(["bm25", "rare"], terms, postings, "doc", facts, 7)
+    for name, alone in (("bm25", scorers.bm25), ("rare", scorers.rare_terms)):
+        mine = plain(got.filter(F.col("source") == name).select("query_id", "doc", "score", "rank"))
+        assert mine == plain(scorers.ranked(alone(terms, every, "doc", facts=facts), "doc", 7).select("query_id", "doc", "score", "rank"))
+    assert not re.search(r"hashpartitioning\(query_id#\d+L?, doc#", got._jdf.queryExecution().executedPlan().toString())
+
+
+def test_identifiers_in_steps_expand_as_at_once(spark):
+    odd = "word words ss bus ies flies a1 ab12cd _ __ _a a_b foo_foo foo_foos HTTPServer HTTP2 iOS xX AbcDef abc_def1 queries A_B is boxes x1y2".split()
+    counts = spark.createDataFrame([(k, w, 2) for k in (1, 2) for w in odd], "doc long, id string, n long")
+    want = Counter()
+    for w in odd:
+        want.update({t: 2 for t in expand(w)})
+    assert {(r.doc, r.term): r.tf for r in index.expanded(counts, "doc").collect()} == {(k, t): n for k in (1, 2) for t, n in want.items()}
+    assert {r.id: r.t for r in counts.select("id", tokens.expand(F.col("id")).alias("t")).collect()} == {w: expand(w) for w in odd}
