@@ -36,11 +36,11 @@ _ONE = r"^[a-z]{2,}\z"
 
 
 def _apart(counts: DataFrame) -> DataFrame:
-    """Adds terms, what the identifier expands to (`tokens.expand`), in two steps, so that only compound ones are taken apart
-    and each once."""
-    one = F.col("id").rlike(_ONE)
-    steps = counts.withColumn("small", F.when(~one, tokens.small_parts(F.col("id"))))
-    return steps.withColumn("terms", F.when(one, F.array(tokens.normalized(F.col("id")))).otherwise(tokens.terms_of(F.col("id"), F.col("small"))))
+    """Adds terms, what the identifier expands to (`tokens.expand`), in steps, so that only compound ones are taken apart and
+    each once."""
+    steps = counts.withColumn("one", F.col("id").rlike(_ONE))
+    steps = steps.withColumn("small", F.when(~F.col("one"), tokens.small_parts(F.col("id"))))
+    return steps.withColumn("terms", F.when(F.col("one"), F.array(tokens.normalized(F.col("id")))).otherwise(tokens.terms_of(F.col("id"), F.col("small"))))
 
 
 def _each(rows: DataFrame, key: str, terms: Column) -> DataFrame:

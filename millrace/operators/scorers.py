@@ -20,18 +20,18 @@ def _matches(queries: DataFrame, postings: DataFrame, key: str, facts: DataFrame
     facts = document_stats(postings, key) if facts is None else facts.select(key, "len", "distinct_terms")
     corpus = facts.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"), F.avg("distinct_terms").alias("avg_distinct"))
     asked = written(postings.join(queries.select("term").distinct(), "term"), "matches")
-    weighed = written(queries.join(asked.groupBy("term").agg(F.count("*").alias("df")), "term").join(F.broadcast(corpus), F.lit(True)), "weighed")  # corpus: one row
+    weighed = written(queries.join(asked.groupBy("term").agg(F.count("*").alias("df")), "term").join(F.broadcast(corpus), F.lit(True)).withColumn("idf", idf(F.col("n"), F.col("df"))), "weighed")  # corpus: one row
     return asked.join(facts.hint("shuffle_hash"), key).join(weighed, "term")
 
 
 def _bm25(k1: float = 1.2, b: float = 0.75) -> Column:
     """w idf tf (k1 + 1) / (tf + k1 (1 - b + b len / avg))."""
-    return F.col("w") * idf(F.col("n"), F.col("df")) * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
+    return F.col("w") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
 
 
 def _rare() -> Column:
     """w idf squared, less for documents of many distinct terms. Presence counts, not frequency."""
-    return F.col("w") * idf(F.col("n"), F.col("df")) ** 2 / (1 + F.log(1 + F.col("distinct_terms") / F.col("avg_distinct")))
+    return F.col("w") * F.col("idf") ** 2 / (1 + F.log(1 + F.col("distinct_terms") / F.col("avg_distinct")))
 
 
 def bm25(queries: DataFrame, postings: DataFrame, key: str, k1: float = 1.2, b: float = 0.75, facts: DataFrame | None = None) -> DataFrame:
@@ -60,11 +60,11 @@ def voted(names: Sequence[str], queries: DataFrame, postings: DataFrame, key: st
     """
     spark = postings.sparkSession
     corpus = facts.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"), F.avg("distinct_terms").alias("avg_distinct"))
-    weighed = written(queries.join(postings.groupBy("term").agg(F.count("*").alias("df")), "term").join(F.broadcast(corpus), F.lit(True)), "weighed")  # corpus: one row
+    weighed = written(queries.join(postings.groupBy("term").agg(F.count("*").alias("df")), "term").join(F.broadcast(corpus), F.lit(True)).withColumn("idf", idf(F.col("n"), F.col("df"))), "weighed")  # corpus: one row
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(weighed.agg(F.sum("df")).first()[0] or 0) // MEETINGS_EACH))
     dealt = postings.repartition(tasks, key).join(facts.select(key, "len", "distinct_terms").repartition(tasks, key).hint("shuffle_hash"), key)
     sums = dealt.join(weighed, "term").groupBy("query_id", key).agg(*[F.sum(GAINS[n]()).alias(n) for n in names])
-    return ranked(sums.unpivot(["query_id", key], list(names), "source", "score"), key, k, by=("source", "query_id"))
+    return ranked(sums.unpivot(["query_id", key], list(names), "source", "score"), key, k, by=("query_id", "source"))
 
 
 def references(names: DataFrame, postings: DataFrame, key: str, defining: DataFrame | None = None) -> DataFrame:
